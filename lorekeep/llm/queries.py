@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": bpe.op1_query}
+    return {
+        "op1_byte_bpe": bpe.op1_query,
+        "op2_token_shards": token_store.op2_query,
+        "op7_decontaminate": decontaminate.op7_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
