@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, token_store
+from . import ann, bpe, decontaminate, ngram_join, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_query,
         "op2_token_shards": token_store.op2_query,
+        "op3_ann": ann.op3_query,
+        "op6_ngram_join": ngram_join.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
     }
 
