@@ -20,7 +20,7 @@ class Settings:
 
     train_rows: int = 20_000
     max_lists: int = 1024
-    aim: float = 0.96
+    aim: float = 0.985
     parts: int = 16
     refined: int = 200
     members: int = 8192

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, ngram_join, token_store
+from . import ann, bpe, decontaminate, html_extract, ngram_join, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_query,
         "op2_token_shards": token_store.op2_query,
         "op3_ann": ann.op3_query,
+        "op4_html_extract": html_extract.op4_query,
         "op6_ngram_join": ngram_join.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
     }
