@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, ngram_join, token_store
+from . import ann, bpe, decontaminate, html_extract, ngram_join, pii, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_shards": token_store.op2_query,
         "op3_ann": ann.op3_query,
         "op4_html_extract": html_extract.op4_query,
+        "op5_pii_surrogates": pii.op5_query,
         "op6_ngram_join": ngram_join.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
     }
