@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, ngram_join, pii, token_store
+from . import ann, bpe, decontaminate, html_extract, langid, license_scan, ngram_join, pii, quality, token_store
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +24,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii_surrogates": pii.op5_query,
         "op6_ngram_join": ngram_join.op6_query,
         "op7_decontaminate": decontaminate.op7_query,
+        "op8_langid": langid.op8_query,
+        "op9_license_scan": license_scan.op9_query,
+        "op10_quality": quality.op10_query,
+        "pipeline": pipeline,
     }
 
 
