@@ -80,3 +80,18 @@ def statements(sql: Column) -> Column:
 
 def or_default(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
+
+
+def pair_structs(history: Column) -> Column:
+    """array<struct<u, a>> of a history given as lists of two; missing parts are null."""
+    return F.transform(history, lambda h: F.struct(F.get(h, 0).alias("u"), F.get(h, 1).alias("a")))
+
+
+def suffix(path: Column) -> Column:
+    """The extension with its dot, or an empty string."""
+    return F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1)
+
+
+def default_of(values: Column, key: str, default: str) -> Column:
+    """The value of a key in a map, or the default."""
+    return F.coalesce(F.try_element_at(values, F.lit(key)), F.lit(default))

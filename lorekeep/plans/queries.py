@@ -283,6 +283,24 @@ def append_documents(spark, sf_dir):
     return d.where("doc_id % 2 = 0").unionByName(d.where("doc_id % 3 = 0")).groupBy("source").agg(F.count("*").alias("chunks"))
 
 
+def label_select(spark, sf_dir):
+    """The first paper with each label, as a list shown to users would resolve it."""
+    p = papers(spark, sf_dir).select("doc_id", T.paper_label(F.substring("title", 1, 3), T.published(F.col("year"))).alias("label"))
+    return p.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
+
+
+def history_structs(spark, sf_dir):
+    lists = F.array(F.array("source", "lang"), F.array("lang"))
+    h = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.pair_structs(lists)).alias("pos", "h"))
+    return h.select("doc_id", "pos", "h.u", "h.a")
+
+
+def metadata_defaults(spark, sf_dir):
+    m = F.from_json(F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("arxiv_id"))), "map<string,string>")
+    path = F.concat(F.lit("in.d/"), "source", F.when(F.col("doc_id") % 3 == 0, ".pdf").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", T.default_of(m, "arxiv_id", "unknown").alias("arxiv_id"), T.suffix(path).alias("suffix"))
+
+
 def retry_delays(spark, sf_dir):
     e = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("attempt"), F.col("source").contains("9").alias("limited"))
     return e.select("doc_id", T.retry_delay(F.col("attempt"), F.col("limited")).alias("delay"))
@@ -298,7 +316,7 @@ def answers_stub(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, retry_delays, answers_stub]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
     return {f.__name__: f for f in names}
 
 
@@ -344,5 +362,8 @@ def oracle_sql() -> dict[str, str]:
         "chunks_fixed_stride": "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 150) / 650.0) AS BIGINT)))) AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS chunk_index, substring(text, i * 650 + 1, 800) AS chunk FROM c",
         "dedup_by_content": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
         "append_documents": "SELECT source, count(*) AS chunks FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents WHERE doc_id % 3 = 0) GROUP BY source",
+        "label_select": f"WITH {_PAPERS} SELECT substring(substring(title, 1, 3), 1, 60) || '... (' || CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END || ')' AS label, min(doc_id) AS doc_id FROM papers GROUP BY 1",
+        "history_structs": "SELECT doc_id, CAST(0 AS INT) AS pos, source AS u, lang AS a FROM documents UNION ALL SELECT doc_id, 1, lang, NULL FROM documents",
+        "metadata_defaults": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS arxiv_id, CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '' END AS suffix FROM documents",
         "retry_delays": "SELECT doc_id, CAST(CASE WHEN contains(source, '9') THEN 5 * (doc_id % 3 + 1) ELSE 2 ** (doc_id % 3) END AS INT) AS delay FROM documents",
     }
