@@ -16,15 +16,16 @@ from .common import add_by_batch, bound_batches, stored, table
 class Settings:
     """train_rows: vectors that centroids and code books are fitted on (the index holds every vector); lists grow with the
     square root of the rows up to max_lists; aim: share of the true neighbours within the training rows whose lists a query
-    must visit, from which the number of visited lists is measured; parts: code bytes of a vector; refined: candidates that get exact distances; members, queries: block sizes."""
+    must visit, from which the number of visited lists is measured; parts: code bytes of a vector; refined: candidates that get exact distances; members, queries: vectors of a bin of lists and queries of a block, which
+    one task compares."""
 
     train_rows: int = 20_000
     max_lists: int = 1024
     aim: float = 0.985
     parts: int = 16
-    refined: int = 200
-    members: int = 8192
-    queries: int = 1024
+    refined: int = 250
+    members: int = 65_536
+    queries: int = 256
     rounds: int = 8
 
 
@@ -159,26 +160,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         def run(column):
             q = shared.value
             at, x = unit_rows(column, q.dim)
-            lists, units = [None] * len(column), [None] * len(column)
+            lists, homes, units = [None] * len(column), [None] * len(column), [None] * len(column)
             for i, probed, u in zip(at.tolist(), q.probe(x), x, strict=True):
-                lists[i], units[i] = probed.tolist(), u.tobytes()
-            return lists, units
+                lists[i], units[i] = probed.astype(np.int32).tobytes(), u.tobytes()
+                homes[i] = sorted({b + k for j in probed.tolist() if j in shared_bins.value for b, n in [shared_bins.value[j]] for k in range(n)})
+            return lists, homes, units
 
         return run
 
     list_field, code_field = T.StructField("list", T.IntegerType(), True), T.StructField("code", T.BinaryType(), True)
     members = stored(add_by_batch(all_rows, ["v"], [list_field, code_field], index).where("list >= 0").select("id", "list", "code"), "ivf")
+    # a row for each list, of which there are max_lists at most
+    bins = _bins({r.list: r.n for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}, quantizer, s.members)
+    places = F.broadcast(spark.createDataFrame([(i, b, n) for i, (b, n) in bins.items()], "list int, first int, parts int"))
+    members = members.join(places, "list").select("id", "list", "code", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bin"))
+    shared_bins = spark.sparkContext.broadcast(bins)
     asked = queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
-    asked = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "unit", F.explode("probed").alias("list")), "probes")
-
-    # both counts have a row for each list, of which there are max_lists at most
-    def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
-        return F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name)))
-
-    m_blocks, q_blocks = blocks(members, s.members, "mb"), blocks(asked, s.queries, "qb")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.join(q_blocks, "list").join(m_blocks, "list").withColumn("m", F.pmod(F.xxhash64("id"), F.col("mb")).cast("int")).withColumn("q", every("qb"))
-    right = asked.join(m_blocks, "list").join(q_blocks, "list").withColumn("q", F.pmod(F.xxhash64("id"), F.col("qb")).cast("int")).withColumn("m", every("mb"))
+    asked = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.BinaryType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "probed", "bins", "unit"), "probes")
+    n_blocks, n_bins = max(1, -(-asked.count() // s.queries)), max((b + n for b, n in bins.values()), default=1)
+    left = members.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    right = asked.select("id", "probed", "unit", F.explode("bins").alias("bin"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("q"))
     dim, refined = quantizer.dim, s.refined
 
     def scan(rows, questions):
@@ -187,28 +188,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         out_q, out_id, out_s = [], [], []
         if rows.num_rows and questions.num_rows:
             q = shared.value
-            ids = rows.column("id").to_numpy()
+            ids, lists = rows.column("id").to_numpy(), rows.column("list").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order].T.astype(np.int64)
-            centre = q.lists[rows.column("list")[0].as_py()]
-            for qid, unit in zip(questions.column("id").to_pylist(), questions.column("unit").to_pylist(), strict=True):
-                u = np.frombuffer(unit, np.float64)
-                t = q.tables(u)
-                score = np.full(len(ids), float(u @ centre))
-                for i in range(len(codes)):
-                    score += t[i][codes[i]]
-                score = np.where(ids == qid, -np.inf, score)
+            ids, lists = ids[order], lists[order]
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+            for qid, probed, unit in zip(*(questions.column(c).to_pylist() for c in ("id", "probed", "unit")), strict=True):
+                u, visited = np.frombuffer(unit, np.float64), np.zeros(len(q.lists), bool)
+                visited[np.frombuffer(probed, np.int32)] = True
+                at = np.flatnonzero(visited[lists] & (ids != qid))
+                t, score = q.tables(u), (q.lists @ u)[lists[at]]
+                for i in range(codes.shape[1]):
+                    score += t[i][codes[at, i]]
                 # the best, smaller ids first among equals
-                best = np.argsort(-score, kind="stable")[:refined] if len(ids) <= refined else _top(score, refined)
-                best = best[score[best] > -np.inf]
+                best = _top(score, min(refined, len(at)))
                 out_q.append(np.full(len(best), qid))
-                out_id.append(ids[best])
+                out_id.append(ids[at[best]])
                 out_s.append(score[best])
         empty = [np.zeros(0, np.int64)]
         return pa.table({"query_id": np.concatenate(out_q or empty), "id": np.concatenate(out_id or empty), "near": np.concatenate(out_s or [np.zeros(0)])})
 
-    found = left.select("list", "m", "q", "id", "code").groupBy("list", "m", "q").cogroup(right.select("list", "m", "q", "id", "unit").groupBy("list", "m", "q")).applyInArrow(scan, "query_id long, id long, near double")
+    found = left.repartition(n_bins * n_blocks, "bin", "q").groupBy("bin", "q").cogroup(right.repartition(n_bins * n_blocks, "bin", "q").groupBy("bin", "q")).applyInArrow(scan, "query_id long, id long, near double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("r") <= refined).select("query_id", "id")
     exact = best.join(all_rows, "id").join(queries.select(F.col(f"`{key}`").cast("long").alias("query_id"), F.col(f"`{vector}`").alias("qv")), "query_id")
 
@@ -232,8 +231,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def _bins(sizes: dict[int, int], q: Quantizer, most: int) -> dict[int, tuple[int, int]]:
+    """list -> (first bin, number of bins). Lists near each other share bins of about `most` vectors; a longer list gets
+    bins of its own, over which its vectors are spread."""
+    along = q.lists @ np.linalg.eigh(np.cov(q.lists.T) if len(q.lists) > 1 else np.eye(q.dim))[1][:, -1]
+    out, bin_, load = {}, 0, 0
+    for i in sorted(sizes, key=lambda i: (along[i], i)):
+        if load and load + sizes[i] > most:
+            bin_, load = bin_ + 1, 0
+        parts = max(1, -(-sizes[i] // most))
+        out[i] = (bin_, parts)
+        load += sizes[i]
+        if parts > 1:
+            bin_, load = bin_ + parts, 0
+    return out
+
+
 def _top(score: np.ndarray, k: int) -> np.ndarray:
     """The k largest scores, by falling score; the first ones among equals."""
+    if not k:
+        return np.zeros(0, np.int64)
     least = -np.partition(-score, k - 1)[k - 1]
     above = np.flatnonzero(score > least)
     level = np.flatnonzero(score == least)[: k - len(above)]
