@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontaminate, html_extract, langid, license_scan, ngram_join, pii, quality, token_store
+from . import ann, bpe, decontaminate, html_extract, langid, license_scan, ngram_join, pii, quality, sql, token_store
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
