@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ class Engine:
         s = self.settings
         if downloaded is None:
             downloaded = papers.download(wanted, self.fetch) if self.fetch else wanted.select("arxiv_id", F.lit(None).cast("binary").alias("content"))
-        path = f"{self.settings.text_dir}/batch-{self.spark.sparkContext.applicationId}-{id(wanted)}"
+        path = f"{self.settings.text_dir}/batch-{uuid.uuid4().hex}"
         parsed = files.pdf_text(files.pdf_pages(downloaded.where("content is not null").select(F.col("arxiv_id").alias("path"), "content"), self.parser))
         parsed.write.mode("overwrite").parquet(path)
         texts = self.spark.read.schema("path string, text string, error string").parquet(path).withColumnRenamed("path", "arxiv_id")

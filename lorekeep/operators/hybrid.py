@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.text import similarity
 from .knn import within
 
-LEG = "qid long, id long, text string, part double, rank int"
-
-
 def vector_leg(hits: DataFrame, weight: float = 0.7, cutoff: float = 1.5) -> DataFrame:
     """hits: qid, id, d2, rk (the nearest 2k of each question). The cutoff comes after the limit."""
     return within(hits, cutoff).select("qid", "id", (weight * similarity(F.col("d2"))).alias("vs"), F.lit(None).cast("double").alias("bs"), F.col("rk").alias("vr"), F.lit(None).cast("int").alias("br"))

@@ -22,14 +22,15 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, id: str = "vec_id", ve
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", block: int = 1000) -> DataFrame:
     """qid, id, d2, rk for a stated list of queries (qid, q) against all vectors, in blocks of `block` queries.
 
-    Each block is sent whole to the vectors (its size is bounded by `block` rows); the window's limit is applied within a
-    partition before the shuffle.
+    Queries are dealt to blocks by hash. Each block is sent whole to the vectors (it has about `block` rows, however many
+    queries there are); the window's limit is applied within a partition before the shuffle.
     """
     total = queries.count()
     out = None
     order = Window.partitionBy("qid").orderBy("d2", "id")
-    numbered = queries.withColumn("b_", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / block)) if total > block else queries.withColumn("b_", F.lit(0))
-    for b in range(-(-total // block)):
+    blocks = -(-total // block)
+    numbered = queries.withColumn("b_", F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))))
+    for b in range(blocks):
         part = numbered.where(F.col("b_") == b).select("qid", "q")
         d2 = vectors.crossJoin(F.broadcast(part)).select("qid", F.col(id).alias("id"), squared_distance(F.col(vector), F.col("q")).alias("d2"))
         best = d2.where(F.col("d2").isNotNull() & ~F.isnan("d2")).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
