@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,21 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more), chosen by a hash of the columns `by`: a filter, without a sort.
+
+    by: columns that tell rows apart, so that copies do not come or stay away together.
+    """
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 31)) < F.lit(int(rows / n * (1 << 31))))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(spark: SparkSession, path: str) -> None:
     """Removes a scratch folder before the driver ends."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

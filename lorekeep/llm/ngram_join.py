@@ -3,10 +3,12 @@
 Two sets at a Jaccard similarity of t or more share one of the first n - ceil(t n) + 1 hashes of either (the prefix, in
 ascending order of hash). So documents meet by prefix hash, and nothing is lost. Within such a group:
 
+0. Prefixes are longer than that by some hashes, of which a pair then has to share as many more.
 1. Copies have been folded into one representative before; only different sets meet.
 2. Every member is compared with the group's smallest member: the exact links among these already join most groups of near
    copies, and cost one comparison a member instead of one a pair.
-3. Groups that still hold more than one component go through a signature tree. Its nodes hold the OR and the AND of their
+3. In small groups that still hold more than one component, pairs are counted; only those that share enough hashes go on.
+   Larger groups go through a signature tree. Its nodes hold the OR and the AND of their
    members' bitmaps, their range of sizes and their component. A dual traversal drops a pair of nodes if the largest
    overlap that bitmaps and sizes allow is too small, or if both sides are one component. What is left is compared exactly.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, bound_batches, stored, table
+from .common import add_by_batch, bound_batches, bounded_sample, release, stored, table
 from .components import components
 from .shingles import Shingler
 
@@ -28,15 +30,20 @@ from .shingles import Shingler
 LEAF = 16
 #: Members of a block; a larger group is dealt out by pairs of blocks.
 BLOCK = 1024
+#: Members up to which a group's pairs are counted instead of searched by a tree.
+FEW = 32
+#: Texts from which frequent shingles are learned, for the order of prefixes.
+SAMPLE = 12_000
+#: Ids of documents to compare that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """At least 4 bits a hash, as 64-bit words; a power of two, so that wider bitmaps fold onto narrower ones."""
     bits = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
-    out = np.zeros(bits // 64, np.uint64)
-    at = hashes >> np.uint64(20)
-    np.bitwise_or.at(out, ((at >> np.uint64(6)) & np.uint64(len(out) - 1)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    seen = np.zeros(bits, bool)
+    seen[((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little").view(np.uint64)
 
 
 def fold(words: np.ndarray, n: int) -> np.ndarray:
@@ -138,35 +145,85 @@ def tree_pairs(reps: list[int], sizes: np.ndarray, maps: list[np.ndarray], comps
     return out
 
 
+def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """A table of 2^24 flags by the top bits of a hash: set where two of a bounded number of texts share a shingle.
+
+    It only decides the order of hashes: those flagged come last in a prefix, so that few unrelated texts meet. Any fixed
+    table gives the same links, so the texts it is made from are bounded (about SAMPLE, by a hash of their ids).
+    """
+    rows = bounded_sample(texts.where("id is not null"), SAMPLE, "id").where("text is not null").select(F.col("text").cast("binary").alias("t"))
+
+    def hashes(batches):
+        import pyarrow as pa
+
+        shingler = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingler(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["s"])
+
+    seen, flags = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)
+    copies = set()
+    for r in rows.mapInArrow(hashes, "s binary").toLocalIterator():
+        key = bytes(r.s)
+        if hash(key) in copies:
+            continue
+        copies.add(hash(key))
+        at = (np.frombuffer(key, np.uint64) >> np.uint64(40)).astype(np.int64)
+        flags[at[seen[at]]] = True
+        seen[at] = True
+    return np.packbits(flags)
+
+
+def asked(n):
+    """Shared prefix hashes that two sets of n shingles or more have to have (if they need to overlap as much at all)."""
+    return 4 + n // 50
+
+
+def prefix(s: np.ndarray, flags: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n - ceil(num n / den) + asked(n) hashes, those not flagged first, then by hash.
+
+    Two sets with an overlap of at least o share k of their first n - o + k hashes each, for every k up to o.
+    """
+    if not len(s):
+        return s
+    late = flags[(s >> np.uint64(40)).astype(np.int64)]
+    return np.concatenate([s[~late], s[late]])[: len(s) + (-num * len(s)) // den + asked(len(s))]
+
+
 def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    fields = [T.StructField("n", T.LongType(), False), T.StructField("f1", T.LongType(), False), T.StructField("f2", T.LongType(), False), T.StructField("prefix", T.ArrayType(T.LongType(), False), False), T.StructField("map", T.BinaryType(), False)]
+    fields = [T.StructField("n", T.LongType(), False), T.StructField("f1", T.LongType(), False), T.StructField("f2", T.LongType(), False), T.StructField("prefix", T.ArrayType(T.LongType(), False), False)]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def work():
         import pyarrow as pa
         import xxhash
 
-        shingler = Shingler(width)
+        shingler, flags = Shingler(width), np.unpackbits(shared.value).astype(bool)
 
         def run(texts):
-            n, f1, f2, prefix, maps = [], [], [], [], []
+            n, f1, f2, firsts = [], [], [], []
             for t in texts.cast(pa.large_binary()).to_pylist():
                 s = shingler(t)
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 n.append(len(s))
                 f1.append(int(d[0]))
                 f2.append(int(d[1]))
-                prefix.append(s[: len(s) + (-num * len(s)) // den + 1].view(np.int64) if len(s) else [])
-                maps.append(bitmap(s).tobytes() if len(s) else b"")
-            return n, f1, f2, prefix, maps
+                firsts.append(prefix(s, flags, num, den).view(np.int64))
+            return n, f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]), pa.int64()))
 
         return run
 
     return add_by_batch(docs, ["text"], fields, work).drop("text")
 
 
+def _asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The texts with an asked rep. Up to BROADCAST_IDS of them are sent to the texts, else both are shuffled."""
+    asked = stored(asked.distinct(), "asked")
+    return texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "rep", "left_semi")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of documents whose sets are linked, each compared exactly."""
-    asked = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
+    asked = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b"))
 
     def work():
         import pyarrow as pa
@@ -174,7 +231,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
         shingler = Shingler(width)
         return lambda column: [[shingler(t).tobytes() for t in column.cast(pa.large_binary()).to_pylist()]]
 
-    sets = add_by_batch(texts.join(asked, "rep", "left_semi"), ["text"], [T.StructField("set", T.BinaryType(), False)], work).drop("text")
+    sets = add_by_batch(_asked_texts(texts, asked), ["text"], [T.StructField("set", T.BinaryType(), False)], work).drop("text")
     sets = stored(sets, "sets")
     both = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("set", "sa"), "a").join(sets.withColumnRenamed("rep", "b").withColumnRenamed("set", "sb"), "b")
 
@@ -192,20 +249,87 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return add_by_batch(both, ["sa", "sb"], [T.StructField("linked", T.BooleanType(), False)], compare).where("linked").select("a", "b")
 
 
+def possible(ma: bytes, na: int, mb: bytes, nb: int, num: int, den: int) -> bool:
+    """Whether sizes and bitmaps of two sets leave room for den * overlap >= num * union."""
+    if den * na < num * nb or den * nb < num * na:
+        return False
+    w = min(len(ma), len(mb))
+    x, y = (int.from_bytes(m, "little") if len(m) == w else int.from_bytes(fold(np.frombuffer(m, np.uint64), w // 8).tobytes(), "little") for m in (ma, mb))
+    return (den + num) * min(na - (x & ~y).bit_count(), nb - (y & ~x).bit_count()) >= num * (na + nb)
+
+
+def _possible_pairs(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, na, b, nb) that their bitmaps leave possible."""
+    both = pairs.join(maps.withColumnRenamed("rep", "a").withColumnRenamed("map", "ma"), "a").join(maps.withColumnRenamed("rep", "b").withColumnRenamed("map", "mb"), "b")
+
+    def work():
+        return lambda *columns: [[possible(ma, na, mb, nb, num, den) for ma, na, mb, nb in zip(*(c.to_pylist() for c in columns), strict=True)]]
+
+    return add_by_batch(both, ["ma", "na", "mb", "nb"], [T.StructField("ok", T.BooleanType(), False)], work).where("ok").select("a", "b")
+
+
 def _group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: key columns token, i, j, then rep, n, comp, map, side. Candidate pairs of each group."""
+    """members: token, i, j, which are a group's key, then rep, n, comp, map, side. Candidate pairs of all groups."""
+    bound_batches(members.sparkSession)
+
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        maps = [np.frombuffer(r[3], np.uint64) for r in rows]
+        n, comp, side = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 4))
+        return tree_pairs([r[0] for r in rows], n, maps, comp, side, num, den)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(key, groups):
+        def table_of(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+        key, rows, out = None, [], set()
+        for b in batches:
+            for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (token, i, j) != key:
+                    if len(rows) > 1:
+                        out.update(close(rows))
+                    key, rows = (token, i, j), []
+                rows.append(tuple(row))
+            if len(out) > 50_000:
+                yield table_of(sorted(out))
+                out = set()
+        if len(rows) > 1:
+            out.update(close(rows))
+        yield table_of(sorted(out))
+
+    dealt = members.select("token", "i", "j", "rep", "n", "comp", "map", "side").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _counted_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """a, na, b, nb for pairs of different components in small groups (token, rep, n, comp) that share as many prefix hashes
+    as a link needs. Groups have FEW members at most, so a member meets fewer than FEW others in each."""
+    group = F.collect_list(F.struct("rep", "n", "comp"))
+    lists = members.groupBy("token").agg(F.array_sort(group).alias("g"))
+    pairs = lists.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
+    na, nb = F.col("x.n"), F.col("y.n")
+    near = pairs.where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep")) & (den * na >= num * nb) & (den * nb >= num * na))
+    counts = near.groupBy(F.col("x.rep").alias("a"), na.alias("na"), F.col("y.rep").alias("b"), nb.alias("nb")).agg(F.count("*").alias("shared"))
+    overlap = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(float(den + num)) - 1e-9)
+    return counts.where(F.col("shared") >= F.least(overlap, 4 + F.floor(F.least("na", "nb") / 50))).drop("shared")
+
+
+def _bitmaps(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    def work():
         import pyarrow as pa
 
-        t = groups
-        side = t.column("side").to_numpy()
-        maps = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
-        out = tree_pairs(t.column("rep").to_pylist(), t.column("n").to_numpy(), maps, t.column("comp").to_numpy(), side, num, den)
-        out = sorted(set(out))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        shingler = Shingler(width)
+        return lambda column: [[bitmap(shingler(t)).tobytes() for t in column.cast(pa.large_binary()).to_pylist()]]
+
+    return add_by_batch(_asked_texts(texts, reps), ["text"], [T.StructField("map", T.BinaryType(), False)], work).drop("text")
+
 
-    return members.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def _near(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, na, b, nb) that sizes and bitmaps leave possible, as a, b."""
+    pairs = stored(pairs, "pairs")
+    maps = stored(_bitmaps(texts, pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), width), "bitmaps")
+    return stored(_possible_pairs(pairs, maps, num, den), "near")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -213,31 +337,40 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two documents link when den * |intersection| >= num * |union| of their shingle sets. Null and empty texts, and texts
     without words, have no shingles and no links: they are components of their own. Rows with a null key get a null
-    component and link with nothing. Rows with equal keys count as one document per row; they share their component if
-    their sets link.
+    component and link with nothing. Rows with equal keys are one node of the graph, linked to what any of them links to.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(_signatures(own, width, num, den), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("map").alias("map"), F.first("prefix").alias("prefix"))
+    classes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
     classes = stored(classes, "classes")
+    release(spark)
     # a key that several sets carry: its classes are told apart by their sets, so compare by (rep, n, f1)
     texts = own.where("id is not null").withColumnRenamed("id", "rep")
     entries = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    groups = entries.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df"), F.min_by("n", "rep").alias("pn")).where("df > 1")
+    # hashes of a single set are dropped here; what is left is small, and so are its pivots
+    groups = stored(entries.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1"), "groups")
+    release(spark)
     met = stored(entries.join(groups, "token"), "met")
-    stars = met.where((F.col("rep") != F.col("pivot")) & (den * F.col("n") >= num * F.col("pn")) & (den * F.col("pn") >= num * F.col("n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    star_links = stored(_compared(stored(stars, "stars"), texts, width, num, den), "star-links")
+    release(spark)
+    stars = met.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")).where("shared >= 4 or shared >= nb / 2")
+    sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"))
+    stars = stars.join(sizes, "a").where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))).select("a", "na", "b", "nb")
+    star_links = stored(_compared(_near(stars, texts, width, num, den), texts, width, num, den), "star-links")
     comps = stored(components(star_links), "components")
-    placed = met.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")).where("lo != hi").select("token")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("df") / block)).cast("int")
-    rest = placed.join(open_, "token", "left_semi").select("token", "rep", "n", "comp", blocks.alias("nb"))
-    rest = rest.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rest = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rest = rest.select("token", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "rep", "n", "comp", F.when(F.col("at") == F.col("k"), 3).when(F.col("at") < F.col("k"), 1).otherwise(2).alias("side"))
-    members = rest.join(classes.select("rep", "map"), "rep")
-    more = stored(_group_pairs(members, num, den), "tree-pairs")
+    release(spark)
+    placed = stored(met.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "df", F.coalesce("component", "rep").alias("comp")), "placed")
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.count("*").alias("size")).where("lo != hi")
+    open_ = open_.where((F.col("size") > 2) | (den * F.col("n_lo") >= num * F.col("n_hi"))).select("token")
+    rest = placed.join(open_, "token", "left_semi")
+    counted = _near(_counted_pairs(rest.where(F.col("df") <= FEW), num, den), texts, width, num, den)
+    large = rest.where(F.col("df") > FEW).select("token", "rep", "n", "comp", F.ceil(F.col("df") / block).cast("int").alias("nb"))
+    large = large.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    large = large.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    large = stored(large.select("token", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "rep", "n", "comp", F.when(F.col("at") == F.col("k"), 3).when(F.col("at") < F.col("k"), 1).otherwise(2).alias("side")), "large")
+    searched = _group_pairs(large.join(stored(_bitmaps(texts, large.select("rep"), width), "bitmaps"), "rep"), num, den)
+    more = stored(counted.unionAll(searched).distinct(), "tree-pairs")
+    release(spark)
     links = star_links.unionAll(_compared(more, texts, width, num, den))
     final = stored(components(links), "components")
     named = classes.select("n", "f1", "f2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))

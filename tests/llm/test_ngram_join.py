@@ -44,6 +44,7 @@ def corpus(seed, n=120):
 def test_against_brute_force(spark, monkeypatch):
     for seed, (width, num, den) in enumerate([(3, 90, 100), (5, 80, 100)]):
         monkeypatch.setattr(N, "LEAF", 4)
+        monkeypatch.setattr(N, "FEW", 6)
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.similar_documents(df, width=width, num=num, den=den, block=8).collect()}
@@ -59,7 +60,7 @@ def test_tree_finds_all_pairs():
     maps = [N.bitmap(x) for x in sets]
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j] and 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - o)}
     whole = set(N.tree_pairs(list(range(len(sets))), n, maps, comp, np.full(len(sets), 3), 80, 100))
-    few = set(N.few_pairs([(i, int(n[i]), int(comp[i]), maps[i].tobytes(), 3) for i in range(len(sets))], 80, 100))
+    few = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comp[i] != comp[j] and N.possible(maps[i].tobytes(), int(n[i]), maps[j].tobytes(), int(n[j]), 80, 100)}
     assert true and true <= whole and true <= few and len(few) < len(sets) ** 2 / 4
     sides = np.array([1 + i % 2 for i in range(len(sets))])
     assert {p for p in true if sides[p[0]] != sides[p[1]]} <= set(N.tree_pairs(list(range(len(sets))), n, maps, comp, sides, 80, 100))
