@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, bound_batches, stored, table
+from .common import add_by_batch, bound_batches, bounded_sample, stored, table
 
 
 @dataclass(frozen=True)
@@ -118,9 +118,9 @@ def unit_rows(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(vectors: DataFrame, s: Settings) -> Quantizer | None:
-    """Fits on the vectors with the smallest hashes of their ids, s.train_rows at most; None if no vector takes part."""
+    """Fits on about s.train_rows vectors, chosen by a hash of their ids; None if no vector takes part."""
     rows = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(s.train_rows).select("v").toArrow().column("v").combine_chunks()
+    sample = bounded_sample(vectors, s.train_rows, "id").select("v").toArrow().column("v").combine_chunks()
     _, x = unit_rows(sample)
     return Quantizer(x, rows, s) if len(x) else None
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, table
+from .common import add_by_batch, bounded_sample, table
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: labelled texts that the model is fitted on at most; landmarks: texts of the Nyström map; orders: lengths of the
+    """rows: labelled texts that the model is fitted on, about; landmarks: texts of the Nyström map; orders: lengths of the
     n-grams (bytes of the folded text); bits: size of the n-gram table; ridge: penalty; least: score below which a
     document's language counts as unsure."""
 
@@ -101,11 +101,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: Settings | None = None) -> Model | None:
-    """Fits on the rows with the smallest hashes of their texts, settings.rows at most; null labels and texts, and texts
+    """Fits on about settings.rows rows, chosen by a hash of all columns; null labels and texts, and texts
     without a letter, take no part. None if no row does."""
     s = settings or Settings()
-    usable = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).where("t is not null and l is not null").where(F.col("t").rlike(r"\p{L}"))
-    rows = usable.orderBy(F.xxhash64("t"), "l").limit(s.rows).repartition(max(1, s.rows // 500))
+    told_apart = F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns if c != text and not isinstance(labelled.schema[c].dataType, T.MapType)], F.col(f"`{text}`"))
+    usable = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"), told_apart.alias("h")).where("t is not null and l is not null").where(F.col("t").rlike(r"\p{L}"))
+    rows = bounded_sample(usable, s.rows, "h").select("t", "l")
 
     def work():
         return lambda texts: [[grams(t.as_py(), s).astype("<u4").tobytes() for t in texts]]

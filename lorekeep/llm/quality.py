@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, table
+from .common import add_by_batch, bounded_sample, table
 from .langid import held_out
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: labelled documents that the model is fitted on at most; passage: bytes of a passage; hidden, gate: sizes of the
+    """rows: labelled documents that the model is fitted on, about; passage: bytes of a passage; hidden, gate: sizes of the
     encoding and of the attention; epochs, batch, rate, decay: training."""
 
     rows: int = 5_000
@@ -118,11 +118,12 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings | None = None) -> Model | None:
-    """Fits on the labelled documents whose keys have the smallest hashes, settings.rows at most; null keys and labels take
+    """Fits on about settings.rows labelled documents, chosen by a hash of their keys; null keys and labels take
     no part. None if there is no label."""
     s = settings or Settings()
-    chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("double").alias("y")).where("k is not null and y is not null").orderBy(F.xxhash64("k"), "k", "y").limit(s.rows)
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # at most s.rows
+    usable = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("double").alias("y")).where("k is not null and y is not null")
+    chosen = bounded_sample(usable, s.rows, "k")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # about s.rows
 
     def work():
         return lambda texts: [[passages(t.as_py(), s.passage).tobytes() for t in texts]]
