@@ -31,9 +31,9 @@ LEAF = 16
 #: Members of a block; a larger group is dealt out by pairs of blocks.
 BLOCK = 1024
 #: Members up to which a group's pairs are counted instead of searched by a tree.
-FEW = 32
+FEW = 16
 #: Texts from which frequent shingles are learned, for the order of prefixes.
-SAMPLE = 12_000
+SAMPLE = 24_000
 #: Ids of documents to compare that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -307,10 +307,16 @@ def _counted_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     as a link needs. Groups have FEW members at most, so a member meets fewer than FEW others in each."""
     group = F.collect_list(F.struct("rep", "n", "comp"))
     lists = members.groupBy("token").agg(F.array_sort(group).alias("g"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
-    na, nb = F.col("x.n"), F.col("y.n")
-    near = pairs.where((F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") != F.col("y.rep")) & (den * na >= num * nb) & (den * nb >= num * na))
-    counts = near.groupBy(F.col("x.rep").alias("a"), na.alias("na"), F.col("y.rep").alias("b"), nb.alias("nb")).agg(F.count("*").alias("shared"))
+
+    def fits(x, y):
+        return (x["comp"] != y["comp"]) & (x["rep"] != y["rep"]) & (den * x["n"] >= num * y["n"]) & (den * y["n"] >= num * x["n"])
+
+    def met(x, i):
+        later = F.filter(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: fits(x, y))
+        return F.transform(later, lambda y: F.struct(x["rep"].alias("a"), x["n"].alias("na"), y["rep"].alias("b"), y["n"].alias("nb")))
+
+    near = lists.select(F.explode(F.flatten(F.transform("g", met))).alias("p")).select("p.*")
+    counts = near.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
     overlap = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(float(den + num)) - 1e-9)
     return counts.where(F.col("shared") >= F.least(overlap, 4 + F.floor(F.least("na", "nb") / 50))).drop("shared")
 
