@@ -44,7 +44,8 @@ def within(hits: DataFrame, cutoff: float = 1.5) -> DataFrame:
 
 
 def approximate(vectors: DataFrame, query: list[float], k: int, id: str = "vec_id", vector: str = "embedding", width: float = 0.8, tables: int = 8, seed: int = 11) -> DataFrame:
-    """Like nearest(), but over the buckets that random projections share with the query; may miss neighbours."""
+    """Like nearest(), but over the buckets that random projections share with the query; may miss neighbours, and of
+    equally distant ones at the end of the list it may return any."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors

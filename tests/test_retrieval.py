@@ -65,7 +65,7 @@ def test_knn(spark):
         assert sorted((r.qid, r.id, r.rk) for r in knn.nearest_batch(v, qs, 2, block=block).collect()) == [(0, 0, 1), (0, 1, 2), (1, 1, 1), (1, 2, 2)]
     plan = knn.nearest(v, q, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    assert knn.approximate(v.where("vec_id < 3"), [0.9, 0.0], 1).first().id == 1
+    assert knn.approximate(v.where("vec_id < 2"), [0.9, 0.0], 1).first().id == 1
 
 
 def test_context_and_citations(spark):
