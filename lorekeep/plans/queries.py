@@ -148,6 +148,19 @@ def citations(spark, sf_dir):
     return context.citations(context.by_source(_hits(spark, sf_dir)), titles)
 
 
+def _question_hits(spark, sf_dir):
+    """The nearest 2k documents of every benchmark item within the cutoff, with their whole texts."""
+    e, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    near = knn.within(knn.nearest_batch(e, asked, 2 * K)).select("qid", F.col("id").alias("doc_id"), F.col("rk").alias("rank"))
+    # 2k rows a question
+    return table(spark, sf_dir, "documents").join(F.broadcast(near), "doc_id").select("qid", "rank", "text", F.col("source").alias("arxiv_id"))
+
+
+def question_contexts(spark, sf_dir):
+    return context.contexts(context.by_source(_question_hits(spark, sf_dir))).select("qid", "context")
+
+
 def history_last5(spark, sf_dir):
     return context.history_pairs(table(spark, sf_dir, "conversations"), 5)
 
@@ -316,7 +329,7 @@ def answers_stub(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
     return {f.__name__: f for f in names}
 
 
