@@ -83,7 +83,10 @@ def knn_l2_topk(spark, sf_dir):
 
 
 def knn_cutoff(spark, sf_dir):
-    """All vectors within the cutoff of a stated list of queries: every hundredth."""
+    """The reference's rule, top 2k and then the cutoff: of the 20 nearest vectors of every hundredth id, those within it.
+
+    Vectors within the cutoff beyond the 20th are no hits there either; both numbers are those of the SQL.
+    """
     e = table(spark, sf_dir, "embeddings")
     near = knn.nearest_batch(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 20)
     return knn.within(near).select("qid", "id", F.round("d2", 6).alias("d2"), "rk")
