@@ -228,6 +228,30 @@ def titles_lookup(spark, sf_dir):
     return catalog.titles(_catalog(spark, sf_dir), ids)
 
 
+def _whole_catalog(spark, sf_dir):
+    """Every paper, with its whole title."""
+    return papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title", F.array_join("authors", ", ").alias("authors"), "year", "category", F.lit("p").alias("pdf_path"), F.lit("t").alias("txt_path"), (F.col("doc_id") % 2 == 0).alias("is_vectorized"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+
+
+def _known_and_new(papers: DataFrame) -> DataFrame:
+    """Every paper, and as many with ids that no paper has."""
+    return papers.unionByName(papers.withColumn("arxiv_id", F.concat(F.lit("new-"), "arxiv_id")))
+
+
+def catalog_upsert_whole(spark, sf_dir):
+    """A changed copy of every paper and as many new ones, into the catalog of all."""
+    new = _known_and_new(papers(spark, sf_dir)).select("arxiv_id", F.concat(F.lit("New: "), "title").alias("title"), F.array_join("authors", ", ").alias("authors"), F.lit(2030).alias("year"), F.lit("new").alias("category"), F.lit("p2").alias("pdf_path"), F.lit("t2").alias("txt_path"), F.col("doc_id").alias("seq"))
+    return catalog.upsert(_whole_catalog(spark, sf_dir), new).select("arxiv_id", "title", "authors", "year", "category", "pdf_path", "is_vectorized")
+
+
+def mark_vectorized_whole(spark, sf_dir):
+    return catalog.mark_vectorized(_whole_catalog(spark, sf_dir), _known_and_new(papers(spark, sf_dir)).select("arxiv_id")).select("arxiv_id", "is_vectorized")
+
+
+def titles_lookup_whole(spark, sf_dir):
+    return catalog.titles(_whole_catalog(spark, sf_dir), _known_and_new(papers(spark, sf_dir)).select(F.concat("arxiv_id", F.lit(".txt")).alias("arxiv_id")))
+
+
 def category_year_scan(spark, sf_dir):
     return importer.search(papers(spark, sf_dir), "en", 2010, 50).select("arxiv_id", "title", "year", "relevance")
 
@@ -299,6 +323,12 @@ def append_documents(spark, sf_dir):
     return d.where("doc_id % 2 = 0").unionByName(d.where("doc_id % 3 = 0")).groupBy("source").agg(F.count("*").alias("chunks"))
 
 
+def append_documents_whole(spark, sf_dir):
+    """All chunks, and all again as new ones, as one bag."""
+    d = table(spark, sf_dir, "documents")
+    return d.unionByName(d).groupBy("source").agg(F.count("*").alias("chunks"))
+
+
 def label_select(spark, sf_dir):
     """The first paper with each label, as a list shown to users would resolve it."""
     p = papers(spark, sf_dir).select("doc_id", T.paper_label(F.substring("title", 1, 3), T.published(F.col("year"))).alias("label"))
@@ -332,7 +362,7 @@ def answers_stub(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, catalog_upsert_whole, mark_vectorized_whole, titles_lookup_whole, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, append_documents_whole, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
     return {f.__name__: f for f in names}
 
 
