@@ -31,8 +31,47 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
 ]
-#: Sentences without any of these words are no candidates.
-CUES = r"(?i)licen[sc]e|SPDX-|\bpermi(?:tted|ssion)\b|\bwaived\b"
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+_GNU_ONLY = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} version {2} as published by the Free Software Foundation."
+for _n, _l, _v, _d in (("GPL-2.0", "General Public License", "2", "June 1991"), ("GPL-3.0", "General Public License", "3", "29 June 2007"), ("LGPL-2.1", "Lesser General Public License", "2.1", "February 1999"), ("LGPL-3.0", "Lesser General Public License", "3", "29 June 2007"), ("AGPL-3.0", "Affero General Public License", "3", "19 November 2007")):
+    # heads of whole licence files, and the paragraph that headers have
+    TEMPLATES += [(_n, f"GNU {_l} Version {_v}, {_d}")] + [(_n, t.format(w, _l, _v)) for t in (_GNU, _GNU_ONLY) for w in ("program", "library")] + [(_n, f"SPDX-License-Identifier: {_n}-{w}") for w in ("only", "or-later")]
+for _n, _t in (("CC-BY-4.0", "Attribution"), ("CC-BY-SA-4.0", "Attribution-ShareAlike"), ("CC-BY-NC-4.0", "Attribution-NonCommercial"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives"), ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives")):
+    TEMPLATES += [(_n, f"{_t} 4.0 International"), (_n, f"Creative Commons {_t} 4.0 International Public License"), (_n, f"This work is licensed under a Creative Commons {_t} 4.0 International License"), (_n, f"Licensed under {_n.replace('CC-BY', 'CC BY').replace('-4.0', ' 4.0')}")]
+TEMPLATES += [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ISC", "ISC License"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+]
+TEMPLATES = list(dict.fromkeys(TEMPLATES))
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Whole texts of the short licences.
+TEXTS = [
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+]
+#: Sentences and paragraphs without any of these words are no candidates.
+CUES = r"(?i)licen[sc]e|SPDX-|\bpermi(?:tted|ssion)\b|\bwaived\b|\bredistribut|\bprovided [^.]{0,80}\bas is\b|\bCC0\b|\bAttribution[- ]"
+#: What stands before the text of a line in comments.
+COMMENT = r"(?m)^[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|\"{3}|'{3}|dnl\b|rem\b)[ \t]*)?"
 LICENCE_FILES = r"(?i)(?:^|/)(?:UN)?(?:LICEN[SC]E|COPYING|COPYRIGHT|NOTICE)[^/]*$"
 
 
@@ -40,35 +79,50 @@ def _terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
 
 
-def own_licences(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.75) -> DataFrame:
-    """path, licence, score for every file in which a sentence is near enough to a template: the best one.
-
-    Sentences are cut at line breaks and at full stops before a blank. Inverse document frequencies count all candidate
-    sentences of all files and the templates. Ties go to the first name. Null paths and texts give no row; rows with equal
-    paths count as one file.
-    """
-    spark = files.sparkSession
-    p, t = F.col(f"`{path}`"), F.col(f"`{text}`")
-    cut = F.split(t, r"(?:[\r\n]+|(?<=[.!?])[ \t]+)")
-    candidates = files.where(p.isNotNull() & t.rlike(CUES)).select(p.alias("path"), F.explode(F.filter(cut, lambda s: s.rlike(CUES))).alias("sentence"))
-    # the same sentence stands in many files: it is scored once
-    sentences = stored(candidates.groupBy("sentence").agg(F.count("*").alias("files")), "sentences")
-    units = sentences.select(F.col("sentence").alias("unit"), F.col("files").cast("double").alias("w"), F.lit(None).cast("string").alias("licence"))
-    units = units.unionAll(spark.createDataFrame([(b, 1.0, a) for a, b in TEMPLATES], "unit string, w double, licence string"))
-    tf = units.select("unit", "w", "licence", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "w", "licence", "term").agg(F.count("*").cast("double").alias("tf"))
+def _nearest(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """key, licence, score of the units (key, unit, w: how many files have it) near enough to a template: the best one."""
+    spark = units.sparkSession
+    units = units.select("key", "unit", F.col("w").cast("double").alias("w"), F.lit(None).cast("string").alias("licence"))
+    units = units.unionAll(spark.createDataFrame([(b, b, 1.0, a) for a, b in templates], "key string, unit string, w double, licence string"))
+    # texts do not travel with each of their terms
+    tf = units.select("key", "w", "licence", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "w", "licence", "term").agg(F.count("*").cast("double").alias("tf"))
     total = units.agg(F.sum("w").alias("n")).first().n
     idf = tf.groupBy("term").agg((F.log((F.lit(total) + 1) / (F.sum("w") + 1)) + 1).alias("idf"))
     weighed = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     # templates are a fixed, short list
-    model = F.broadcast(weighed.where("licence is not null").select("term", F.col("unit").alias("template"), F.col("licence").alias("name"), F.col("x").alias("y")))
-    model_norm = F.broadcast(weighed.where("licence is not null").groupBy(F.col("unit").alias("template")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("b")))
+    model = F.broadcast(weighed.where("licence is not null").select("term", F.col("key").alias("template"), F.col("licence").alias("name"), F.col("x").alias("y")))
+    model_norm = F.broadcast(weighed.where("licence is not null").groupBy(F.col("key").alias("template")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("b")))
     found = weighed.where("licence is null")
-    norm = found.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"))
-    dots = found.join(model, "term").groupBy("unit", "template", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norm, "unit").join(model_norm, "template").select("unit", "name", F.least(F.lit(1.0), F.round(F.col("dot") / (F.col("a") * F.col("b")), 9)).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("unit").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("licence"))
-    hits = candidates.join(best.withColumnRenamed("unit", "sentence"), "sentence")
-    return hits.groupBy("path").agg(F.min_by("licence", F.struct(-F.col("score"), F.col("licence"))).alias("licence"), F.max("score").alias("score"))
+    norm = found.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"))
+    dots = found.join(model, "term").groupBy("key", "template", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(norm, "key").join(model_norm, "template").select("key", "name", F.least(F.lit(1.0), F.round(F.col("dot") / (F.col("a") * F.col("b")), 9)).alias("score")).where(F.col("score") >= least)
+    return scored.groupBy("key").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("licence"))
+
+
+def own_licences(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.75) -> DataFrame:
+    """path, licence, score for every file of which a part is near enough to a template: the best one.
+
+    Sentences are cut at line breaks and at full stops before a blank. Paragraphs end at empty lines; their lines are joined
+    without comment marks, and they and their sentences are compared like sentences of one line. Paragraphs with cues that
+    follow each other are compared as one to whole licence texts, and a licence found so comes before all others.
+    Inverse document frequencies count all candidates of all files and the templates. Ties go to the first name. Null paths
+    and texts give no row; rows with equal paths count as one file.
+    """
+    p, t = F.col(f"`{path}`"), F.col(f"`{text}`")
+    lines = F.split(t, r"(?:[\r\n]+|(?<=[.!?])[ \t]+)")
+    paragraphs = F.transform(F.split(F.regexp_replace(t, COMMENT, ""), r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    files = files.where(p.isNotNull() & t.rlike(CUES)).select(p.alias("path"), lines.alias("lines"), paragraphs.alias("paragraphs"))
+    told = F.filter("paragraphs", lambda x: x.rlike(CUES))
+    short = F.filter(F.array_distinct(F.concat("lines", told, F.flatten(F.transform(told, lambda x: F.split(x, r"(?<=[.!?])[ ]+"))))), lambda x: x.rlike(CUES))
+    runs = F.filter(F.split(F.array_join(F.transform("paragraphs", lambda x: F.when(x.rlike(CUES), x).otherwise("\u0001")), " "), "\u0001"), lambda x: F.trim(x) != "")
+    part = F.concat(F.transform(short, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.transform(runs, lambda x: F.struct(F.lit(True).alias("whole"), F.trim(x).alias("unit"))))
+    candidates = stored(files.select("path", F.explode(part).alias("c")).select("path", "c.whole", "c.unit", F.md5(F.col("c.unit").cast("binary")).alias("key")), "candidates")
+    # the same sentence stands in many files: it is scored once
+    units = stored(candidates.groupBy("whole", "key").agg(F.count("*").alias("w"), F.first("unit").alias("unit")), "units")
+    best = _nearest(units.where("not whole"), TEMPLATES, least).withColumn("whole", F.lit(False)).unionByName(_nearest(units.where("whole"), TEXTS, least).withColumn("whole", F.lit(True)))
+    hits = candidates.select("path", "whole", "key").join(best, ["whole", "key"])
+    first = F.struct(~F.col("whole"), -F.col("score"), F.col("licence"))
+    return hits.groupBy("path").agg(F.min_by(F.struct("licence", "score"), first).alias("l")).select("path", "l.licence", "l.score")
 
 
 def licences(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.75) -> DataFrame:

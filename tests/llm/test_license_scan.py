@@ -20,3 +20,23 @@ def test_versions_are_told_apart(spark):
     rows = [("2", "This work is licensed under the GNU General Public License, version 2."), ("3", "This work is licensed under the GNU General Public License, version 3."), ("nc", "Licensed under CC BY-NC 4.0."), ("by", "Licensed under CC BY 4.0.")]
     got = {r.path: r.licence for r in L.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"2": "GPL-2.0", "3": "GPL-3.0", "nc": "CC-BY-NC-4.0", "by": "CC-BY-4.0"}
+
+
+def test_whole_texts_and_wrapped_headers(spark):
+    import textwrap
+
+    texts = dict(L.TEXTS)
+
+    def wrapped(name, mark=""):
+        return "\n".join(mark + x for x in textwrap.wrap(texts[name], 66))
+
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful."
+    head = "                    GNU {}\n                       Version {}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n"
+    rows = {
+        "GPL-2.0": head.format("GENERAL PUBLIC LICENSE", "2, June 1991"), "GPL-3.0": head.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007"), "LGPL-2.1": head.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999"),
+        "GPL-2.0 h": "/*\n" + "\n".join(" * " + x for x in gpl.format("General Public License", 2).split("\n")) + "\n */\n\nint x;", "GPL-3.0 h": "\n".join("# " + x for x in gpl.format("General Public License", 3).split("\n")) + "\n\nx = 1",
+        "LGPL-3.0 h": gpl.format("Lesser General Public License", 3), "BSD-2-Clause": "Copyright (c) 2020, A\n\n" + wrapped("BSD-2-Clause"), "BSD-3-Clause": "Copyright (c) 2020, A\n\n" + wrapped("BSD-3-Clause"), "BSD-2-Clause h": "# Copyright A\n#\n" + wrapped("BSD-2-Clause", "# ") + "\n\nimport x",
+        "ISC": "Copyright (c) 2020 A\n\n" + wrapped("ISC"), "MIT": "MIT License\n\nCopyright (c) 2020 A\n\n" + wrapped("MIT"), "EPL-2.0": "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS AGREEMENT", "CC-BY-SA-4.0": "Attribution-ShareAlike 4.0 International\n\n=====\n\nmore",
+    }
+    got = {r.path: r.licence for r in L.own_licences(spark.createDataFrame(list(rows.items()), "path string, text string")).collect()}
+    assert got == {k: k.split()[0] for k in rows}
