@@ -17,16 +17,20 @@ from .common import drop_stored, free_name, scratch, stored, table
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Don|Господин|Κύριος"
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|Κυρία"
+_EITHER = "Dr|Dra|Doctor|Doktor|Docteur|Prof|Professor|Professorin|Professeur|Profesor|Profesora|Rev|Доктор|Профессор|Δρ|Καθηγητής"
+#: A title, or several: "Prof. Dr.", "Frau Dr."
+_TITLES = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})\.?(?: (?:{_MALE}|{_FEMALE}|{_EITHER})\.?){{0,3}} "
+_L = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{Mn}"
 #: Kinds of entities, in the order in which they are tried at a place. Every run of word characters is entered at its start
 #: alone, and without going back, so that long runs take linear time.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*+(?<=\.[A-Za-z]{2,24})",
+    "email": rf"(?<![{_L}0-9._%+\-])[{_L}0-9._%+\-]++@(?:[{_L}0-9\-]++\.){{1,126}}(?:[A-Za-z]{{2,24}}(?![A-Za-z0-9])|\p{{IsCyrillic}}{{2,24}}(?!\p{{L}}))",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])\+?1?[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.\-])(?:\+?1[.\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]\(?\d{2,4}\)?){2,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)",
+    "phone": r"(?<![\w+])\+?1?[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.\-])(?:\+?1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+\d(?:(?:[ .\-/]|[ .\-/]?\(|\)[ .\-/]?)?\d){7,14}(?!\w)|(?<![\w+.,/:\-])(?<!\d )0(?=[1-9]\d{0,4} )(?: ?\d){8,13}(?![\w/:\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]\(?\d{2,4}\)?){2,4}(?!\w)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "person": rf"(?<![\p{{L}}\d])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
+    "person": rf"(?<![\p{{L}}\d]){_TITLES}\p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{KINDS[k].replace('([ ' + chr(92) + '-])', '(?<sep>[ ' + chr(92) + '-])').replace(chr(92) + '1', chr(92) + 'k<sep>')})" for k in KINDS)
 
@@ -58,10 +62,10 @@ def _chars(text: Column) -> Column:
 
 
 def _recoded(text: Column, digest: Column) -> Column:
-    """Digits become digits, ASCII letters letters of the same case, the rest stays."""
+    """Digits become digits, ASCII letters letters of the same case, other letters ASCII letters; the rest stays."""
     def one(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
-        return F.when(c.rlike("^[0-9]$"), (n % 10).cast("string")).when(c.rlike("^[a-z]$"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).otherwise(c)
+        return F.when(c.rlike("^[0-9]$"), (n % 10).cast("string")).when(c.rlike("^[a-z]$"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n)).when(c.rlike(r"^[\p{L}\p{Mn}]$"), _pick("abcdefghijklmnopqrstuvwxyz", n)).otherwise(c)
 
     return F.array_join(F.transform(_chars(text), one), "")
 
@@ -87,11 +91,12 @@ def _digits(c: Column) -> Column:
 def normal(kind: Column, found: Column) -> Column:
     """What makes occurrences one entity: digits of numbers, letters of addresses in lower case, words of names.
 
-    Names keep their gender; a number of digits that is no card by its check digit gets none, and stays as it is.
+    Names keep their gender, if a title tells it; a number of digits that is no card by its check digit gets none, and stays as it is.
     """
     digits = _digits(found)
-    gender = F.when(found.rlike(rf"^(?:{_MALE})\b"), "m").otherwise("f")
-    name = F.lower(F.regexp_replace(found, r"^\S+ ", ""))
+    titles = F.regexp_extract(found, rf"^({_TITLES})", 1)
+    gender = F.when(titles.rlike(rf"(?:^| )(?:{_MALE})[. ]"), "m").when(titles.rlike(rf"(?:^| )(?:{_FEMALE})[. ]"), "f").otherwise("n")
+    name = F.lower(F.substring(found, F.length(titles) + 1, F.length(found)))
     return (
         F.when(kind == "email", F.lower(found))
         .when(kind == "phone", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
@@ -109,7 +114,7 @@ def _name(digest: Column, word: Column, gender: Column, last: Column, tries: Col
         n = F.lit(2) + F.least(tries, F.lit(6))
         body = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: _pick(_SYLLABLES[script], _byte(digest, i * 2) * 256 + _byte(digest, i * 2 + 1))), "")
         male, female = _ENDINGS[script]
-        return F.initcap(F.concat(body, F.when(last, F.lit("")).when(gender == "m", male).otherwise(female)))
+        return F.initcap(F.concat(body, F.when(last, F.lit("")).when(gender == "m", male).when(gender == "f", female).otherwise("")))
 
     return F.when(word.rlike(r"^\p{IsCyrillic}"), built("cyrillic")).when(word.rlike(r"^\p{IsGreek}"), built("greek")).otherwise(built("latin"))
 
@@ -153,7 +158,7 @@ def in_form(kind: Column, found: Column, replacement: Column) -> Column:
         return F.aggregate(_chars(found), start, step, lambda acc: acc["out"])
 
     email = F.when(F.upper(found) == found, F.upper(replacement)).otherwise(replacement)
-    person = F.concat(F.regexp_extract(found, r"^(\S+ )", 1), F.substring(replacement, F.lit(3), F.length(replacement)))
+    person = F.concat(F.regexp_extract(found, rf"^({_TITLES})", 1), F.substring(replacement, F.lit(3), F.length(replacement)))
     return F.when(kind == "email", email).when(kind == "ip", replacement).when(kind == "person", person).when(kind == "iban", placed("^[A-Z0-9]$")).otherwise(placed("^[0-9]$"))
 
 

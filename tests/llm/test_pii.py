@@ -53,3 +53,25 @@ def test_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
     plan = pii.pseudonymised(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_wider_forms(spark):
+    phones = ["+49 30 1234567", "+49 151 23456789", "+33 1 23 45 67 89", "+49 (0)30 123456", "555 123 4567", "030 1234567"]
+    rows = [f"Tel. {p}, or" for p in phones] + ["a@b.com-thanks", "müller@web.de", "мария@почта.рф.", "with Dr. Anna Schmidt", "Prof. Dr. Hans Meyer!", "Frau Dr. Eva Berg", "on 01 02 2024 at 1 000 000 000 or 2024-01-02, a@b, Dr. house, x@y.c0m"]
+    got = replaced(spark, rows)
+    for p, (text, n) in zip(phones, got, strict=False):
+        m = re.fullmatch("Tel. " + "".join(r"\d" if c.isdigit() else re.escape(c) for c in p) + ", or", text)
+        assert m and n == 1 and p not in text, (p, text)
+    t = [x[0] for x in got[6:]]
+    assert re.fullmatch(r"[a-z]@[a-z]\.com-thanks", t[0]) and t[0] != rows[6]
+    assert re.fullmatch(r"[a-z]{6}@[a-z]{3}\.de", t[1]) and "ller" not in t[1]
+    assert re.fullmatch(r"[a-z]{5}@[a-z]{5}\.[a-z]{2}\.", t[2])
+    assert re.fullmatch(r"with Dr\. \w+ \w+", t[3]) and "Anna" not in t[3] and "Schmidt" not in t[3]
+    assert re.fullmatch(r"Prof\. Dr\. \w+ \w+!", t[4]) and "Hans" not in t[4]
+    assert re.fullmatch(r"Frau Dr\. \w+a \w+", t[5]) and "Eva" not in t[5]
+    assert got[-1] == (rows[-1], 0)
+
+
+def test_long_runs(spark):
+    rows = ["a." * 50_000 + "@" + "b." * 50_000, "+1" + " 1" * 50_000, "Dr. " * 50_000]
+    assert [x[0] for x in replaced(spark, rows)][:1] == rows[:1]
