@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from .common import add_by_batch, table
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "template", "textarea", "iframe", "svg", "select")}
+#: Of these, the ones that go on to the end of the page if nothing ends them; without their end, others are ordinary elements.
+_TO_END = frozenset(["script", "style", "textarea"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: An opening tag that ends an open element of one of these kinds, looked for up to the nearest of the second kinds.
@@ -48,10 +50,13 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of any input: unclosed, misnested, cut off. Contents of scripts, styles and the like are no text."""
+    """The tree of any input: unclosed, misnested, cut off. Contents of scripts, styles and the like are no text; those of
+    formulas and objects are."""
     page = Page([-1], ["html"], [""], [])
     parent, tag, attrs, text = page.parent, page.tag, page.attrs, page.text
     stack, at, n = [0], 0, len(source)
+    open_ended: set[str] = set()
+    in_select = False
     while at < n:
         m = _TAG.search(source, at)
         if m is None:
@@ -76,6 +81,13 @@ def parse(source: str) -> Page:
         if name == "html":
             attrs[0] = m[3] or m[6] or ""
             continue
+        if in_select and name in _BLOCK and name != "option":
+            # a list of options that nothing ends holds no blocks
+            in_select = False
+            for k in range(len(stack) - 1, 0, -1):
+                if tag[stack[k]] == "select":
+                    del stack[k:]
+                    break
         if name in _ENDS:
             ends, until = _ENDS[name]
             for k in range(len(stack) - 1, 0, -1):
@@ -88,16 +100,23 @@ def parse(source: str) -> Page:
             text.append(None)
         elif name == "br":
             text.append((stack[-1], " "))
-        if name in _RAW:
-            end = _RAW[name].search(source, at)
-            at = end.end() if end else n
-            if end and (close := source.find(">", at)) >= 0:
-                at = close + 1
-            continue
+        closed = name in ("svg", "math") and (m[3] or m[6] or "").endswith("/")
+        if name in _RAW and not closed:
+            # a kind that is not ended from here on is not ended later either
+            end = None if name in open_ended else _RAW[name].search(source, at)
+            if end:
+                at = end.end()
+                if (close := source.find(">", at)) >= 0:
+                    at = close + 1
+                continue
+            if name in _TO_END:
+                break
+            open_ended.add(name)
+            in_select = in_select or name == "select"
         parent.append(stack[-1])
         tag.append(name)
         attrs.append(m[3] or m[6] or "")
-        if name not in _VOID:
+        if name not in _VOID and not closed:
             stack.append(len(tag) - 1)
     return page
 

@@ -48,3 +48,14 @@ def test_operator(spark):
     assert [(r.page_id, r.n_chars == len(r.text)) for r in got] == [(1, True), (2, True), (3, True), (3, True), (4, True)]
     assert got[2].text == "Some text of a page, long enough."
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_closed_and_unclosed_elements():
+    m = H.trained()
+    for odd in ("<svg width=1 />", "<math/>", "<select><option>", "<object data=x>", "<noscript>", "<svg>", "<iframe>"):
+        got = m.text(f"<html><body><article><h1>Some title</h1><p>A first sentence of the page.</p>{odd}<p>The last sentence of the page.</p></article></body></html>")
+        assert "The last sentence of the page." in got, odd
+    inner = m.text("<article><p>The sum is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here, as said before.</p><p>See <object data=f>the text instead</object> too.</p></article>")
+    assert inner == "The sum is x+1 here, as said before.\n\nSee the text instead too."
+    assert m.text("<article><p>One sentence stands here.</p><script>var x = 1;<p>no text</p></article>") == "One sentence stands here."
+    assert len(H.parse("<svg><iframe>" * 20_000).tag) == 40_001
