@@ -3,7 +3,7 @@
 Format: a Parquet table of shards (Spark's writer commits whole tasks only, so a lost executor leaves no torn shard). A row is
 
     pid, seq           write task and place in it; ascending (pid, seq) is ascending key order
-    min_key, max_key   range of the keys, for finding a shard by Parquet's statistics
+    min_key, max_key   range of the keys, for finding a shard by Parquet's statistics; n_nulls: documents without a key
     n_docs, n_tokens   counts; before: tokens of the same task's earlier shards
     width              bytes of an id (2 or 4)
     payload            the ids of all documents, little-endian, end to end
@@ -21,13 +21,14 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, scratch, table
+from .common import bound_batches, scratch, stored, table
 
 #: Ids of a shard, unless one document has more.
 SHARD_TOKENS = 1 << 20
@@ -35,8 +36,8 @@ SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 4
 #: Words that a worker remembers the ids of.
 REMEMBERED = 400_000
-
-_M64 = (1 << 64) - 1
+#: Bytes of text that are encoded at once.
+ENCODED_BYTES = 16 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,106 +66,122 @@ class PerfectHash:
         n_buckets = max(1, -(-n // BUCKET_KEYS))
         bucket = (hashes % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        seeds, slots, taken = np.zeros(n_buckets, np.uint32), np.zeros(n, np.int64), bytearray(n)
-        for b in sorted(range(n_buckets), key=lambda b: starts[b] - starts[b + 1]):
-            own = order[starts[b] : starts[b + 1]]
-            if not len(own):
-                break
-            own_hashes = hashes[own].tolist()
-            seed = 0
-            while True:
-                got = [cls._slot(h, seed, n) for h in own_hashes]
-                if len(set(got)) == len(got) and not any(taken[s] for s in got):
-                    break
-                seed += 1
-            seeds[b], slots[own] = seed, got
-            for s in got:
-                taken[s] = 1
+        sizes = np.bincount(bucket, minlength=n_buckets)
+        starts = np.cumsum(sizes) - sizes
+        seeds, slots, taken = np.zeros(n_buckets, np.uint32), np.zeros(n, np.int64), np.zeros(n, bool)
+        # buckets of one size at a time, the largest first
+        for size in np.unique(sizes[sizes > 0])[::-1].tolist():
+            open_ = np.flatnonzero(sizes == size)
+            members = order[starts[open_][:, None] + np.arange(size)]
+            at = np.zeros(len(open_), np.int64)
+            while len(open_):
+                # some seeds of every open bucket at once: the fewer are open, the more seeds
+                tried = at[:, None] + np.arange(max(1, 4096 // (len(open_) * size)))
+                got = cls._slots(hashes[members][:, None, :], tried[:, :, None], n)
+                fits = ~taken[got].any(axis=2)
+                if size > 1:
+                    ordered = np.sort(got, axis=2)
+                    fits &= (ordered[:, :, 1:] != ordered[:, :, :-1]).all(axis=2)
+                first, row = fits.argmax(axis=1), np.arange(len(open_))
+                found = fits[row, first]
+                chosen = got[row, first]
+                at = np.where(found, tried[row, first], tried[:, -1] + 1)
+                # of buckets that want one slot, the first gets it; the others look again
+                owner = np.full(n, len(open_))
+                np.minimum.at(owner, chosen[found].ravel(), np.repeat(row[found], size))
+                won = found & (owner[chosen] == row[:, None]).all(axis=1)
+                seeds[open_[won]] = at[won]
+                slots[members[won]] = chosen[won]
+                taken[chosen[won]] = True
+                open_, members, at = open_[~won], members[~won], at[~won]
         prints, values = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         prints[slots], values[slots] = (hashes >> np.uint64(32)).astype(np.uint32), firsts
         return cls(seeds, prints, values)
 
     @staticmethod
-    def _slot(h: int, seed: int, n: int) -> int:
-        x = (h ^ (seed * 0x9E3779B97F4A7C15)) & _M64
-        x = ((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & _M64
-        return (x ^ (x >> 32)) % n
+    def _slots(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+        x = h ^ (seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
 
-    def find(self, h: int) -> int | None:
-        """The value of the key with this hash, or None if the fingerprint differs; constant time."""
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each key by its hash, or -1 if the fingerprint differs; constant time a key."""
         if not len(self.prints):
-            return None
-        slot = self._slot(h, int(self.seeds[h % len(self.seeds)]), len(self.prints))
-        return int(self.firsts[slot]) if int(self.prints[slot]) == h >> 32 else None
+            return np.full(len(hashes), -1)
+        slot = self._slots(hashes, self.seeds[(hashes % np.uint64(len(self.seeds))).astype(np.int64)], len(self.prints))
+        return np.where(self.prints[slot] == hashes >> np.uint64(32), self.firsts[slot].astype(np.int64), -1)
 
 
 class Shard:
-    """One row of the store."""
+    """One row of the store, with or without its payload."""
 
     def __init__(self, row: dict):
-        self.ids = np.frombuffer(row["payload"], f"<u{row['width']}")
         self.offsets = np.frombuffer(row["offsets"], "<u8").astype(np.int64)
         self.keys, self.nulls = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["nulls"], np.uint8).astype(bool)
         self.hashes = key_hash(self.keys, self.nulls)
         self.index = PerfectHash(*(np.frombuffer(row[c], "<u4") for c in ("seeds", "prints", "firsts")))
 
-    def documents(self, key: int | None) -> list[int]:
-        """Numbers of the documents with this key: through the index, its fingerprint, then the stored key itself."""
-        null = key is None
-        h = int(key_hash(np.array([key or 0]), np.array([null]))[0])
-        return self._run(h, key or 0, null)
-
-    def _run(self, h: int, key: int, null: bool) -> list[int]:
-        first = self.index.find(h)
-        if first is None or bool(self.nulls[first]) != null or (not null and int(self.keys[first]) != key):
-            return []
+    def firsts(self, keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+        """Number of the first document with each key, or -1: through the index, its fingerprint, then the stored key itself."""
+        first = self.index.find(key_hash(keys, nulls))
+        same = (self.nulls[first] == nulls) & (nulls | (self.keys[first] == keys))
+        return np.where((first >= 0) & same, first, -1)
+
+    def documents(self, key: int | None) -> range:
+        """Numbers of the documents with this key, which stand next to each other."""
+        first = int(self.firsts(np.array([key or 0], np.int64), np.array([key is None]))[0])
+        if first < 0:
+            return range(0)
         last = first + 1
-        while last < len(self.keys) and self.hashes[last] == h:
+        while last < len(self.keys) and self.hashes[last] == self.hashes[first]:
             last += 1
-        return list(range(first, last))
+        return range(first, last)
+
+    def all(self) -> np.ndarray:
+        """The number of every document as the index gives it: the first with its key, and its place among those."""
+        starts = _runs(self.hashes)
+        found = self.firsts(self.keys[starts], self.nulls[starts])
+        if (found < 0).any():
+            raise ValueError("a shard's index does not know a key that the shard holds")
+        run = np.cumsum(np.isin(np.arange(len(self.keys)), starts)) - 1
+        return found[run] + np.arange(len(self.keys)) - starts[run]
+
 
-    def all(self) -> Iterator[tuple[int, int]]:
-        """(number by the index, number by position) of every document; both agree in a sound shard."""
-        hashes, keys, nulls = self.hashes.tolist(), self.keys.tolist(), self.nulls.tolist()
-        n, total = 0, len(keys)
-        while n < total:
-            run = self._run(hashes[n], keys[n], nulls[n])
-            for i, doc in enumerate(run or [n]):
-                yield (doc if run else -1), n + i
-            n += max(1, len(run))
+def _runs(hashes: np.ndarray) -> np.ndarray:
+    """Where runs of equal hashes start."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(hashes)), bool), hashes[1:] != hashes[:-1]]))
 
 
 SHARDS = T.StructType(
     [T.StructField(n, T.IntegerType(), False) for n in ("pid", "seq")]
     + [T.StructField(n, T.LongType(), True) for n in ("min_key", "max_key")]
-    + [T.StructField(n, T.LongType(), False) for n in ("n_docs", "n_tokens", "before")]
+    + [T.StructField(n, T.LongType(), False) for n in ("n_nulls", "n_docs", "n_tokens", "before")]
     + [T.StructField("width", T.IntegerType(), False)]
     + [T.StructField(n, T.BinaryType(), False) for n in ("payload", "offsets", "keys", "nulls", "seeds", "prints", "firsts")]
 )
 
 
-def _shard(keys: list[int | None], parts: list[bytes], width: int) -> dict:
-    nulls = np.array([k is None for k in keys], bool)
-    stored_keys = np.array([k or 0 for k in keys], np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(p) // width for p in parts])]).astype("<u8")
-    hashes = key_hash(stored_keys, nulls)
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))  # keys are in order
+def _shard(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, payload: bytes, width: int) -> dict:
+    """A row of the store; keys are in order, those of nulls 0, and lengths count ids."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+    hashes = key_hash(keys, nulls)
+    first = _runs(hashes)
     index = PerfectHash.build(hashes[first], first)
-    known = [k for k in keys if k is not None]
+    known = keys[~nulls]
     return {
-        "min_key": min(known, default=None), "max_key": max(known, default=None), "n_docs": len(keys), "n_tokens": int(offsets[-1]), "width": width,
-        "payload": b"".join(parts), "offsets": offsets.tobytes(), "keys": stored_keys.astype("<i8").tobytes(), "nulls": nulls.astype(np.uint8).tobytes(),
+        "min_key": int(known[0]) if len(known) else None, "max_key": int(known[-1]) if len(known) else None, "n_nulls": int(nulls.sum()), "n_docs": len(keys), "n_tokens": int(offsets[-1]), "width": width,
+        "payload": payload, "offsets": offsets.tobytes(), "keys": keys.astype("<i8").tobytes(), "nulls": nulls.astype(np.uint8).tobytes(),
         "seeds": index.seeds.astype("<u4").tobytes(), "prints": index.prints.astype("<u4").tobytes(), "firsts": index.firsts.astype("<u4").tobytes(),
     }
 
 
 class WordEncoder:
-    """ids of whole texts by a file of the tokenizers library, as little-endian bytes.
+    """ids of whole texts by a file of the tokenizers library.
 
     With the layout of normalizer and splitter that such word vocabularies have, no token and no rule reaches across blank
-    ASCII white space. Words are then encoded once and remembered: each goes through the library's normalizer, the
-    splitting pattern of the file and the library's model. Any other layout gets the library's encode() of whole texts.
+    ASCII white space. So Arrow cuts a batch into words and numbers the different ones, and each of these is encoded once
+    and remembered: it goes through the library's normalizer, the splitting pattern of the file and the library's model.
+    Any other layout gets the library's encoding of whole texts.
     """
 
     def __init__(self, path: str):
@@ -206,21 +223,45 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if self.added.search(word):
             return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        plain = word.lower() if word.isascii() else self.tokenizer.normalizer.normalize_str(word)
-        pieces = self.pieces(plain)
+        if not word.isascii():
+            pieces = self.pieces(self.tokenizer.normalizer.normalize_str(word))
+        else:
+            plain = word.lower()
+            stem = plain.rstrip(_MARKS)
+            # letters, then marks: two pieces by any such pattern
+            pieces = ([stem, plain[len(stem) :]] if len(stem) < len(plain) else [stem]) if stem.isalpha() else self.pieces(plain)
         return self.parts[pieces[0]] if len(pieces) == 1 else b"".join(map(self.parts.__getitem__, pieces))
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
+        import pyarrow as pa
+
+        return self.encode_batch(pa.array([text], pa.string()))[0]
+
+    def encode_batch(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, their number in each) of an Arrow array of strings; nulls have none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        dtype = np.dtype(f"<u{self.width}")
         if not self.by_word:
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        got = b"".join(map(self.words.__getitem__, _ASCII_SPACE(text) if odd else text.split()))
+            got = [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.frombuffer(b"".join(got), dtype), np.fromiter((len(g) // self.width for g in got), np.int64, len(got))
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        parts = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
         self.words.trim()
         self.parts.trim()
-        return got
+        pool = np.frombuffer(b"".join(parts), dtype)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
+        start, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
 
-_ASCII_SPACE = re.compile(r"[^\t\n\v\f\r ]+").findall
+#: ASCII that is no letter, digit or white space, and no apostrophe, which may start a piece with letters.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class Remembered(dict):
@@ -248,56 +289,99 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], bytes]], width: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+def _slices(column, most: int = ENCODED_BYTES) -> Iterator:
+    """The column in slices of about `most` bytes of text, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
+def encoded(docs: DataFrame, encoder: Callable[[], Callable], width: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, h (a hash of the text), ids of each document: those of its whole text and end_id, little-endian, `width` bytes each."""
+    import pyarrow as pa
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(), np.array(end_id, f"<u{width}")
+        for b in batches:
+            done = 0
+            for part in _slices(b.column(2)):
+                ids, n = encode(part)
+                ends = np.cumsum(n)
+                with_end = np.insert(ids, ends, end)  # each document's ids, then end_id
+                offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * width])
+                values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(n)), b.column(1).slice(done, len(n)), values.cast(pa.binary())], names=["k", "h", "ids"])
+                done += len(n)
+
+    return rows.mapInArrow(run, "k long, h long, ids binary")
+
+
+def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], width: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encodes every text, appends end_id, and writes shards in ascending key order (null keys first).
 
-    encoder() gives f(text) -> ids of `width` bytes each. Null texts count as empty (just the end id); rows with equal keys
-    are kept, in the order of their texts' hashes, so that a key that many rows share is dealt to many tasks.
+    encoder() gives f(Arrow array of texts) -> (ids end to end, `width` bytes each, their number in each text). Null texts
+    count as empty (just the end id); rows with equal keys are kept, in the order of their texts' hashes, so that a key that
+    many rows share is dealt to many tasks. Ids are stored before they are sorted, so that texts are encoded once and
+    ids, not texts, are shuffled.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    spark = docs.sparkSession
-    bound_batches(spark)
-    end = np.array([end_id], f"<u{width}").tobytes()
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    ids = stored(encoded(docs, encoder, width, end_id, key, text), "token-ids")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        encode, pid, seq, before = encoder(), TaskContext.get().partitionId(), 0, 0
-        keys: list[int | None] = []
-        parts: list[bytes] = []
-        size = 0
+        pid, seq, before, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
 
         def out():
-            row = _shard(keys, parts, width) | {"pid": pid, "seq": seq, "before": before}
+            keys, nulls, lengths = (np.concatenate([h[i] for h in held]) for i in range(3))
+            row = _shard(keys, nulls, lengths, b"".join(h[3] for h in held), width) | {"pid": pid, "seq": seq, "before": before}
             return pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(SHARDS))
 
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = (encode(s) if (s := t.as_py()) else b"") + end
-                keys.append(k)
-                parts.append(ids)
-                size += len(ids) // width
+            nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys = b.column(0).fill_null(0).to_numpy()
+            values = b.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            data, lo = memoryview(values.buffers()[2] or b""), 0
+            lengths = np.diff(ends) // width
+            total = np.cumsum(lengths)
+            while lo < len(keys):
+                # up to and with the document that fills the shard
+                hi = min(len(keys), int(np.searchsorted(total, shard_tokens - size + (total[lo - 1] if lo else 0))) + 1)
+                held.append((keys[lo:hi], nulls[lo:hi], lengths[lo:hi], bytes(data[ends[lo] : ends[hi]])))
+                size += int(lengths[lo:hi].sum())
+                lo = hi
                 if size >= shard_tokens:
                     yield out()
-                    seq, before, keys, parts, size = seq + 1, before + size, [], [], 0
-        if keys:
+                    seq, before, size = seq + 1, before + size, 0
+                    held.clear()
+        if held:
             yield out()
 
-    ordered = rows.repartitionByRange(F.col("k").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("h"))
+    order = [F.col("k").asc_nulls_first(), F.col("h")]
+    ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order).select("k", "ids")
     # row groups of a few shards, so that a reader's batch stays small
-    ordered.select("k", "t").mapInArrow(build, SHARDS).write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(path)
+    ordered.mapInArrow(build, SHARDS).write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(path)
 
 
-DOCS = T.StructType([T.StructField("key", T.LongType(), True)] + [T.StructField(n, T.LongType(), False) for n in ("start", "n_tokens", "ids_crc32")] + [T.StructField("indexed", T.BooleanType(), False)])
+DOCS = T.StructType([T.StructField("key", T.LongType(), True)] + [T.StructField(n, T.LongType(), False) for n in ("start", "n_tokens", "ids_crc32")])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A row for each stored document, read from the files by its key's index entry: key, start (ids of all documents
-    before it), n_tokens, ids_crc32 (unsigned, over the ids as little-endian 32-bit integers) and indexed (whether the
-    index led to the document itself). An empty store gives no rows."""
+    before it), n_tokens and ids_crc32 (unsigned, over the ids as little-endian 32-bit integers). An index that does not
+    know a key of its shard fails the job. An empty store gives no rows."""
     import pyarrow as pa
 
     bound_batches(spark)
@@ -311,41 +395,58 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(bases)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard, at = Shard(row), shared.value[row["pid"]] + row["before"]
-                out = []
-                for doc, place in shard.all():
-                    lo, hi = int(shard.offsets[doc if doc >= 0 else place]), int(shard.offsets[(doc if doc >= 0 else place) + 1])
-                    crc = zlib.crc32(shard.ids[lo:hi].astype("<u4").tobytes())
-                    out.append((None if shard.nulls[place] else int(shard.keys[place]), at + lo, hi - lo, crc, doc == place))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), to_arrow_schema(DOCS), strict=True)], schema=to_arrow_schema(DOCS))
+                docs = shard.all()
+                lo, hi = shard.offsets[docs], shard.offsets[docs + 1]
+                ids = memoryview(np.frombuffer(row["payload"], f"<u{row['width']}").astype("<u4")).cast("B")
+                crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.keys, mask=shard.nulls), pa.array(at + lo), pa.array(hi - lo), pa.array(crc, pa.int64())], names=DOCS.names)
+
+    return shards.drop("min_key", "max_key", "n_nulls", "n_docs", "n_tokens").mapInArrow(read, DOCS)
 
-    return shards.drop("min_key", "max_key", "n_docs", "n_tokens").mapInArrow(read, DOCS)
+
+def holding(shards: DataFrame, keys: list[int | None], ranges: int = 64) -> DataFrame:
+    """The shards whose key range may hold one of the keys. Close keys are asked for as one range, of which there are
+    `ranges` at most, so that Parquet's statistics drop all other shards unread; each key decides then."""
+    known = sorted({k for k in keys if k is not None})
+    cuts = sorted(sorted(range(1, len(known)), key=lambda i: known[i - 1] - known[i])[: ranges - 1])
+    runs = [known[a:b] for a, b in zip([0, *cuts], [*cuts, len(known)], strict=True)] if known else []
+    near = reduce(lambda x, y: x | y, [(F.col("min_key") <= r[-1]) & (F.col("max_key") >= r[0]) for r in runs], F.lit(False))
+    exact = F.exists(F.lit(known or [0]).cast("array<long>"), lambda k: (F.col("min_key") <= k) & (F.col("max_key") >= k))
+    found = near & exact if known else F.lit(False)
+    return shards.where(found | (F.col("n_nulls") > 0) if None in keys else found)
 
 
 def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
-    """The ids of a bounded list of keys: key, ids. Only shards whose key range holds one are read; unknown keys give no row."""
+    """The ids of a bounded list of keys: key, ids. Indexes of the shards whose key range holds one are asked first;
+    payloads are read of shards that do hold one. Unknown keys give no row, repeated keys one for each document."""
     import pyarrow as pa
 
     bound_batches(spark)
-    known = sorted({k for k in keys if k is not None})
-    shards = spark.read.schema(SHARDS).parquet(path)
-    if None not in keys:
-        shards = shards.where((F.col("max_key") >= (known or [0])[0]) & (F.col("min_key") <= (known or [0])[-1])) if known else shards.where("false")
-    schema = T.StructType([T.StructField("key", T.LongType(), True), T.StructField("ids", T.ArrayType(T.LongType(), False), False)])
+    shards = holding(spark.read.schema(SHARDS).parquet(path), keys)
 
-    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard = Shard(row)
-                found = [(k, shard.ids[shard.offsets[d] : shard.offsets[d + 1]].tolist()) for k in dict.fromkeys(keys) for d in shard.documents(k)]
+                found = [(row["pid"], row["seq"], k, int(shard.offsets[d]), int(shard.offsets[d + 1])) for k in dict.fromkeys(keys) for d in shard.documents(k)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64()))], names=["key", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["pid", "seq", "key", "lo", "hi"])
+
+    at = shards.select("pid", "seq", "offsets", "keys", "nulls", "seeds", "prints", "firsts").mapInArrow(places, "pid int, seq int, key long, lo long, hi long")
+    # a shard's payload is sent once for all of its documents
+    wanted = at.groupBy("pid", "seq").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("docs"))
 
-    return shards.mapInArrow(get, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
+                ids = np.frombuffer(row["payload"], f"<u{row['width']}")
+                yield pa.RecordBatch.from_arrays([pa.array([d["key"] for d in row["docs"]], pa.int64()), pa.array([ids[d["lo"] : d["hi"]].tolist() for d in row["docs"]], pa.list_(pa.int64()))], names=["key", "ids"])
+
+    schema = T.StructType([T.StructField("key", T.LongType(), True), T.StructField("ids", T.ArrayType(T.LongType(), False), False)])
+    return shards.select("pid", "seq", "width", "payload").join(wanted, ["pid", "seq"]).select("width", "payload", "docs").mapInArrow(cut, schema)
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,5 +455,5 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = P.path("word_bpe_49k.json")
     path = scratch(spark, "token-shards")
-    write_shards(table(spark, sf_dir, "documents"), path, lambda: word_encoder(vocabulary).encode, word_encoder(vocabulary).width, end_id=1)
-    return read_documents(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32", "indexed")
+    write_shards(table(spark, sf_dir, "documents"), path, lambda: word_encoder(vocabulary).encode_batch, word_encoder(vocabulary).width, end_id=1)
+    return read_documents(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
