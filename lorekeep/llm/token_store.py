@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, scratch, stored, table
+from .common import bound_batches, scratch, table
 
 #: Ids of a shard, unless one document has more.
 SHARD_TOKENS = 1 << 20
@@ -36,8 +36,11 @@ SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 4
 #: Words that a worker remembers the ids of.
 REMEMBERED = 400_000
+#: Ranges of keys that are sorted by a task each: as many as Spark's shuffle partitions, or more, for this many bytes of
+#: documents a range, up to MOST_RANGES; and keys that are sampled for each.
+RANGE_BYTES, MOST_RANGES, RANGE_ROWS = 128 << 20, 50_000, 20
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 16 << 20
+ENCODED_BYTES = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -205,13 +208,16 @@ class WordEncoder:
         )
         if self.by_word:
             # the library's white space is Unicode's; Python's has \\x1c-\\x1f besides
-            self.pieces = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+            plain = splits[0]["pattern"]["Regex"].replace(r"[\p{L}]", "[A-Za-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]")
+            self.ascii_pieces = (regex if r"\p" in plain else re).compile(f"(?:{plain})| ").findall
+            self.pieces = regex.compile("(?:" + splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") + ")| ").findall
             letters = pre_tokenizers.ByteLevel.alphabet()
             plain = [c for c in range(256) if chr(c) in letters]  # bytes that stand for themselves; the others follow 255
             self.level = {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in set(plain))}
-            self.added = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+            # words that hold an added token or a blank beyond ASCII
+            self.odd = re.compile("|".join([r"\s", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
             self.tokenize = self.tokenizer.model.tokenize
-            self.words, self.parts = Remembered(self._word), Remembered(self._piece)
+            self.words, self.parts = Remembered(), Remembered(self._piece)
         return 2 if size < 1 << 16 else 4
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -220,17 +226,30 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         return self._packed([t.id for t in self.tokenize(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.level))])
 
-    def _word(self, word: str) -> bytes:
-        if self.added.search(word):
-            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if not word.isascii():
-            pieces = self.pieces(self.tokenizer.normalizer.normalize_str(word))
-        else:
-            plain = word.lower()
-            stem = plain.rstrip(_MARKS)
-            # letters, then marks: two pieces by any such pattern
-            pieces = ([stem, plain[len(stem) :]] if len(stem) < len(plain) else [stem]) if stem.isalpha() else self.pieces(plain)
-        return self.parts[pieces[0]] if len(pieces) == 1 else b"".join(map(self.parts.__getitem__, pieces))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of each word; all go through normalizer and pattern as one text, a blank between them."""
+        odd = [i for i, w in enumerate(words) if self.odd.search(w)]
+        if odd:
+            alone = set(odd)
+            out = iter(self._words([w for i, w in enumerate(words) if i not in alone]))
+            return [self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids) if i in alone else next(out) for i, w in enumerate(words)]
+        wide = [i for i, w in enumerate(words) if not w.isascii()]
+        if wide and len(wide) < len(words):
+            out, others = [b""] * len(words), sorted(set(range(len(words))) - set(wide))
+            for at in (wide, others):
+                for i, x in zip(at, self._words([words[i] for i in at]), strict=True):
+                    out[i] = x
+            return out
+        if not words:
+            return []
+        text = " ".join(words)
+        pieces = self.pieces(self.tokenizer.normalizer.normalize_str(text)) if wide else self.ascii_pieces(text.lower())
+        self.parts[" "] = b""
+        parts = list(map(self.parts.__getitem__, pieces))
+        ends = np.cumsum([0, *map(len, parts)])
+        cuts = [0, *ends[[i for i, x in enumerate(pieces, 1) if x == " "]].tolist(), int(ends[-1])]
+        whole = b"".join(parts)
+        return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, text: str) -> np.ndarray:
         import pyarrow as pa
@@ -248,8 +267,7 @@ class WordEncoder:
             return np.frombuffer(b"".join(got), dtype), np.fromiter((len(g) // self.width for g in got), np.int64, len(got))
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        parts = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
-        self.words.trim()
+        parts = self.words.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._words)
         self.parts.trim()
         pool = np.frombuffer(b"".join(parts), dtype)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
@@ -260,16 +278,29 @@ class WordEncoder:
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
 
-#: ASCII that is no letter, digit or white space, and no apostrophe, which may start a piece with letters.
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-
-
 class Remembered(dict):
     """Results by argument. As it fills up, what was not asked for since the last time goes."""
 
-    def __init__(self, f: Callable[[str], bytes], most: int = REMEMBERED):
+    def __init__(self, f: Callable[[str], bytes] | None = None, most: int = REMEMBERED):
         self.f, self.most, self.old = f, most, {}
 
+    def all(self, keys: list[str], f: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The results of different keys; f gives those of all keys that are not remembered."""
+        got = list(map(self.get, keys))
+        new = []
+        for i in [i for i, x in enumerate(got) if x is None]:
+            got[i] = self.old.get(keys[i])
+            if got[i] is None:
+                new.append(i)
+            else:
+                self[keys[i]] = got[i]
+        for i, x in zip(new, f([keys[i] for i in new]), strict=True):
+            got[i] = x
+            if len(keys[i]) <= 64:
+                self[keys[i]] = x
+        self.trim()
+        return got
+
     def __missing__(self, key: str) -> bytes:
         got = self.old.get(key)
         if got is None:
@@ -301,16 +332,53 @@ def _slices(column, most: int = ENCODED_BYTES) -> Iterator:
         lo = hi
 
 
-def encoded(docs: DataFrame, encoder: Callable[[], Callable], width: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, h (a hash of the text), ids of each document: those of its whole text and end_id, little-endian, `width` bytes each."""
+class Ranges:
+    """Bounds of about equal ranges of keys, nulls first; rows of one key are told apart by a hash."""
+
+    def __init__(self, keys: np.ndarray, nulls: np.ndarray, hashes: np.ndarray, parts: int):
+        """Of a sample of keys, with a hash each."""
+        order = np.lexsort((hashes, keys, ~nulls))
+        cut = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+        self.n_nulls = int(nulls[cut].sum())
+        self.keys, self.hashes = keys[cut], hashes[cut]
+
+    def place(self, keys: np.ndarray, nulls: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The range that each row belongs to, in ascending order of (key, hash)."""
+        own, n = self.keys[self.n_nulls :], self.n_nulls
+        low, high = np.searchsorted(own, keys, "left") + n, np.searchsorted(own, keys, "right") + n
+        low[nulls], high[nulls] = 0, n
+        for a in np.unique(low[low < high]).tolist():  # keys that are bounds themselves
+            rows = np.flatnonzero((low == a) & (low < high))
+            low[rows] = a + np.searchsorted(self.hashes[a : high[rows[0]]], hashes[rows], "right")
+        return low
+
+
+def _ranges(docs: DataFrame, key: str) -> tuple[Ranges, int]:
+    """Bounds from a random sample of keys (RANGE_ROWS a range). They set the sizes of tasks, no row of the result: hashes of
+    texts are spread evenly, so random numbers stand in for them and no text is read."""
+    spark = docs.sparkSession
+    keys = docs.select(F.col(f"`{key}`").cast("long").alias("k"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
+    total = keys.count()
+    got = keys.sample(min(1.0, RANGE_ROWS * parts / max(1, total)), seed=1).toArrow().column("k").combine_chunks()
+    nulls = got.is_null().to_numpy(zero_copy_only=False)
+    return Ranges(got.fill_null(0).to_numpy(), nulls, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(got)), parts), parts
+
+
+def encoded(docs: DataFrame, encoder: Callable[[], Callable], width: int, end_id: int, ranges: Ranges, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """p (range of its key), k, h (a hash of the text), ids of each document: those of its whole text and end_id,
+    little-endian, `width` bytes each."""
     import pyarrow as pa
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(), np.array(end_id, f"<u{width}")
         for b in batches:
+            p = shared.value.place(b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False), b.column(1).to_numpy())
             done = 0
             for part in _slices(b.column(2)):
                 ids, n = encode(part)
@@ -318,10 +386,10 @@ def encoded(docs: DataFrame, encoder: Callable[[], Callable], width: int, end_id
                 with_end = np.insert(ids, ends, end)  # each document's ids, then end_id
                 offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * width])
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(n)), b.column(1).slice(done, len(n)), values.cast(pa.binary())], names=["k", "h", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[done : done + len(n)], pa.int32()), b.column(0).slice(done, len(n)), b.column(1).slice(done, len(n)), values.cast(pa.binary())], names=["p", "k", "h", "ids"])
                 done += len(n)
 
-    return rows.mapInArrow(run, "k long, h long, ids binary")
+    return rows.mapInArrow(run, "p int, k long, h long, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], width: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -329,13 +397,14 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], wi
 
     encoder() gives f(Arrow array of texts) -> (ids end to end, `width` bytes each, their number in each text). Null texts
     count as empty (just the end id); rows with equal keys are kept, in the order of their texts' hashes, so that a key that
-    many rows share is dealt to many tasks. Ids are stored before they are sorted, so that texts are encoded once and
+    many rows share is dealt to many tasks. Ranges of keys are known before texts are encoded, so that this is done once and
     ids, not texts, are shuffled.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    ids = stored(encoded(docs, encoder, width, end_id, key, text), "token-ids")
+    ranges, parts = _ranges(docs, key)
+    ids = encoded(docs, encoder, width, end_id, ranges, key, text)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -370,7 +439,7 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], wi
             yield out()
 
     order = [F.col("k").asc_nulls_first(), F.col("h")]
-    ordered = ids.repartitionByRange(*order).sortWithinPartitions(*order).select("k", "ids")
+    ordered = ids.repartitionById(parts, "p").sortWithinPartitions(*order).select("k", "ids")
     # row groups of a few shards, so that a reader's batch stays small
     ordered.mapInArrow(build, SHARDS).write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(path)
 

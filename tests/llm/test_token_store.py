@@ -85,3 +85,14 @@ def test_batches_encode_as_single_texts():
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts[3:]]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert [len(p) for p in S._slices(pa.array(["aaaa", None, "b", "cccccccccc", "d"]), 5)] == [3, 1, 1]
+
+
+def test_ranges_keep_the_order():
+    r = np.random.default_rng(3)
+    keys, nulls, hashes = r.integers(0, 5, 400), r.random(400) < 0.3, r.integers(-(2**62), 2**62, 400)
+    keys[:200] = 3  # a key that half of the rows share
+    p = S.Ranges(keys, nulls, hashes, 8).place(keys, nulls, hashes)
+    order = np.lexsort((hashes, np.where(nulls, 0, keys), ~nulls))
+    assert (np.diff(p[order]) >= 0).all() and np.bincount(p, minlength=8).max() < 80 and p.max() < 8
+    none = S.Ranges(keys[:0], nulls[:0], hashes[:0], 8)
+    assert none.place(keys, nulls, hashes).max() == 0
