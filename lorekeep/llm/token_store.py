@@ -36,9 +36,9 @@ SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 4
 #: Words that a worker remembers the ids of.
 REMEMBERED = 400_000
-#: Ranges of keys that are sorted by a task each: as many as Spark's shuffle partitions, or more, for this many bytes of
-#: documents a range, up to MOST_RANGES; and keys that are sampled for each.
-RANGE_BYTES, MOST_RANGES, RANGE_ROWS = 128 << 20, 50_000, 20
+#: Ranges of keys that are sorted by a task each: as many as Spark's shuffle partitions, or more, so that a range has about
+#: RANGE_ROWS documents, up to MOST_RANGES; and keys that are sampled for each.
+RANGE_ROWS, MOST_RANGES, RANGE_KEYS = 100_000, 50_000, 20
 #: Bytes of text that are encoded at once.
 ENCODED_BYTES = 8 << 20
 
@@ -354,14 +354,13 @@ class Ranges:
 
 
 def _ranges(docs: DataFrame, key: str) -> tuple[Ranges, int]:
-    """Bounds from a random sample of keys (RANGE_ROWS a range). They set the sizes of tasks, no row of the result: hashes of
+    """Bounds from a random sample of keys (RANGE_KEYS a range). They set the sizes of tasks, no row of the result: hashes of
     texts are spread evenly, so random numbers stand in for them and no text is read."""
     spark = docs.sparkSession
     keys = docs.select(F.col(f"`{key}`").cast("long").alias("k"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     total = keys.count()
-    got = keys.sample(min(1.0, RANGE_ROWS * parts / max(1, total)), seed=1).toArrow().column("k").combine_chunks()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_ROWS))
+    got = keys.sample(min(1.0, RANGE_KEYS * parts / max(1, total)), seed=1).toArrow().column("k").combine_chunks()
     nulls = got.is_null().to_numpy(zero_copy_only=False)
     return Ranges(got.fill_null(0).to_numpy(), nulls, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(got)), parts), parts
 
