@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +35,8 @@ from .common import bound_batches, scratch, table
 SHARD_TOKENS = 1 << 20
 #: Ratio of keys to buckets of the index.
 BUCKET_KEYS = 4
-#: Words that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Words, and pieces of words, that a worker remembers the ids of.
+REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
 #: Ranges of keys that are sorted by a task each: as many as Spark's shuffle partitions, or more, so that a range has about
 #: RANGE_ROWS documents, up to MOST_RANGES; and keys that are sampled for each.
 RANGE_ROWS, MOST_RANGES, RANGE_KEYS = 100_000, 50_000, 20
@@ -217,7 +218,7 @@ class WordEncoder:
             # words that hold an added token or a blank beyond ASCII
             self.odd = re.compile("|".join([r"\s", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
             self.tokenize = self.tokenizer.model.tokenize
-            self.words, self.parts = Remembered(), Remembered(self._piece)
+            self.words, self.parts = Remembered(), Remembered(self._piece, REMEMBERED_PIECES)
         return 2 if size < 1 << 16 else 4
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -365,30 +366,15 @@ def _ranges(docs: DataFrame, key: str) -> tuple[Ranges, int]:
     return Ranges(got.fill_null(0).to_numpy(), nulls, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(got)), parts), parts
 
 
-def encoded(docs: DataFrame, encoder: Callable[[], Callable], width: int, end_id: int, ranges: Ranges, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """p (range of its key), k, h (a hash of the text), ids of each document: those of its whole text and end_id,
-    little-endian, `width` bytes each."""
-    import pyarrow as pa
+def _placed(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """rows with p, the range of (k, h)."""
+    shared = rows.sparkSession.sparkContext.broadcast(ranges)
 
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
-    shared = docs.sparkSession.sparkContext.broadcast(ranges)
+    @F.pandas_udf("int")
+    def place(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.place(k.fillna(0).to_numpy(np.int64), k.isna().to_numpy(), h.to_numpy()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(), np.array(end_id, f"<u{width}")
-        for b in batches:
-            p = shared.value.place(b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False), b.column(1).to_numpy())
-            done = 0
-            for part in _slices(b.column(2)):
-                ids, n = encode(part)
-                ends = np.cumsum(n)
-                with_end = np.insert(ids, ends, end)  # each document's ids, then end_id
-                offsets = np.concatenate([[0], (ends + np.arange(1, len(n) + 1)) * width])
-                values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
-                yield pa.RecordBatch.from_arrays([pa.array(p[done : done + len(n)], pa.int32()), b.column(0).slice(done, len(n)), b.column(1).slice(done, len(n)), values.cast(pa.binary())], names=["p", "k", "h", "ids"])
-                done += len(n)
-
-    return rows.mapInArrow(run, "p int, k long, h long, ids binary")
+    return rows.withColumn("p", place("k", "h"))
 
 
 def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], width: int, end_id: int, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
@@ -396,18 +382,20 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], wi
 
     encoder() gives f(Arrow array of texts) -> (ids end to end, `width` bytes each, their number in each text). Null texts
     count as empty (just the end id); rows with equal keys are kept, in the order of their texts' hashes, so that a key that
-    many rows share is dealt to many tasks. Ranges of keys are known before texts are encoded, so that this is done once and
-    ids, not texts, are shuffled.
+    many rows share is dealt to many tasks. Ranges of keys come from a sample of keys alone: texts are read once and
+    shuffled once, and encoded where they are written.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    ranges, parts = _ranges(docs, key)
-    ids = encoded(docs, encoder, width, end_id, ranges, key, text)
+    bound_batches(docs.sparkSession)
+    ranges, n_ranges = _ranges(docs, key)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("t"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        encode, end = encoder(), np.array(end_id, f"<u{width}")
         pid, seq, before, size = TaskContext.get().partitionId(), 0, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]] = []
 
@@ -417,28 +405,28 @@ def write_shards(docs: DataFrame, path: str, encoder: Callable[[], Callable], wi
             return pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(SHARDS))
 
         for b in batches:
-            nulls = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            keys = b.column(0).fill_null(0).to_numpy()
-            values = b.column(1).cast(pa.large_binary())
-            ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-            data, lo = memoryview(values.buffers()[2] or b""), 0
-            lengths = np.diff(ends) // width
-            total = np.cumsum(lengths)
-            while lo < len(keys):
-                # up to and with the document that fills the shard
-                hi = min(len(keys), int(np.searchsorted(total, shard_tokens - size + (total[lo - 1] if lo else 0))) + 1)
-                held.append((keys[lo:hi], nulls[lo:hi], lengths[lo:hi], bytes(data[ends[lo] : ends[hi]])))
-                size += int(lengths[lo:hi].sum())
-                lo = hi
-                if size >= shard_tokens:
-                    yield out()
-                    seq, before, size = seq + 1, before + size, 0
-                    held.clear()
+            all_keys, all_nulls, done = b.column(0).fill_null(0).to_numpy(), b.column(0).is_null().to_numpy(zero_copy_only=False), 0
+            for part in _slices(b.column(1)):
+                keys, nulls = all_keys[done : done + len(part)], all_nulls[done : done + len(part)]
+                done += len(part)
+                ids, lengths = encode(part)
+                data = np.insert(ids, np.cumsum(lengths), end)  # each document's ids, then end_id
+                lengths = lengths + 1
+                ends, lo = np.concatenate([[0], np.cumsum(lengths)]), 0
+                while lo < len(keys):
+                    # up to and with the document that fills the shard
+                    hi = min(len(keys), int(np.searchsorted(ends[1:], shard_tokens - size + ends[lo])) + 1)
+                    held.append((keys[lo:hi], nulls[lo:hi], lengths[lo:hi], data[ends[lo] : ends[hi]].tobytes()))
+                    size += int(ends[hi] - ends[lo])
+                    lo = hi
+                    if size >= shard_tokens:
+                        yield out()
+                        seq, before, size = seq + 1, before + size, 0
+                        held.clear()
         if held:
             yield out()
 
-    order = [F.col("k").asc_nulls_first(), F.col("h")]
-    ordered = ids.repartitionById(parts, "p").sortWithinPartitions(*order).select("k", "ids")
+    ordered = _placed(rows, ranges).repartitionById(n_ranges, "p").sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("h")).select("k", "t")
     # row groups of a few shards, so that a reader's batch stays small
     ordered.mapInArrow(build, SHARDS).write.option("parquet.block.size", 8 << 20).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).parquet(path)
 

@@ -93,6 +93,6 @@ def test_ranges_keep_the_order():
     keys[:200] = 3  # a key that half of the rows share
     p = S.Ranges(keys, nulls, hashes, 8).place(keys, nulls, hashes)
     order = np.lexsort((hashes, np.where(nulls, 0, keys), ~nulls))
-    assert (np.diff(p[order]) >= 0).all() and np.bincount(p, minlength=8).max() < 80 and p.max() < 8
+    assert (np.diff(p[order]) >= 0).all() and np.bincount(p, minlength=8).max() < 100 and p.max() < 8
     none = S.Ranges(keys[:0], nulls[:0], hashes[:0], 8)
     assert none.place(keys, nulls, hashes).max() == 0
