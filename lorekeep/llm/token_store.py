@@ -37,11 +37,11 @@ SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 4
 #: Words, and pieces of words, that a worker remembers the ids of.
 REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
-#: Ranges of keys that are sorted by a task each: as many as Spark's shuffle partitions, or more, so that a range has about
-#: RANGE_ROWS documents, up to MOST_RANGES; and keys that are sampled for each.
-RANGE_ROWS, MOST_RANGES, RANGE_KEYS = 100_000, 50_000, 20
+#: Ranges of keys that are sorted by a task each: of about RANGE_ROWS documents, but one for each core, and MOST_RANGES at
+#: most; and keys that are sampled for each. Of wider ranges, fewer words are new to the task that encodes them.
+RANGE_ROWS, MOST_RANGES, RANGE_KEYS = 10_000, 50_000, 20
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 12 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -360,7 +360,7 @@ def _ranges(docs: DataFrame, key: str) -> tuple[Ranges, int]:
     spark = docs.sparkSession
     keys = docs.select(F.col(f"`{key}`").cast("long").alias("k"))
     total = keys.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_ROWS))
+    parts = max(spark.sparkContext.defaultParallelism, min(MOST_RANGES, total // RANGE_ROWS))
     got = keys.sample(min(1.0, RANGE_KEYS * parts / max(1, total)), seed=1).toArrow().column("k").combine_chunks()
     nulls = got.is_null().to_numpy(zero_copy_only=False)
     return Ranges(got.fill_null(0).to_numpy(), nulls, np.random.default_rng(1).integers(-(2**63), 2**63 - 1, len(got)), parts), parts
