@@ -35,13 +35,13 @@ from .common import bound_batches, scratch, table
 SHARD_TOKENS = 1 << 20
 #: Ratio of keys to buckets of the index.
 BUCKET_KEYS = 4
-#: Words, and pieces of words, that a worker remembers the ids of.
-REMEMBERED, REMEMBERED_PIECES = 300_000, 100_000
+#: Pieces of words that a worker remembers the ids of.
+REMEMBERED = 400_000
 #: Ranges of keys that are sorted by a task each: of about RANGE_ROWS documents, but one for each core, and MOST_RANGES at
 #: most; and keys that are sampled for each. Of wider ranges, fewer words are new to the task that encodes them.
 RANGE_ROWS, MOST_RANGES, RANGE_KEYS = 10_000, 50_000, 20
 #: Bytes of text that are encoded at once.
-ENCODED_BYTES = 12 << 20
+ENCODED_BYTES = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,8 +183,8 @@ class WordEncoder:
     """ids of whole texts by a file of the tokenizers library.
 
     With the layout of normalizer and splitter that such word vocabularies have, no token and no rule reaches across blank
-    ASCII white space. So Arrow cuts a batch into words and numbers the different ones, and each of these is encoded once
-    and remembered: it goes through the library's normalizer, the splitting pattern of the file and the library's model.
+    ASCII white space. So Arrow cuts a batch into words and numbers the different ones. These go through the library's
+    normalizer and the splitting pattern of the file, and their pieces, which are remembered, through the library's model.
     Any other layout gets the library's encoding of whole texts.
     """
 
@@ -194,6 +194,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.width = self._prepare(json.load(f), pre_tokenizers)
+        self.dtype = np.dtype(f"<u{self.width}")
 
     def _prepare(self, spec: dict, pre_tokenizers) -> int:
         import regex
@@ -215,10 +216,10 @@ class WordEncoder:
             letters = pre_tokenizers.ByteLevel.alphabet()
             plain = [c for c in range(256) if chr(c) in letters]  # bytes that stand for themselves; the others follow 255
             self.level = {c: chr(256 + i) for i, c in enumerate(c for c in range(256) if c not in set(plain))}
-            # words that hold an added token or a blank beyond ASCII
-            self.odd = re.compile("|".join([r"\s", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
+            # what only single words may hold: added tokens, and blanks other than those between words
+            self.odd = re.compile("|".join([r"[^\S ]", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
             self.tokenize = self.tokenizer.model.tokenize
-            self.words, self.parts = Remembered(), Remembered(self._piece, REMEMBERED_PIECES)
+            self.parts = Remembered(self._piece)
         return 2 if size < 1 << 16 else 4
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -227,30 +228,30 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         return self._packed([t.id for t in self.tokenize(piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.level))])
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """ids of each word; all go through normalizer and pattern as one text, a blank between them."""
-        odd = [i for i, w in enumerate(words) if self.odd.search(w)]
-        if odd:
-            alone = set(odd)
-            out = iter(self._words([w for i, w in enumerate(words) if i not in alone]))
-            return [self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids) if i in alone else next(out) for i, w in enumerate(words)]
-        wide = [i for i, w in enumerate(words) if not w.isascii()]
-        if wide and len(wide) < len(words):
-            out, others = [b""] * len(words), sorted(set(range(len(words))) - set(wide))
-            for at in (wide, others):
-                for i, x in zip(at, self._words([words[i] for i in at]), strict=True):
-                    out[i] = x
-            return out
-        if not words:
-            return []
-        text = " ".join(words)
-        pieces = self.pieces(self.tokenizer.normalizer.normalize_str(text)) if wide else self.ascii_pieces(text.lower())
-        self.parts[" "] = b""
-        parts = list(map(self.parts.__getitem__, pieces))
-        ends = np.cumsum([0, *map(len, parts)])
-        cuts = [0, *ends[[i for i, x in enumerate(pieces, 1) if x == " "]].tolist(), int(ends[-1])]
-        whole = b"".join(parts)
-        return [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    def _groups(self, words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places of some words, their ids end to end, their number in each) until all words of an Arrow array are done.
+        All ASCII words are one text to normalizer and pattern, a blank between them; so are all others."""
+        import pyarrow.compute as pc
+
+        plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        for ascii_ in (True, False):
+            rows = np.flatnonzero(plain == ascii_)
+            text = " ".join(own := words.take(rows).to_numpy(zero_copy_only=False).tolist())
+            if self.odd.search(text):
+                found = np.fromiter((self.odd.search(w) is not None for w in own), bool, len(own))
+                alone = [self.tokenizer.encode(own[i], add_special_tokens=False).ids for i in np.flatnonzero(found)]
+                yield rows[found], np.array([i for ids in alone for i in ids], self.dtype), np.array([len(ids) for ids in alone])
+                rows = rows[~found]
+                text = " ".join(w for w, f in zip(own, found, strict=True) if not f)
+            if len(rows):
+                self.parts[" "] = b"|"  # one byte: its length marks it among ids of two or four
+                parts = list(map(self.parts.__getitem__, self.ascii_pieces(text.lower()) if ascii_ else self.pieces(self.tokenizer.normalizer.normalize_str(text))))
+                self.parts.trim()
+                n = np.fromiter(map(len, parts), np.int64, len(parts))
+                ends, cuts = np.cumsum(n), np.flatnonzero(n == 1)
+                ids = np.delete(np.frombuffer(b"".join(parts), np.uint8), ends[cuts] - 1).view(self.dtype)
+                places = np.concatenate([[0], ends[cuts] - np.arange(1, len(cuts) + 1), [ends[-1] - len(cuts) if len(ends) else 0]])
+                yield rows, ids, np.diff(places) // self.width
 
     def encode(self, text: str) -> np.ndarray:
         import pyarrow as pa
@@ -262,46 +263,30 @@ class WordEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        dtype = np.dtype(f"<u{self.width}")
         if not self.by_word:
-            got = [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.frombuffer(b"".join(got), dtype), np.fromiter((len(g) // self.width for g in got), np.int64, len(got))
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], self.dtype), np.fromiter(map(len, got), np.int64, len(got))
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        parts = self.words.all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._words)
-        self.parts.trim()
-        pool = np.frombuffer(b"".join(parts), dtype)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width
-        start, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        start, size = np.zeros((2, len(coded.dictionary)), np.int64)
+        pools, base = [np.zeros(0, self.dtype)], 0
+        for rows, ids, n in self._groups(coded.dictionary):
+            start[rows], size[rows] = base + np.cumsum(n) - n, n
+            pools.append(ids)
+            base += len(ids)
+        at = coded.indices.to_numpy()
         n = size[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
+        ids = np.concatenate(pools)[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], n)]
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])])
 
 
 class Remembered(dict):
     """Results by argument. As it fills up, what was not asked for since the last time goes."""
 
-    def __init__(self, f: Callable[[str], bytes] | None = None, most: int = REMEMBERED):
+    def __init__(self, f: Callable[[str], bytes], most: int = REMEMBERED):
         self.f, self.most, self.old = f, most, {}
 
-    def all(self, keys: list[str], f: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The results of different keys; f gives those of all keys that are not remembered."""
-        got = list(map(self.get, keys))
-        new = []
-        for i in [i for i, x in enumerate(got) if x is None]:
-            got[i] = self.old.get(keys[i])
-            if got[i] is None:
-                new.append(i)
-            else:
-                self[keys[i]] = got[i]
-        for i, x in zip(new, f([keys[i] for i in new]), strict=True):
-            got[i] = x
-            if len(keys[i]) <= 64:
-                self[keys[i]] = x
-        self.trim()
-        return got
-
     def __missing__(self, key: str) -> bytes:
         got = self.old.get(key)
         if got is None:
