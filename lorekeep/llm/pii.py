@@ -1,18 +1,22 @@
 """PII surrogates: detected entities get keyed replacements of the same kind, everywhere the same, each its own.
 
-DataFrame functions only. One pattern finds the entities; a text is cut at them, and its pieces are joined again around the
-replacements. All different entities of a corpus make one table. Its replacements come from a keyed digest; those that meet
-another replacement, or an entity that occurs, are drawn again until none does.
+DataFrame functions only. One pass of one pattern marks the entities; a text is cut at the marks, and its pieces are joined
+again around the replacements. All different entities of a corpus make one table. Numbers get theirs from a keyed
+permutation of all values of their form (a Feistel network that walks on until the form is right), so that they differ by
+construction; addresses and the words of names from a keyed digest. A replacement that occurs as an entity, or is taken,
+is drawn again, by another permutation or a longer word. Where a form has no free value left, a tag stands in.
 """
 
 from __future__ import annotations
 
+import os
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, free_name, scratch, stored, table
+from .common import free_name, stored, table
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Don|Господин|Κύριος"
@@ -32,7 +36,26 @@ KINDS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "person": rf"(?<![\p{{L}}\d]){_TITLES}\p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{KINDS[k].replace('([ ' + chr(92) + '-])', '(?<sep>[ ' + chr(92) + '-])').replace(chr(92) + '1', chr(92) + 'k<sep>')})" for k in KINDS)
+#: Draws until an entity without a free replacement gets a tag.
+DRAWS = 12
+
+
+def _first(words: str) -> str:
+    return "".join(sorted({w[0] for w in words.split("|")}))
+
+
+#: What an entity of a kind starts with, looked at before the pattern itself.
+_STARTS = {"ip": "(?=[0-9])", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "person": f"(?=[{_first(_MALE + '|' + _FEMALE + '|' + _EITHER)}])"}
+
+
+def _any(kinds: list[str]) -> str:
+    named = {k: KINDS[k].replace(r"([ \-])", r"(?<sep>[ \-])").replace(r"\1", r"\k<sep>") for k in kinds}
+    return "|".join(f"{_STARTS.get(k, '')}(?:{named[k]})" for k in kinds)
+
+
+ANY, ANY_BUT_EMAIL = _any(list(KINDS)), _any([k for k in KINDS if k != "email"])
+#: Stands around entities in a marked text; texts that hold it themselves are cut by two passes instead.
+MARK = "\ufdd0"
 
 #: Syllables of made-up names by script; a name is a few of them, then an ending by gender.
 _SYLLABLES = {
@@ -108,38 +131,111 @@ def normal(kind: Column, found: Column) -> Column:
     )
 
 
-def _name(digest: Column, word: Column, gender: Column, last: Column, tries: Column) -> Column:
-    """A made-up word for a word of a name, in its script; given names end by gender."""
+def _name(digest: Column, key: Column, tries: Column) -> Column:
+    """A made-up word for a word of a name (gender, a bar, the word; no gender: a surname), in its script; given names end by
+    gender. Later draws are longer."""
+    word, gender = F.substring(key, F.instr(key, "|") + 1, F.length(key)), F.substring_index(key, "|", 1)
+
     def built(script: str) -> Column:
         n = F.lit(2) + F.least(tries, F.lit(6))
         body = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: _pick(_SYLLABLES[script], _byte(digest, i * 2) * 256 + _byte(digest, i * 2 + 1))), "")
         male, female = _ENDINGS[script]
-        return F.initcap(F.concat(body, F.when(last, F.lit("")).when(gender == "m", male).when(gender == "f", female).otherwise("")))
+        return F.concat(body, F.when(gender == "m", male).when(gender == "f", female).otherwise(""))
 
     return F.when(word.rlike(r"^\p{IsCyrillic}"), built("cyrillic")).when(word.rlike(r"^\p{IsGreek}"), built("greek")).otherwise(built("latin"))
 
 
+def _feistel(secret: str, label: Column, left: Column, right: Column, n_left: Column, n_right: Column) -> tuple[Column, Column]:
+    """A keyed permutation of the pairs (left below n_left, right below n_right)."""
+    def mixed(i: int, half: Column, other: Column, n: Column) -> Column:
+        return F.pmod(half + F.conv(F.substring(_digest(secret, label, F.lit(str(i)), other.cast("string")), 1, 12), 16, 10).cast("long"), n)
+
+    pair = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    for i in range(4):
+        step = (lambda p, i=i: F.struct(mixed(i, p["l"], p["r"], n_left).alias("l"), p["r"].alias("r"))) if i % 2 == 0 else (lambda p, i=i: F.struct(p["l"].alias("l"), mixed(i, p["r"], p["l"], n_right).alias("r")))
+        pair = F.get(F.transform(F.array(pair), step), 0)  # a lambda's argument is worked out once
+    return F.transform(F.array(pair), lambda p: p["l"]), F.transform(F.array(pair), lambda p: p["r"])
+
+
+def _permuted(secret: str, label: Column, digits: Column) -> Column:
+    """Another string of as many digits (30 at most), by a keyed permutation of all of them."""
+    n = F.length(digits)
+    a = n - (n / 2).cast("int")  # a single digit is a left half
+    ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+    left, right = _feistel(secret, label, F.substring(digits, F.lit(1), a).cast("long"), F.coalesce(F.substring(digits, a + 1, n).try_cast("long"), F.lit(0)), ten(a), ten(n - a))
+    return F.concat(F.lpad(F.get(left, 0).cast("string"), a, F.lit("0")), F.when(n > a, F.lpad(F.get(right, 0).cast("string"), n - a, F.lit("0"))).otherwise(""))
+
+
+def _walked(value: Column, step, form) -> Column:
+    """step(value), and on until it has the form of the value: a permutation of the values of each form."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(value), lambda x, _: F.when(form(x) == form(value), x).otherwise(step(x)))
+
+
+def _phone_form(digits: Column) -> Column:
+    """Numbers of the North American plan have neither 0 nor 1 before area and exchange; others keep their length."""
+    return digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+
+
+def _ssn_form(digits: Column) -> Column:
+    return ~digits.rlike("^(?:000|666|9)|^...00|0000$")
+
+
+def _ip_form(address: Column) -> Column:
+    return F.when(address.rlike(r"^(?:0|1[02]7|10|2[2-9][0-9])\.|^22[0-3]\.|^192\.168\."), F.regexp_extract(address, r"^(192\.168|[0-9]+)\.", 1)).otherwise("public")
+
+
+def _ip_step(secret: str, label: Column):
+    """Permutes the octets behind the network of private, loopback and reserved addresses, or all of them."""
+    def step(address: Column) -> Column:
+        o = F.transform(F.split(address, r"\."), lambda x: x.cast("long"))
+        kept = F.when(_ip_form(address) == "public", 0).when(address.startswith("192.168."), 2).otherwise(1)
+        at = lambda i: F.get(o, i)
+        left = F.when(kept == 0, at(0) * 256 + at(1)).when(kept == 1, at(1)).otherwise(at(2))
+        right = F.when(kept == 2, at(3)).otherwise(at(2) * 256 + at(3))
+        wide, far = F.when(kept == 0, 65536).otherwise(256).cast("long"), F.when(kept == 2, 256).otherwise(65536).cast("long")
+        left, right = (F.get(x, 0) for x in _feistel(secret, F.concat(label, _ip_form(address)), left, right, wide, far))
+        own = F.when(kept == 0, F.array((left / 256).cast("int"), left % 256)).when(kept == 1, F.array(at(0), left)).otherwise(F.array(at(0), at(1), left))
+        rest = F.when(kept == 2, F.array(right)).otherwise(F.array((right / 256).cast("int").cast("long"), right % 256))
+        return F.array_join(F.transform(F.concat(own.cast("array<long>"), rest.cast("array<long>")), lambda x: x.cast("string")), ".")
+
+    return step
+
+
+def _iban(secret: str, label: Column, norm: Column) -> Column:
+    """Country, check digits, then digits permuted and letters moved on by a key that depends on these digits."""
+    body = F.substring(norm, F.lit(5), F.length(norm))
+    digits = _digits(body)
+    new = F.when(digits == "", "").otherwise(_permuted(secret, F.concat(label, F.substring(norm, 1, 2)), F.concat(digits)))
+    d = _digest(secret, label, digits)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def step(acc: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        letter = F.char(F.pmod(F.ascii(c) - 65 + _byte(d, acc["i"]), F.lit(26)) + 65)
+        return F.struct(F.concat(acc["out"], F.when(digit, F.substring(new, acc["n"] + 1, F.lit(1))).otherwise(letter)).alias("out"), (acc["n"] + digit.cast("int")).alias("n"), (acc["i"] + 1).alias("i"))
+
+    text = F.aggregate(_chars(body), start, step, lambda acc: acc["out"])
+    # the remainder of the account, the country and 00 by 97, letters as 10 to 35
+    whole = F.concat(text, F.substring(norm, 1, 2), F.lit("00"))
+    rest = F.aggregate(_chars(whole), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + F.ascii(c) - 48) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(F.substring(norm, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), text)
+
+
 def surrogate(secret: str, kind: Column, norm: Column, tries: Column) -> Column:
     """The replacement of an entity in its normal form."""
-    d = _digest(secret, kind, norm, tries.cast("string"))
-    octets = F.split(norm, r"\.")
-    # the networks of private and loopback addresses stay
-    local = F.when(norm.rlike(r"^(?:10|127)\."), 1).when(norm.rlike(r"^192\.168\."), 2).otherwise(0)
-    ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < local, o).when(i == 0, (_byte(d, i) % 115 + 11).cast("string")).otherwise((_byte(d, i) % 254 + 1).cast("string"))), ".")
+    label = F.concat_ws("/", kind, tries.cast("string"))
+    d = _digest(secret, label, norm)
+    ip = _walked(norm, _ip_step(secret, label), _ip_form)
     top = F.regexp_extract(norm, r"(\.[a-z]+)$", 1)
-    email = F.concat(_recoded(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), d), top)
-    body = F.concat(F.substring(norm, 1, 1), _recoded(F.substring(norm, F.lit(2), F.length(norm) - 2), d))
+    # later draws have letters more
+    longer = F.array_join(F.transform(F.slice(F.array(*[F.lit(i) for i in range(DRAWS)]), F.lit(1), F.greatest(tries - 1, F.lit(0))), lambda i: _pick("abcdefghijklmnopqrstuvwxyz", _byte(d, i + 40))), "")
+    email = F.concat(longer, _recoded(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), d), top)
+    body = F.concat(F.substring(norm, 1, 1), _permuted(secret, F.concat(label, F.substring(norm, 1, 1)), F.substring(norm, F.lit(2), F.length(norm) - 2)))
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    phone = F.concat(F.substring(norm, 1, 1), _recoded(F.substring(norm, F.lit(2), F.length(norm)), d))
-    iban = F.concat(F.substring(norm, 1, 2), _recoded(F.substring(norm, F.lit(3), F.length(norm)), d))
-    words = F.split(F.substring(norm, F.lit(3), F.length(norm)), r"[ \-]")
-    gender = F.substring(norm, 1, 1)
-    # a word's digest leaves out the other words, so that a full name and the surname alone stay one person
-    person = F.concat(
-        gender, F.lit(":"),
-        F.array_join(F.transform(words, lambda w, i: _name(_digest(secret, F.lit("name"), w, F.when(i == F.size(words) - 1, "").otherwise(gender), tries.cast("string")), w, gender, i == F.size(words) - 1, tries)), " "),
-    )
-    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ssn", _recoded(norm, d)).when(kind == "person", person)
+    rest = F.substring(norm, F.lit(2), F.length(norm))
+    phone = F.concat(F.substring(norm, 1, 1), _walked(rest, lambda x: _permuted(secret, F.concat(label, F.substring(norm, 1, 1)), x), _phone_form))
+    ssn = _walked(norm, lambda x: _permuted(secret, label, x), _ssn_form)
+    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", _iban(secret, label, norm)).when(kind == "ssn", ssn).when(kind == "word", _name(d, norm, tries))
 
 
 def in_form(kind: Column, found: Column, replacement: Column) -> Column:
@@ -158,57 +254,89 @@ def in_form(kind: Column, found: Column, replacement: Column) -> Column:
         return F.aggregate(_chars(found), start, step, lambda acc: acc["out"])
 
     email = F.when(F.upper(found) == found, F.upper(replacement)).otherwise(replacement)
-    person = F.concat(F.regexp_extract(found, rf"^({_TITLES})", 1), F.substring(replacement, F.lit(3), F.length(replacement)))
-    return F.when(kind == "email", email).when(kind == "ip", replacement).when(kind == "person", person).when(kind == "iban", placed("^[A-Z0-9]$")).otherwise(placed("^[0-9]$"))
+    person = F.concat(F.regexp_extract(found, rf"^({_TITLES})", 1), replacement)
+    return F.when(replacement.startswith("["), replacement).when(kind == "email", email).when(kind == "ip", replacement).when(kind == "person", person).when(kind == "iban", placed("^[A-Z0-9]$")).otherwise(placed("^[0-9]$"))
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """kind, norm, replacement for all different entities: no replacement serves two, and none is an entity itself."""
-    spark = entities.sparkSession
-    path = scratch(spark, "surrogates")
-    entities.select("kind", "norm").where("kind is not null and norm is not null").distinct().withColumn("tries", F.lit(0)).write.parquet(path)
-    while True:
-        drawn = spark.read.schema("kind string, norm string, tries int").parquet(path).withColumn("replacement", surrogate(secret, F.col("kind"), F.col("norm"), F.col("tries")))
-        # by replacement: entities that drew it (the smallest keeps it), and whether it occurs as an entity
-        met = drawn.select("kind", F.col("replacement").alias("value"), "norm", F.lit(0).alias("real")).unionAll(drawn.select("kind", F.col("norm").alias("value"), F.lit(None).cast("string"), F.lit(1)))
-        clash = met.groupBy("kind", "value").agg(F.count("norm").alias("n"), F.max("real").alias("real"), F.min("norm").alias("first")).where("n > 1 or (n > 0 and real = 1)")
-        clash = stored(clash, "clashes")
-        if clash.isEmpty():
-            return drawn.select("kind", "norm", "replacement")
-        again = drawn.join(clash.withColumnRenamed("value", "replacement"), ["kind", "replacement"], "left")
-        new = scratch(spark, "surrogates")
-        again.select("kind", "norm", (F.col("tries") + F.when(F.col("real").isNotNull() & ((F.col("real") == 1) | (F.col("norm") != F.col("first"))), 1).otherwise(0)).alias("tries")).write.parquet(new)
-        drop_stored(spark, path)
-        path = new
-
-
-def pseudonymised(docs: DataFrame, secret: str = "lorekeep", text: str = "text", count: str = "n_entities") -> DataFrame:
+    """kind, norm, replacement for all different entities: no replacement serves two, and none is an entity itself.
+
+    A draw that fails is repeated for the entities that failed alone, DRAWS times at most. What then has no replacement, as
+    its form has too few free values, gets a tag: its kind and 16 hexadecimal digits of its keyed digest, in brackets.
+    """
+    if not secret:
+        raise ValueError("surrogates need a key")
+    real = stored(entities.select("kind", "norm").where("kind is not null and norm is not null").distinct(), "entities")
+    occurs = real.select("kind", F.when(F.col("kind") == "word", F.substring(F.col("norm"), F.instr("norm", "|") + 1, F.length("norm"))).otherwise(F.col("norm")).alias("replacement")).distinct()
+    todo, taken = real, None
+    for n in range(DRAWS):
+        drawn = stored(todo.withColumn("replacement", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(n))), "drawn")
+        # of those that drew one value, the smallest keeps it
+        free = drawn.groupBy("kind", "replacement").agg(F.min("norm").alias("norm")).join(occurs, ["kind", "replacement"], "left_anti")
+        if taken is not None:
+            free = free.join(taken.select("kind", "replacement"), ["kind", "replacement"], "left_anti")
+        free = stored(free.select("kind", "norm", "replacement"), "surrogates")
+        taken = free if taken is None else taken.unionAll(free)
+        todo = stored(todo.join(free, ["kind", "norm"], "left_anti"), "again")
+        if todo.isEmpty():
+            return taken
+    return taken.unionAll(todo.select("kind", "norm", F.concat(F.lit("["), F.col("kind"), F.lit("-"), F.substring(_digest(secret, F.lit("tag"), F.col("kind"), F.col("norm")), 1, 16), F.lit("]"))))
+
+
+def _units(kind: Column, norm: Column) -> Column:
+    """The entities whose replacements make up that of an entity: itself, or the words of a name. A word's key has the gender
+    of given names and leaves out the other words, so that a full name and the surname alone stay one person."""
+    words = F.split(F.substring(norm, F.lit(3), F.length(norm)), r"[ \-]")
+    keyed = F.transform(words, lambda w, i: F.struct(F.lit("word").alias("kind"), F.concat(F.when((i == F.size(words) - 1) | ~norm.rlike("^[mf]"), "").otherwise(F.substring(norm, 1, 1)), F.lit("|"), w).alias("norm")))
+    return F.when(kind == "person", keyed).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+
+
+def _pieces(c: Column) -> Column:
+    """The text cut at its entities: text, entity, text, ..., text. One pass marks them."""
+    marked = F.regexp_replace(c, F.when(F.instr(c, "@") > 0, F.lit(ANY)).otherwise(F.lit(ANY_BUT_EMAIL)), f"{MARK}$0{MARK}")
+    two = F.concat(F.flatten(F.zip_with(F.regexp_extract_all(c, F.lit(ANY), F.lit(0)), F.split(c, ANY, -1), lambda e, t: F.when(e.isNull(), F.array(t)).otherwise(F.array(t, e)))))
+    return F.when(F.instr(c, MARK) > 0, two).otherwise(F.split(marked, MARK, -1))
+
+
+def pseudonymised(docs: DataFrame, secret: str, text: str = "text", count: str = "n_entities") -> DataFrame:
     """docs with every entity of a text replaced, and `count`, the number of replaced occurrences.
 
-    Rows without entities, null and empty texts included, pass unchanged. Repeated rows get equal replacements. `count`
-    replaces a column of that name; no other column changes. Whole texts are searched.
+    Rows without entities, null and empty texts included, pass unchanged. Repeated rows get equal replacements, and so do
+    equal entities of different rows; of entities that draw one replacement, the smallest keeps it. `count` replaces a
+    column of that name; no other column changes. Whole texts are searched. An empty key is refused.
     """
+    if not secret:
+        raise ValueError("surrogates need a key")
     c = F.col(f"`{text}`")
     columns = [x for x in docs.columns if x.lower() != count.lower()]
-    row, occ = free_name(docs, "row_"), free_name(docs, "found_")
-    has = F.coalesce(c.rlike("[0-9@\\p{Lu}]") & c.rlike(ANY), F.lit(False))
-    clean = docs.where(~has).select(*[F.col(f"`{x}`") for x in columns], F.lit(0).cast("long").alias(count))
-    hit = docs.where(has).select(*[F.col(f"`{x}`") for x in columns], F.regexp_extract_all(c, F.lit(ANY), F.lit(0)).alias(occ), F.monotonically_increasing_id().alias(row))
-    hit = stored(hit, "pii")  # row numbers are those of the written table from here on
-    each = hit.select(row, F.posexplode(occ).alias("pos", "found"))
+    row, cut = free_name(docs, "row_"), free_name(docs, "found_")
+    own = [F.col(f"`{x}`") for x in columns]
+    # stored, so that the pattern runs over each text once; row numbers are those of the written table
+    marked = stored(docs.select(*own, F.when(c.rlike("[0-9@\\p{Lu}]"), _pieces(c)).alias(cut)).select(*own, F.when(F.size(cut) > 1, F.col(cut)).alias(cut), F.monotonically_increasing_id().alias(row)), "pii")
+    clean = marked.where(F.col(cut).isNull()).select(*own, F.lit(0).cast("long").alias(count))
+    hit = marked.where(F.col(cut).isNotNull())
+    each = hit.select(row, F.posexplode(cut).alias("pos", "found")).where("pos % 2 = 1")
     kinds = each.select("found").distinct().withColumn("kind", kind_of(F.col("found"))).withColumn("norm", normal(F.col("kind"), F.col("found")))
-    kinds = stored(kinds, "entities")
-    table_ = surrogates(kinds, secret)
-    replaced = kinds.join(table_, ["kind", "norm"], "left").select("found", in_form(F.col("kind"), F.col("found"), F.col("replacement")).alias("new"))
-    replaced = stored(replaced, "replacements")
+    kinds = stored(kinds.where("norm is not null"), "found")
+    parts = kinds.select("found", F.col("kind").alias("whole"), F.posexplode(_units(F.col("kind"), F.col("norm"))).alias("place", "u")).select("found", "whole", "place", "u.*")
+    given = parts.join(surrogates(parts, secret), ["kind", "norm"])
+    spelt = F.when((F.col("kind") == "word") & ~F.col("replacement").startswith("["), F.initcap("replacement")).otherwise(F.col("replacement"))
+    joined = given.groupBy("found", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", spelt.alias("r")))), lambda x: x["r"]), " ").alias("replacement"))
+    replaced = stored(joined.select("found", in_form(F.col("whole"), F.col("found"), F.col("replacement")).alias("new")), "replacements")
     lists = each.join(replaced, "found", "left").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "found").alias("new")))).alias("news"), F.count("new").alias(count))
-    pieces = F.split(c, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("news"), lambda p, s: F.array(p, F.coalesce(s["new"], F.lit(""))))), "")
-    done = hit.join(lists, row).select(*[joined.alias(x) if x == text else F.col(f"`{x}`") for x in columns], F.col(count))
+    around = F.filter(F.col(cut), lambda _, i: i % 2 == 0)
+    whole = F.array_join(F.flatten(F.zip_with(around, F.col("news"), lambda p, x: F.array(p, F.coalesce(x["new"], F.lit(""))))), "")
+    done = hit.join(lists, row).select(*[whole.alias(x) if x == text else F.col(f"`{x}`") for x in columns], F.col(count))
     return clean.unionByName(done)
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The key of spark.lorekeep.pii.key or LOREKEEP_PII_KEY. Without either, a new one: what it gives cannot be linked to
+    any other run, nor be inverted by anyone."""
+    return spark.conf.get("spark.lorekeep.pii.key", "") or os.environ.get("LOREKEEP_PII_KEY") or secrets.token_hex(32)
+
+
 def op5_query(spark, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs).select("doc_id", "text", "n_entities")
+    return pseudonymised(docs, configured_key(spark)).select("doc_id", "text", "n_entities")

@@ -12,7 +12,7 @@ def luhn(d):
 
 def replaced(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.text, r.n_entities) for r in pii.pseudonymised(df).orderBy("doc_id").collect()]
+    return [(r.text, r.n_entities) for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect()]
 
 
 def test_kinds_and_coreference(spark):
@@ -26,13 +26,54 @@ def test_kinds_and_coreference(spark):
     assert d == ('token = "0641917ea4e9feb9cda83477b57ac2654884f485" 4.0. 555-12', 0)
 
 
-def test_collisions_are_drawn_again(spark):
-    # replacements of one digit cannot all differ at the first draw
-    e = spark.createDataFrame([("ssn", str(i)) for i in range(5)], "kind string, norm string")
-    e = e.unionAll(spark.createDataFrame([("ssn", f"{i:03d}") for i in range(150)], "kind string, norm string"))
+def test_full_spaces_end(spark):
+    # 60 of 100 values of two digits: 40 are free at most, so some entities get tags
+    e = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)], "kind string, norm string")
     got = pii.surrogates(e, "k").collect()
-    assert len(got) == len({r.replacement for r in got}) == 155
+    assert len(got) == len({r.replacement for r in got}) == 60
     assert not {r.replacement for r in got} & {r.norm for r in got}
+    assert all(re.fullmatch(r"\d\d|\[ssn-[0-9a-f]{16}\]", r.replacement) for r in got) and any(r.replacement.isdigit() for r in got)
+
+
+def test_numbers_are_permuted(spark):
+    n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    assert n.select(pii._permuted("k", F.lit("x"), F.col("d")).alias("p")).distinct().count() == 1000
+    ips = spark.range(65536).select(F.concat_ws(".", F.lit("192.168"), (F.col("id") / 256).cast("int"), F.col("id") % 256).alias("a"))
+    got = ips.select("a", pii._walked(F.col("a"), pii._ip_step("k", F.lit("x")), pii._ip_form).alias("p"))
+    assert got.select("p").distinct().count() == 65536 and got.where("p like '192.168.%'").count() == 65536
+    phones = [f"1{a}{b}5559" for a in (201, 305, 999) for b in (200, 455)]
+    out = [r.p for r in spark.createDataFrame([(p,) for p in phones], "p string").select(pii.surrogate("k", F.lit("phone"), F.col("p"), F.lit(0)).alias("p")).collect()]
+    assert all(re.fullmatch(r"1[2-9]\d\d[2-9]\d{6}", p) for p in out if p) and len(set(out)) == len(phones)
+
+
+def test_iban_check_digits(spark):
+    text, n = replaced(spark, ["DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819"])[0]
+    a, b = text.split(" and ")
+    for x, own in ((a, "DE89 3704 0044 0532 0130 00"), (b, "GB29NWBK60161331926819")):
+        x = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and x[:2] == own[:2] and x != own.replace(" ", "")
+    assert n == 2 and [len(p) for p in a.split()] == [4, 4, 4, 4, 4, 2] and b[4:8].isalpha()
+
+
+def test_words_of_names_collide_alone(spark, monkeypatch):
+    # the first draw gives every word one name; later draws tell them apart, and a surname stays one wherever it stands
+    real = pii._name
+    monkeypatch.setattr(pii, "_name", lambda d, key, tries: F.when(tries == 0, F.lit("lola")).otherwise(real(d, key, tries)))
+    out = [t for t, _ in replaced(spark, ["Herr Müller", "Herr Hans Müller", "Frau Eva Müller", "Frau Meyer"])]
+    names = [o.split()[1:] for o in out]
+    assert names[0][-1] == names[1][-1] == names[2][-1] != names[3][-1] and len({names[1][0], names[2][0], names[0][0], names[3][0]}) == 4
+
+
+def test_marks_in_texts(spark):
+    a, b = replaced(spark, [f"x {pii.MARK} a@b.org y 10.1.2.3", "x  a@b.org y 10.1.2.3"])
+    assert a[0].replace(pii.MARK, "") == b[0] and a[1] == b[1] == 2 and "a@b.org" not in a[0]
+
+
+def test_no_key():
+    import pytest
+
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymised(None, "")
 
 
 def test_keys_differ(spark):
@@ -41,17 +82,17 @@ def test_keys_differ(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    got = {(r.doc_id, r.text) for r in pii.pseudonymised(odd).collect()}
+    got = {(r.doc_id, r.text) for r in pii.pseudonymised(odd, "k").collect()}
     assert got == {(r.doc_id, r.text) for r in odd.collect()}
     mail = odd.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" me@x.org")))
-    out = pii.pseudonymised(mail)
+    out = pii.pseudonymised(mail, "k")
     assert out.columns == [*odd.columns, "n_entities"] and out.count() == odd.count() and out.where("n_entities <> 1").count() == 0
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, "k").count() == 0
 
 
 def test_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
-    plan = pii.pseudonymised(df)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymised(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
