@@ -30,7 +30,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the new text."""
-    done = pii.pseudonymised(docs, count="n_entities_")
+    done = pii.pseudonymised(docs, pii.configured_key(spark), count="n_entities_")
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
