@@ -1,11 +1,23 @@
-"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directories."""
+"""Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directories.
+
+A file is compared as a whole, by its header (the comment it starts with), its paragraphs, and their lines and sentences.
+Frequencies of the templates' terms are counted over all of these units of all files; a term of no template counts as
+if one unit had it. What two units have in common with a template is bounded by their terms, so units that cannot reach the
+threshold whatever the frequencies are dropped as they are read, and no other.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import add_by_batch, bound_batches, stored, table
 
 #: Names of licences and the sentences that stand for them in headers and licence files.
 TEMPLATES = [
@@ -68,61 +80,157 @@ TEXTS = [
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 ]
-#: Sentences and paragraphs without any of these words are no candidates.
-CUES = r"(?i)licen[sc]e|SPDX-|\bpermi(?:tted|ssion)\b|\bwaived\b|\bredistribut|\bprovided [^.]{0,80}\bas is\b|\bCC0\b|\bAttribution[- ]"
-#: What stands before the text of a line in comments.
-COMMENT = r"(?m)^[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|\"{3}|'{3}|dnl\b|rem\b)[ \t]*)?"
+#: Terms; what stands before the text of a line in comments; the comment that a file starts with; between paragraphs. All
+#: mean the same to Python and to DuckDB.
+TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+COMMENT = r"""(?m)^[ \t]*(?:(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--|"{3}|'{3})[ \t]*)?"""
+HEADER = r"^[ \t\n]*(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|(?:(?:#|//|--|;|%)[^\n]*\n[ \t\n]*)+)"
+GAP = r"\n(?:[ \t]*\n)+"
+STOP = r"([.!?])[ \t]+"
 LICENCE_FILES = r"(?i)(?:^|/)(?:UN)?(?:LICEN[SC]E|COPYING|COPYRIGHT|NOTICE)[^/]*$"
 
 
-def _terms(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
+_FOLD = {c: c + 32 for c in range(65, 91)}
+_TERMS, _COMMENT, _HEADER, _GAP, _STOP = (re.compile(x) for x in (TERM, COMMENT, HEADER, GAP, STOP))
+
+
+class Units:
+    """Counts of the terms of a file's units. Terms of templates have numbers; all others count as unknown."""
+
+    def __init__(self, least: float):
+        self.least = least
+        self.bags = [Counter(_TERMS.findall(t.translate(_FOLD))) for _, t in TEMPLATES + TEXTS]
+        self.number = {t: i for i, t in enumerate(sorted({t for b in self.bags for t in b}))}
+
+    def of(self, text: str) -> Iterator[list[str]]:
+        """The terms of every unit of a whole text that has any."""
+        text = re.sub(r"\r\n?", "\n", text.translate(_FOLD)) + "\n"
+        head = _HEADER.match(text)
+        if head and (terms := _TERMS.findall(head[0])):
+            yield terms
+        every: list[str] = []
+        for paragraph in _GAP.split(_COMMENT.sub("", text)):
+            own: list[str] = []
+            sentence: list[str] = []
+            for line in paragraph.split("\n"):
+                parts = _STOP.sub("\\1\n", line).split("\n") if "." in line or "!" in line or "?" in line else [line]
+                for part in parts:
+                    terms = _TERMS.findall(part)
+                    if terms:
+                        yield terms
+                    sentence += terms
+                    own += terms
+                    if part.endswith((".", "!", "?")):
+                        if sentence:
+                            yield sentence
+                        sentence = []
+            if sentence:
+                yield sentence
+            if own:
+                yield own
+            every += own
+        if every:
+            yield every
+
+    def vector(self, terms: list[str]) -> tuple[list[int], list[int], int] | None:
+        """(numbers, counts, sum of squared counts of unknown terms), or None if no frequencies bring the unit near a template.
+
+        The cosine is at most the root of the known terms' share of the squared weights, and no known term weighs more
+        than an unknown one.
+        """
+        known = [i for t in terms if (i := self.number.get(t)) is not None]
+        room = 1 / self.least**2 - 1
+        if len(terms) - len(known) > room * len(known) ** 2:
+            return None
+        counts = Counter(known)
+        unknown = sum(n * n for n in Counter(t for t in terms if t not in self.number).values())
+        if unknown > room * sum(n * n for n in counts.values()):
+            return None
+        return list(counts), list(counts.values()), unknown
+
+
+class Scorer:
+    """Cosines with all templates, given the number of units and of those that have each term."""
 
+    def __init__(self, units: Units, total: int, df: np.ndarray):
+        matrix = np.zeros((len(units.bags), len(units.number)))
+        for i, b in enumerate(units.bags):
+            for t, n in b.items():
+                matrix[i, units.number[t]] = n
+        total += len(units.bags)
+        self.idf = np.log((total + 1) / (df + (matrix > 0).sum(0) + 1)) + 1
+        self.unknown = np.log((total + 1) / 2) + 1
+        weights = matrix * self.idf
+        self.templates = weights / np.sqrt((weights**2).sum(1, keepdims=True))
+        self.least = units.least
 
-def _nearest(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """key, licence, score of the units (key, unit, w: how many files have it) near enough to a template: the best one."""
-    spark = units.sparkSession
-    units = units.select("key", "unit", F.col("w").cast("double").alias("w"), F.lit(None).cast("string").alias("licence"))
-    units = units.unionAll(spark.createDataFrame([(b, b, 1.0, a) for a, b in templates], "key string, unit string, w double, licence string"))
-    # texts do not travel with each of their terms
-    tf = units.select("key", "w", "licence", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("key", "w", "licence", "term").agg(F.count("*").cast("double").alias("tf"))
-    total = units.agg(F.sum("w").alias("n")).first().n
-    idf = tf.groupBy("term").agg((F.log((F.lit(total) + 1) / (F.sum("w") + 1)) + 1).alias("idf"))
-    weighed = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    # templates are a fixed, short list
-    model = F.broadcast(weighed.where("licence is not null").select("term", F.col("key").alias("template"), F.col("licence").alias("name"), F.col("x").alias("y")))
-    model_norm = F.broadcast(weighed.where("licence is not null").groupBy(F.col("key").alias("template")).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("b")))
-    found = weighed.where("licence is null")
-    norm = found.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"))
-    dots = found.join(model, "term").groupBy("key", "template", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norm, "key").join(model_norm, "template").select("key", "name", F.least(F.lit(1.0), F.round(F.col("dot") / (F.col("a") * F.col("b")), 9)).alias("score")).where(F.col("score") >= least)
-    return scored.groupBy("key").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("licence"))
+    def best(self, ids: list[int], counts: list[int], unknown: int) -> tuple | None:
+        """(0 for a whole licence text, else 1; minus the score; the name) of the nearest template, if it is near enough."""
+        x = np.array(counts) * self.idf[ids]
+        score = np.minimum(1.0, np.round(self.templates[:, ids] @ x / np.sqrt((x * x).sum() + unknown * self.unknown**2), 9))
+        found = [(int(i < len(TEMPLATES)), -float(score[i]), (TEMPLATES + TEXTS)[i][0]) for i in np.flatnonzero(score >= self.least)]
+        return min(found, default=None)
+
+
+CANDIDATES = T.StructType(
+    [T.StructField("path", T.StringType(), True), T.StructField("vectors", T.ArrayType(T.ArrayType(T.IntegerType(), False), False), True)]
+    + [T.StructField("units", T.LongType(), True), T.StructField("df", T.ArrayType(T.LongType(), False), True)]
+)
 
 
 def own_licences(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.75) -> DataFrame:
-    """path, licence, score for every file of which a part is near enough to a template: the best one.
+    """path, licence, score for every file of which a unit is near enough to a template: the best one.
 
-    Sentences are cut at line breaks and at full stops before a blank. Paragraphs end at empty lines; their lines are joined
-    without comment marks, and they and their sentences are compared like sentences of one line. Paragraphs with cues that
-    follow each other are compared as one to whole licence texts, and a licence found so comes before all others.
-    Inverse document frequencies count all candidates of all files and the templates. Ties go to the first name. Null paths
-    and texts give no row; rows with equal paths count as one file.
+    Units are the file, its header, its paragraphs (which end at empty lines, comment marks aside), their lines and their
+    sentences (which end at a full stop before a blank or a line's end). A licence found by a whole licence text comes
+    before all others; then the best score, then the first name. Null paths and texts, and texts without terms, give no row;
+    rows with equal paths count as one file. Files are read once, whole, and what goes on are the counts of units that may
+    be near enough.
     """
-    p, t = F.col(f"`{path}`"), F.col(f"`{text}`")
-    lines = F.split(t, r"(?:[\r\n]+|(?<=[.!?])[ \t]+)")
-    paragraphs = F.transform(F.split(F.regexp_replace(t, COMMENT, ""), r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    files = files.where(p.isNotNull() & t.rlike(CUES)).select(p.alias("path"), lines.alias("lines"), paragraphs.alias("paragraphs"))
-    told = F.filter("paragraphs", lambda x: x.rlike(CUES))
-    short = F.filter(F.array_distinct(F.concat("lines", told, F.flatten(F.transform(told, lambda x: F.split(x, r"(?<=[.!?])[ ]+"))))), lambda x: x.rlike(CUES))
-    runs = F.filter(F.split(F.array_join(F.transform("paragraphs", lambda x: F.when(x.rlike(CUES), x).otherwise("\u0001")), " "), "\u0001"), lambda x: F.trim(x) != "")
-    part = F.concat(F.transform(short, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.transform(runs, lambda x: F.struct(F.lit(True).alias("whole"), F.trim(x).alias("unit"))))
-    candidates = stored(files.select("path", F.explode(part).alias("c")).select("path", "c.whole", "c.unit", F.md5(F.col("c.unit").cast("binary")).alias("key")), "candidates")
-    # the same sentence stands in many files: it is scored once
-    units = stored(candidates.groupBy("whole", "key").agg(F.count("*").alias("w"), F.first("unit").alias("unit")), "units")
-    best = _nearest(units.where("not whole"), TEMPLATES, least).withColumn("whole", F.lit(False)).unionByName(_nearest(units.where("whole"), TEXTS, least).withColumn("whole", F.lit(True)))
-    hits = candidates.select("path", "whole", "key").join(best, ["whole", "key"])
-    first = F.struct(~F.col("whole"), -F.col("score"), F.col("licence"))
-    return hits.groupBy("path").agg(F.min_by(F.struct("licence", "score"), first).alias("l")).select("path", "l.licence", "l.score")
+    import pyarrow as pa
+
+    units = Units(least)
+    bound_batches(files.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(CANDIDATES)
+        for b in batches:
+            total, df, paths, found = 0, np.zeros(len(units.number), np.int64), [], []
+            for p, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                vectors = []
+                for terms in units.of(t.as_py()):
+                    total += 1
+                    if ids := {i for x in terms if (i := units.number.get(x)) is not None}:
+                        df[list(ids)] += 1
+                        if v := units.vector(terms):
+                            vectors.append([v[2], *(x for pair in zip(v[0], v[1], strict=True) for x in pair)])
+                if vectors:
+                    paths.append(p)
+                    found.append(vectors)
+            # a row of frequencies for each batch
+            yield pa.RecordBatch.from_pydict({"path": [*paths, None], "vectors": [*found, None], "units": [None] * len(paths) + [total], "df": [None] * len(paths) + [df.tolist()]}, schema=schema)
+
+    whole = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").alias("text")).where("path is not null and text is not null")
+    rows = stored(whole.mapInArrow(read, CANDIDATES), "candidates")
+    total = rows.agg(F.sum("units").alias("n")).first().n or 0
+    counted = {r.pos: r.n for r in rows.where("units is not null").select(F.posexplode("df").alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("n")).collect()}  # terms of the templates
+    scorer = files.sparkSession.sparkContext.broadcast(Scorer(units, total, np.array([counted.get(i, 0) for i in range(len(units.number))])))
+
+    def score():
+        def run(column):
+            out = []
+            for vectors in column.to_pylist():
+                best = [b for v in vectors if (b := scorer.value.best(v[1::2], v[2::2], v[0]))]
+                out.append(min(best, default=None))
+            return [[b and b[0] for b in out], [b and -b[1] for b in out], [b and b[2] for b in out]]
+
+        return run
+
+    fields = [T.StructField("part", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("licence", T.StringType())]
+    scored = add_by_batch(rows.where("path is not null").select("path", "vectors"), ["vectors"], fields, score).where("licence is not null")
+    return scored.groupBy("path").agg(F.min_by(F.struct("licence", "score"), F.struct("part", -F.col("score"), F.col("licence"))).alias("l")).select("path", "l.licence", "l.score")
 
 
 def licences(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.75) -> DataFrame:
@@ -146,11 +254,13 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", least: fl
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
-    """Licences of all documents as files of a tree: a source's folders of 1,000 and of 100 ids. The first document of a
-    folder of 100 counts as the licence file of the folder."""
+    """Licences of all documents as files of a tree: a source's folders of 1,000 and of 100 ids. The document whose id is
+    divisible by 100 counts as the licence file of its folder. Documents without an id are one file of their source's folder
+    `none`, as rows with one id are one file; each row gets its file's licence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"))
-    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = docs.where("doc_id is not null").select(F.concat_ws("/", folder, name).alias("path"), "text")
-    found = licences(files)
-    return found.select(F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("long").alias("doc_id"), "path", "licence", "score", "licence_from")
+    ids = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none")), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none"))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), *ids)
+    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    files = docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    found = licences(files.select("path", "text"))
+    return files.select("doc_id", "path").join(found, "path").select("doc_id", "path", "licence", "score", "licence_from")

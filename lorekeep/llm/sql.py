@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import license_scan
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
 
@@ -28,5 +30,36 @@ SIMILAR = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
 
 
+_LOWER_T = f"translate(t, '{_UP}', '{_LOW}')"
+_QUOTED = [(i, int(i < len(license_scan.TEMPLATES)), name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES + license_scan.TEXTS)]
+_TEMPLATES = ", ".join(f"({i}, {part}, '{name}', '{text}')" for i, part, name, text in _QUOTED)
+_STOPPED = "string_split(regexp_replace({0}, '" + license_scan.STOP + "', '\\1' || chr(10), 'g'), chr(10))"
+_COMMENT = license_scan.COMMENT.replace("'", "''")
+
+LICENCES = rf"""WITH files AS (SELECT doc_id, text, coalesce(source, 'none') || '/' || coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), 'none') || '/' || coalesce(CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), 'none') || '/' || CASE WHEN doc_id % 100 = 0 THEN 'LICENSE.' || CAST(doc_id AS VARCHAR) ELSE coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' END AS path FROM documents),
+ folded AS (SELECT row_number() OVER () AS f, path, regexp_replace(translate(text, '{_UP}', '{_LOW}'), '\r\n?', chr(10), 'g') || chr(10) AS t FROM files WHERE text IS NOT NULL),
+ bare AS (SELECT f, t, regexp_replace(t, '{_COMMENT}', '', 'g') AS s FROM folded),
+ para AS (SELECT f, unnest(string_split_regex(s, '{license_scan.GAP}')) AS p FROM bare),
+ unit AS (SELECT f, regexp_extract(t, '{license_scan.HEADER}') AS u FROM bare UNION ALL SELECT f, s FROM bare UNION ALL SELECT f, p FROM para UNION ALL SELECT f, unnest({_STOPPED.format("p")}) FROM para UNION ALL SELECT f, unnest({_STOPPED.format("replace(p, chr(10), ' ')")}) FROM para),
+ tk AS (SELECT row_number() OVER () AS k, f, w FROM (SELECT f, regexp_extract_all(u, '{license_scan.TERM}') AS w FROM unit) WHERE len(w) > 0),
+ tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM tk) GROUP BY ALL),
+ tpl AS (SELECT * FROM (VALUES {_TEMPLATES}) v(i, part, name, t)),
+ ttf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(regexp_extract_all({_LOWER_T}, '{license_scan.TERM}')) AS term FROM tpl) GROUP BY ALL),
+ n AS (SELECT (SELECT count(*) FROM tk) + (SELECT count(*) FROM tpl) AS n),
+ df AS (SELECT term, sum(c) AS df FROM (SELECT term, count(*) AS c FROM tf WHERE term IN (SELECT term FROM ttf) GROUP BY term UNION ALL SELECT term, count(*) FROM ttf GROUP BY term) GROUP BY term),
+ idf AS (SELECT term, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, n),
+ a AS (SELECT k, sqrt(sum((tf * coalesce(idf, ln((n + 1) / 2) + 1)) ** 2)) AS a FROM tf LEFT JOIN idf USING (term), n GROUP BY k),
+ b AS (SELECT i, sqrt(sum((tf * idf) ** 2)) AS b FROM ttf JOIN idf USING (term) GROUP BY i),
+ dots AS (SELECT k, i, sum(x.tf * idf * y.tf * idf) AS dot FROM tf x JOIN ttf y ON x.term = y.term JOIN idf ON idf.term = x.term GROUP BY k, i),
+ scored AS (SELECT path, part, name, least(1.0, round(dot / (a * b), 9)) AS score FROM dots JOIN a USING (k) JOIN b USING (i) JOIN tpl USING (i) JOIN tk USING (k) JOIN folded USING (f)),
+ own AS (SELECT path, name AS licence, score FROM scored WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY path ORDER BY part, score DESC, name) = 1),
+ holders AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence, score, path AS licence_from FROM own WHERE regexp_matches(path, '{license_scan.LICENCE_FILES}') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence, licence_from) = 1),
+ bare_paths AS (SELECT DISTINCT path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS parts FROM files WHERE path NOT IN (SELECT path FROM own)),
+ up AS (SELECT path, depth, array_to_string(parts[1:depth], '/') AS dir FROM (SELECT path, parts, unnest(range(0, len(parts) + 1)) AS depth FROM bare_paths)),
+ below AS (SELECT path, licence, score, licence_from FROM up JOIN holders USING (dir) QUALIFY row_number() OVER (PARTITION BY path ORDER BY depth DESC) = 1),
+ every AS (SELECT path, licence, score, path AS licence_from FROM own UNION ALL SELECT path, licence, score, licence_from FROM below)
+SELECT doc_id, path, licence, score, licence_from FROM files LEFT JOIN every USING (path)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_join": SIMILAR, "op7_decontaminate": DECONTAMINATE}
+    return {"op6_ngram_join": SIMILAR, "op7_decontaminate": DECONTAMINATE, "op9_license_scan": LICENCES}

@@ -40,3 +40,38 @@ def test_whole_texts_and_wrapped_headers(spark):
     }
     got = {r.path: r.licence for r in L.own_licences(spark.createDataFrame(list(rows.items()), "path string, text string")).collect()}
     assert got == {k: k.split()[0] for k in rows}
+
+
+def test_dropped_units_could_not_match():
+    import random
+
+    import numpy as np
+
+    r, units = random.Random(5), L.Units(0.75)
+    terms = sorted(units.number) + [f"other{i}" for i in range(400)]
+    texts = [" ".join(r.choice(terms) for _ in range(r.randint(1, 40))) for _ in range(300)] + [" ".join(r.sample(t.split(), max(1, len(t.split()) * 2 // 3)) + r.choices(terms, k=r.randint(0, 9))) for _, t in L.TEMPLATES + L.TEXTS]
+    for df in (np.zeros(len(units.number), int), np.array([r.randint(0, 5000) for _ in units.number])):
+        s = L.Scorer(units, 5000, df)
+        for t in texts:
+            words = L._TERMS.findall(t.translate(L._FOLD))
+            known = {w: words.count(w) for w in words if w in units.number}
+            unknown = sum(words.count(w) ** 2 for w in set(words) - set(known))
+            every = s.best([units.number[w] for w in known], list(known.values()), unknown) if known else None
+            v = units.vector(words)
+            assert (s.best(v[0], v[1], v[2]) if v and v[0] else None) == every
+
+
+def test_odd_rows(spark, odd, none):
+    named = odd.selectExpr("concat('p/', doc_id) as path", "text", "score", "'x' as licence")
+    got = L.licences(named).collect()
+    assert {r.path for r in got} == {f"p/{i}" for i in range(1, 10)} and all(r.licence is None for r in got)
+    long = "words without end " * 50_000 + "\nReleased under the MIT License.\n" + "more of it. " * 50_000
+    ties = [("a", "Licensed under CC BY 4.0"), ("a", "Licensed under CC BY 4.0"), ("b", long), ("c", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC")]
+    assert {r.path: (r.licence, r.score) for r in L.own_licences(spark.createDataFrame(ties, "path string, text string")).collect()} == {"a": ("CC-BY-4.0", 1.0), "b": ("MIT", 1.0), "c": ("ISC", 1.0)}
+
+
+def test_known_headers(spark):
+    apache = 'Copyright 2020 A\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law, do not.'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    rows = {"Apache-2.0": "/*\n * " + apache.replace("\n", "\n * ") + "\n */\nint x;", "MPL-2.0": "// " + mpl.replace("\n", "\n// ") + "\ncode", "Apache-2.0 p": "# " + apache.replace("\n", "\r\n# ") + "\r\n\r\nimport os"}
+    assert {r.path: r.licence for r in L.own_licences(spark.createDataFrame(list(rows.items()), "path string, text string")).collect()} == {k: k.split()[0] for k in rows}
