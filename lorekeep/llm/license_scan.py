@@ -9,6 +9,7 @@ threshold whatever the frequencies are dropped as they are read, and no other.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -102,51 +103,56 @@ class Units:
         self.bags = [Counter(_TERMS.findall(t.translate(_FOLD))) for _, t in TEMPLATES + TEXTS]
         self.number = {t: i for i, t in enumerate(sorted({t for b in self.bags for t in b}))}
 
-    def of(self, text: str) -> Iterator[list[str]]:
-        """The terms of every unit of a whole text that has any."""
+    def split(self, terms: list[str]) -> tuple[list[int], list[str]]:
+        """Numbers of the known terms, and the unknown ones."""
+        numbers = list(map(self.number.get, terms))
+        known = [n for n in numbers if n is not None]
+        return known, terms if not known else [t for t, n in zip(terms, numbers, strict=True) if n is None]
+
+    def of(self, text: str) -> Iterator[tuple[list[int], list[str], int]]:
+        """(numbers of the known terms, the unknown ones, how many units are the same) for all units of a whole text that
+        have terms. A line that is a sentence, a paragraph or the file as well is one of these that counts so often."""
         text = re.sub(r"\r\n?", "\n", text.translate(_FOLD)) + "\n"
         head = _HEADER.match(text)
         if head and (terms := _TERMS.findall(head[0])):
-            yield terms
-        every: list[str] = []
+            yield *self.split(terms), 1
+        parts: list[list] = []  # of the file: known, unknown, times
         for paragraph in _GAP.split(_COMMENT.sub("", text)):
-            own: list[str] = []
-            sentence: list[str] = []
+            first = start = len(parts)
             for line in paragraph.split("\n"):
-                parts = _STOP.sub("\\1\n", line).split("\n") if "." in line or "!" in line or "?" in line else [line]
-                for part in parts:
-                    terms = _TERMS.findall(part)
-                    if terms:
-                        yield terms
-                    sentence += terms
-                    own += terms
+                for part in _STOP.sub("\\1\n", line).split("\n") if "." in line or "!" in line or "?" in line else [line]:
+                    if terms := _TERMS.findall(part):
+                        parts.append([*self.split(terms), 1])
                     if part.endswith((".", "!", "?")):
-                        if sentence:
-                            yield sentence
-                        sentence = []
-            if sentence:
-                yield sentence
-            if own:
-                yield own
-            every += own
-        if every:
-            yield every
-
-    def vector(self, terms: list[str]) -> tuple[list[int], list[int], int] | None:
+                        yield from self._joined(parts, start)
+                        start = len(parts)
+            yield from self._joined(parts, start)
+            yield from self._joined(parts, first)
+        yield from self._joined(parts, 0)
+        yield from map(tuple, parts)
+
+    @staticmethod
+    def _joined(parts: list[list], start: int) -> Iterator[tuple[list[int], list[str], int]]:
+        """The unit of all parts from start on; of a single part, it counts once more instead."""
+        if len(parts) == start + 1:
+            parts[start][2] += 1
+        elif len(parts) > start:
+            yield [n for p in parts[start:] for n in p[0]], [t for p in parts[start:] for t in p[1]], 1
+
+    def vector(self, known: list[int], unknown: list[str]) -> tuple[list[int], list[int], int] | None:
         """(numbers, counts, sum of squared counts of unknown terms), or None if no frequencies bring the unit near a template.
 
         The cosine is at most the root of the known terms' share of the squared weights, and no known term weighs more
         than an unknown one.
         """
-        known = [i for t in terms if (i := self.number.get(t)) is not None]
         room = 1 / self.least**2 - 1
-        if len(terms) - len(known) > room * len(known) ** 2:
+        if not known or len(unknown) > room * len(known) ** 2:
             return None
         counts = Counter(known)
-        unknown = sum(n * n for n in Counter(t for t in terms if t not in self.number).values())
-        if unknown > room * sum(n * n for n in counts.values()):
+        if len(unknown) > (most := room * sum(n * n for n in counts.values())):
             return None
-        return list(counts), list(counts.values()), unknown
+        squares = sum(n * n for n in Counter(unknown).values())
+        return (list(counts), list(counts.values()), squares) if squares <= most else None
 
 
 class Scorer:
@@ -167,7 +173,10 @@ class Scorer:
     def best(self, ids: list[int], counts: list[int], unknown: int) -> tuple | None:
         """(0 for a whole licence text, else 1; minus the score; the name) of the nearest template, if it is near enough."""
         x = np.array(counts) * self.idf[ids]
-        score = np.minimum(1.0, np.round(self.templates[:, ids] @ x / np.sqrt((x * x).sum() + unknown * self.unknown**2), 9))
+        known, norm = (x * x).sum(), (x * x).sum() + unknown * self.unknown**2
+        if known < (self.least - 1e-6) ** 2 * norm:  # the known terms' share bounds the cosine
+            return None
+        score = np.minimum(1.0, np.round(self.templates[:, ids] @ x / np.sqrt(norm), 9))
         found = [(int(i < len(TEMPLATES)), -float(score[i]), (TEMPLATES + TEXTS)[i][0]) for i in np.flatnonzero(score >= self.least)]
         return min(found, default=None)
 
@@ -197,18 +206,20 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text", least
 
         schema = to_arrow_schema(CANDIDATES)
         for b in batches:
-            total, df, paths, found = 0, np.zeros(len(units.number), np.int64), [], []
+            total, seen, paths, found = 0, array("i"), [], []
             for p, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 vectors = []
-                for terms in units.of(t.as_py()):
-                    total += 1
-                    if ids := {i for x in terms if (i := units.number.get(x)) is not None}:
-                        df[list(ids)] += 1
-                        if v := units.vector(terms):
+                for known, unknown, times in units.of(t.as_py()):
+                    total += times
+                    if known:
+                        for _ in range(times):
+                            seen.extend(set(known))
+                        if v := units.vector(known, unknown):
                             vectors.append([v[2], *(x for pair in zip(v[0], v[1], strict=True) for x in pair)])
                 if vectors:
                     paths.append(p)
                     found.append(vectors)
+            df = np.bincount(np.frombuffer(seen, np.int32) if seen else [], minlength=len(units.number))
             # a row of frequencies for each batch
             yield pa.RecordBatch.from_pydict({"path": [*paths, None], "vectors": [*found, None], "units": [None] * len(paths) + [total], "df": [None] * len(paths) + [df.tolist()]}, schema=schema)
 

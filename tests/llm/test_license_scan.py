@@ -57,8 +57,10 @@ def test_dropped_units_could_not_match():
             known = {w: words.count(w) for w in words if w in units.number}
             unknown = sum(words.count(w) ** 2 for w in set(words) - set(known))
             every = s.best([units.number[w] for w in known], list(known.values()), unknown) if known else None
-            v = units.vector(words)
-            assert (s.best(v[0], v[1], v[2]) if v and v[0] else None) == every
+            v = units.vector(*units.split(words))
+            share = (s.templates[:, [units.number[w] for w in known]] @ (np.array(list(known.values())) * s.idf[[units.number[w] for w in known]])).max(initial=0)
+            norm = np.sqrt(sum((n * s.idf[units.number[w]]) ** 2 for w, n in known.items()) + unknown * s.unknown**2)
+            assert (s.best(*v) if v else None) == every and (every is None) == (round(share / norm, 9) < 0.75)
 
 
 def test_odd_rows(spark, odd, none):
