@@ -16,12 +16,15 @@ from .common import add_by_batch, bound_batches, bounded_sample, stored, table
 class Settings:
     """train_rows: vectors that centroids and code books are fitted on (the index holds every vector); lists grow with the
     square root of the rows up to max_lists; aim: share of the true neighbours within the training rows whose lists a query
-    must visit, from which the number of visited lists is measured; parts: code bytes of a vector; refined: candidates that get exact distances; members, queries: vectors of a bin of lists and queries of a block, which
-    one task compares."""
+    must visit, from which the number of visited lists is measured; probed: lists to visit, 0 for the measured number;
+    parts: code bytes of a vector; refined: different vectors that get exact distances; members, queries: vectors of a bin
+    of lists and queries of a block, which one task compares. With probed = max_lists and refined = the number of
+    different vectors the search is exact."""
 
     train_rows: int = 20_000
     max_lists: int = 1024
     aim: float = 0.985
+    probed: int = 0
     parts: int = 16
     refined: int = 250
     members: int = 65_536
@@ -29,6 +32,10 @@ class Settings:
     rounds: int = 8
 
 
+#: Tasks of the scan at most; each then takes several pairs of a bin and a block of queries.
+MOST_TASKS = 20_000
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
     """Lloyd's centroids from k different rows of x; an empty cell takes the row farthest from its centroid."""
     rng = np.random.default_rng(seed)
@@ -65,7 +72,7 @@ class Quantizer:
         self.cuts = np.linspace(0, self.dim, min(s.parts, self.dim) + 1).astype(int)
         self.books = [kmeans(rest[:, a:b], 256, s.rounds) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         self.probed = len(self.lists)
-        self.probed = self._measured(sample, near, s.aim)
+        self.probed = min(s.probed, len(self.lists)) or self._measured(sample, near, s.aim)
 
     def _measured(self, sample: np.ndarray, near: np.ndarray, aim: float, k: int = 10, tests: int = 400) -> int:
         """Lists to visit so that they hold `aim` of the k nearest training rows of some training rows. Of all rows, a query's
@@ -117,10 +124,19 @@ def unit_rows(column, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return at[good], x[good] / norm[good, None]
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Those rows (id, v) whose vectors take part: of the commonest length of all that are finite and not zero (the shorter
+    one in a tie)."""
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & whole)
+    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return good.where(F.size("v") == lengths.n) if lengths else good.limit(0)
+
+
 def fit(vectors: DataFrame, s: Settings) -> Quantizer | None:
-    """Fits on about s.train_rows vectors, chosen by a hash of their ids; None if no vector takes part."""
+    """Fits on about s.train_rows vectors, chosen by a hash of ids and vectors; None if there is no vector."""
     rows = vectors.count()
-    sample = bounded_sample(vectors, s.train_rows, "id").select("v").toArrow().column("v").combine_chunks()
+    sample = bounded_sample(vectors, s.train_rows, "id", "v").select("v").toArrow().column("v").combine_chunks()
     _, x = unit_rows(sample)
     return Quantizer(x, rows, s) if len(x) else None
 
@@ -130,13 +146,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
 
     queries: rows of the same columns. score is the cosine of the original vectors in double precision; ties go to the
     smaller vec_id. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-    part, nor do rows with a null key. A query with fewer than k candidates gets all that were found. Rows with one key
-    count as one candidate (the best of them).
+    part, nor do rows with a null key; if none is left, there are no rows. A query with fewer than k candidates gets all
+    that were found. Rows with one key count as one candidate (the best of them). Equal vectors are one entry of the index,
+    with the k + 1 smallest of their keys: no other of them can be among a query's k nearest.
     """
     s = settings or Settings()
     spark = vectors.sparkSession
     bound_batches(spark)
-    all_rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
+    rows = usable(vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")))
+    # the limit is applied within a partition before the shuffle, so that a vector that many rows share does not gather
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    copies = stored(rows.withColumn("r", place).where(F.col("r") <= k + 1).distinct().withColumn("entry", F.min("id").over(Window.partitionBy("v"))), "vectors")
+    all_rows = copies.where("r = 1").select("id", "v")
     out_schema = "query_id long, rank int, vec_id long, score double"
     quantizer = fit(all_rows, s)
     if quantizer is None:
@@ -169,33 +190,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         return run
 
     list_field, code_field = T.StructField("list", T.IntegerType(), True), T.StructField("code", T.BinaryType(), True)
-    members = stored(add_by_batch(all_rows, ["v"], [list_field, code_field], index).where("list >= 0").select("id", "list", "code"), "ivf")
+    # an id may stand for several vectors, so entries are told apart by a hash of theirs
+    entries = all_rows.select("id", F.xxhash64("v").alias("h"), "v")
+    members = stored(add_by_batch(entries, ["v"], [list_field, code_field], index).where("list >= 0").select("id", "h", "list", "code"), "ivf")
     # a row for each list, of which there are max_lists at most
     bins = _bins({r.list: r.n for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}, quantizer, s.members)
     places = F.broadcast(spark.createDataFrame([(i, b, n) for i, (b, n) in bins.items()], "list int, first int, parts int"))
-    members = members.join(places, "list").select("id", "list", "code", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bin"))
+    members = members.join(places, "list").select("id", "h", "list", "code", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bin"))
     shared_bins = spark.sparkContext.broadcast(bins)
-    asked = queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id is not null and v is not null")
-    asked = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.BinaryType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "probed", "bins", "unit"), "probes")
-    n_blocks, n_bins = max(1, -(-asked.count() // s.queries)), max((b + n for b, n in bins.values()), default=1)
-    left = members.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = asked.select("id", "probed", "unit", F.explode("bins").alias("bin"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("q"))
-    dim, refined = quantizer.dim, s.refined
+    asked = usable(queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"))).where(F.size("v") == quantizer.dim)
+    asked = stored(asked.dropDuplicates(["id"]), "queries")
+    probed = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.BinaryType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "probed", "bins", "unit"), "probes")
+    visits = probed.select("id", "probed", "unit", F.explode("bins").alias("bin"))
+    # a bin's members are copied once for each block of its own visitors
+    blocks = stored(visits.groupBy("bin").agg(F.ceil(F.count("*") / s.queries).cast("int").alias("blocks")), "blocks")
+    pairs = min(MOST_TASKS, max(1, blocks.agg(F.sum("blocks").alias("n")).first().n or 0))
+    left = members.join(blocks, "bin").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = visits.join(blocks, "bin").withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    refined = s.refined + 1  # a query's own vector is one of them
 
     def scan(rows, questions):
         import pyarrow as pa
 
-        out_q, out_id, out_s = [], [], []
+        out_q, out_id, out_h, out_s = [], [], [], []
         if rows.num_rows and questions.num_rows:
             q = shared.value
-            ids, lists = rows.column("id").to_numpy(), rows.column("list").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, lists = ids[order], lists[order]
+            ids, hashes, lists = (rows.column(c).to_numpy() for c in ("id", "h", "list"))
+            order = np.lexsort((hashes, ids))
+            ids, hashes, lists = ids[order], hashes[order], lists[order]
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             for qid, probed, unit in zip(*(questions.column(c).to_pylist() for c in ("id", "probed", "unit")), strict=True):
                 u, visited = np.frombuffer(unit, np.float64), np.zeros(len(q.lists), bool)
                 visited[np.frombuffer(probed, np.int32)] = True
-                at = np.flatnonzero(visited[lists] & (ids != qid))
+                at = np.flatnonzero(visited[lists])
                 t, score = q.tables(u), (q.lists @ u)[lists[at]]
                 for i in range(codes.shape[1]):
                     score += t[i][codes[at, i]]
@@ -203,21 +230,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
                 best = _top(score, min(refined, len(at)))
                 out_q.append(np.full(len(best), qid))
                 out_id.append(ids[at[best]])
+                out_h.append(hashes[at[best]])
                 out_s.append(score[best])
         empty = [np.zeros(0, np.int64)]
-        return pa.table({"query_id": np.concatenate(out_q or empty), "id": np.concatenate(out_id or empty), "near": np.concatenate(out_s or [np.zeros(0)])})
+        return pa.table({"query_id": np.concatenate(out_q or empty), "id": np.concatenate(out_id or empty), "h": np.concatenate(out_h or empty), "near": np.concatenate(out_s or [np.zeros(0)])})
 
-    found = left.repartition(n_bins * n_blocks, "bin", "q").groupBy("bin", "q").cogroup(right.repartition(n_bins * n_blocks, "bin", "q").groupBy("bin", "q")).applyInArrow(scan, "query_id long, id long, near double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("r") <= refined).select("query_id", "id")
-    exact = best.join(all_rows, "id").join(queries.select(F.col(f"`{key}`").cast("long").alias("query_id"), F.col(f"`{vector}`").alias("qv")), "query_id")
+    found = left.repartition(pairs, "bin", "q").groupBy("bin", "q").cogroup(right.repartition(pairs, "bin", "q").groupBy("bin", "q")).applyInArrow(scan, "query_id long, id long, h long, near double")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "h"))).where(F.col("r") <= refined).select("query_id", "id", "h")
+    exact = best.join(entries, ["id", "h"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
 
     def cosine():
         def run(a, b):
             out = []
             for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
                 x, y = np.array(x, np.float64), np.array(y, np.float64)
-                score = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y))) if len(x) == len(y) == dim else None
-                if score is not None and not np.isfinite(score):
+                score = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
+                if not np.isfinite(score):
                     x, y = x / np.abs(x).max(), y / np.abs(y).max()
                     score = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
                 out.append(score)
@@ -225,8 +253,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
 
         return run
 
-    scored = add_by_batch(exact, ["qv", "v"], [T.StructField("score", T.DoubleType(), True)], cosine).where("score is not null")
-    scored = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    scored = add_by_batch(exact, ["qv", "v"], [T.StructField("score", T.DoubleType(), True)], cosine).select("query_id", F.col("id").alias("entry"), "h", "score")
+    keys = copies.select("entry", F.xxhash64("v").alias("h"), "id")
+    scored = scored.join(keys, ["entry", "h"]).where("id != query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 

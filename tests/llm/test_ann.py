@@ -35,3 +35,33 @@ def test_odd_rows(spark):
     assert {g[0] for g in got} == {0, 1, 2, 7}
     empty = spark.createDataFrame([], df.schema)
     assert ann.search(empty, empty).count() == 0 and ann.search(df, empty).count() == 0
+
+
+def test_few_valid_vectors(spark):
+    rows = [(i, [1.0, float(i)] if i % 300 == 7 else [None, [0.0, 0.0], [float("nan"), 1.0]][i % 3] if i < 900 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df, settings=ann.Settings(train_rows=100)).collect()
+    assert len(got) == 50 and len({g.query_id for g in got}) == 10
+
+
+def test_a_hot_vector_hides_no_neighbours(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 8)).astype(np.float32)
+    hot = x[0]
+    rows = [(i, (hot if i % 3 == 0 else x[i % 400] + np.float32(0.001 * (i // 400))).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    s = ann.Settings(refined=60, members=300, queries=8, probed=1024)
+    got = sorted(((g.query_id, g["rank"], g.vec_id) for g in ann.search(df, df.where("vec_id % 20 = 0"), settings=s).collect()))
+    ids, y = list(range(1200)), np.array([v for _, v in rows])
+    want = [(q, n + 1, i) for q in range(0, 1200, 20) for n, i in enumerate(brute(ids, y, q, 5))]
+    same = sum(g == w for g, w in zip(got, want, strict=True))
+    assert same >= 0.98 * len(want)
+    assert [g for g in got if g[0] == 60] == [(60, n + 1, 3 * n) for n in range(5)]
+
+
+def test_exact_setting(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((g.query_id, g["rank"], g.vec_id) for g in ann.search(df, df.where("vec_id % 20 = 0"), settings=ann.Settings(probed=1024, refined=500)).collect())
+    assert got == [(q, n + 1, i) for q in range(0, 500, 20) for n, i in enumerate(brute(list(range(500)), x, q, 5))]
