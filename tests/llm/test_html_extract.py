@@ -59,3 +59,21 @@ def test_closed_and_unclosed_elements():
     assert inner == "The sum is x+1 here, as said before.\n\nSee the text instead too."
     assert m.text("<article><p>One sentence stands here.</p><script>var x = 1;<p>no text</p></article>") == "One sentence stands here."
     assert len(H.parse("<svg><iframe>" * 20_000).tag) == 40_001
+
+
+def test_text_of_drawings_and_frames_stays():
+    m = H.trained()
+    got = m.text("<article><h1>Some title</h1><p>The value <svg><text>five</text></svg> is <math><mi>x</mi></math> and <noscript>seen</noscript> by <template>many</template> people <iframe>today</iframe>.</p></article>")
+    assert got == "Some title\n\nThe value five is x and seen by many people today."
+    assert m.text("<article><p>A sentence of the page.</p><form><select><option>one</select></form><textarea>two</textarea><style>p{}</style></article>") == "A sentence of the page."
+
+
+def test_linear_time():
+    import time
+
+    for bad in ("<b></i>" * 150_000, "<i><div>" + "<b></i>" * 150_000, "<p><li><td>" * 90_000, "</p>" * 250_000, "<table><tr>" + "<b>" * 150_000 + "</td><td>" * 60_000):
+        start = time.process_time()
+        H.parse(bad)
+        assert time.process_time() - start < 2
+    p = H.parse("<i><div><b>x</i>y</div>z</i>w")
+    assert [(p.tag[i], t) for i, t in (x for x in p.text if x)] == [("b", "x"), ("b", "y"), ("i", "z"), ("html", "w")]
