@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import add_by_batch, stored, table
 #: Words of a window; shorter items are one window.
 WINDOW_WORDS = 10
 #: Text of the test set that one matcher holds; a larger set is searched in several passes, each over its own block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 _A, _Z = ord("A"), ord("Z")
 #: ASCII letters become lower case, digits stay, the rest of ASCII separates words; all other characters are of words.
@@ -25,68 +26,60 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def windows(ws: list[bytes], width: int = WINDOW_WORDS) -> set[bytes]:
-    """All runs of width words, blank at both ends; all words as one run if they are fewer."""
-    if not ws:
-        return set()
-    return {b" " + b" ".join(ws[i : i + width]) + b" " for i in range(max(1, len(ws) - width + 1))}
-
-
 class WuManber:
     """Multi-pattern search by block shifts.
 
     The last `block` bytes of a window position select a shift: how far the position can move on before the block could
     line up with an equal block in the first `length` bytes of any pattern. Where the shift is 0, the block selects a
     bucket of patterns, and these are compared with the text byte by byte. Positions move on in many lanes at once, one
-    for each stretch of the text, so that a step is a few NumPy operations over all lanes.
+    for each stretch of the text, so that a step is a few NumPy operations over all lanes. Patterns are places in one
+    buffer: about 40 bytes each, beside tables of 8 MB at most.
     """
 
-    def __init__(self, patterns: Iterable[bytes], lane: int = 512):
-        self.patterns = sorted(set(patterns))
-        self.lane = lane
-        if not self.patterns:
+    def __init__(self, source: bytes, starts: np.ndarray, lengths: np.ndarray, lane: int = 512):
+        """Patterns: lengths bytes of source from starts on."""
+        self.source, self.lane = source, lane
+        self.starts, self.lengths = starts, lengths
+        if not len(starts):
             return
-        self.length = min(map(len, self.patterns))
+        self.length = int(lengths.min())
         self.block = min(8, self.length)
         self.mask = np.uint64((1 << (8 * self.block)) - 1)
-        heads = np.frombuffer(b"".join(p[: self.length] for p in self.patterns), np.uint8).reshape(-1, self.length)
-        n_blocks = heads.shape[0] * (self.length - self.block + 1)
-        self.bits = np.uint64(64 - min(24, max(16, int(n_blocks * 4).bit_length())))
-        self.shift = np.full(1 << int(64 - self.bits), self.length - self.block + 1, np.int32)
+        n_blocks = len(starts) * (self.length - self.block + 1)
+        self.bits = np.uint64(64 - min(22, max(16, int(n_blocks * 4).bit_length())))
+        self.shift = np.full(1 << int(64 - self.bits), min(self.length - self.block + 1, 65535), np.uint16)
+        at = np.ndarray(len(source) + 1, "<u8", source + b"\0" * 8, strides=(1,))  # at[i]: the 8 bytes from i on
         for end in range(self.block, self.length + 1):
-            keys = np.zeros(len(heads), np.uint64)
-            for k in range(self.block):
-                keys |= heads[:, end - self.block + k].astype(np.uint64) << np.uint64(8 * k)
-            h = self._hash(keys)
-            self.shift[h] = np.minimum(self.shift[h], self.length - end)
-        self.suffixes, which = np.unique(keys, return_inverse=True)  # of the last round: the blocks that end a head
-        self.buckets: list[list[int]] = [[] for _ in self.suffixes]
-        for i, b in enumerate(which.tolist()):
-            self.buckets[b].append(i)
+            keys = at[starts + (end - self.block)] & self.mask
+            np.minimum.at(self.shift, self._hash(keys), min(self.length - end, 65535))
+        self.order = np.argsort(keys, kind="stable")  # of the last round: the blocks that end a head
+        self.suffixes, first = np.unique(keys[self.order], return_index=True)
+        self.bounds = np.append(first, len(keys))
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
 
     def find(self, text: bytes) -> Iterator[tuple[int, int]]:
         """(start, pattern number) of every occurrence, in no particular order."""
-        if not self.patterns or len(text) < self.length:
+        if not len(self.starts) or len(text) < self.length:
             return
         padded = text + b"\0" * 8
-        at = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))  # at[i]: the 8 bytes from i on
+        at = np.ndarray(len(text) + 1, "<u8", padded, strides=(1,))
         last = len(text) - self.length  # starts of the heads run from 0 to last
         pos = np.arange(0, last + 1, self.lane, dtype=np.int64)
         end = np.minimum(pos + self.lane, last + 1)
         back = self.length - self.block
         while len(pos):
             keys = at[pos + back] & self.mask
-            step = self.shift[self._hash(keys)]
+            step = self.shift[self._hash(keys)].astype(np.int64)
             if (zero := np.flatnonzero(step == 0)).size:
                 found = np.searchsorted(self.suffixes, keys[zero])
                 found[found == len(self.suffixes)] = 0
                 for i in np.flatnonzero(self.suffixes[found] == keys[zero]).tolist():
                     start = int(pos[zero[i]])
-                    for p in self.buckets[found[i]]:
-                        if text.startswith(self.patterns[p], start):
+                    for p in self.order[self.bounds[found[i]] : self.bounds[found[i] + 1]].tolist():
+                        a = int(self.starts[p])
+                        if text.startswith(self.source[a : a + int(self.lengths[p])], start):
                             yield start, p
             pos = pos + np.maximum(step, 1)
             if not (inside := pos < end).all():
@@ -94,15 +87,26 @@ class WuManber:
 
 
 class Matcher:
-    """Finds the windows of items in documents; very short patterns are searched apart, so that they slow no others."""
+    """Finds the windows of items in documents: all runs of width words, blank at both ends, or all words of an item that has
+    fewer. Very short windows are searched apart, so that they slow no others."""
 
     def __init__(self, items: Iterable[tuple[int, bytes]], width: int = WINDOW_WORDS, short: int = 24):
-        owners: dict[bytes, set[int]] = {}
+        folded, owners, starts, lengths, base = [], [], [], [], 0
         for item, text in items:
-            for w in windows(words(text), width):
-                owners.setdefault(w, set()).add(item)
-        self.searches = [WuManber(w for w in owners if (len(w) < short) == few) for few in (True, False)]
-        self.owners = [[sorted(owners[w]) for w in s.patterns] for s in self.searches]
+            if not (ws := words(text)):
+                continue
+            folded.append(b" " + b" ".join(ws) + b" ")
+            blanks = np.flatnonzero(np.frombuffer(folded[-1], np.uint8) == 32)
+            span = min(width, len(ws))
+            starts.append(base + blanks[: len(ws) - span + 1])
+            lengths.append((blanks[span:] - blanks[: len(ws) - span + 1] + 1).astype(np.int32))
+            owners.append(np.full(len(starts[-1]), item, np.int64))
+            base += len(folded[-1])
+        source, none = b"".join(folded), np.zeros(0, np.int64)
+        every, length, owner = (np.concatenate([none, *x]) for x in (starts, lengths, owners))
+        parts = [np.flatnonzero((length < short) == few) for few in (True, False)]
+        self.searches = [WuManber(source, every[p], length[p]) for p in parts]
+        self.owners = [owner[p] for p in parts]
 
     def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[dict]], list[list[int]]]:
         """Words of each text, merged runs of hit words as (first, last + 1), and the items that occur."""
@@ -110,11 +114,11 @@ class Matcher:
         folded = [b" " + b" ".join(ws) + b" " for ws in split]
         begin = np.concatenate([[0], np.cumsum([len(f) + 1 for f in folded])])
         whole = b"\n".join(folded)  # no pattern holds a line feed
-        hits: dict[int, list[tuple[int, int, list[int]]]] = {}
+        hits: dict[int, list[tuple[int, int, int]]] = {}
         for search, owners in zip(self.searches, self.owners, strict=True):
             for start, p in search.find(whole):
                 k = int(np.searchsorted(begin, start, "right")) - 1
-                hits.setdefault(k, []).append((start - int(begin[k]), len(search.patterns[p]), owners[p]))
+                hits.setdefault(k, []).append((start - int(begin[k]), int(search.lengths[p]), int(owners[p])))
         spans: list[list[dict]] = [[] for _ in texts]
         items: list[list[int]] = [[] for _ in texts]
         for k, found in hits.items():
@@ -128,10 +132,21 @@ class Matcher:
                 else:
                     runs.append([a, b])
             spans[k] = [{"first": a, "end": b} for a, b in runs]
-            items[k] = sorted({i for _, _, own in found for i in own})
+            items[k] = sorted({i for _, _, i in found})
         return [len(ws) for ws in split], spans, items
 
 
+#: The matcher that a worker built last, by the name of its block: it serves all tasks of the worker.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, block, width: int) -> Matcher:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(block.value, width)
+    return _BUILT[name]
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType(), False), T.StructField("end", T.LongType(), False)]), False)
 ITEMS = T.ArrayType(T.LongType(), False)
 
@@ -168,8 +183,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             out = stored(out, "decontaminate")
         shared = sc.broadcast(block)
 
-        def work(shared=shared, first=first):
-            matcher = Matcher(shared.value, width)
+        def work(shared=shared, first=first, name=uuid.uuid4().hex):
+            matcher = _matcher(name, shared, width)
 
             def run(texts, *before):
                 import pyarrow as pa

@@ -63,3 +63,16 @@ def test_query_digest(spark, tmp_path):
     spark.createDataFrame([(10, "a"), (9, "b c"), (3, "z")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     r = D.op7_query(spark, str(tmp_path)).first()
     assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (3, 3, 2, hashlib.sha256(b"10,9").hexdigest(), True)
+
+
+def test_matcher_memory():
+    import tracemalloc
+
+    r = random.Random(8)
+    items = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(2000)).encode()) for i in range(200)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    m = D.Matcher(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 10 * size + (9 << 20) and len(m.owners[1]) > 300_000
