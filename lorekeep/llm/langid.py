@@ -27,12 +27,21 @@ class Settings:
     least: float = 0.35
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of one of Unicode's categories of letters; fractions, exponents and numerals are not."""
+    return bool(text) and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def grams(text: str, s: Settings) -> np.ndarray:
     """Numbers of the n-grams that occur in the whole text: letters in lower case, all else one blank."""
+    return np.flatnonzero(_seen(text, s))
+
+
+def _seen(text: str, s: Settings) -> np.ndarray:
     b = (" " + _NO_LETTERS.sub(" ", text.lower()).strip() + " ").encode()
     x = np.frombuffer(b, np.uint8).astype(np.uint32)
     seen = np.zeros(1 << s.bits, bool)
@@ -44,7 +53,7 @@ def grams(text: str, s: Settings) -> np.ndarray:
             h = (h ^ x[i : len(x) - order + 1 + i]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(13)
         seen[(h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - s.bits)] = True
-    return np.flatnonzero(seen)
+    return seen
 
 
 class Model:
@@ -89,7 +98,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and a score from 0 to 1; und and 0 for texts without a letter."""
-        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        at = [i for i, t in enumerate(texts) if has_letter(t)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if at:
             z = self._features([grams(texts[i], self.s) for i in at]).astype(np.float64)
@@ -105,20 +114,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", settings: S
     without a letter, take no part. None if no row does."""
     s = settings or Settings()
     told_apart = F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns if c != text and not isinstance(labelled.schema[c].dataType, T.MapType)], F.col(f"`{text}`"))
-    usable = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"), told_apart.alias("h")).where("t is not null and l is not null").where(F.col("t").rlike(r"\p{L}"))
+    usable = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"), told_apart.alias("h")).where("t is not null and l is not null")
     rows = bounded_sample(usable, s.rows, "h").select("t", "l")
 
     def work():
-        return lambda texts: [[grams(t.as_py(), s).astype("<u4").tobytes() for t in texts]]
+        return lambda texts: [[np.packbits(_seen(t, s)).tobytes() if has_letter(t) else None for t in texts.to_pylist()]]
 
-    found = add_by_batch(rows, ["t"], [T.StructField("g", T.BinaryType(), False)], work).select("g", "l").orderBy("g", "l").collect()
-    return Model([np.frombuffer(r.g, "<u4").astype(np.int64) for r in found], [r.l for r in found], s) if found else None
+    # 2^bits bits a text, however long it is
+    found = add_by_batch(rows, ["t"], [T.StructField("g", T.BinaryType(), True)], work).where("g is not null").select("g", "l").collect()
+    found.sort(key=lambda r: (r.l, r.g))
+    return Model([np.flatnonzero(np.unpackbits(np.frombuffer(r.g, np.uint8))) for r in found], [r.l for r in found], s) if found else None
 
 
 def languages(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds lang_pred and score for every whole text.
 
-    `und` and 0 go to null and empty texts, texts without a letter, and all if there is no model. Rows stay as they are;
+    `und` and 0 go to null and empty texts, texts without a letter, and all if there is no model. Of equally likely languages
+    the first by name wins; repeated rows get equal results, and each counts in training. Rows stay as they are;
     columns of the names added are replaced. The model's size depends on its settings alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

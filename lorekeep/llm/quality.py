@@ -15,10 +15,13 @@ from .langid import held_out
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: labelled documents that the model is fitted on, about; passage: bytes of a passage; hidden, gate: sizes of the
-    encoding and of the attention; epochs, batch, rate, decay: training."""
+    """rows: labelled documents that the model is fitted on, about; total, longest: passages of all these documents, about,
+    and of one of them, at most (longer ones are scored whole, but not learned from); passage: bytes of a passage; hidden,
+    gate: sizes of the encoding and of the attention; epochs, batch, rate, decay: training."""
 
     rows: int = 5_000
+    total: int = 100_000
+    longest: int = 5_000
     passage: int = 600
     hidden: int = 24
     gate: int = 12
@@ -80,6 +83,18 @@ class Model:
         starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
         return self._forward(np.clip(x, -8, 8), starts)[-1]
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """Of the mean cross-entropy, by each of the weights."""
+        hid, t, g, bag, alpha, z, p = self._forward(x, starts)
+        w1, b1, v, u, a, c, b = self.weights
+        dlogit = (p - labels) / len(labels)
+        dz = dlogit[:, None] * c
+        dalpha = (hid * dz[bag]).sum(1)
+        de = alpha * (dalpha - np.add.reduceat(alpha * dalpha, starts)[bag])
+        dt, dg = de[:, None] * a * g * (1 - t * t), de[:, None] * a * t * g * (1 - g)
+        dh = (alpha[:, None] * dz[bag] + dt @ v.T + dg @ u.T) * (1 - hid * hid)
+        return [x.T @ dh, dh.sum(0), hid.T @ dt, hid.T @ dg, (t * g).T @ de, z.T @ dlogit, dlogit.sum()]
+
     @classmethod
     def fit(cls, bags: list[np.ndarray], labels: np.ndarray, s: Settings, seed: int = 3) -> Model:
         """Cross-entropy by Adam; gradients through the attention by hand."""
@@ -99,15 +114,7 @@ class Model:
                 own = order[lo : lo + s.batch]
                 x = np.concatenate([data[i] for i in own])
                 starts = np.concatenate([[0], np.cumsum([len(data[i]) for i in own])[:-1]])
-                hid, t, g, bag, alpha, z, p = model._forward(x, starts)
-                w1, b1, v, u, a, c, b = model.weights
-                dlogit = (p - labels[own]) / len(own)
-                dz = dlogit[:, None] * c
-                dalpha = (hid * dz[bag]).sum(1)
-                de = alpha * (dalpha - np.add.reduceat(alpha * dalpha, starts)[bag])
-                dt, dg = de[:, None] * a * g * (1 - t * t), de[:, None] * a * t * g * (1 - g)
-                dh = (alpha[:, None] * dz[bag] + dt @ v.T + dg @ u.T) * (1 - hid * hid)
-                grads = [x.T @ dh, dh.sum(0), hid.T @ dt, hid.T @ dg, (t * g).T @ de, z.T @ dlogit, dlogit.sum()]
+                grads = model.gradients(x, starts, labels[own])
                 step += 1
                 for i, gr in enumerate(grads):
                     gr = gr + s.decay * model.weights[i]
@@ -118,12 +125,18 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings | None = None) -> Model | None:
-    """Fits on about settings.rows labelled documents, chosen by a hash of their keys; null keys and labels take
-    no part. None if there is no label."""
+    """Fits on about settings.rows labelled documents, chosen by a hash of key and label; null keys and labels take
+    no part, repeated labels count once, and documents of one key each count. None if there is no label."""
     s = settings or Settings()
-    usable = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("double").alias("y")).where("k is not null and y is not null")
-    chosen = bounded_sample(usable, s.rows, "k")
+    usable = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("double").alias("y")).where("k is not null and y is not null").distinct()
+    chosen = bounded_sample(usable, s.rows, "k", "y")
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(chosen), "k")  # about s.rows
+    size = F.greatest(F.ceil(F.coalesce(F.octet_length("t"), F.lit(0)) / s.passage), F.lit(1))
+    rows = rows.where(size <= s.longest)
+    # many rows of one key, or long ones, are thinned out by a hash of the whole row
+    total = rows.agg(F.sum(size).alias("n")).first().n or 0
+    if total > s.total:
+        rows = rows.where(F.pmod(F.xxhash64("k", "y", "t", F.lit(1)), F.lit(1 << 31)) < F.lit(int(s.total / total * (1 << 31))))
 
     def work():
         return lambda texts: [[passages(t.as_py(), s.passage).tobytes() for t in texts]]

@@ -40,17 +40,65 @@ def test_remainders(spark):
     assert all(got[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(50)) and got[None] is False
 
 
+def test_letters(spark):
+    assert [langid.has_letter(t) for t in (None, "", "½ ² Ⅷ 12", "½ é", "日", "ª", "a", "_!")] == [False, False, False, True, True, True, True, False]
+    df = spark.createDataFrame([(1, "½ ²", "aa"), (2, "some words", "bb"), (2, "some words", "bb")], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == ["bb"] and [r.lang_pred for r in langid.languages(df, model).orderBy("doc_id").collect()] == ["und", "bb", "bb"]
+
+
+def test_kernel_ridge_against_the_exact_solution():
+    r = random.Random(7)
+    langs = [lang for lang in WORDS for _ in range(12)]
+    texts = [text(r, lang, 9) for lang in langs]
+    s = langid.Settings(landmarks=36)
+    found = [langid.grams(t, s) for t in texts]
+    model = langid.Model(found, langs, s)
+    kernel = lambda a, b: np.array([[len(set(x) & set(y)) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    n, k, w = len(texts), kernel(found, found), np.array([1 / 12] * 36) * 36 / 3
+    y = np.array([[1.0 if a == b else -1.0 for b in model.langs] for a in langs])
+    system = np.block([[w[:, None] * k + s.ridge * n * np.eye(n), w[:, None]], [(w @ k)[None, :], np.array([[w.sum()]])]])
+    solution = np.linalg.solve(system, np.vstack([w[:, None] * y, (w @ y)[None, :]]))
+    others = [langid.grams(text(r, lang, 9), s) for lang in WORDS for _ in range(5)]
+    exact = kernel(others, found) @ solution[:-1] + solution[-1]
+    own = model._features(others).astype(float) @ model.beta[:-1] + model.beta[-1]
+    assert np.abs(own - exact).max() < 1e-3
+
+
 def test_gradients():
     r = np.random.default_rng(1)
-    s = quality.Settings(epochs=0)
     bags = [r.normal(size=(k, 6)) for k in (1, 3, 2)]
-    y = np.array([1.0, 0.0, 1.0])
-    # one step of plain gradient descent has to lower the loss along the computed direction
-    m0 = quality.Model.fit(bags, y, s)
-    before = -np.mean(y * np.log(m0.score(bags)) + (1 - y) * np.log(1 - m0.score(bags)))
-    m1 = quality.Model.fit(bags, y, quality.Settings(epochs=60, batch=3, decay=0.0))
-    after = -np.mean(y * np.log(m1.score(bags)) + (1 - y) * np.log(1 - m1.score(bags)))
-    assert after < 0.2 * before
+    x, starts, y = np.concatenate(bags), np.array([0, 1, 4]), np.array([1.0, 0.0, 1.0])
+    m = quality.Model.fit(bags, y, quality.Settings(epochs=2, hidden=5, gate=3))
+
+    def loss():
+        p = m._forward(x, starts)[-1]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for w, grad in zip(range(len(m.weights)), m.gradients(x, starts, y), strict=True):
+        for at in np.ndindex(m.weights[w].shape):
+            kept, ends = np.array(m.weights[w]), []
+            for step in (1e-5, -1e-5):
+                moved = kept.copy()
+                moved[at] += step
+                m.weights[w] = moved
+                ends.append(loss())
+            m.weights[w] = kept
+            assert abs((ends[0] - ends[1]) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "same words here"), (1, "same words here")] * 200 + [(2, "x" * 9000)] + [(i, f"words {i}") for i in range(3, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    seen = []
+    fit = quality.Model.fit
+    quality.Model.fit = classmethod(lambda cls, bags, y, s: seen.append([len(b) for b in bags]))
+    try:
+        quality.fit(docs, labels, settings=quality.Settings(longest=10))
+        quality.fit(docs, labels, settings=quality.Settings(longest=10, total=100))
+    finally:
+        quality.Model.fit = fit
+    assert len(seen[0]) == 457 and max(seen[0]) == 1 and sum(seen[1]) < 457
 
 
 def test_quality(spark, odd, none):
