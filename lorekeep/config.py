@@ -10,7 +10,8 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Settings:
-    """All of them can be overridden by LOREKEEP_<NAME>; unknown names are ignored."""
+    """All of them can be overridden by LOREKEEP_<NAME>; unknown names are ignored. tokens: "ascii" for runs of ASCII letters
+    and digits, "any" for words of all scripts and single Chinese and Japanese characters."""
 
     index_dir: str = "storage/index"
     pdf_dir: str = "storage/papers/pdf"
@@ -23,6 +24,7 @@ class Settings:
     bm25_weight: float = 0.3
     vector_weight: float = 0.7
     distance_cutoff: float = 1.5
+    tokens: str = "ascii"
     history_pairs: int = 5
     search_page: int = 100
     search_delay_s: float = 3.0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Default tokens: runs of ASCII letters and digits, case kept.
 TOKEN = r"[A-Za-z0-9]+"
+#: Tokens of any script: runs of letters, marks and digits, and every Chinese or Japanese character by itself.
+TOKEN_ANY = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}\p{Nd}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+"
 UNKNOWN_YEAR = "未知"
 
 
@@ -15,6 +17,9 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# Patterns of ids, file names and labels below are fixed values: their results must match ids and files that exist.
+
+
 def normalize_paper_id(raw: Column) -> Column:
     """Drops a leading "arXiv:", a version at the end, all slashes, then white space at the ends, in this order."""
     c = F.regexp_replace(raw, r"(?i)^arXiv:", "")

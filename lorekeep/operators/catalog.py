@@ -59,6 +59,11 @@ def titles(catalog: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
     return catalog.select("arxiv_id", "title").join(ids.select(without_txt(F.col("arxiv_id")).alias("arxiv_id")), "arxiv_id", "left_semi")
 
 
+def first_with_label(papers: DataFrame, label: str = "label", key: str = "doc_id") -> DataFrame:
+    """label, key: the first paper with each label, as choosing a label from a list resolves it."""
+    return papers.groupBy(label).agg(F.min(key).alias(key))
+
+
 def create_tables(spark: SparkSession, database: str) -> None:
     """Database, catalog, import log and migrations, where they are not there yet."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")

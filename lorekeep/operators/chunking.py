@@ -74,14 +74,17 @@ def chunk_lists(text, size: int = 800, overlap: int = 150):
     return run(text)
 
 
-def split_documents(pages: DataFrame, document: str = "source", size: int = 800, overlap: int = 150) -> DataFrame:
+def split_documents(pages: DataFrame, document: str = "source", size: int = 800, overlap: int = 150, paged: bool = True) -> DataFrame:
     """Chunks of pages (page_content, page, the document's column and any others), each page split on its own.
 
     chunk_index counts from 0 over all chunks of a document, in order of pages. A document's chunks are numbered in one
-    task per document; documents are spread by their key.
+    task per document; documents are spread by their key. paged=False: every row is a document by itself, and its chunks
+    are numbered where they are made.
     """
     rest = [c for c in pages.columns if c != "page_content"]
     cut = pages.select(*rest, F.posexplode(chunk_lists(F.col("page_content"), size, overlap)).alias("pos_", "page_content"))
+    if not paged:
+        return cut.withColumnRenamed("pos_", "chunk_index")
     order = Window.partitionBy(document).orderBy("page", "pos_")
     return cut.withColumn("chunk_index", F.row_number().over(order) - 1).drop("pos_")
 

@@ -18,10 +18,11 @@ def vector_leg(hits: DataFrame, weight: float = 0.7, cutoff: float = 1.5) -> Dat
 
 def bm25_leg(scores: DataFrame, k: int, weight: float = 0.3) -> DataFrame:
     """scores: qid, id, s. Each question's best score over all documents scales the others; equal scores go to the larger id,
-    as a reversed stable sort would have it; scores of 0 and less drop out."""
+    as a reversed stable sort would have it (to 9 digits: sums of equal parts differ by their order in the last ones);
+    scores of 0 and less drop out."""
     by = Window.partitionBy("qid")
     top = scores.groupBy("qid").agg(F.max("s").alias("top"))
-    best = scores.withColumn("rk", F.row_number().over(by.orderBy(F.desc("s"), F.desc("id")))).where(F.col("rk") <= 2 * k)
+    best = scores.withColumn("rk", F.row_number().over(by.orderBy(F.desc(F.round("s", 9)), F.desc("id")))).where(F.col("rk") <= 2 * k)
     norm = F.col("s") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
     return best.join(top, "qid").where("s > 0").select("qid", "id", F.lit(None).cast("double").alias("vs"), (weight * norm).alias("bs"), F.lit(None).cast("int").alias("vr"), F.col("rk").alias("br"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,67 +11,128 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.embed import embedded
+from ..functions.text import TOKEN
 from . import bm25
 
-PARTS = ("chunks", "vectors", "postings", "lengths")
+PARTS = ("chunks", "vectors", "postings", "terms", "lengths")
 VECTORS = "id string, embedding array<float>"
 POSTINGS = "id string, dl int, term string, tf long"
+TERMS = "term string, df long"
 LENGTHS = "id string, dl long"
+#: Terms of a batch of questions up to which they are sent to the scan of postings as a filter.
+FILTER_TERMS = 1_000
+
+
+def distinct_contents(rows: DataFrame, text: str = "page_content", key: str | None = None) -> DataFrame:
+    """One row of each text, the one with the smallest key if there is one; with `copies`, how many there were."""
+    kept = [F.min(key).alias(key)] if key else []
+    return rows.groupBy(text).agg(*kept, F.count("*").alias("copies"))
 
 
 class Index:
-    """A folder with one table for each part. A batch of chunks is written to all parts under one batch number, and a
-    batch counts once its marker is there, so that readers see whole batches only."""
+    """A folder with one table for each part. A batch of chunks is written to all parts under one name, and a batch counts
+    once its marker is there, so that readers see whole batches only. Ids of chunks start with the batch's name: equal
+    texts and equal files of several batches stay documents of their own."""
+
+    def __init__(self, spark: SparkSession, path: str, embedder: Callable | None = None, dim: int = 64, pattern: str = TOKEN):
+        self.spark, self.path, self.embedder, self.dim, self.pattern = spark, path.rstrip("/"), embedder, dim, pattern
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Callable | None = None, dim: int = 64):
-        self.spark, self.path, self.embedder, self.dim = spark, path.rstrip("/"), embedder, dim
+    def _path(self, name: str = ""):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def batches(self) -> list[int]:
-        fs, path = self._fs()
-        marks = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(marks)) if fs.exists(marks) else []
+    def batches(self) -> list[str]:
+        """Names of the batches that count, in order. The marker of a merged batch holds the names of those it replaces."""
+        fs, marks = self._fs(), self._path("batches")
+        names = {s.getPath().getName() for s in fs.listStatus(marks)} if fs.exists(marks) else set()
+        merged = [n for n in names if n.endswith("-merged")]
+        return sorted(names - {s.getPath().getName() for n in merged for s in fs.listStatus(self._path(f"batches/{n}"))})
 
-    def add(self, chunks: DataFrame, dedup: bool = False) -> int:
+    def add(self, chunks: DataFrame, dedup: bool = False, batch: str | None = None) -> int:
         """Appends chunks (schemas.CHUNKS) and returns their number; none: nothing happens. Adding a text again keeps both
-        copies, unless dedup leaves out texts that the index or the batch already holds."""
+        copies, unless dedup leaves out texts that the index or the batch already holds.
+
+        batch: a name that tells a repeated attempt from a new batch: one that counts already is not added again. Without
+        it the time and a random number name the batch, so that several writers do not meet.
+        """
+        known = self.batches()
+        if batch in known:
+            return 0
+        name = batch or f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
         if dedup:
             chunks = chunks.dropDuplicates(["page_content"])
-            if self.batches():
+            if known:
                 chunks = chunks.join(self.read("chunks").select("page_content"), "page_content", "left_anti").select(*chunks.columns)
-        number = max(self.batches(), default=0) + 1
-        target = {p: f"{self.path}/{p}/batch={number}" for p in PARTS}
-        chunks.write.mode("overwrite").parquet(target["chunks"])
-        stored = self.spark.read.schema(schemas.CHUNKS).parquet(target["chunks"])
+        # batch, source and place in it; a row number tells equal ones apart
+        own = F.concat(F.lit(f"{name}/"), F.coalesce("source", F.lit("")), F.lit("#"), F.lpad(F.coalesce("chunk_index", F.lit(0)).cast("string"), 8, "0"), F.lit("#"), F.monotonically_increasing_id().cast("string"))
+        chunks.withColumn("chunk_id", own).write.mode("overwrite").parquet(self._part("chunks", name))
+        stored = self.spark.read.schema(schemas.CHUNKS).parquet(self._part("chunks", name))
         n = stored.count()
         if not n:
             return 0
-        stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(target["vectors"])
-        bm25.postings(stored, "chunk_id", "page_content").write.mode("overwrite").parquet(target["postings"])
-        bm25.doc_lengths(stored, "chunk_id", "page_content").write.mode("overwrite").parquet(target["lengths"])
-        fs, _ = self._fs()
-        fs.mkdirs(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches/{number}"))
+        stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(self._part("vectors", name))
+        # in order of terms, so that a question's terms are found by the files' statistics
+        bm25.postings(stored, "chunk_id", "page_content", self.pattern).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
+        bm25.doc_frequencies(stored, "page_content", self.pattern).write.mode("overwrite").parquet(self._part("terms", name))
+        bm25.doc_lengths(stored, "chunk_id", "page_content", self.pattern).write.mode("overwrite").parquet(self._part("lengths", name))
+        self._fs().mkdirs(self._path(f"batches/{name}"))
         return n
 
-    def read(self, part: str) -> DataFrame:
-        """A part over all whole batches; without any, an empty table. Damaged files fail loudly."""
-        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}[part]
-        paths = [f"{self.path}/{part}/batch={b}" for b in self.batches()]
+    def _part(self, part: str, batch: str) -> str:
+        return f"{self.path}/{part}/batch={batch}"
+
+    def merge(self) -> str | None:
+        """Makes one batch of all, so that many small ones cost no listings; ids stay. Its marker appears by one renaming.
+        The files of the replaced batches stay for readers that have begun; sweep() removes them."""
+        old = self.batches()
+        if len(old) < 2:
+            return None
+        name = f"{old[-1].removesuffix('-merged')}-{uuid.uuid4().hex[:6]}-merged"
+        for part in PARTS:
+            rows = self.read(part)
+            rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.repartitionByRange("term").sortWithinPartitions("term") if part == "postings" else rows
+            rows.write.mode("overwrite").parquet(self._part(part, name))
+        fs = self._fs()
+        for b in old:
+            fs.mkdirs(self._path(f"merging/{name}/{b}"))
+        fs.rename(self._path(f"merging/{name}"), self._path(f"batches/{name}"))
+        return name
+
+    def sweep(self) -> int:
+        """Removes the files of batches that a merged one replaced; how many there were."""
+        fs, kept, gone = self._fs(), set(self.batches()), set()
+        for m in [n for n in kept if n.endswith("-merged")]:
+            for s in fs.listStatus(self._path(f"batches/{m}")):
+                b = s.getPath().getName()
+                for part in PARTS:
+                    fs.delete(self._path(f"{part}/batch={b}"), True)
+                fs.delete(self._path(f"batches/{b}"), True)
+                gone.add(b)
+        return len(gone)
+
+    def read(self, part: str, batch: str | None = None) -> DataFrame:
+        """A part over all whole batches, or of one; without any, an empty table. Damaged files fail loudly."""
+        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS}[part]
+        paths = [self._part(part, b) for b in self.batches() if batch in (None, b)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def bm25(self) -> bm25.Bm25Index:
-        """Document frequencies, lengths and idf are aggregated anew from the postings of all batches; texts are not."""
+        """Frequencies and lengths are sums of what the batches have stored; neither texts nor postings are counted again."""
         corpus = bm25.corpus_stats(self.read("lengths"))
-        post = self.read("postings")
-        return bm25.Bm25Index(post, bm25.term_stats(post, corpus), corpus)
+        df = self.read("terms").groupBy("term").agg(F.sum("df").alias("df"))
+
+        def postings(asked: DataFrame) -> DataFrame:
+            terms = [r.term for r in asked.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+            found = self.read("postings")
+            return found.where(F.col("term").isin(terms)) if len(terms) <= FILTER_TERMS else found
+
+        return bm25.Bm25Index(postings, bm25.term_stats(df, corpus), corpus)
 
     def clear(self, confirm: str) -> bool:
         """Removes the index if confirm is exactly YES."""
         if confirm != "YES":
             return False
-        fs, path = self._fs()
-        fs.delete(path, True)
+        self._fs().delete(self._path(), True)
         return True

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, catalog, chunking, context, hybrid, importer, knn, migrations
+from ..operators import bm25, catalog, chunking, context, hybrid, importer, index, knn, migrations
 
 QUERY = ["the", "and", "tion", "der", "the"]
 K = 5
@@ -303,7 +303,7 @@ def statement_split(spark, sf_dir):
 
 def chunks_recursive(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.col("text").alias("page_content"))
-    return chunking.split_documents(docs, "doc_id").select("doc_id", "chunk_index", "page_content")
+    return chunking.split_documents(docs, "doc_id", paged=False).select("doc_id", "chunk_index", "page_content")
 
 
 def chunks_fixed_stride(spark, sf_dir):
@@ -314,7 +314,7 @@ def chunks_fixed_stride(spark, sf_dir):
 
 
 def dedup_by_content(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return index.distinct_contents(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "copies")
 
 
 def append_documents(spark, sf_dir):
@@ -332,7 +332,7 @@ def append_documents_whole(spark, sf_dir):
 def label_select(spark, sf_dir):
     """The first paper with each label, as a list shown to users would resolve it."""
     p = papers(spark, sf_dir).select("doc_id", T.paper_label(F.substring("title", 1, 3), T.published(F.col("year"))).alias("label"))
-    return p.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
+    return catalog.first_with_label(p)
 
 
 def history_structs(spark, sf_dir):
@@ -352,20 +352,78 @@ def retry_delays(spark, sf_dir):
     return e.select("doc_id", T.retry_delay(F.col("attempt"), F.col("limited")).alias("delay"))
 
 
-def answers_stub(spark, sf_dir):
+def answers(spark, sf_dir):
+    """Every benchmark item as a question to both legs: context, extractive completion and numbered citations."""
+    from ..session import work_path, written
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark")
-    best = hybrid.fuse(docs, None, hybrid.bm25_leg(bm25.scores(_index(spark, sf_dir), bm25.query_terms(items)), K), K)
+    e, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    legs = hybrid.vector_leg(knn.nearest_batch(e, asked, 2 * K)), hybrid.bm25_leg(bm25.scores(_index(spark, sf_dir), bm25.query_terms(items)), K)
     p = papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title")
+    hits = written(hybrid.fuse(docs, *legs, K).join(p.select("id", "arxiv_id"), "id"), work_path(spark, "hits"))
     questions = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.array().cast("array<struct<u:string,a:string>>").alias("history"))
-    return context.answers(questions, best.join(p.select("id", "arxiv_id"), "id"), p)
+    return context.answers(questions, hits, p)
+
+
+def index_search(spark, sf_dir):
+    """All documents added to an index twice, in two batches; the best texts of every benchmark item by the stored postings."""
+    from .. import schemas
+    from ..config import Settings
+    from ..engine import Engine
+    from ..session import work_path
+
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.lit(None).cast("string").alias("chunk_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("arxiv_id", "title", "category")], F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.col("text").alias("page_content"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    assert chunks.schema.simpleString() == spark.createDataFrame([], schemas.CHUNKS).schema.simpleString()
+    # no vector is nearer than -1, so that this leg, whose embedder SQL does not have, stays empty
+    engine = Engine(spark, Settings(index_dir=work_path(spark, "index"), distance_cutoff=-1.0))
+    for batch in ("batch-1", "batch-2"):
+        engine.index.add(chunks, batch=batch)
+    best = engine.hybrid_search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
+    return best.select("qid", "rank", F.md5(F.col("page_content" if "page_content" in best.columns else "text").cast("binary")).alias("text_md5"), F.round("score", 6).alias("score"), "bm25_rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, catalog_upsert_whole, mark_vectorized_whole, titles_lookup_whole, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, append_documents_whole, label_select, history_structs, metadata_defaults, retry_delays, answers_stub]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, catalog_upsert_whole, mark_vectorized_whole, titles_lookup_whole, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, append_documents_whole, label_select, history_structs, metadata_defaults, retry_delays, answers, index_search]
     return {f.__name__: f for f in names}
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[\s\x0b]+'), lambda w: w <> ''))"
+
+
+def _answers(hybrid_all: str, title: str) -> str:
+    """Fused hits with their papers, contexts and citations by source, and the first sentence that shares most words."""
+    kept = "coalesce(arg_max(doc_id, vr), arg_min(doc_id, br)) AS doc_id"
+    ranked = hybrid_all.replace("ORDER BY s DESC, doc_id DESC", "ORDER BY round(s, 9) DESC, doc_id DESC")
+    return f"""{ranked}, {_PAPERS}, kept AS (SELECT qid, text, {kept} FROM u JOIN documents USING (doc_id) GROUP BY qid, text),
+ hits AS (SELECT r.qid, r.rank, r.text, coalesce(arxiv_id, 'unknown') AS source FROM r JOIN kept ON kept.qid = r.qid AND kept.text = r.text JOIN papers USING (doc_id) WHERE rank <= 5),
+ src AS (SELECT qid, source, min(rank) AS first, string_agg(text, chr(10) ORDER BY rank) AS text FROM hits GROUP BY qid, source),
+ ctx AS (SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY first) AS body FROM src GROUP BY qid),
+ lists AS (SELECT item_id AS qid, b.text AS question, body, list_filter(list_transform(string_split(replace(body, chr(10), '. '), '. '), lambda x: trim(x, {_SPACE})), lambda x: x <> '') AS l FROM benchmark b LEFT JOIN ctx ON qid = item_id),
+ said AS (SELECT qid, question, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM lists),
+ best AS (SELECT qid, s FROM said QUALIFY row_number() OVER (PARTITION BY qid ORDER BY len(list_intersect({_WORDS.format('question')}, {_WORDS.format('s')})) DESC, i) = 1),
+ t AS (SELECT arxiv_id AS key, any_value(title) AS title FROM papers GROUP BY arxiv_id),
+ n AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY first) AS number, coalesce(title, source) AS t FROM src LEFT JOIN t ON key = replace(source, '.txt', '')),
+ refs AS (SELECT qid, string_agg(CAST(number AS VARCHAR) || '. [' || source || '] ' || {title}, chr(10) ORDER BY number) AS refs FROM n GROUP BY qid)
+SELECT CAST(lists.qid AS BIGINT) AS qid, question, CASE WHEN body IS NULL THEN '{context.NO_CONTEXT}' ELSE coalesce(s, '') END || CASE WHEN refs IS NULL THEN '' ELSE '{context.REFERENCES}' || refs END AS answer FROM lists LEFT JOIN best ON best.qid = lists.qid LEFT JOIN refs ON refs.qid = lists.qid"""
+
+
+_TWICE = f"""WITH twice AS (SELECT 1 AS batch, doc_id, text FROM documents UNION ALL SELECT 2, doc_id, text FROM documents),
+ tok AS (SELECT batch, doc_id, text, regexp_extract_all(text, '[A-Za-z0-9]+') AS t FROM twice),
+ tf AS (SELECT batch, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT batch, doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+ st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+ raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), st),
+ terms AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+ q AS (SELECT qid, term, count(*) AS qn FROM (SELECT item_id AS qid, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+ sc AS (SELECT qid, batch, doc_id, {_SCORE} AS s FROM tf JOIN q USING (term) JOIN terms USING (term), st GROUP BY ALL),
+ b AS (SELECT qid, batch, doc_id, s, s / greatest(max(s) OVER (PARTITION BY qid), 0) AS bn, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, batch DESC, doc_id DESC) AS rk FROM sc),
+ g AS (SELECT qid, text, sum(0.3 * bn) AS score, min(rk) AS bm25_rank FROM b JOIN documents USING (doc_id) WHERE rk <= 10 AND s > 0 GROUP BY qid, text),
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, bm25_rank) AS rank FROM g)
+SELECT CAST(qid AS BIGINT) AS qid, CAST(rank AS INT) AS rank, md5(text) AS text_md5, round(score, 6) AS score, CAST(bm25_rank AS INT) AS bm25_rank FROM r WHERE rank <= 5"""
+
+
 _D2 = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) ** 2))"
 _RESULTS = _PAPERS + ", res AS (SELECT arxiv_id, category, doc_id % 9 <> 0 AS success, CAST(CASE WHEN doc_id % 9 <> 0 THEN doc_id % 30 ELSE 0 END AS INT) AS chunks, CASE WHEN doc_id % 18 = 0 THEN '下载失败' END AS error FROM papers)"
 _MIGRATIONS = "f AS (SELECT name, regexp_extract(name, '^V([0-9]+__[0-9A-Za-z_]+)[.]sql$', 1) AS version FROM (VALUES " + ", ".join(f"('{f}')" for f in _FILES) + ") v(name)), found AS (SELECT * FROM f WHERE version <> ''), applied AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}')" for a in _APPLIED) + ") v(version))"
@@ -382,6 +440,8 @@ def oracle_sql() -> dict[str, str]:
         "bm25_term_stats": f"WITH {_BM25} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM terms",
         "bm25_doc_len": "SELECT doc_id AS id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS BIGINT) AS dl FROM documents",
         "bm25_corpus": "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))), 6) AS avgdl FROM documents",
+        "answers": _answers(hybrid_all, title),
+        "index_search": _TWICE,
         "knn_l2_topk": f"SELECT vec_id, round(d2, 6) AS d2, round(1 / (1 + d2), 6) AS similarity FROM (SELECT e.vec_id, {_D2} AS d2 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY d2, vec_id LIMIT 10",
         "knn_cutoff": f"SELECT qid, id, round(d2, 6) AS d2, rk FROM (SELECT qid, id, d2, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS INT) AS rk FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_D2} AS d2 FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rk <= 20 AND d2 <= 1.5",
         "context_by_source": f"WITH {_HITS} SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY first) AS context FROM g GROUP BY qid",

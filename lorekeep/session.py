@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lorekeep", master: str | None = None, **conf: str) -> SparkSession:
@@ -21,3 +24,24 @@ def get_session(app: str = "lorekeep", master: str | None = None, **conf: str) -
     for k, v in (base | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one of spark.checkpoint.dir, removed as the driver ends. Only a local session without that
+    setting gets one of its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lorekeep-")
+        sc.setCheckpointDir(base)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path and read back: it is evaluated once, whatever uses it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Files of up to so many bytes count as broken downloads.
@@ -51,17 +51,13 @@ def pdf_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(""))), "\n").alias("text"), "error")
 
 
-def accepted(name: Column) -> Column:
-    """Only .pdf and .txt, in lower case."""
-    return name.endswith(".pdf") | name.endswith(".txt")
-
-
 def load_files(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]] = simple_pdf) -> DataFrame:
-    """source, page, page_content, metadata of all .pdf and .txt files of a folder: a row per PDF page, one per text file.
+    """source (the whole path), page, page_content, metadata of all .pdf and .txt files of a folder: a row per PDF page, one
+    per text file; files of any other name, and of other case, are not accepted.
     PDFs that cannot be parsed give a row with page null and the error in the metadata."""
-    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_name").alias("source"), F.lit(0).alias("page"), F.col("value").alias("page_content"), F.create_map(F.lit("source"), F.col("_metadata.file_name")).alias("metadata"))
-    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    parsed = pdf_pages(binary, parser).withColumn("source", F.element_at(F.split("path", "/"), -1))
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("source"), F.lit(0).alias("page"), F.col("value").alias("page_content"), F.create_map(F.lit("source"), F.col("_metadata.file_path")).alias("metadata"))
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.col("_metadata.file_path").alias("path"), "content")
+    parsed = pdf_pages(binary, parser).withColumn("source", F.col("path"))
     pages = parsed.select("source", F.posexplode_outer("pages").alias("page", "page_content"), F.when(F.col("error").isNull(), F.create_map(F.lit("source"), F.col("source"))).otherwise(F.create_map(F.lit("source"), F.col("source"), F.lit("error"), F.col("error"))).alias("metadata"))
     return texts.unionByName(pages)
 

@@ -64,7 +64,7 @@ class _Reader(DataSourceReader):
                 try:
                     rows = parse_feed(fetch(url))
                     break
-                except OSError:
+                except (OSError, ET.ParseError):  # an answer that is cut off is asked for again
                     if attempt == retries:
                         raise
                     time.sleep(delay)

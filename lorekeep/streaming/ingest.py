@@ -1,11 +1,13 @@
 """Continuous ingestion: new files of a folder are chunked and appended to the index batch by batch.
 
-The reference workload is batch only; this is an addition. A micro-batch that is repeated after a failure writes the same
-numbered batch again, so nothing is indexed twice.
+The reference workload is batch only; this is an addition. A micro-batch has a name made of the checkpoint's place and its
+number: repeated after a failure, it writes the same batch again, or nothing if it is there, so nothing is indexed twice.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,10 +26,11 @@ def chunk_rows(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFra
 def follow(spark: SparkSession, folder: str, index: Index, checkpoint: str, size: int = 800, overlap: int = 150, available_now: bool = False) -> StreamingQuery:
     """Starts a query over the folder's .txt files; available_now: stops after those that are there."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").load(folder)
-    pages = files.select(F.col("_metadata.file_name").alias("source"), F.lit(0).alias("page"), F.col("value").alias("page_content"), F.create_map(F.lit("source"), F.col("_metadata.file_name")).alias("metadata"))
+    pages = files.select(F.col("_metadata.file_path").alias("source"), F.lit(0).alias("page"), F.col("value").alias("page_content"), F.create_map(F.lit("source"), F.col("_metadata.file_path")).alias("metadata"))
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def append(batch: DataFrame, number: int) -> None:
-        index.add(chunk_rows(batch, size, overlap), dedup=False)
+        index.add(chunk_rows(batch, size, overlap), dedup=False, batch=f"stream-{name}-{number:012d}")
 
     writer = pages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -88,7 +88,8 @@ def test_files_index_and_stream(spark, tmp_path):
     (folder / "bad.pdf").write_bytes(b"nothing")
     (folder / "c.PDF").write_bytes(pdf("no"))
     rows = files.load_files(spark, str(folder)).orderBy("source", "page").collect()
-    assert [(r.source, r.page, r.page_content) for r in rows] == [("a.txt", 0, "the cat sat on the mat"), ("b.pdf", 0, "page one"), ("b.pdf", 1, "page two"), ("bad.pdf", None, None)]
+    assert all(r.source.startswith("file:") and f"{folder}/" in r.source for r in rows)
+    assert [(r.source.rpartition("/")[2], r.page, r.page_content) for r in rows] == [("a.txt", 0, "the cat sat on the mat"), ("b.pdf", 0, "page one"), ("b.pdf", 1, "page two"), ("bad.pdf", None, None)]
     assert rows[3].metadata["error"].startswith("PDF解析失败")
     assert files.whole_downloads(spark, str(folder)).count() == 0
     index = Index(spark, str(tmp_path / "index"))
@@ -138,3 +139,85 @@ def test_engine_end_to_end(spark, tmp_path):
     assert catalog.clean(spark, "lore_test", "no") is False
     catalog.clean(spark, "lore_test", "YES")
     assert spark.table("lore_test.papers").count() == 0
+
+
+def settings(tmp_path, name):
+    return Settings(index_dir=str(tmp_path / "i"), text_dir=str(tmp_path / "t"), pdf_dir=str(tmp_path / "p"), database=name)
+
+
+def searched(e, *questions):
+    q = e.spark.createDataFrame([(i, x) for i, x in enumerate(questions)], "qid long, question string")
+    return [[(r.text, round(r.score, 6)) for r in e.hybrid_search(q, vector_weight=0.0).where(F.col("qid") == i).where("score > 0").orderBy("rank").collect()] for i in range(len(questions))]
+
+
+def test_equal_files_and_texts_stay_apart(spark, tmp_path):
+    e = Engine(spark, settings(tmp_path, "lore_apart"))
+    for name, text in (("one", "cats chase mice"), ("two", "dogs bark at night"), ("three", "birds sing"), ("four", "wolves howl")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text(text, encoding="utf-8")
+        assert e.upload(str(tmp_path / name)) == 1
+    assert searched(e, "cats", "bark birds") == [[("cats chase mice", 0.3)], [("birds sing", 0.3), ("dogs bark at night", searched(e, "bark birds")[0][1][1])]]
+    assert e.upload(str(tmp_path / "one")) == 1 and e.index.read("chunks").select("chunk_id").distinct().count() == 5
+    # a text that was added again is two documents, and both copies add to its score
+    docs = [["cats", "chase", "mice"], ["dogs", "bark", "at", "night"], ["birds", "sing"], ["wolves", "howl"], ["cats", "chase", "mice"]]
+    df = {t: sum(t in d for d in docs) for d in docs for t in d}
+    assert {r.term: r.df for r in e.index.bm25().terms.collect()} == df
+    assert searched(e, "cats mice") == [[("cats chase mice", 0.6)]]
+    before = searched(e, "cats", "sing mice")
+    name = e.index.merge()
+    assert e.index.batches() == [name] and searched(e, "cats", "sing mice") == before and e.index.merge() is None
+    assert e.index.sweep() == 5 and e.index.batches() == [name] and searched(e, "cats", "sing mice") == before
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    i = Index(spark, str(tmp_path / "i"))
+    chunks = ingest.chunk_rows(spark.createDataFrame([("s", 0, "some text", None)], schemas.PAGES))
+    assert i.add(chunks, batch="stream-x-1") == 1 and i.add(chunks, batch="stream-x-1") == 0 and i.add(chunks, batch="stream-x-2") == 1
+    # an attempt that broke off before its marker leaves files that do not count, and is written over
+    chunks.write.parquet(str(tmp_path / "i/chunks/batch=stream-x-3"))
+    assert i.read("chunks").count() == 2 and i.add(chunks, batch="stream-x-3") == 1 and i.read("chunks").count() == 3
+
+
+def test_import_again_and_quotas(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def fetch(paper):
+        with open(calls, "a", encoding="utf-8") as f:
+            f.write(paper + "\n")
+        if paper.endswith("9"):
+            raise RuntimeError("gone")
+        return pdf(f"text of {paper}") + b" " * 11_000
+
+    e = Engine(spark, settings(tmp_path, "lore_again"), fetch=fetch)
+    catalog.clean(spark, "lore_again", "YES")
+    one = spark.createDataFrame([("2401.00001",)], "arxiv_id string")
+    for _ in range(2):
+        r = e.import_papers(one).collect()
+        assert [(x.arxiv_id, x.success, x.chunks) for x in r] == [("2401.00001", True, 1)]
+    assert open(calls).read().split() == ["2401.00001"]  # kept, so not fetched again
+    row = spark.table("lore_again.papers").first()
+    for path in (row.pdf_path, row.txt_path):
+        assert spark.read.parquet(path).where("arxiv_id = '2401.00001'").count() == 1
+    found = spark.createDataFrame([(f"24{y:02d}.{i:05d}", "T", ["A"], 2000 + y, c, "s", None, i) for c in ("x", "y") for y in (23, 24) for i in range(8)], f"{schemas.PAPER_INFO}, relevance int").where("category <> 'y' or year = 2024")
+    real = e.import_papers
+    e.import_papers = lambda w, c, d=None: real(w, c, d) if c == "x" else (_ for _ in ()).throw(ValueError("broken"))
+    got = e.import_quotas({"y": 3, "x": 10}, found).collect()
+    assert [(r.category, r.error) for r in got if r.category == "y"] == [("y", "ValueError: broken")]
+    own = {r.arxiv_id for r in got if r.category == "x"}
+    assert own == {f"2424.{i:05d}" for i in range(8)} | {"2423.00000", "2423.00001"}
+    assert e.search_response("q", 5, found)[1] == 5
+    assert not e.clean("no") and e.clean("YES") and e.index.batches() == [] and not (tmp_path / "p").exists()
+
+
+def test_json(spark, tmp_path):
+    assert files.read_json(spark, str(tmp_path / "none"), "a long").count() == 0
+    (tmp_path / "x.json").write_text('[{"a": 1},\n {"a": 2}]', encoding="utf-8")
+    assert [r.a for r in files.read_json(spark, str(tmp_path / "x.json")).orderBy("a").collect()] == [1, 2]
+    files.write_json(spark.range(3).toDF("a"), str(tmp_path / "y"))
+    assert spark.read.json(str(tmp_path / "y")).count() == 3
+
+
+def test_package_exports():
+    import lorekeep
+
+    assert lorekeep.Engine is Engine and lorekeep.Settings is Settings and callable(lorekeep.get_session)

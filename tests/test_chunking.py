@@ -49,3 +49,64 @@ def test_metadata_and_table_function(spark):
     chunking.register(spark)
     assert spark.sql("SELECT chunk_index, page_content FROM VALUES ('ab cd') t(v), LATERAL chunk_text(t.v)").collect() == [(0, "ab cd")]
     assert df.select(F.size(chunking.chunk_lists(F.col("s"))).alias("n")).collect() == [(1,), (1,)]
+
+
+def slow_split(text, size, overlap, separators=chunking.SEPARATORS):
+    """Written apart from Splitter, by scanning characters: cut before each separator, then fill chunks one piece at a time."""
+    if not text:
+        return []
+    chosen = next((s for s in separators if s == "" or s in text), "")
+    finer = separators[separators.index(chosen) + 1 :]
+    pieces, begin, at = [], 0, 0
+    while at < len(text):
+        if chosen == "":
+            pieces.append(text[at])
+            at += 1
+            begin = at
+        elif text.startswith(chosen, at):
+            if at > begin:
+                pieces.append(text[begin:at])
+            begin, at = at, at + len(chosen)
+        else:
+            at += 1
+    if begin < len(text):
+        pieces.append(text[begin:])
+    out, waiting = [], []
+
+    def fill():
+        window = []
+        for p in waiting:
+            if window and sum(map(len, window)) + len(p) > size:
+                out.append("".join(window).strip())
+                while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(p) > size):
+                    window.pop(0)
+            window.append(p)
+        out.append("".join(window).strip())
+        waiting.clear()
+
+    for p in pieces:
+        if len(p) < size:
+            waiting.append(p)
+        else:
+            fill()
+            out.extend(slow_split(p, size, overlap, finer) if finer else [p.strip()])
+    fill()
+    return [c for c in out if c]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab \n\n。！？；，x", max_size=120), st.integers(2, 25), st.integers(0, 10))
+def test_against_a_slow_splitter(text, size, overlap):
+    assert Splitter(size, min(overlap, size)).split(text) == slow_split(text, size, min(overlap, size))
+
+
+def test_registered_query_against_the_slow_splitter(spark, tmp_path):
+    import random
+
+    import __spark_entry__
+
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice(["word", " ", "\n", "\n\n", "。", "，", "longer words here ", "x" * 50]) for _ in range(r.randint(0, 400)))) for i in range(40)] + [(40, None), (41, ""), (42, "y" * 2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.chunk_index, x.page_content) for x in __spark_entry__.queries()["chunks_recursive"](spark, str(tmp_path)).collect())
+    assert got == [(i, n, c) for i, t in rows for n, c in enumerate(slow_split(t, 800, 150))]

@@ -36,6 +36,7 @@ def test_views(spark):
     assert column(spark, lambda c: T.paper_label(c, F.lit("2020")), ["y" * 61]) == ["y" * 60 + "... (2020)"]
     assert column(spark, T.statements, ["a; b ;;\n ; c", ";", ""]) == [["a", "b", "c"], [], []]
     assert column(spark, T.tokens, ["The cat, the 2nd é.", ""]) == [["The", "cat", "the", "2nd"], []]
+    assert column(spark, lambda c: T.tokens(c, T.TOKEN_ANY), ["Übung 2nd, naïve", "我爱 cats猫。", "カタa"]) == [["Übung", "2nd", "naïve"], ["我", "爱", "cats", "猫"], ["カ", "タ", "a"]]
 
 
 def test_settings(tmp_path):

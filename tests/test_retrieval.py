@@ -23,11 +23,11 @@ def test_bm25_against_plain_python(spark):
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     query = ["a", "b", "a", "zzz", "h"]
     q = spark.createDataFrame([(0, t) for t in query], "qid long, term string")
-    got = {r.id: r.s for r in bm25.scores(bm25.build(df, keep=False), q).collect()}
+    got = {r.id: r.s for r in bm25.scores(bm25.build(df), q).collect()}
     for i, s in enumerate(okapi(docs, query)):
         assert got.get(i, 0.0) == pytest.approx(s, abs=1e-9)
     none = spark.createDataFrame([(0, "zzz")], "qid long, term string")
-    assert bm25.scores(bm25.build(df, keep=False), none).count() == 0
+    assert bm25.scores(bm25.build(df), none).count() == 0
 
 
 def fused(spark, texts, near, scores, k=5):
@@ -65,7 +65,20 @@ def test_knn(spark):
         assert sorted((r.qid, r.id, r.rk) for r in knn.nearest_batch(v, qs, 2, block=block).collect()) == [(0, 0, 1), (0, 1, 2), (1, 1, 1), (1, 2, 2)]
     plan = knn.nearest(v, q, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    assert knn.approximate(v.where("vec_id < 2"), [0.9, 0.0], 1).first().id == 1
+    assert knn.approximate(v.where("vec_id < 3"), [0.9, 0.0], 1).first().id == 1  # of two tied vectors, the smaller id
+
+
+def test_knn_blocks_against_plain_python(spark):
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)] if i % 17 else [1.0]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame([(f"q{i}", [r.uniform(-2, 2) for _ in range(3)]) for i in range(40)] + [("none", None), ("short", [0.5])], "qid string, q array<double>")
+    got = sorted((x.qid, x.rk, x.id) for x in knn.nearest_batch(v, qs, 4, block=15).collect())
+    want = []
+    for q in qs.collect():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, q.q)), i) for i, x in rows if q.q is not None and len(x) == len(q.q))
+        want += [(q.qid, n + 1, i) for n, (_, i) in enumerate(near[:4])]
+    assert got == sorted(want)
 
 
 def test_context_and_citations(spark):
