@@ -269,7 +269,7 @@ def _possible_pairs(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> Da
 
 
 def _group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members: token, i, j, which are a group's key, then rep, n, comp, map, side. Candidate pairs of all groups."""
+    """members: token, band, i, j, which are a group's key, then rep, n, comp, map, side. Candidate pairs of all groups."""
     bound_batches(members.sparkSession)
 
     def close(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -285,11 +285,11 @@ def _group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
         key, rows, out = None, [], set()
         for b in batches:
-            for token, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (token, i, j) != key:
+            for token, band, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (token, band, i, j) != key:
                     if len(rows) > 1:
                         out.update(close(rows))
-                    key, rows = (token, i, j), []
+                    key, rows = (token, band, i, j), []
                 rows.append(tuple(row))
             if len(out) > 50_000:
                 yield table_of(sorted(out))
@@ -298,10 +298,34 @@ def _group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
             out.update(close(rows))
         yield table_of(sorted(out))
 
-    dealt = members.select("token", "i", "j", "rep", "n", "comp", "map", "side").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    group = ["token", "band", "i", "j"]
+    dealt = members.select(*group, "rep", "n", "comp", "map", "side").repartition(*group).sortWithinPartitions(*group)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _dealt(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """token, band, i, j, rep, n, comp, side for members (token, rep, n, comp) of groups that are too large for a task.
+
+    Linked sets differ in size by a factor of den / num at most, so a group falls into bands of sizes, and a set meets those
+    of its own band and of the next one only. Each band is dealt out by pairs (i, j) of blocks: its own blocks come
+    first, then those of the next band.
+    """
+    # bands are wider than the factor by more than rounding can make of it
+    step = np.log(den / num) * (1 + 1e-6) if num < den else 0.0
+    band = F.floor(F.log("n") / F.lit(float(step))) if step else F.col("n")
+    members = members.withColumn("band", band.cast("long"))
+    sizes = stored(members.groupBy("token", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("own")), "bands")
+    after = sizes.select("token", (F.col("band") - 1).alias("band"), F.col("own").alias("next"))
+    before = sizes.select("token", (F.col("band") + 1).alias("band"), F.col("own").alias("last"))
+    placed = members.join(sizes, ["token", "band"]).join(after, ["token", "band"], "left").join(before, ["token", "band"], "left")
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
+    at, k, own = F.col("at"), F.col("k"), F.col("own")
+    first = placed.withColumn("k", F.explode(F.sequence(F.lit(0), own + F.coalesce("next", F.lit(0)) - 1)))
+    first = first.select("token", "band", F.when(k < own, F.least(at, k)).otherwise(at).alias("i"), F.when(k < own, F.greatest(at, k)).otherwise(k).alias("j"), "rep", "n", "comp", F.when(k == at, 3).when((k < own) & (k < at), 2).otherwise(1).alias("side"))
+    second = placed.where("last is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last") - 1)))
+    return first.unionAll(second.select("token", F.col("band") - 1, k, F.col("last") + at, "rep", "n", "comp", F.lit(2)))
+
+
 def _counted_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """a, na, b, nb for pairs of different components in small groups (token, rep, n, comp) that share as many prefix hashes
     as a link needs. Groups have FEW members at most, so a member meets fewer than FEW others in each."""
@@ -344,7 +368,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Two documents link when den * |intersection| >= num * |union| of their shingle sets. Null and empty texts, and texts
     without words, have no shingles and no links: they are components of their own. Rows with a null key get a null
     component and link with nothing. Rows with equal keys are one node of the graph, linked to what any of them links to.
+    Sets of a link may differ in size by a factor of two at most, as their bitmaps do: smaller thresholds are refused.
     """
+    if not 0 < num <= den <= 2 * num:
+        raise ValueError("the threshold num / den must lie between a half and one")
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(_signatures(own, width, num, den), "signatures")
@@ -370,10 +397,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_ = open_.where((F.col("size") > 2) | (den * F.col("n_lo") >= num * F.col("n_hi"))).select("token")
     rest = placed.join(open_, "token", "left_semi")
     counted = _near(_counted_pairs(rest.where(F.col("df") <= FEW), num, den), texts, width, num, den)
-    large = rest.where(F.col("df") > FEW).select("token", "rep", "n", "comp", F.ceil(F.col("df") / block).cast("int").alias("nb"))
-    large = large.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    large = large.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    large = stored(large.select("token", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), "rep", "n", "comp", F.when(F.col("at") == F.col("k"), 3).when(F.col("at") < F.col("k"), 1).otherwise(2).alias("side")), "large")
+    one = rest.where((F.col("df") > FEW) & (F.col("df") <= block))
+    one = one.select("token", F.lit(-1).cast("long").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "n", "comp", F.lit(3).alias("side"))
+    large = stored(one.unionAll(_dealt(rest.where(F.col("df") > block).select("token", "rep", "n", "comp"), num, den, block)), "large")
     searched = _group_pairs(large.join(stored(_bitmaps(texts, large.select("rep"), width), "bitmaps"), "rep"), num, den)
     more = stored(counted.unionAll(searched).distinct(), "tree-pairs")
     release(spark)

@@ -80,3 +80,24 @@ def test_long_chain(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(i, i + 60))) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component_id for r in N.similar_documents(df).collect()} == {0}
+
+
+def test_thresholds(spark):
+    import pytest
+
+    for num, den in ((30, 100), (0, 1), (3, 2)):
+        with pytest.raises(ValueError, match="threshold"):
+            N.similar_documents(spark.range(0), num=num, den=den)
+
+
+def test_bands_keep_all_pairs(spark):
+    r = random.Random(11)
+    rows = [(t, i, r.randint(1, 400), i) for t in (1, 2) for i in range(150)]
+    for num, den in ((90, 100), (80, 100), (50, 100), (1, 1)):
+        dealt = N._dealt(spark.createDataFrame(rows, "token long, rep long, n long, comp long"), num, den, 16).collect()
+        groups = {}
+        for x in dealt:
+            groups.setdefault((x.token, x.band, x.i, x.j), []).append(x)
+        met = {(k[0], *sorted((a.rep, b.rep))) for k, g in groups.items() for a in g for b in g if a.rep != b.rep and (a.side, b.side) in ((1, 2), (3, 3))}
+        assert {(t, a, b) for t, a, na, _ in rows for u, b, nb, _ in rows if t == u and a < b and den * min(na, nb) >= num * max(na, nb)} <= met
+        assert max(map(len, groups.values())) < 70 and all({x.side for x in g} in ({3}, {1, 2}, {1}, {2}) for g in groups.values())
