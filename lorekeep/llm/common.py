@@ -79,6 +79,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns of these names renamed, so that an operator's results do not replace them; and what gives its rows
+    the columns of df back, in their order, and no others."""
+    clashing = {c: free_name(df, f"{c}_aside") for c in df.columns if c.lower() in {n.lower() for n in names}}
+    now = {c: clashing.get(c, c) for c in df.columns}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in now.items()]), lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in now.items()])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that an operator is about to add: its own results replace columns of the same name."""
     added = {n.lower() for n in names}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, stored, table
+from .common import add_by_batch, aside, stored, table
 
 #: Words of a window; shorter items are one window.
 WINDOW_WORDS = 10
@@ -224,5 +224,5 @@ def op7_query(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns only."""
-    found = find_windows(docs, benchmark)
-    return found.where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, ["n_words", "hit_spans", "item_ids", "n_hit"])
+    return back(find_windows(own, benchmark).where("n_hit = 0"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_by_batch, bounded_sample, table
+from .common import add_by_batch, aside, bounded_sample, table
 
 
 @dataclass(frozen=True)
@@ -150,9 +150,9 @@ def languages(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
 def known_languages(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The documents whose language is known: those with a letter and a score of at least settings.least."""
     s = settings or Settings()
-    model = fit(docs, settings=s)
-    found = languages(docs.select("*", F.lit(None).cast("string").alias("lang_pred")), model) if "lang_pred" in docs.columns else languages(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= s.least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = aside(docs, ["lang_pred", "score"])
+    found = languages(own, fit(docs, settings=s))
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= s.least)))
 
 
 def held_out(key: str, parts: int, part: int):
