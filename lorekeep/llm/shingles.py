@@ -25,7 +25,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.known = Remembered(xxhash.xxh3_64_intdigest, 500_000)
+        self.known = Remembered(xxhash.xxh3_64_intdigest, 200_000)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.translate(_LOWER).split() if text else []
