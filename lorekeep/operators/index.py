@@ -73,8 +73,9 @@ class Index:
         if not n:
             return 0
         stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(self._part("vectors", name))
-        # in order of terms, so that a question's terms are found by the files' statistics
-        bm25.postings(stored, "chunk_id", "page_content", self.pattern).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
+        # each file is in order of terms, so that a question's terms are found by its statistics; a term that all texts have
+        # stays spread over the files
+        bm25.postings(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
         bm25.doc_frequencies(stored, "page_content", self.pattern).write.mode("overwrite").parquet(self._part("terms", name))
         bm25.doc_lengths(stored, "chunk_id", "page_content", self.pattern).write.mode("overwrite").parquet(self._part("lengths", name))
         self._fs().mkdirs(self._path(f"batches/{name}"))
@@ -92,7 +93,7 @@ class Index:
         name = f"{old[-1].removesuffix('-merged')}-{uuid.uuid4().hex[:6]}-merged"
         for part in PARTS:
             rows = self.read(part)
-            rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.repartitionByRange("term").sortWithinPartitions("term") if part == "postings" else rows
+            rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.sortWithinPartitions("term") if part == "postings" else rows
             rows.write.mode("overwrite").parquet(self._part(part, name))
         fs = self._fs()
         for b in old:
