@@ -83,12 +83,10 @@ def knn_l2_topk(spark, sf_dir):
 
 
 def knn_cutoff(spark, sf_dir):
-    """The reference's rule, top 2k and then the cutoff: of the 20 nearest vectors of every hundredth id, those within it.
-
-    Vectors within the cutoff beyond the 20th are no hits there either; both numbers are those of the SQL.
-    """
+    """The reference's rule, top 2k and then the cutoff: of the 20 nearest vectors of every id divisible by 20, those within it.
+    Vectors within the cutoff beyond the 20th are no hits there either."""
     e = table(spark, sf_dir, "embeddings")
-    near = knn.nearest_batch(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 20)
+    near = knn.nearest_batch(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 20)
     return knn.within(near).select("qid", "id", F.round("d2", 6).alias("d2"), "rk")
 
 
@@ -127,41 +125,32 @@ _HYBRID = f"""WITH {_BM25}, q AS (SELECT qid, term, count(*) AS qn FROM (%s) GRO
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_rank NULLS LAST, bm25_rank NULLS LAST) AS rank FROM g)"""
 
 
-def _hits(spark, sf_dir):
-    """A fixed list of hits: every document as rank of a conversation-like question, its source from the paper table."""
-    p = papers(spark, sf_dir)
-    return p.select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").cast("int").alias("rank"), F.substring("summary", 1, 40).alias("text"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("2001."), F.lpad((F.col("doc_id") % 60).cast("string"), 5, "0"), F.lit(".txt"))).alias("arxiv_id"))
+def _question_hits(spark, sf_dir):
+    """The nearest 2k documents of every benchmark item within the cutoff, with their whole texts."""
+    e, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    near = knn.within(knn.nearest_batch(e, asked, 2 * K)).select("qid", F.col("id").alias("doc_id"), F.col("rk").alias("rank"))
+    # 2k rows a question
+    return papers(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").join(near, "doc_id").select("qid", "rank", F.col("summary").alias("text"), "source", F.concat("arxiv_id", F.lit(".txt")).alias("arxiv_id"))
 
 
-_HITS = _PAPERS + """, hits AS (SELECT doc_id % 20 AS qid, CAST(doc_id AS INT) AS rank, substring(summary, 1, 40) AS text, coalesce(CASE WHEN doc_id % 4 <> 0 THEN '2001.' || lpad(CAST(doc_id % 60 AS VARCHAR), 5, '0') || '.txt' END, 'unknown') AS source FROM papers),
+_HITS = _PAPERS + """, qv AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
+ v AS (SELECT qid, vec_id AS doc_id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS rk FROM (SELECT qid, vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(qe[i] AS DOUBLE)) ** 2)) AS d2 FROM embeddings, qv)),
+ hits AS (SELECT qid, rk AS rank, summary AS text, coalesce(SOURCE_OF_HIT, 'unknown') AS source FROM v JOIN papers USING (doc_id) JOIN documents USING (doc_id) WHERE rk <= 10 AND d2 <= 1.5),
  g AS (SELECT qid, source, min(rank) AS first, string_agg(text, chr(10) ORDER BY rank) AS text FROM hits GROUP BY qid, source)"""
 
 
 def context_by_source(spark, sf_dir):
-    return context.contexts(context.by_source(_hits(spark, sf_dir))).select("qid", "context")
+    return context.contexts(context.by_source(_question_hits(spark, sf_dir), "source")).select("qid", "context")
 
 
 def ordered_sources(spark, sf_dir):
-    g = context.by_source(_hits(spark, sf_dir))
+    g = context.by_source(_question_hits(spark, sf_dir), "source")
     return g.select("qid", "source", F.row_number().over(_window("first")).alias("place"))
 
 
 def citations(spark, sf_dir):
-    titles = papers(spark, sf_dir).where("doc_id % 2 = 1").select(F.concat(F.lit("2001."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"), "title")
-    return context.citations(context.by_source(_hits(spark, sf_dir)), titles)
-
-
-def _question_hits(spark, sf_dir):
-    """The nearest 2k documents of every benchmark item within the cutoff, with their whole texts."""
-    e, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
-    asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    near = knn.within(knn.nearest_batch(e, asked, 2 * K)).select("qid", F.col("id").alias("doc_id"), F.col("rk").alias("rank"))
-    # 2k rows a question
-    return table(spark, sf_dir, "documents").join(F.broadcast(near), "doc_id").select("qid", "rank", "text", F.col("source").alias("arxiv_id"))
-
-
-def question_contexts(spark, sf_dir):
-    return context.contexts(context.by_source(_question_hits(spark, sf_dir))).select("qid", "context")
+    return context.citations(context.by_source(_question_hits(spark, sf_dir)), papers(spark, sf_dir).select("arxiv_id", "title"))
 
 
 def history_last5(spark, sf_dir):
@@ -201,36 +190,16 @@ def valid_ids(spark, sf_dir):
 
 
 def safe_filenames(spark, sf_dir):
-    title = F.concat(F.lit(" .a/b:"), F.substring("title", 1, 90), F.lit("?. "))
+    title = F.concat(F.lit(" .a/b:"), "title", F.lit("?. "))
     return papers(spark, sf_dir).select("doc_id", T.safe_filename(title, F.col("arxiv_id")).alias("file"))
 
 
 def _catalog(spark, sf_dir):
-    p = papers(spark, sf_dir).where("doc_id % 3 <> 0 and doc_id % 7 <> 0")
-    return p.select(F.col("doc_id").alias("id"), "arxiv_id", F.substring("title", 1, 30).alias("title"), F.array_join("authors", ", ").alias("authors"), "year", "category", F.lit("p").alias("pdf_path"), F.lit("t").alias("txt_path"), (F.col("doc_id") % 2 == 0).alias("is_vectorized"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
-
-
-_CATALOG = _PAPERS + """, cat AS (SELECT arxiv_id, substring(title, 1, 30) AS title, array_to_string(authors, ', ') AS authors, year, category, doc_id % 2 = 0 AS is_vectorized FROM papers WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0)"""
-
-
-def catalog_upsert(spark, sf_dir):
-    new = papers(spark, sf_dir).where("doc_id % 2 = 1 and doc_id % 7 <> 0").select("arxiv_id", F.concat(F.lit("New: "), "title").alias("title"), F.array_join("authors", ", ").alias("authors"), F.lit(2030).alias("year"), F.lit("new").alias("category"), F.lit("p2").alias("pdf_path"), F.lit("t2").alias("txt_path"))
-    return catalog.upsert(_catalog(spark, sf_dir), new).select("arxiv_id", "title", "authors", "year", "category", "pdf_path", "is_vectorized")
-
-
-def mark_vectorized(spark, sf_dir):
-    ids = papers(spark, sf_dir).where("doc_id % 5 = 0").select("arxiv_id")
-    return catalog.mark_vectorized(_catalog(spark, sf_dir), ids).select("arxiv_id", "is_vectorized")
+    """Every paper, with its whole title."""
+    return papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title", F.array_join("authors", ", ").alias("authors"), "year", "category", F.lit("p").alias("pdf_path"), F.lit("t").alias("txt_path"), (F.col("doc_id") % 3 == 0).alias("is_vectorized"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
 
 
-def titles_lookup(spark, sf_dir):
-    ids = papers(spark, sf_dir).where("doc_id % 10 = 1").select(F.concat("arxiv_id", F.lit(".txt")).alias("arxiv_id"))
-    return catalog.titles(_catalog(spark, sf_dir), ids)
-
-
-def _whole_catalog(spark, sf_dir):
-    """Every paper, with its whole title."""
-    return papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title", F.array_join("authors", ", ").alias("authors"), "year", "category", F.lit("p").alias("pdf_path"), F.lit("t").alias("txt_path"), (F.col("doc_id") % 2 == 0).alias("is_vectorized"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"))
+_CATALOG = _PAPERS + """, cat AS (SELECT doc_id, arxiv_id, title, array_to_string(authors, ', ') AS authors, year, category, doc_id % 3 = 0 AS is_vectorized FROM papers)"""
 
 
 def _known_and_new(papers: DataFrame) -> DataFrame:
@@ -238,18 +207,20 @@ def _known_and_new(papers: DataFrame) -> DataFrame:
     return papers.unionByName(papers.withColumn("arxiv_id", F.concat(F.lit("new-"), "arxiv_id")))
 
 
-def catalog_upsert_whole(spark, sf_dir):
+def catalog_upsert(spark, sf_dir):
     """A changed copy of every paper and as many new ones, into the catalog of all."""
     new = _known_and_new(papers(spark, sf_dir)).select("arxiv_id", F.concat(F.lit("New: "), "title").alias("title"), F.array_join("authors", ", ").alias("authors"), F.lit(2030).alias("year"), F.lit("new").alias("category"), F.lit("p2").alias("pdf_path"), F.lit("t2").alias("txt_path"), F.col("doc_id").alias("seq"))
-    return catalog.upsert(_whole_catalog(spark, sf_dir), new).select("arxiv_id", "title", "authors", "year", "category", "pdf_path", "is_vectorized")
+    return catalog.upsert(_catalog(spark, sf_dir), new).select("arxiv_id", "title", "authors", "year", "category", "pdf_path", "is_vectorized")
 
 
-def mark_vectorized_whole(spark, sf_dir):
-    return catalog.mark_vectorized(_whole_catalog(spark, sf_dir), _known_and_new(papers(spark, sf_dir)).select("arxiv_id")).select("arxiv_id", "is_vectorized")
+def mark_vectorized(spark, sf_dir):
+    """An id of every paper, those of odd numbers changed so that the catalog does not know them."""
+    ids = papers(spark, sf_dir).select(F.concat(F.when(F.col("doc_id") % 2 == 1, "new-").otherwise(""), "arxiv_id").alias("arxiv_id"))
+    return catalog.mark_vectorized(_catalog(spark, sf_dir), ids).select("arxiv_id", "is_vectorized")
 
 
-def titles_lookup_whole(spark, sf_dir):
-    return catalog.titles(_whole_catalog(spark, sf_dir), _known_and_new(papers(spark, sf_dir)).select(F.concat("arxiv_id", F.lit(".txt")).alias("arxiv_id")))
+def titles_lookup(spark, sf_dir):
+    return catalog.titles(_catalog(spark, sf_dir), _known_and_new(papers(spark, sf_dir)).select(F.concat("arxiv_id", F.lit(".txt")).alias("arxiv_id")))
 
 
 def category_year_scan(spark, sf_dir):
@@ -318,20 +289,14 @@ def dedup_by_content(spark, sf_dir):
 
 
 def append_documents(spark, sf_dir):
-    """Old and new chunks as one bag."""
-    d = table(spark, sf_dir, "documents")
-    return d.where("doc_id % 2 = 0").unionByName(d.where("doc_id % 3 = 0")).groupBy("source").agg(F.count("*").alias("chunks"))
-
-
-def append_documents_whole(spark, sf_dir):
-    """All chunks, and all again as new ones, as one bag."""
-    d = table(spark, sf_dir, "documents")
-    return d.unionByName(d).groupBy("source").agg(F.count("*").alias("chunks"))
+    """All documents, and all of them again as a second batch, as one bag."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return d.withColumn("batch", F.lit(1)).unionByName(d.withColumn("batch", F.lit(2)))
 
 
 def label_select(spark, sf_dir):
     """The first paper with each label, as a list shown to users would resolve it."""
-    p = papers(spark, sf_dir).select("doc_id", T.paper_label(F.substring("title", 1, 3), T.published(F.col("year"))).alias("label"))
+    p = papers(spark, sf_dir).select("doc_id", T.paper_label(F.col("title"), T.published(F.col("year"))).alias("label"))
     return catalog.first_with_label(p)
 
 
@@ -385,7 +350,7 @@ def index_search(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, question_contexts, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, catalog_upsert_whole, mark_vectorized_whole, titles_lookup_whole, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, append_documents_whole, label_select, history_structs, metadata_defaults, retry_delays, answers, index_search]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers, index_search]
     return {f.__name__: f for f in names}
 
 
@@ -432,6 +397,7 @@ _MIGRATIONS = "f AS (SELECT name, regexp_extract(name, '^V([0-9]+__[0-9A-Za-z_]+
 def oracle_sql() -> dict[str, str]:
     hybrid_one = _HYBRID % ("SELECT 0 AS qid, term FROM (VALUES " + ", ".join(f"('{t}')" for t in QUERY) + ") v(term)", "SELECT 0 AS qid, embedding AS qe FROM embeddings WHERE vec_id = 0")
     hybrid_all = _HYBRID % ("SELECT item_id AS qid, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS term FROM benchmark", "SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
+    by_source, by_paper = (_HITS.replace("SOURCE_OF_HIT", x) for x in ("source", "arxiv_id || '.txt'"))
     title = "CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END"
     return {
         "hybrid_topk": f"{hybrid_one} SELECT CAST(rank AS INT) AS rank, text, round(score, 6) AS score, CAST(vec_rank AS INT) AS vec_rank, CAST(bm25_rank AS INT) AS bm25_rank FROM r WHERE rank <= 5",
@@ -443,20 +409,20 @@ def oracle_sql() -> dict[str, str]:
         "answers": _answers(hybrid_all, title),
         "index_search": _TWICE,
         "knn_l2_topk": f"SELECT vec_id, round(d2, 6) AS d2, round(1 / (1 + d2), 6) AS similarity FROM (SELECT e.vec_id, {_D2} AS d2 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY d2, vec_id LIMIT 10",
-        "knn_cutoff": f"SELECT qid, id, round(d2, 6) AS d2, rk FROM (SELECT qid, id, d2, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS INT) AS rk FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_D2} AS d2 FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rk <= 20 AND d2 <= 1.5",
-        "context_by_source": f"WITH {_HITS} SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY first) AS context FROM g GROUP BY qid",
-        "ordered_sources": f"WITH {_HITS} SELECT qid, source, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INT) AS place FROM g",
-        "citations": f"WITH {_HITS}, t AS (SELECT '2001.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS key, title FROM papers WHERE doc_id % 2 = 1), n AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY first) AS number, coalesce(title, source) AS t FROM g LEFT JOIN t ON key = replace(source, '.txt', '')) SELECT qid, CAST(number AS INT) AS number, source, CAST(number AS VARCHAR) || '. [' || source || '] ' || {title} AS line FROM n",
+        "knn_cutoff": f"SELECT qid, id, round(d2, 6) AS d2, rk FROM (SELECT qid, id, d2, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS INT) AS rk FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_D2} AS d2 FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE rk <= 20 AND d2 <= 1.5",
+        "context_by_source": f"WITH {by_source} SELECT qid, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY first) AS context FROM g GROUP BY qid",
+        "ordered_sources": f"WITH {by_source} SELECT qid, source, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INT) AS place FROM g",
+        "citations": f"WITH {by_paper}, t AS (SELECT arxiv_id AS key, any_value(title) AS title FROM papers GROUP BY arxiv_id), n AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY first) AS number, coalesce(title, source) AS t FROM g LEFT JOIN t ON key = replace(source, '.txt', '')) SELECT qid, CAST(number AS INT) AS number, source, CAST(number AS VARCHAR) || '. [' || source || '] ' || {title} AS line FROM n",
         "history_last5": f'WITH {_HISTORY} SELECT conv_id, CAST(pair AS INT) AS pair, u AS "user", a AS assistant FROM pairs',
         "prompt_messages": f"WITH {_HISTORY}, m AS (SELECT conv_id, 2 * pair - 1 AS pos, 'user' AS role, u AS content FROM pairs UNION ALL SELECT conv_id, 2 * pair, 'assistant', a FROM pairs UNION ALL SELECT conv_id, 0, 'system', '{context.SYSTEM_PROMPT}{context.NO_CONTEXT}' FROM (SELECT DISTINCT conv_id FROM pairs) UNION ALL SELECT conv_id, 2 * max(pair) + 1, 'user', '?' FROM pairs GROUP BY conv_id) SELECT conv_id, CAST(pos AS INT) AS pos, role, content FROM m",
         "paper_api_view": f"WITH {_PAPERS} SELECT arxiv_id AS id, title, array_to_string(authors[1:3], ', ') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors_display, substring(summary, 1, 500) AS summary, CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END AS published FROM papers",
         "paper_labels": f"WITH {_PAPERS} SELECT doc_id, substring(title, 1, 60) || '... (' || CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END || ')' AS label FROM papers",
         "normalize_ids": rf"WITH {_PAPERS}, r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'arXiv:' WHEN 1 THEN 'ARXIV:' ELSE ' arXiv:' END || arxiv_id || CASE WHEN doc_id % 2 = 0 THEN 'v' || CAST(doc_id % 12 AS VARCHAR) ELSE ' ' END AS raw FROM papers) SELECT doc_id, regexp_replace(replace(regexp_replace(regexp_replace(raw, '^(?i)arxiv:', ''), 'v\d+$', ''), '/', ''), '^\s+|\s+$', '', 'g') AS paper_id FROM r",
         "valid_ids": rf"WITH {_PAPERS} SELECT doc_id, arxiv_id, regexp_matches(arxiv_id, '^\d{{4}}\.\d{{4,5}}$') AS modern FROM papers",
-        "safe_filenames": rf"""WITH {_PAPERS}, r AS (SELECT doc_id, arxiv_id, ' .a/b:' || substring(title, 1, 90) || '?. ' AS title FROM papers), s AS (SELECT *, substring(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', '', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 80) AS safe FROM r) SELECT doc_id, arxiv_id || '_' || CASE WHEN safe = '' THEN arxiv_id ELSE safe END || '_' || substring(md5(title), 1, 6) || '.pdf' AS file FROM s""",
-        "catalog_upsert": f"WITH {_CATALOG}, n AS (SELECT arxiv_id, 'New: ' || title AS title, array_to_string(authors, ', ') AS authors FROM papers WHERE doc_id % 2 = 1 AND doc_id % 7 <> 0) SELECT coalesce(cat.arxiv_id, n.arxiv_id) AS arxiv_id, CASE WHEN n.arxiv_id IS NOT NULL THEN n.title ELSE cat.title END AS title, CASE WHEN n.arxiv_id IS NOT NULL THEN n.authors ELSE cat.authors END AS authors, CASE WHEN n.arxiv_id IS NOT NULL THEN 2030 ELSE cat.year END AS year, CASE WHEN cat.arxiv_id IS NOT NULL THEN cat.category ELSE 'new' END AS category, CASE WHEN cat.arxiv_id IS NOT NULL THEN 'p' ELSE 'p2' END AS pdf_path, CASE WHEN cat.arxiv_id IS NOT NULL THEN is_vectorized ELSE false END AS is_vectorized FROM cat FULL JOIN n ON cat.arxiv_id = n.arxiv_id",
-        "mark_vectorized": f"WITH {_CATALOG} SELECT arxiv_id, is_vectorized OR arxiv_id IN (SELECT arxiv_id FROM papers WHERE doc_id % 5 = 0) AS is_vectorized FROM cat",
-        "titles_lookup": f"WITH {_CATALOG} SELECT arxiv_id, title FROM cat WHERE arxiv_id IN (SELECT arxiv_id FROM papers WHERE doc_id % 10 = 1)",
+        "safe_filenames": rf"""WITH {_PAPERS}, r AS (SELECT doc_id, arxiv_id, ' .a/b:' || title || '?. ' AS title FROM papers), s AS (SELECT *, substring(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', '', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 80) AS safe FROM r) SELECT doc_id, arxiv_id || '_' || CASE WHEN safe = '' THEN arxiv_id ELSE safe END || '_' || substring(md5(title), 1, 6) || '.pdf' AS file FROM s""",
+        "catalog_upsert": f"WITH {_CATALOG}, n AS (SELECT p || arxiv_id AS arxiv_id, 'New: ' || title AS title, array_to_string(authors, ', ') AS authors FROM papers, (VALUES (''), ('new-')) v(p)) SELECT n.arxiv_id, n.title, n.authors, 2030 AS year, coalesce(cat.category, CASE WHEN cat.arxiv_id IS NULL THEN 'new' END) AS category, CASE WHEN cat.arxiv_id IS NULL THEN 'p2' ELSE 'p' END AS pdf_path, coalesce(is_vectorized, false) AS is_vectorized FROM n LEFT JOIN cat ON cat.arxiv_id = n.arxiv_id",
+        "mark_vectorized": f"WITH {_CATALOG} SELECT arxiv_id, is_vectorized OR doc_id % 2 = 0 AS is_vectorized FROM cat",
+        "titles_lookup": f"WITH {_CATALOG} SELECT arxiv_id, title FROM cat",
         "category_year_scan": f"WITH {_PAPERS} SELECT arxiv_id, title, year, relevance FROM papers WHERE category = 'en' AND year = 2010 ORDER BY relevance, arxiv_id LIMIT 50",
         "quota_import": rf"""WITH RECURSIVE {_PAPERS}, targets AS (SELECT * FROM (VALUES ('en', 180), ('fr', 40), ('de', 500), ('es', 0)) v(category, target)), ranked AS (SELECT *, row_number() OVER (PARTITION BY category, year ORDER BY relevance, arxiv_id) AS r FROM papers WHERE year BETWEEN 2000 AND 2026), years AS (SELECT category, year, list(arxiv_id ORDER BY r) AS ids FROM ranked WHERE r <= 10 GROUP BY ALL), walk AS (SELECT category, target, 2027 AS y, CAST([] AS VARCHAR[]) AS got FROM targets UNION ALL SELECT w.category, target, y - 1, CASE WHEN len(got) >= target THEN got ELSE got || list_filter(coalesce(ids, [])[1:least(10, target - len(got))], lambda i: regexp_matches(i, '^\d{{4}}\.\d{{4,5}}$')) END FROM walk w LEFT JOIN years s ON s.category = w.category AND s.year = y - 1 WHERE y > 2000), done AS (SELECT category, got[1:target] AS got FROM walk WHERE y = 2000) SELECT category, unnest(got) AS arxiv_id, CAST(unnest(range(1, len(got) + 1)) AS INT) AS place FROM done""",
         "import_summary": f"WITH {_RESULTS} SELECT category, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, CAST(sum(chunks) AS BIGINT) AS chunks FROM res GROUP BY category",
@@ -467,8 +433,8 @@ def oracle_sql() -> dict[str, str]:
         "statement_split": r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split('CREATE x; ;' || chr(10) || source || ' ;;' || lang || ';', ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents) SELECT doc_id, CAST(unnest(range(0, len(l))) AS INT) AS pos, unnest(l) AS statement FROM s",
         "chunks_fixed_stride": "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 150) / 650.0) AS BIGINT)))) AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS chunk_index, substring(text, i * 650 + 1, 800) AS chunk FROM c",
         "dedup_by_content": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
-        "append_documents": "SELECT source, count(*) AS chunks FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents WHERE doc_id % 3 = 0) GROUP BY source",
-        "label_select": f"WITH {_PAPERS} SELECT substring(substring(title, 1, 3), 1, 60) || '... (' || CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END || ')' AS label, min(doc_id) AS doc_id FROM papers GROUP BY 1",
+        "append_documents": "SELECT doc_id, md5(text) AS text_md5, CAST(batch AS INT) AS batch FROM documents, (VALUES (1), (2)) v(batch)",
+        "label_select": f"WITH {_PAPERS} SELECT substring(title, 1, 60) || '... (' || CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END || ')' AS label, min(doc_id) AS doc_id FROM papers GROUP BY 1",
         "history_structs": "SELECT doc_id, CAST(0 AS INT) AS pos, source AS u, lang AS a FROM documents UNION ALL SELECT doc_id, 1, lang, NULL FROM documents",
         "metadata_defaults": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END AS arxiv_id, CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' ELSE '' END AS suffix FROM documents",
         "retry_delays": "SELECT doc_id, CAST(CASE WHEN contains(source, '9') THEN 5 * (doc_id % 3 + 1) ELSE 2 ** (doc_id % 3) END AS INT) AS delay FROM documents",
