@@ -29,6 +29,24 @@ SIMILAR = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '
  c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
 
+_SEPARATED = "string_split_regex({0}, '[.,;:!?\\x0A-\\x0D]')".format(_FOLD)
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest({_SEPARATED}) AS p FROM documents),
+ s AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM s GROUP BY lang),
+ g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+ f AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+ inner_sizes AS (SELECT lang, w, k, a, unnest(range(2, k)) AS m FROM c),
+ inner_phrases AS (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM inner_sizes),
+ covered AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+ kept AS (SELECT c.* FROM c LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ places AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS j FROM kept),
+ cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM places),
+ scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, fl.a AS l, fr.a AS r, n, CAST(1000 * CAST(cuts.a AS HUGEINT) * n // (CAST(fl.a AS HUGEINT) * fr.a) AS BIGINT) AS score
+  FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = x JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = y JOIN n ON n.lang = cuts.lang),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best QUALIFY rank <= 2000"""
+
 
 _LOWER_T = f"translate(t, '{_UP}', '{_LOW}')"
 _QUOTED = [(i, int(i < len(license_scan.TEMPLATES)), name, text.replace("'", "''")) for i, (name, text) in enumerate(license_scan.TEMPLATES + license_scan.TEXTS)]
@@ -62,4 +80,4 @@ SELECT doc_id, path, licence, score, licence_from FROM files LEFT JOIN every USI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_join": SIMILAR, "op7_decontaminate": DECONTAMINATE, "op9_license_scan": LICENCES}
+    return {"op6_ngram_join": SIMILAR, "op7_decontaminate": DECONTAMINATE, "op9_license_scan": LICENCES, "op12_collocations": COLLOCATIONS}
