@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, ann, bpe, collocations, decontaminate, html_extract, langid, license_scan, ngram_join, pii, quality, sql, token_store
+from . import align, ann, bpe, collocations, decontaminate, html_extract, langid, license_scan, neural_lm, ngram_join, pii, quality, sql, token_store
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": langid.op8_query,
         "op9_license_scan": license_scan.op9_query,
         "op10_quality": quality.op10_query,
+        "op11_gated_lm": neural_lm.op11_query,
         "op12_collocations": collocations.op12_query,
         "op13_alignment": align.op13_query,
         "pipeline": pipeline,
