@@ -91,6 +91,9 @@ class Aligner:
         self.blank = self.b.piece_to_id("▁")
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in own]) for own in (self.a_bytes, self.b_bytes))
         self.size_b = len(self.b_bytes)
+        #: An id as it is written before another one of its side, at the end of A's, and at the end of a group.
+        self.names = [f"{i}{c}" for i in range(max(len(self.a_bytes), self.size_b)) for c in ",|;"]
+        self.name_lengths = np.array([len(x) for x in self.names])
         #: Links are packed as id of A * size of B + id of B.
         self.packed = np.dtype("<u4") if len(self.a_bytes) * self.size_b < 1 << 32 else np.dtype("<u8")
         self.known = Remembered(lambda c: self._align([c])[0], REMEMBERED)
@@ -102,39 +105,44 @@ class Aligner:
             return [c.replace(_HELD, " ") for c in _INNER.sub(_HELD, t).split(" ")[1:]]
         return t.split(" ")[1:]
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B of blank + chunk, for each chunk."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)]
-        ids_b = [i if c else [self.blank] for c, i in zip(chunks, self.b.encode(chunks, num_threads=1), strict=True)]
-        return ids_a, ids_b
+    def encode(self, chunks: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of A and of B of the chunks, each after a blank, as one text: no token crosses from one to the next."""
+        text = " " + " ".join(chunks)
+        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.blank]
 
     def _align(self, chunks: list[str]) -> list[tuple | None]:
         """Of each chunk: numbers of tokens of A, of B, of groups; its groups as text; its links. None where bytes differ."""
+        # B gives blanks for these; what ends in white space may be cut elsewhere once a blank follows
+        plain = [c for c in chunks if "▁" not in c and c and not c[-1].isspace()]
+        known = dict(zip(plain, self._aligned(plain), strict=True)) if plain else {}
+        return [known[c] if c in known else self._aligned([c])[0] for c in chunks]
+
+    def _aligned(self, chunks: list[str]) -> list[tuple | None]:
         ids_a, ids_b = self.encode(chunks)
-        whole = [(" " + c).encode() for c in chunks]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(whole, ids_a, ids_b, strict=True)]
-        ids_a, ids_b = ([x for x, g in zip(ids, good, strict=True) if g] for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids))) for ids in (ids_a, ids_b))
-        found = owners(self.a_lengths[flat_a], self.b_lengths[flat_b])
-        links = (flat_a[found.end_a] * self.size_b + flat_b[found.end_b]).astype(self.packed)
+        whole = (" " + " ".join(chunks)).encode()
+        if b"".join(map(self.a_bytes.__getitem__, ids_a)) != whole or b"".join(map(self.b_bytes.__getitem__, ids_b)) != whole:
+            return [None] if len(chunks) == 1 else [self._aligned([c])[0] for c in chunks]
+        a, b = np.array(ids_a), np.array(ids_b)
+        found = owners(self.a_lengths[a], self.b_lengths[b])
+        links = (a[found.end_a] * self.size_b + b[found.end_b]).astype(self.packed)
         # tokens of both in the order of their groups, A's before B's; what follows an id tells whether its side ends
-        both = np.concatenate([flat_a, flat_b])
+        after = np.zeros(len(a) + len(b), np.int64)
+        after[found.end_a], after[len(a) + found.end_b] = 1, 2
         order = np.argsort(np.concatenate([found.group_a * 2, found.group_b * 2 + 1]), kind="stable")
-        after = np.full(len(both), ",")
-        after[found.end_a], after[len(flat_a) + found.end_b] = "|", ";"
-        names = [f"{i}{c}" for i, c in zip(both[order].tolist(), after[order].tolist(), strict=True)]
-        ends = np.cumsum([[len(x), len(y)] for x, y in zip(ids_a, ids_b, strict=True)], axis=0).tolist() if ids_a else []
-        out, la, lb, lg = [], 0, 0, 0
-        rows = iter(ends)
-        groups_until = found.group_a.tolist()
-        for g in good:
-            if not g:
-                out.append(None)
-                continue
-            ha, hb = next(rows)
-            hg = groups_until[ha - 1] + 1
-            out.append((ha - la, hb - lb, hg - lg, "".join(names[la + lb : ha + hb])[:-1], links[lg:hg].tobytes()))
-            la, lb, lg = ha, hb, hg
+        spelt = (np.concatenate([a, b]) * 3 + after)[order]
+        names = "".join(map(self.names.__getitem__, spelt.tolist()))
+        # borders of the chunks: in bytes, then in tokens, groups and characters of the names
+        bytes_until = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        until = [np.searchsorted(np.cumsum(n), bytes_until) + 1 for n in (self.a_lengths[a], self.b_lengths[b])]
+        groups = found.group_a[until[0] - 1] + 1
+        places = np.cumsum(self.name_lengths[spelt])[until[0] + until[1] - 1]
+        packed, size = links.tobytes(), self.packed.itemsize
+        rows = np.stack([*until, groups, places], axis=1)
+        counts = np.diff(rows[:, :3], axis=0, prepend=0).tolist()
+        out, lo, at = [], 0, 0
+        for (n_a, n_b, n), (_, _, hi, end) in zip(counts, rows.tolist(), strict=True):
+            out.append((n_a, n_b, n, names[at : end - 1], packed[lo * size : hi * size]))
+            lo, at = hi, end
         return out
 
     def learn(self, lists: list[list[str]]) -> None:
@@ -151,10 +159,11 @@ class Aligner:
         self.learn(lists)
         for own in lists:
             found = list(map(self.known.__getitem__, own))
-            if not found or None in found:
+            try:
+                a, b, groups, names, links = zip(*found, strict=True)
+            except (TypeError, ValueError):  # a chunk that is not given back, or none at all
                 yield 0, 0, 0, "", b""
                 continue
-            a, b, groups, names, links = zip(*found, strict=True)
             yield sum(a), sum(b), sum(groups), ";".join(names), b"".join(links)
         self.known.trim()
 
