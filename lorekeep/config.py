@@ -11,7 +11,8 @@ from pathlib import Path
 @dataclass(frozen=True)
 class Settings:
     """All of them can be overridden by LOREKEEP_<NAME>; unknown names are ignored. tokens: "ascii" for runs of ASCII letters
-    and digits, "any" for words of all scripts and single Chinese and Japanese characters."""
+    and digits, "any" for words of all scripts and single Chinese and Japanese characters, "words" for words of all scripts and
+    Chinese ones by a learned lexicon (Engine.fit_segmenter)."""
 
     index_dir: str = "storage/index"
     pdf_dir: str = "storage/papers/pdf"

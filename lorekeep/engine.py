@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .config import Settings
+from .functions import segment
 from .functions.embed import embedded
 from .functions.text import TOKEN, TOKEN_ANY, is_modern_id
-from .operators import bm25, catalog, context, hybrid, importer, knn
+from .operators import bm25, catalog, context, hybrid, importer, knn, segmentation
 from .operators.chunking import with_metadata
 from .operators.index import Index
 from .session import work_path, written
@@ -26,10 +27,26 @@ class Engine:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Callable | None = None, completer: Callable = context.extractive, parser: Callable = files.simple_pdf, fetch: Callable[[str], bytes] | None = None):
         self.spark, self.settings = spark, settings or Settings.load()
         self.embedder, self.completer, self.parser, self.fetch = embedder, completer, parser, fetch
-        self.pattern = {"ascii": TOKEN, "any": TOKEN_ANY}[self.settings.tokens]
-        self.index = Index(spark, self.settings.index_dir, embedder, self.settings.embedding_dim, self.pattern)
+        self.index = Index(spark, self.settings.index_dir, embedder, self.settings.embedding_dim, self._tokenizer())
         catalog.create_tables(spark, self.settings.database)
 
+    def _tokenizer(self):
+        """The pattern of settings.tokens; for "words", the segmenter that lies beside the index (before fit_segmenter(), one that
+        takes every Chinese character for a word)."""
+        if self.settings.tokens == "words":
+            return segment.tokenizer(segmentation.load(self.spark, f"{self.settings.index_dir}/lexicon") or segment.Lexicon.of({}))
+        return {"ascii": TOKEN, "any": TOKEN_ANY}[self.settings.tokens]
+
+    def fit_segmenter(self, texts: DataFrame, text: str = "text", learning: segmentation.Learning | None = None) -> segment.Lexicon:
+        """Learns to segment from a corpus, and keeps the lexicon beside the index. The index has to be empty: postings of different
+        segmentations do not meet."""
+        if self.index.batches():
+            raise ValueError("the index holds documents that are segmented already")
+        lexicon = segmentation.learn(texts, text, learning)
+        segmentation.save(self.spark, lexicon, f"{self.settings.index_dir}/lexicon")
+        self.index.pattern = self._tokenizer()
+        return lexicon
+
     def _table(self, name: str) -> str:
         return f"{self.settings.database}.{name}"
 
@@ -152,7 +169,7 @@ class Engine:
         chunks = self.index.read("chunks")
         asked = questions.select("qid", embedded(F.col("question"), self.embedder, s.embedding_dim).alias("q"))
         near = knn.nearest_batch(self.index.read("vectors"), asked, 2 * k, "id", "embedding")
-        scores = bm25.scores(self.index.bm25(), bm25.query_terms(questions, "qid", "question", self.pattern))
+        scores = bm25.scores(self.index.bm25(), bm25.query_terms(questions, "qid", "question", self.index.pattern))
         legs = hybrid.vector_leg(near, s.vector_weight if vector_weight is None else vector_weight, s.distance_cutoff), hybrid.bm25_leg(scores, k, s.bm25_weight if bm25_weight is None else bm25_weight)
         best = hybrid.fuse(chunks, *legs, k, "chunk_id", "page_content")
         return best.join(chunks.select(F.col("chunk_id").alias("id"), "arxiv_id", "source"), "id")

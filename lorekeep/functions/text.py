@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +67,9 @@ def without_txt(c: Column) -> Column:
     return F.replace(c, F.lit(".txt"), F.lit(""))
 
 
-def tokens(text: Column, pattern: str = TOKEN) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def tokens(text: Column, pattern: str | Callable[[Column], Column] = TOKEN) -> Column:
+    """array<string>: what a pattern finds, or what a tokenizer (functions/segment.py) makes of a text."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if isinstance(pattern, str) else pattern(text)
 
 
 def similarity(distance: Column) -> Column:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions import text as T
-from ..operators import bm25, catalog, chunking, context, hybrid, importer, index, knn, migrations
+from ..operators import bm25, catalog, chunking, context, hybrid, importer, index, knn, migrations, segmentation
 
 QUERY = ["the", "and", "tion", "der", "the"]
 K = 5
@@ -272,6 +273,32 @@ def statement_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.statements(sql)).alias("pos", "statement"))
 
 
+def segmented_addresses(spark, sf_dir):
+    """Words that run together in every page's address, cut by the words of all documents (5 occurrences or more, 12 letters at
+    most): the cheapest path of each run of letters."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("w")).where(F.length("w") <= 12).groupBy("w").agg(F.count("*").alias("n")).where("n >= 5")
+    lexicon = segment.Lexicon.of({r.w: r.n for r in segmentation.most_frequent(words, 50_000).collect()}, None, "[a-z]+")
+    cut = segment.applied(F.col("url"), lexicon, lambda own, t: own.tokens(t, r"(?!)"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(cut).alias("pos", "word"))
+
+
+_SEGMENTED = """WITH RECURSIVE c AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) WHERE length(w) <= 12 GROUP BY w HAVING count(*) >= 5),
+ upto AS (SELECT p, sum(k) OVER (ORDER BY p DESC) AS u FROM (SELECT floor(log2(n) * 16) AS p, count(*) AS k FROM c GROUP BY p)),
+ dict AS (SELECT w, n FROM c WHERE floor(log2(n) * 16) >= (SELECT min(p) FROM upto WHERE u <= 50000)),
+ cost AS (SELECT w, CAST(round((ln(t) - ln(n)) * 1000000) AS BIGINT) AS c FROM dict, (SELECT sum(n) AS t FROM dict)),
+ fl AS (SELECT CAST(round(ln(coalesce(sum(n), 1)) * 1000000) AS BIGINT) AS f FROM dict),
+ lists AS (SELECT page_id, regexp_extract_all(url, '[a-z]+') AS l FROM pages),
+ runs AS (SELECT page_id, unnest(l) AS run, unnest(range(len(l))) AS r FROM lists),
+ dp AS (SELECT DISTINCT run, 0 AS i, [CAST(0 AS BIGINT)] AS best, [CAST(0 AS BIGINT)] AS start FROM runs
+  UNION ALL SELECT run, i + 1, best || [m.c], start || [m.j] FROM (SELECT run, i, best, start, min({'c': best[j + 1] + coalesce(c, f), 'j': j}) AS m
+   FROM (SELECT *, unnest(range(greatest(0, i - 11), i + 1)) AS j FROM dp WHERE i < length(run)) LEFT JOIN cost ON w = substring(run, CAST(j + 1 AS INT), CAST(i + 1 - j AS INT)), fl WHERE c IS NOT NULL OR j = i GROUP BY run, i, best, start)),
+ back AS (SELECT run, start, CAST(i AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ws FROM dp WHERE i = length(run)
+  UNION ALL SELECT run, start, start[n + 1], [substring(run, CAST(start[n + 1] + 1 AS INT), CAST(n - start[n + 1] AS INT))] || ws FROM back WHERE n > 0),
+ done AS (SELECT run, ws FROM back WHERE n = 0),
+ parts AS (SELECT page_id, r, unnest(ws) AS word, unnest(range(len(ws))) AS k FROM runs JOIN done USING (run))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY r, k) - 1 AS INT) AS pos, word FROM parts"""
+
+
 def chunks_recursive(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), F.col("text").alias("page_content"))
     return chunking.split_documents(docs, "doc_id", paged=False).select("doc_id", "chunk_index", "page_content")
@@ -350,7 +377,7 @@ def index_search(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers, index_search]
+    names = [hybrid_topk, hybrid_batch_questions, bm25_topk, bm25_term_stats, bm25_doc_len, bm25_corpus, knn_l2_topk, knn_cutoff, context_by_source, ordered_sources, citations, history_last5, prompt_messages, paper_api_view, paper_labels, normalize_ids, valid_ids, safe_filenames, catalog_upsert, mark_vectorized, titles_lookup, category_year_scan, quota_import, import_summary, import_status, skipped_counts, pending_migrations, migration_status, statement_split, segmented_addresses, chunks_recursive, chunks_fixed_stride, dedup_by_content, append_documents, label_select, history_structs, metadata_defaults, retry_delays, answers, index_search]
     return {f.__name__: f for f in names}
 
 
@@ -432,6 +459,7 @@ def oracle_sql() -> dict[str, str]:
         "migration_status": f"WITH {_MIGRATIONS} SELECT version, CAST(NULL AS VARCHAR) AS name, 'applied' AS state FROM applied UNION ALL SELECT version, name, 'pending' FROM found WHERE version NOT IN (SELECT version FROM applied)",
         "statement_split": r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split('CREATE x; ;' || chr(10) || source || ' ;;' || lang || ';', ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents) SELECT doc_id, CAST(unnest(range(0, len(l))) AS INT) AS pos, unnest(l) AS statement FROM s",
         "chunks_fixed_stride": "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 150) / 650.0) AS BIGINT)))) AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS chunk_index, substring(text, i * 650 + 1, 800) AS chunk FROM c",
+        "segmented_addresses": _SEGMENTED,
         "dedup_by_content": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text",
         "append_documents": "SELECT doc_id, md5(text) AS text_md5, CAST(batch AS INT) AS batch FROM documents, (VALUES (1), (2)) v(batch)",
         "label_select": f"WITH {_PAPERS} SELECT substring(title, 1, 60) || '... (' || CASE WHEN year IS NOT NULL AND year <> 0 THEN CAST(year AS VARCHAR) ELSE '未知' END || ')' AS label, min(doc_id) AS doc_id FROM papers GROUP BY 1",
