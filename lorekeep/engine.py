@@ -17,14 +17,14 @@ from .operators import bm25, catalog, context, hybrid, importer, knn, segmentati
 from .operators.chunking import with_metadata
 from .operators.index import Index
 from .session import work_path, written
-from .sources import files, papers
+from .sources import files, papers, pdf
 from .streaming.ingest import chunk_rows
 
 
 class Engine:
     """Tables in a database, an index in a folder. embedder, completer, parser and fetch are plain functions over batches."""
 
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Callable | None = None, completer: Callable = context.extractive, parser: Callable = files.simple_pdf, fetch: Callable[[str], bytes] | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Callable | None = None, completer: Callable = context.extractive, parser: Callable = pdf.pdf_pages, fetch: Callable[[str], bytes] | None = None):
         self.spark, self.settings = spark, settings or Settings.load()
         self.embedder, self.completer, self.parser, self.fetch = embedder, completer, parser, fetch
         self.index = Index(spark, self.settings.index_dir, embedder, self.settings.embedding_dim, self._tokenizer())

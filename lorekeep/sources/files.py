@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 #: Files of up to so many bytes count as broken downloads.
 LEAST_BYTES = 10_240
 
 
-def simple_pdf(data: bytes) -> list[str]:
-    """Text of a PDF's content streams, one page each: plain and Flate streams with literal strings. For anything richer
-    (fonts with own encodings, hexadecimal strings) pass a parser of a PDF library."""
-    if not data.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    pages = []
-    for m in re.finditer(rb"<<(?P<dict>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\nendstream", data, re.S):
-        body = zlib.decompress(m["body"]) if b"FlateDecode" in m["dict"] else m["body"]
-        if b"BT" in body:
-            lines = [b"".join(re.findall(rb"\((?:\\.|[^\\()])*\)", s)) for s in re.split(rb"T\*|Td|TD|'", body)]
-            text = [re.sub(rb"\\(.)", rb"\1", s.replace(b")(", b"")[1:-1]).decode("latin-1") for s in lines if s]
-            pages.append("\n".join(text))
-    return pages
-
-
-def pdf_pages(files: DataFrame, parser: Callable[[bytes], list[str]] = simple_pdf) -> DataFrame:
-    """path, pages (a page without text is an empty one), error for binary files (path, content)."""
-    schema = "path string, pages array<string>, error string"
+def pdf_pages(files: DataFrame, parser: Callable[[bytes], list] = pdf.pdf_pages) -> DataFrame:
+    """path, pages (a page without text is an empty one, one that cannot be read null), page_errors (null for pages that can
+    be read), error for binary files (path, content). parser: a list of texts, or of exceptions in their place."""
+    schema = "path string, pages array<string>, page_errors array<string>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    out.append((path, [p or "" for p in parser(bytes(content))], None))
+                    found = parser(bytes(content))
+                    out.append((path, [None if isinstance(p, Exception) else p or "" for p in found], [f"PDF解析失败: {p}" if isinstance(p, Exception) else None for p in found], None))
                 except Exception as e:  # noqa: BLE001  the parser's failures are results
-                    out.append((path, None, f"PDF解析失败: {e}"))
-            yield pd.DataFrame(out, columns=["path", "pages", "error"])
+                    out.append((path, None, None, f"PDF解析失败: {e}"))
+            yield pd.DataFrame(out, columns=["path", "pages", "page_errors", "error"])
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -51,22 +38,20 @@ def pdf_text(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(""))), "\n").alias("text"), "error")
 
 
-def load_files(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]] = simple_pdf) -> DataFrame:
+def load_files(spark: SparkSession, path: str, parser: Callable[[bytes], list] = pdf.pdf_pages) -> DataFrame:
     """source (the whole path), page, page_content, metadata of all .pdf and .txt files of a folder: a row per PDF page, one
     per text file; files of any other name, and of other case, are not accepted.
-    PDFs that cannot be parsed give a row with page null and the error in the metadata."""
+    PDFs that cannot be parsed give a row with page null and the error in the metadata, pages that cannot be read one with their
+    number, no content and the error."""
     texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("source"), F.lit(0).alias("page"), F.col("value").alias("page_content"), F.create_map(F.lit("source"), F.col("_metadata.file_path")).alias("metadata"))
     binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.col("_metadata.file_path").alias("path"), "content")
     parsed = pdf_pages(binary, parser).withColumn("source", F.col("path"))
-    pages = parsed.select("source", F.posexplode_outer("pages").alias("page", "page_content"), F.when(F.col("error").isNull(), F.create_map(F.lit("source"), F.col("source"))).otherwise(F.create_map(F.lit("source"), F.col("source"), F.lit("error"), F.col("error"))).alias("metadata"))
+    each = parsed.select("source", "error", F.posexplode_outer(F.arrays_zip("pages", "page_errors")).alias("page", "p"))
+    failed = F.coalesce("error", "p.page_errors")
+    pages = each.select("source", "page", F.col("p.pages").alias("page_content"), F.when(failed.isNull(), F.create_map(F.lit("source"), F.col("source"))).otherwise(F.create_map(F.lit("source"), F.col("source"), F.lit("error"), failed)).alias("metadata"))
     return texts.unionByName(pages)
 
 
-def whole_downloads(spark: SparkSession, path: str) -> DataFrame:
-    """path, length of the files that are large enough to be whole."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "length").where(F.col("length") > LEAST_BYTES)
-
-
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON document, over several lines or not; a path that is not there gives an empty table."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

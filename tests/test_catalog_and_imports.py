@@ -91,7 +91,6 @@ def test_files_index_and_stream(spark, tmp_path):
     assert all(r.source.startswith("file:") and f"{folder}/" in r.source for r in rows)
     assert [(r.source.rpartition("/")[2], r.page, r.page_content) for r in rows] == [("a.txt", 0, "the cat sat on the mat"), ("b.pdf", 0, "page one"), ("b.pdf", 1, "page two"), ("bad.pdf", None, None)]
     assert rows[3].metadata["error"].startswith("PDF解析失败")
-    assert files.whole_downloads(spark, str(folder)).count() == 0
     index = Index(spark, str(tmp_path / "index"))
     assert index.read("chunks").count() == 0
     chunks = ingest.chunk_rows(files.load_files(spark, str(folder)).where("page_content is not null"))
