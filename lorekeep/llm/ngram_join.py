@@ -145,32 +145,58 @@ def tree_pairs(reps: list[int], sizes: np.ndarray, maps: list[np.ndarray], comps
     return out
 
 
+def _merged(flags: DataFrame) -> DataFrame:
+    """One row (seen, twice) a partition: tables of 2^24 bits of those of its rows, a bit twice where two of them have seen it."""
+    import zlib
+
+    def merge(batches):
+        import pyarrow as pa
+
+        seen = twice = np.zeros(1 << 21, np.uint8)
+        for b in batches:
+            for x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = (np.frombuffer(zlib.decompress(z), np.uint8) for z in (x, y))
+                seen, twice = seen | x, twice | y | (seen & x)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (seen, twice)], names=["seen", "twice"])
+
+    return flags.mapInArrow(merge, "seen binary, twice binary")
+
+
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """A table of 2^24 flags by the top bits of a hash: set where two of a bounded number of texts share a shingle.
 
     It only decides the order of hashes: those flagged come last in a prefix, so that few unrelated texts meet. Any fixed
-    table gives the same links, so the texts it is made from are bounded (about SAMPLE, by a hash of their ids).
+    table gives the same links, so the texts it is made from are bounded (about SAMPLE, by a hash of their ids). Tasks
+    return tables of that size, merged up a tree; copies of a text count once.
     """
-    rows = bounded_sample(texts.where("id is not null"), SAMPLE, "id").where("text is not null").select(F.col("text").cast("binary").alias("t"))
+    import zlib
+
+    rows = bounded_sample(texts.where("id is not null"), SAMPLE, "id").where("text is not null")
+    chosen = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id")).select("id")
+    rows = rows.join(F.broadcast(chosen), "id", "left_semi").select(F.col("text").cast("binary").alias("t"))  # about SAMPLE ids
 
-    def hashes(batches):
+    def flags(batches):
         import pyarrow as pa
 
         shingler = Shingler(width)
+        seen, twice, n = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool), 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shingler(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["s"])
-
-    seen, flags = np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)
-    copies = set()
-    for r in rows.mapInArrow(hashes, "s binary").toLocalIterator():
-        key = bytes(r.s)
-        if hash(key) in copies:
-            continue
-        copies.add(hash(key))
-        at = (np.frombuffer(key, np.uint64) >> np.uint64(40)).astype(np.int64)
-        flags[at[seen[at]]] = True
-        seen[at] = True
-    return np.packbits(flags)
+            for t in b.column(0).to_pylist():
+                at = (shingler(t) >> np.uint64(40)).astype(np.int64)
+                twice[at[seen[at]]] = True
+                seen[at] = True
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(x).tobytes(), 1)], pa.binary()) for x in (seen, twice)], names=["seen", "twice"])
+
+    bound_batches(texts.sparkSession)
+    parts = stored(rows.mapInArrow(flags, "seen binary, twice binary"), "flags")
+    n = parts.count()
+    while n > 16:
+        n = -(-n // 16)
+        parts = stored(_merged(parts.repartition(n)), "flags")
+    got = _merged(parts.coalesce(1)).collect()
+    return np.frombuffer(zlib.decompress(got[0].twice), np.uint8) if got else np.zeros(1 << 21, np.uint8)
 
 
 def asked(n):
@@ -195,7 +221,6 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def work():
         import pyarrow as pa
-        import xxhash
 
         shingler, flags = Shingler(width), np.unpackbits(shared.value).astype(bool)
 
@@ -203,10 +228,10 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             n, f1, f2, firsts = [], [], [], []
             for t in texts.cast(pa.large_binary()).to_pylist():
                 s = shingler(t)
-                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                x, y = digest(s)
                 n.append(len(s))
-                f1.append(int(d[0]))
-                f2.append(int(d[1]))
+                f1.append(x)
+                f2.append(y)
                 firsts.append(prefix(s, flags, num, den).view(np.int64))
             return n, f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in firsts])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]), pa.int64()))
 
@@ -215,38 +240,76 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return add_by_batch(docs, ["text"], fields, work).drop("text")
 
 
-def _asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """The texts with an asked rep. Up to BROADCAST_IDS of them are sent to the texts, else both are shuffled."""
-    asked = stored(asked.distinct(), "asked")
-    return texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "rep", "left_semi")
+class _Sets:
+    """Texts of classes. A class is a set of shingles; its text is that of its smallest key, told apart by the set's digest from
+    other texts of that key."""
 
+    def __init__(self, texts: DataFrame, classes: DataFrame, width: int):
+        self.texts, self.width = texts, width
+        self.named = classes.select("rep", F.col("first").alias("id"), "f1", "f2")
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of documents whose sets are linked, each compared exactly."""
-    asked = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b"))
+    def of(self, asked: DataFrame, name: str, made) -> DataFrame:
+        """rep and what `made` makes of the set of each class that is asked for (rep). Up to BROADCAST_IDS of them are sent to the
+        texts, else both are shuffled."""
+        asked = stored(asked.select("rep").distinct().join(self.named, "rep"), "asked")
+        rows = self.texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "id").drop("id")
 
-    def work():
-        import pyarrow as pa
+        width = self.width
 
-        shingler = Shingler(width)
-        return lambda column: [[shingler(t).tobytes() for t in column.cast(pa.large_binary()).to_pylist()]]
+        def work():
+            import pyarrow as pa
 
-    sets = add_by_batch(_asked_texts(texts, asked), ["text"], [T.StructField("set", T.BinaryType(), False)], work).drop("text")
-    sets = stored(sets, "sets")
-    both = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("set", "sa"), "a").join(sets.withColumnRenamed("rep", "b").withColumnRenamed("set", "sb"), "b")
+            shingler = Shingler(width)
 
-    def compare():
-        def run(sa, sb):
-            ok = []
-            for x, y in zip(sa.to_pylist(), sb.to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                o = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(den * o >= num * (len(x) + len(y) - o))
-            return [ok]
+            def run(texts, f1, f2):
+                out = []
+                for t, x, y in zip(texts.cast(pa.large_binary()).to_pylist(), f1.to_pylist(), f2.to_pylist(), strict=True):
+                    s = shingler(t)
+                    out.append(made(s) if digest(s) == (x, y) else None)
+                return [out]
 
-        return run
+            return run
+
+        found = add_by_batch(rows, ["text", "f1", "f2"], [T.StructField(name, T.BinaryType(), True)], work).drop("text", "f1", "f2")
+        # rows of one key with one text are copies
+        return found.where(F.col(name).isNotNull()).dropDuplicates(["rep"])
 
-    return add_by_batch(both, ["sa", "sb"], [T.StructField("linked", T.BooleanType(), False)], compare).where("linked").select("a", "b")
+
+def digest(s: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+    return int(d[0]), int(d[1])
+
+
+def _compared(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets are linked, each compared exactly. Pairs of one a are dealt out in blocks of about
+    BLOCK; the set of a goes to each block once."""
+    import pyarrow as pa
+
+    found = stored(sets.of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), "set", lambda s: s.tobytes()), "sets")
+    blocks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    other = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("rep")).join(found, "rep")
+    own = blocks.select(F.col("a").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(found, "rep").select(F.col("rep").alias("a"), "block", F.lit(None).cast("long").alias("b"), "set")
+    bound_batches(pairs.sparkSession)
+
+    def compare(batches):
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for i, _, j, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y = np.frombuffer(s, np.uint64)
+                if j is None:  # the block's own set comes first
+                    x = y
+                    continue
+                o = len(x) + len(y) - len(np.union1d(x, y))
+                if den * o >= num * (len(x) + len(y) - o):
+                    a.append(i)
+                    b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = own.unionAll(other.select("a", "block", F.col("rep").alias("b"), "set")).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def possible(ma: bytes, na: int, mb: bytes, nb: int, num: int, den: int) -> bool:
@@ -345,20 +408,10 @@ def _counted_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return counts.where(F.col("shared") >= F.least(overlap, 4 + F.floor(F.least("na", "nb") / 50))).drop("shared")
 
 
-def _bitmaps(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    def work():
-        import pyarrow as pa
-
-        shingler = Shingler(width)
-        return lambda column: [[bitmap(shingler(t)).tobytes() for t in column.cast(pa.large_binary()).to_pylist()]]
-
-    return add_by_batch(_asked_texts(texts, reps), ["text"], [T.StructField("map", T.BinaryType(), False)], work).drop("text")
-
-
-def _near(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _near(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
     """The pairs (a, na, b, nb) that sizes and bitmaps leave possible, as a, b."""
     pairs = stored(pairs, "pairs")
-    maps = stored(_bitmaps(texts, pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), width), "bitmaps")
+    maps = stored(sets.of(pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")), "map", lambda s: bitmap(s).tobytes()), "bitmaps")
     return stored(_possible_pairs(pairs, maps, num, den), "near")
 
 
@@ -375,11 +428,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(_signatures(own, width, num, den), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"))
-    classes = stored(classes, "classes")
+    classes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.first("prefix").alias("prefix"))
+    # classes are the nodes, by a number of their own: one key may carry several sets
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     release(spark)
-    # a key that several sets carry: its classes are told apart by their sets, so compare by (rep, n, f1)
-    texts = own.where("id is not null").withColumnRenamed("id", "rep")
+    sets = _Sets(own.where("id is not null"), classes, width)
     entries = classes.select("rep", "n", F.explode("prefix").alias("token"))
     # hashes of a single set are dropped here; what is left is small, and so are its pivots
     groups = stored(entries.groupBy("token").agg(F.min("rep").alias("pivot"), F.count("*").alias("df")).where("df > 1"), "groups")
@@ -389,24 +442,30 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = met.where("rep != pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("shared")).where("shared >= 4 or shared >= nb / 2")
     sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"))
     stars = stars.join(sizes, "a").where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))).select("a", "na", "b", "nb")
-    star_links = stored(_compared(_near(stars, texts, width, num, den), texts, width, num, den), "star-links")
+    star_links = stored(_compared(_near(stars, sets, num, den), sets, num, den), "star-links")
     comps = stored(components(star_links), "components")
     release(spark)
     placed = stored(met.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "df", F.coalesce("component", "rep").alias("comp")), "placed")
     open_ = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.count("*").alias("size")).where("lo != hi")
     open_ = open_.where((F.col("size") > 2) | (den * F.col("n_lo") >= num * F.col("n_hi"))).select("token")
     rest = placed.join(open_, "token", "left_semi")
-    counted = _near(_counted_pairs(rest.where(F.col("df") <= FEW), num, den), texts, width, num, den)
+    counted = _near(_counted_pairs(rest.where(F.col("df") <= FEW), num, den), sets, num, den)
     one = rest.where((F.col("df") > FEW) & (F.col("df") <= block))
     one = one.select("token", F.lit(-1).cast("long").alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "n", "comp", F.lit(3).alias("side"))
     large = stored(one.unionAll(_dealt(rest.where(F.col("df") > block).select("token", "rep", "n", "comp"), num, den, block)), "large")
-    searched = _group_pairs(large.join(stored(_bitmaps(texts, large.select("rep"), width), "bitmaps"), "rep"), num, den)
+    searched = _group_pairs(large.join(stored(sets.of(large, "map", lambda s: bitmap(s).tobytes()), "bitmaps"), "rep"), num, den)
     more = stored(counted.unionAll(searched).distinct(), "tree-pairs")
     release(spark)
-    links = star_links.unionAll(_compared(more, texts, width, num, den))
+    # classes that share a key are one node
+    placed = stored(signed.where("n > 0 and id is not null").select("id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).groupBy("id", "rep").agg(F.lit(1)).select("id", "rep"), "placed")
+    several = placed.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("sets")).where("sets > 1")
+    shared = placed.join(several, "id").select("a", F.col("rep").alias("b")).where("a != b")
+    links = star_links.unionAll(_compared(more, sets, num, den)).unionAll(shared)
     final = stored(components(links), "components")
-    named = classes.select("n", "f1", "f2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    return signed.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    named = classes.select("rep", "first").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "first", F.coalesce("component", "rep").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
+    by_key = placed.join(named.select("rep", "component"), "rep").join(smallest, "component").groupBy("id").agg(F.min("smallest").alias("smallest"))
+    return signed.select("id", "n").join(by_key, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -51,6 +51,44 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == brute(rows, width, num, den)
 
 
+def test_rows_of_one_id_are_one_node(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 6)
+    r, rows = random.Random(3), corpus(4, 90)
+    # ids that several texts carry, as copies, near copies or neither
+    rows = [(r.randrange(60) if r.random() < 0.4 else i + 100, t) for i, (_, t) in enumerate(rows)] + [(7, ""), (8, None), (8, "a b c"), (3, "only here"), (None, "a b c")]
+    got = [tuple(x) for x in N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=8).collect()]
+    parts = brute(list(enumerate(t for _, t in rows)), 3, 90, 100)
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        j = rows[parts[k][1]][0]
+        if i is not None and j is not None and parts[k][0]:
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+        # copies of a row without an id tell nothing about others
+    # rows without an id link nothing, so their class must not be a bridge: there is but one, and it is the last
+    want = sorted(((i, parts[k][0], find(i) if i is not None else None) for k, (i, _) in enumerate(rows)), key=str)
+    assert sorted(got, key=str) == want
+    a, b = "w1 w2 w3 w4 w5 w6 w7 w8", "other words that stand alone here"
+    three = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in N.similar_documents(three).collect()} == {(3, 3), (5, 3)}
+    assert [x.doc_id for x in N.keep_one(three).collect()] == [3]
+
+
+def test_frequent_shingles_follow_the_texts(spark):
+    texts = [(i, f"alpha beta gamma delta u{i} v{i} w{i}") for i in range(40)] + [(100 + i, "all of this is a copy") for i in range(20)]
+    flags = np.unpackbits(N.frequent_shingles(spark.createDataFrame(texts, "id long, text string").repartition(20), 3)).astype(bool)
+    s = Shingler(3)
+    at = lambda t: flags[(s(t.encode()) >> np.uint64(40)).astype(np.int64)]
+    assert at("alpha beta gamma delta").all() and not at("all of this is a copy").any() and not at("u1 v1 w1").any()
+    assert not N.frequent_shingles(spark.createDataFrame([], "id long, text string"), 3).any()
+
+
 def test_tree_finds_all_pairs():
     r = random.Random(5)
     s = Shingler(3)
