@@ -36,12 +36,12 @@ class Settings:
     cover: int = 100
     top: int = 2_000
     buckets: int = 1 << 20
-    route: int = 20_000
+    route: int = 200_000
 
 
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct words that a task counts before it hands them on.
-_HELD = 300_000
+_HELD = 500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -60,6 +60,15 @@ def _by_lang(batch) -> Iterator[tuple[str, bytes]]:
             yield lang, b"\n".join(t.as_buffer().to_pybytes() for t in part if t.is_valid)
 
 
+def _quoted(lang: str) -> str:
+    """Without tabs."""
+    return lang.replace("%", "%25").replace("\t", "%09")
+
+
+def _unquoted(lang: str) -> str:
+    return lang.replace("%09", "\t").replace("%25", "%")
+
+
 def _strings(items: list[bytes]):
     import pyarrow as pa
 
@@ -152,9 +161,11 @@ def _joined(ids: np.ndarray, ends: np.ndarray, vocabulary):
 
 
 def fragments(docs: DataFrame, sums: np.ndarray, settings: Settings, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, route, whole, fragment, place (of the pivot in it, from 0), n. A route is a bucket of pivots, or a part of it if
-    the bucket holds many occurrences (then it is not whole)."""
+    """route, head, fragment. A route is a bucket of pivots, or a part of it (an odd number) if the bucket holds many occurrences.
+    head: 16 times the number of equal fragments, and the pivot's place in it, from 0. A fragment is its language, a tab, and
+    its words. Rows come in order of routes, so that equal words stand together in what is shuffled."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     s, reach = settings, settings.most - 1
     bound_batches(docs.sparkSession)
@@ -187,15 +198,15 @@ def fragments(docs: DataFrame, sums: np.ndarray, settings: Settings, text: str =
         pivots = buckets[rows[:, reach]]
         parts = shares[pivots]
         salt = (np.arange(len(rows)) + turn) % np.maximum(parts, 1)
-        vocabulary = _strings(list(number))
+        routes = (pivots << 24 | salt << 1 | (parts > 1)).astype(np.int64)
+        sorted_ = np.lexsort((rows[:, reach], routes))
+        rows, routes, heads = rows[sorted_], routes[sorted_], (n * 16 + left)[sorted_]
+        vocabulary, prefix = _strings(list(number)), pa.scalar(_quoted(own) + "\t")
         for lo in range(0, len(rows), 50_000):
             part = rows[lo : lo + 50_000]
-            kept = part >= 0
-            hi = lo + len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([own] * len(part), pa.string()), pa.array((pivots[lo:hi] << 24) | salt[lo:hi]), pa.array(parts[lo:hi] <= 1), _joined(part[kept], np.cumsum(kept.sum(axis=1)), vocabulary), pa.array(left[lo:hi].astype(np.int32)), pa.array(n[lo:hi])],
-                names=["lang", "route", "whole", "fragment", "place", "n"],
-            )
+            kept, hi = part >= 0, lo + len(part)
+            joined = _joined(part[kept], np.cumsum(kept.sum(axis=1)), vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array(routes[lo:hi]), pa.array(heads[lo:hi]), pc.binary_join_element_wise(prefix, joined, "")], names=["route", "head", "fragment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,7 +217,7 @@ def fragments(docs: DataFrame, sums: np.ndarray, settings: Settings, text: str =
                 turn += 1
                 yield from cut(own, t, turn)
 
-    return docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "lang string, route long, whole boolean, fragment string, place int, n long")
+    return docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "route long, head long, fragment string")
 
 
 def mined(routed: DataFrame, settings: Settings) -> DataFrame:
@@ -219,13 +230,17 @@ def mined(routed: DataFrame, settings: Settings) -> DataFrame:
     out = ["lang", "phrase", "n"]
 
     def mine(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        lists = pc.split_pattern(part.column("fragment").combine_chunks(), " ")
+        halves = pc.split_pattern(part.column("fragment").combine_chunks(), "\t").values
+        at = pa.array(np.arange(0, len(halves), 2))
+        lists = pc.split_pattern(halves.take(pc.add(at, 1)), " ")
         ends = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         ids = coded.indices.to_numpy()
-        langs = part.column("lang").combine_chunks().dictionary_encode()
-        own, n, whole = langs.indices.to_numpy(), part.column("n").to_numpy(), part.column("whole").to_numpy()
-        pivot = ends[:-1] + part.column("place").to_numpy()
+        langs = halves.take(at).dictionary_encode()
+        names = pa.array([_unquoted(x) for x in langs.dictionary.to_pylist()], pa.string())
+        head = part.column("head").to_numpy()
+        own, n, whole = langs.indices.to_numpy(), head // 16, part.column("route").to_numpy() % 2 == 0
+        pivot = ends[:-1] + head % 16
         windows, froms = [], []
         for size in range(2, s.most + 1):
             for before in range(size):
@@ -242,7 +257,7 @@ def mined(routed: DataFrame, settings: Settings) -> DataFrame:
         for lo in range(0, len(at), 50_000):
             own_words = w[at[lo : lo + 50_000], 1:]
             kept = own_words >= 0
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(w[at[lo : lo + 50_000], 0])), _joined(own_words[kept], np.cumsum(kept.sum(axis=1)), coded.dictionary), pa.array(sums[lo : lo + 50_000])], names=out)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(w[at[lo : lo + 50_000], 0])), _joined(own_words[kept], np.cumsum(kept.sum(axis=1)), coded.dictionary), pa.array(sums[lo : lo + 50_000])], names=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -254,9 +269,9 @@ def mined(routed: DataFrame, settings: Settings) -> DataFrame:
             if sum(map(len, held)) < 40_000:
                 continue
             all_held = pa.concat_tables(held)
-            routes, whole = all_held.column("route").to_numpy(), all_held.column("whole").to_numpy()
+            routes = all_held.column("route").to_numpy()
             # a whole route that may go on stays; a part of one need not
-            end = int(np.searchsorted(routes, routes[-1])) if whole[-1] else len(routes)
+            end = int(np.searchsorted(routes, routes[-1])) if routes[-1] % 2 == 0 else len(routes)
             if end:
                 yield from mine(all_held.slice(0, end))
             held = [all_held.slice(end)] if end < len(routes) else []

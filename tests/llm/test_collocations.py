@@ -48,7 +48,7 @@ def texts(seed, n=60, size=60):
 
 @pytest.mark.parametrize("s", [C.Settings(least=4), C.Settings(least=3, cover=70, top=15, buckets=7), C.Settings(least=4, route=10, buckets=64), C.Settings(most=3, least=5, route=1)])
 def test_equals_brute_force(spark, s):
-    docs = texts(s.buckets + s.most) + [("en", "new york times " * 9), ("en", "a a a a a a. a a a"), ("en", None), (None, "")]
+    docs = texts(s.buckets + s.most) + [("en", "new york times " * 9), ("en", "a a a a a a. a a a"), ("en", None), (None, ""), ("a\t%09%b", "one two " * 6)]
     df = spark.createDataFrame(docs, "lang string, text string").repartition(5)
     got = C.collocations(df, s)
     assert got.columns == COLUMNS
