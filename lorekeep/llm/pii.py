@@ -22,8 +22,21 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Don|Господин|Κύριος"
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Doña|Госпожа|Κυρία"
 _EITHER = "Dr|Dra|Doctor|Doktor|Docteur|Prof|Professor|Professorin|Professeur|Profesor|Profesora|Rev|Доктор|Профессор|Δρ|Καθηγητής"
-#: A title, or several: "Prof. Dr.", "Frau Dr."
-_TITLES = rf"(?:{_MALE}|{_FEMALE}|{_EITHER})\.?(?: (?:{_MALE}|{_FEMALE}|{_EITHER})\.?){{0,3}} "
+
+
+def _titles(words: str) -> str:
+    """A title, or several: "Prof. Dr.", "Frau Dr."."""
+    return rf"(?:{words})\.?(?: (?:{words})\.?){{0,3}} "
+
+
+_MIXED = "|".join([_MALE, _FEMALE, _EITHER])
+_TITLES, _CAPITAL_TITLES = _titles(_MIXED), _titles(_MIXED.upper())
+_ANY_TITLES = f"(?:{_TITLES}|{_CAPITAL_TITLES})"
+#: A word of a name, also like O'Brien and McDonald, and one in capitals.
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_CAPITALS = r"\p{Lu}(?:['’]?\p{Lu})+"
+#: Calling codes of countries (fixed values): those of one digit and of two; all others have three.
+_COUNTRY = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _L = r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}\p{Mn}"
 #: Kinds of entities, in the order in which they are tried at a place. Every run of word characters is entered at its start
 #: alone, and without going back, so that long runs take linear time.
@@ -34,7 +47,8 @@ KINDS = {
     "phone": r"(?<![\w+])\+?1?[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w+.\-])(?:\+?1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+\d(?:(?:[ .\-/]|[ .\-/]?\(|\)[ .\-/]?)?\d){7,14}(?!\w)|(?<![\w+.,/:\-])(?<!\d )0(?=[1-9]\d{0,4} )(?: ?\d){8,13}(?![\w/:\-])|(?<![\w+])\+\d{1,3}(?:[ .\-]\(?\d{2,4}\)?){2,4}(?!\w)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "person": rf"(?<![\p{{L}}\d]){_TITLES}\p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)",
+    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES}{_NAME}(?:[ \-]{_NAME}){{0,2}}|{_CAPITAL_TITLES}{_CAPITALS}(?:[ \-]{_CAPITALS}){{0,2}})(?!\p{{L}})",
 }
 #: Draws until an entity without a free replacement gets a tag.
 DRAWS = 12
@@ -45,7 +59,7 @@ def _first(words: str) -> str:
 
 
 #: What an entity of a kind starts with, looked at before the pattern itself.
-_STARTS = {"ip": "(?=[0-9])", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "person": f"(?=[{_first(_MALE + '|' + _FEMALE + '|' + _EITHER)}])"}
+_STARTS = {"ip": "(?=[0-9])", "ssn": "(?=[0-9])", "phone": "(?=[0-9+(])", "card": "(?=[0-9])", "iban": "(?=[A-Z]{2}[0-9])", "ip6": "(?=[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:])", "person": f"(?=[{_first(_MALE + '|' + _FEMALE + '|' + _EITHER)}])"}
 
 
 def _any(kinds: list[str]) -> str:
@@ -104,25 +118,38 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def kind_of(found: Column) -> Column:
-    return reduce(lambda c, k: c.when(found.rlike(f"^(?:{KINDS[k]})$"), F.lit(k)), KINDS, F.when(F.lit(False), F.lit("")))
+    # names without a title are entities because of one with it
+    return reduce(lambda c, k: c.when(found.rlike(f"^(?:{KINDS[k]})$"), F.lit(k)), KINDS, F.when(F.lit(False), F.lit(""))).when(found.rlike(r"^\p{Lu}"), F.lit("person"))
 
 
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
 
+def _national(found: Column) -> Column:
+    """Digits of a phone number without its country's code and the 0 that stands for it at home."""
+    digits = _digits(found)
+    abroad = F.regexp_replace(digits, _COUNTRY, "")
+    abroad = F.when(found.rlike(r"\(0"), F.regexp_replace(abroad, "^0", "")).otherwise(abroad)
+    home = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, F.lit(2), F.lit(10))).otherwise(F.regexp_replace(digits, "^0", ""))
+    return F.when(found.startswith("+"), abroad).otherwise(home)
+
+
 def normal(kind: Column, found: Column) -> Column:
-    """What makes occurrences one entity: digits of numbers, letters of addresses in lower case, words of names.
+    """What makes occurrences one entity: digits of numbers, of phones those within the country, letters of addresses in lower
+    case, words of names.
 
     Names keep their gender, if a title tells it; a number of digits that is no card by its check digit gets none, and stays as it is.
     """
     digits = _digits(found)
-    titles = F.regexp_extract(found, rf"^({_TITLES})", 1)
-    gender = F.when(titles.rlike(rf"(?:^| )(?:{_MALE})[. ]"), "m").when(titles.rlike(rf"(?:^| )(?:{_FEMALE})[. ]"), "f").otherwise("n")
+    titles = F.regexp_extract(found, rf"^({_ANY_TITLES})", 1)
+    male, female = (rf"(?:^| )(?:{w}|{w.upper()})[. ]" for w in (_MALE, _FEMALE))
+    gender = F.when(titles.rlike(male), "m").when(titles.rlike(female), "f").otherwise("n")
     name = F.lower(F.substring(found, F.length(titles) + 1, F.length(found)))
     return (
         F.when(kind == "email", F.lower(found))
-        .when(kind == "phone", F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
+        .when(kind == "phone", _national(found))
+        .when(kind == "ip6", F.lower(found))
         .when(kind == "card", F.when(_luhn_sum(digits) % 10 == 0, digits))
         .when(kind == "ssn", digits)
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
@@ -131,10 +158,8 @@ def normal(kind: Column, found: Column) -> Column:
     )
 
 
-def _name(digest: Column, key: Column, tries: Column) -> Column:
-    """A made-up word for a word of a name (gender, a bar, the word; no gender: a surname), in its script; given names end by
-    gender. Later draws are longer."""
-    word, gender = F.substring(key, F.instr(key, "|") + 1, F.length(key)), F.substring_index(key, "|", 1)
+def _name(digest: Column, word: Column, gender: Column, tries: Column) -> Column:
+    """A made-up word for a word of a name, in its script; given names whose gender is known end by it. Later draws are longer."""
 
     def built(script: str) -> Column:
         n = F.lit(2) + F.least(tries, F.lit(6))
@@ -172,8 +197,9 @@ def _walked(value: Column, step, form) -> Column:
 
 
 def _phone_form(digits: Column) -> Column:
-    """Numbers of the North American plan have neither 0 nor 1 before area and exchange; others keep their length."""
-    return digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    """Numbers of the North American plan have neither 0 nor 1 before area and exchange; others keep their length, and a 0 at
+    their start or its absence."""
+    return F.when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), "plan").when(digits.startswith("0"), "zero").otherwise("free")
 
 
 def _ssn_form(digits: Column) -> Column:
@@ -221,7 +247,17 @@ def _iban(secret: str, label: Column, norm: Column) -> Column:
     return F.concat(F.substring(norm, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), text)
 
 
-def surrogate(secret: str, kind: Column, norm: Column, tries: Column) -> Column:
+def _ip6(digest: Column, norm: Column) -> Column:
+    """Other hexadecimal digits behind the first group, none of them a 0 at the start of a group."""
+    def one(c: Column, i: Column) -> Column:
+        first = F.substring(norm, i, F.lit(1)) == ":"
+        return F.when(c == ":", c).when(first, _pick("123456789abcdef", _byte(digest, i))).otherwise(_pick("0123456789abcdef", _byte(digest, i)))
+
+    kept = F.instr(norm, ":") - 1
+    return F.array_join(F.transform(_chars(norm), lambda c, i: F.when(i < kept, c).otherwise(one(c, i))), "")
+
+
+def surrogate(secret: str, kind: Column, norm: Column, tries: Column, gender: Column | None = None) -> Column:
     """The replacement of an entity in its normal form."""
     label = F.concat_ws("/", kind, tries.cast("string"))
     d = _digest(secret, label, norm)
@@ -232,30 +268,30 @@ def surrogate(secret: str, kind: Column, norm: Column, tries: Column) -> Column:
     email = F.concat(longer, _recoded(F.substring(norm, F.lit(1), F.length(norm) - F.length(top)), d), top)
     body = F.concat(F.substring(norm, 1, 1), _permuted(secret, F.concat(label, F.substring(norm, 1, 1)), F.substring(norm, F.lit(2), F.length(norm) - 2)))
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    rest = F.substring(norm, F.lit(2), F.length(norm))
-    phone = F.concat(F.substring(norm, 1, 1), _walked(rest, lambda x: _permuted(secret, F.concat(label, F.substring(norm, 1, 1)), x), _phone_form))
+    phone = _walked(norm, lambda x: _permuted(secret, label, x), _phone_form)
     ssn = _walked(norm, lambda x: _permuted(secret, label, x), _ssn_form)
-    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", _iban(secret, label, norm)).when(kind == "ssn", ssn).when(kind == "word", _name(d, norm, tries))
+    return F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", _iban(secret, label, norm)).when(kind == "ssn", ssn).when(kind == "ip6", _ip6(d, norm)).when(kind == "word", _name(d, norm, F.lit("n") if gender is None else gender, tries))
 
 
 def in_form(kind: Column, found: Column, replacement: Column) -> Column:
-    """The replacement in the form of an occurrence: its separators, its case, its title."""
+    """The replacement in the form of an occurrence: its separators, its case, its title, its country's code."""
     digits = _digits(found)
-    skipped = F.length(replacement) - F.length(digits)  # a country code that this occurrence leaves out
-    letters = F.when(kind == "iban", F.length(F.regexp_replace(found, " ", "")))
+    before = F.when(kind == "phone", F.length(digits) - F.length(replacement)).otherwise(0)  # code and trunk 0 stay
 
     def placed(keep: str) -> Column:
         start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
         def step(acc: Column, c: Column) -> Column:
             own = c.rlike(keep)
-            return F.struct(F.concat(acc["out"], F.when(own, F.substring(replacement, acc["n"] + 1 + F.when(letters.isNull(), skipped).otherwise(0), F.lit(1))).otherwise(c)).alias("out"), (acc["n"] + own.cast("int")).alias("n"))
+            new = F.when(acc["n"] < before, c).otherwise(F.substring(replacement, acc["n"] + 1 - before, F.lit(1)))
+            return F.struct(F.concat(acc["out"], F.when(own, new).otherwise(c)).alias("out"), (acc["n"] + own.cast("int")).alias("n"))
 
         return F.aggregate(_chars(found), start, step, lambda acc: acc["out"])
 
-    email = F.when(F.upper(found) == found, F.upper(replacement)).otherwise(replacement)
-    person = F.concat(F.regexp_extract(found, rf"^({_TITLES})", 1), replacement)
-    return F.when(replacement.startswith("["), replacement).when(kind == "email", email).when(kind == "ip", replacement).when(kind == "person", person).when(kind == "iban", placed("^[A-Z0-9]$")).otherwise(placed("^[0-9]$"))
+    shout = lambda x, name: F.when(F.upper(name) == name, F.upper(x)).otherwise(x)
+    titles = F.regexp_extract(found, rf"^({_ANY_TITLES})", 1)
+    person = F.concat(titles, shout(replacement, F.substring(found, F.length(titles) + 1, F.length(found))))
+    return F.when(replacement.startswith("["), replacement).when(kind.isin("email", "ip6"), shout(replacement, found)).when(kind == "ip", replacement).when(kind == "person", person).when(kind == "iban", placed("^[A-Z0-9]$")).otherwise(placed("^[0-9]$"))
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
@@ -266,11 +302,16 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """
     if not secret:
         raise ValueError("surrogates need a key")
-    real = stored(entities.select("kind", "norm").where("kind is not null and norm is not null").distinct(), "entities")
-    occurs = real.select("kind", F.when(F.col("kind") == "word", F.substring(F.col("norm"), F.instr("norm", "|") + 1, F.length("norm"))).otherwise(F.col("norm")).alias("replacement")).distinct()
+    known = entities.where("kind is not null and norm is not null")
+    if "gender" not in entities.columns:
+        known = known.withColumn("gender", F.lit("n"))
+    # a word's gender is the one that more of its titles tell
+    tells = F.sum((F.col("gender") == "m").cast("int")) - F.sum((F.col("gender") == "f").cast("int"))
+    real = stored(known.groupBy("kind", "norm").agg(F.when(tells > 0, "m").when(tells < 0, "f").otherwise("n").alias("gender")), "entities")
+    occurs = real.select("kind", F.col("norm").alias("replacement")).distinct()
     todo, taken = real, None
     for n in range(DRAWS):
-        drawn = stored(todo.withColumn("replacement", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(n))), "drawn")
+        drawn = stored(todo.withColumn("replacement", surrogate(secret, F.col("kind"), F.col("norm"), F.lit(n), F.col("gender"))), "drawn")
         # of those that drew one value, the smallest keeps it
         free = drawn.groupBy("kind", "replacement").agg(F.min("norm").alias("norm")).join(occurs, ["kind", "replacement"], "left_anti")
         if taken is not None:
@@ -284,11 +325,36 @@ def surrogates(entities: DataFrame, secret: str) -> DataFrame:
 
 
 def _units(kind: Column, norm: Column) -> Column:
-    """The entities whose replacements make up that of an entity: itself, or the words of a name. A word's key has the gender
-    of given names and leaves out the other words, so that a full name and the surname alone stay one person."""
+    """The entities whose replacements make up that of an entity: itself, or the words of a name. A word is one entity wherever it
+    stands, so that a full name, its parts and the surname alone stay one person; given names bring the title's gender."""
     words = F.split(F.substring(norm, F.lit(3), F.length(norm)), r"[ \-]")
-    keyed = F.transform(words, lambda w, i: F.struct(F.lit("word").alias("kind"), F.concat(F.when((i == F.size(words) - 1) | ~norm.rlike("^[mf]"), "").otherwise(F.substring(norm, 1, 1)), F.lit("|"), w).alias("norm")))
-    return F.when(kind == "person", keyed).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    keyed = F.transform(words, lambda w, i: F.struct(F.lit("word").alias("kind"), w.alias("norm"), F.when(i < F.size(words) - 1, F.substring(norm, 1, 1)).otherwise("n").alias("gender")))
+    return F.when(kind == "person", keyed).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), F.lit("n").alias("gender"))))
+
+
+def _genitives(parts: DataFrame) -> DataFrame:
+    """Parts with a column ending: a word that is another one with an s is that one, and an s."""
+    words = parts.where("kind = 'word'").select("norm").distinct()
+    ends = words.where(F.col("norm").endswith("s") & (F.length("norm") > 3)).select("norm", F.expr("substring(norm, 1, length(norm) - 1)").alias("base"))
+    ends = ends.join(words.select(F.col("norm").alias("base")), "base").withColumn("kind", F.lit("word"))
+    return parts.join(ends, ["kind", "norm"], "left").withColumn("ending", F.when(F.col("base").isNotNull(), "s").otherwise("")).withColumn("norm", F.coalesce("base", "norm")).drop("base")
+
+
+def _named(cut: Column) -> Column:
+    """A cut text, cut again at its persons' names where they stand without a title: whole names and their words."""
+    title = rf"^({_ANY_TITLES})"
+    persons = F.filter(cut, lambda x, i: (i % 2 == 1) & x.rlike(title))
+    names = F.transform(persons, lambda x: F.regexp_replace(x, title, ""))
+    words = F.array_distinct(F.concat(names, F.filter(F.flatten(F.transform(names, lambda x: F.split(x, "[ -]"))), lambda w: F.length(w) > 1)))
+    longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E")))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\d])(?=\p{Lu})(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\d])"))
+
+    def again(t: Column, p: Column) -> Column:
+        return F.flatten(F.zip_with(F.regexp_extract_all(t, p, F.lit(0)), F.split(t, p, -1), lambda e, x: F.when(e.isNull(), F.array(x)).otherwise(F.array(x, e))))
+
+    # a lambda's argument is worked out once
+    once = F.get(F.transform(F.array(pattern), lambda p: F.flatten(F.transform(cut, lambda t, i: F.when(i % 2 == 0, again(t, p)).otherwise(F.array(t))))), 0)
+    return F.when(F.exists(cut, lambda x: x.rlike(title)), once).otherwise(cut)
 
 
 def _pieces(c: Column) -> Column:
@@ -312,15 +378,16 @@ def pseudonymised(docs: DataFrame, secret: str, text: str = "text", count: str =
     row, cut = free_name(docs, "row_"), free_name(docs, "found_")
     own = [F.col(f"`{x}`") for x in columns]
     # stored, so that the pattern runs over each text once; row numbers are those of the written table
-    marked = stored(docs.select(*own, F.when(c.rlike("[0-9@\\p{Lu}]"), _pieces(c)).alias(cut)).select(*own, F.when(F.size(cut) > 1, F.col(cut)).alias(cut), F.monotonically_increasing_id().alias(row)), "pii")
+    marked = stored(docs.select(*own, F.when(c.rlike("[0-9@\\p{Lu}]"), _pieces(c)).alias(cut)).select(*own, F.when(F.size(cut) > 1, _named(F.col(cut))).alias(cut), F.monotonically_increasing_id().alias(row)), "pii")
     clean = marked.where(F.col(cut).isNull()).select(*own, F.lit(0).cast("long").alias(count))
     hit = marked.where(F.col(cut).isNotNull())
     each = hit.select(row, F.posexplode(cut).alias("pos", "found")).where("pos % 2 = 1")
     kinds = each.select("found").distinct().withColumn("kind", kind_of(F.col("found"))).withColumn("norm", normal(F.col("kind"), F.col("found")))
     kinds = stored(kinds.where("norm is not null"), "found")
     parts = kinds.select("found", F.col("kind").alias("whole"), F.posexplode(_units(F.col("kind"), F.col("norm"))).alias("place", "u")).select("found", "whole", "place", "u.*")
+    parts = stored(_genitives(parts), "parts")
     given = parts.join(surrogates(parts, secret), ["kind", "norm"])
-    spelt = F.when((F.col("kind") == "word") & ~F.col("replacement").startswith("["), F.initcap("replacement")).otherwise(F.col("replacement"))
+    spelt = F.when((F.col("kind") == "word") & ~F.col("replacement").startswith("["), F.concat(F.initcap("replacement"), "ending")).otherwise(F.col("replacement"))
     joined = given.groupBy("found", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", spelt.alias("r")))), lambda x: x["r"]), " ").alias("replacement"))
     replaced = stored(joined.select("found", in_form(F.col("whole"), F.col("found"), F.col("replacement")).alias("new")), "replacements")
     lists = each.join(replaced, "found", "left").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new", "found").alias("new")))).alias("news"), F.count("new").alias(count))
