@@ -33,9 +33,13 @@ _ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {t: (frozenset(["p"]),
 _ENDS |= {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select"])), "body": (frozenset(["head"]), frozenset(["html"]))}
 
 _GROUPS = {t: g for g, ts in {"article": "article", "main": "main", "section": "section", "p": "p", "h": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl menu", "item": "li dt dd", "a": "a", "nav": "nav", "aside": "aside", "header": "header", "footer": "footer", "form": "form input button label fieldset textarea select option legend", "head": "head title meta link", "quote": "blockquote pre code", "table": "table tbody thead tfoot tr td th caption", "figure": "figure figcaption img picture video audio", "div": "div center", "inline": "b strong i em u span small sub sup mark q cite abbr time s del ins font tt kbd", "page": "html body", "dialog": "dialog details summary"}.items() for t in ts.split()}
+#: Elements that say nothing of what they hold.
+_PLAIN = frozenset("html body div center table tbody tr td main article section".split())
 _GOOD = re.compile(r"(?<![a-z])(article|content|post|entry|story|body|main|text|page)s?(?![a-z])", re.I)
 _BAD = re.compile(r"(?<![a-z])(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent\w*|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|tags?|side|sidebar|rail|aside|widget\w*|related|recommend\w*|share\w*|sharing|social\w*|footer|copyright|header|masthead|topbar|hidden|search|toolbar|skip)(?![a-z])", re.I)
 _TALK = re.compile(r"(?<![a-z])(comment\w*|respond|replies|reply|disqus|discussion|feedback)(?![a-z])", re.I)
+#: Parts of names that tell of a frame around others (as in content-sidebar-layout, has-sidebar), whatever else they name.
+_FRAME = re.compile(r"(?<![a-z])(layout|wrap|wrapper|container|row|columns?|cols?|grid|inner|outer|site|has|with|no|shell|canvas|theme)(?![a-z])", re.I)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -149,21 +153,42 @@ def features(page: Page) -> list[list[str]]:
     for i in range(n - 1, 0, -1):
         total[page.parent[i]] += total[i]
         links[page.parent[i]] += links[i]
+    whole = max(1, total[0] - links[0])
+    bare = [False] * n  # below nothing but the page's own elements and frames without a word for what they hold
+    bare[0] = True
+    loose = []  # what is bare, if the page turns out to have no element for an article
+    framed = False
     out = []
     for i in range(n):
         tag, attrs = page.tag[i], page.attrs[i]
         f = ["bias", f"tag {_GROUPS.get(tag, 'other')}", f"own {min(4, (own[i] > 0) + (own[i] > 25) + (own[i] > 80) + (own[i] > 200))}"]
         if total[i]:
             f.append(f"links {min(2, int(3 * links[i] / total[i]))}")
+            if own[i]:
+                f.append(f"share {min(3, int(4 * (total[i] - links[i]) / whole))}")
+        told: set[str] = set()
         if ends[i]:
             f.append("sentence")
         if attrs:
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).replace("_", "-")
-            if names:
-                f += [k for k, r in (("good name", _GOOD), ("bad name", _BAD), ("talk name", _TALK)) if r.search(names)]
+            # each name by itself: what a frame's name says of its parts is said of no single one
+            for name in names.split():
+                if _FRAME.search(name) and "-" in name:
+                    told.add("frame name")
+                else:
+                    told |= {k for k, r in (("good name", _GOOD), ("bad name", _BAD), ("talk name", _TALK)) if r.search(name)}
+            f += sorted(told)
             if _HIDDEN.search(attrs):
                 f.append("hidden")
+        if i:
+            bare[i] = bare[page.parent[i]] and tag in _PLAIN and not told & {"bad name", "talk name"}
+            if bare[page.parent[i]]:
+                f.append(f"bare {_GROUPS.get(tag, 'other')}")
+                loose.append(i)
+        framed = framed or tag in ("article", "main") or "good name" in told
         out.append(f)
+    for i in loose if not framed else ():
+        out[i].append(f"loose {_GROUPS.get(page.tag[i], 'other')}")
     return out
 
 
@@ -278,8 +303,8 @@ def labelled(source: str) -> tuple[Page, list[int]]:
     return page, labels
 
 
-def training_pages(n: int = 120, seed: int = 5) -> list[str]:
-    """Labelled pages of many layouts: what frames an article, and what stands in it without belonging to it."""
+def training_pages(n: int = 180, seed: int = 5) -> list[str]:
+    """Labelled pages of many layouts: what frames an article, or nothing that does, and what stands in it without belonging to it."""
     r = random.Random(seed)
 
     def words(lo: int, hi: int) -> str:
@@ -315,8 +340,32 @@ def training_pages(n: int = 120, seed: int = 5) -> list[str]:
     def block() -> str:
         return r.choice([lambda: f"<p>{prose()}</p>"] * 7 + [lambda: f"<p>{prose()}", lambda: f"<h2>{words(1, 8)}</h2>", lambda: f"<ul><li>{prose(2, 15)}</li><li>{prose(2, 15)}</li></ul>", lambda: f"<blockquote><p>{prose()}</p></blockquote>", lambda: f"<pre>{words(3, 20)}</pre>", lambda: f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", lambda: f"<div>{prose()}</div>"])()
 
+    def labelled_block() -> str:
+        return re.sub(r"^<(\w+)", r'<\1 data-label="1"', block())
+
+    def page(body: str) -> str:
+        return f'<!DOCTYPE html><html data-label="0"><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>'
+
     pages = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 3 == 2:
+            nav = r.choice(["", "", f'<nav data-label="0"><ul>{links(r.randint(2, 6))}</ul></nav>', junk(False)])
+            last = r.choice(["", "", f'<footer data-label="0">{prose(2, 14)}</footer>', junk(False)])
+            inner = [f'<h1 data-label="1">{words(1, 9)}</h1>'] * (r.random() < 0.5) + [labelled_block() for _ in range(r.randint(1, 7))]
+            core = "".join(inner)
+            side = f'<div class="{r.choice(["sidebar", "side", "rail"])}" data-label="0"><ul>{links(3)}</ul><p>{prose(2, 20)}</p></div>'
+            named = f'<div class="{r.choice(["main-text", "text", "story", "post-body", "article-content"])}" data-label="1">{core}</div>'
+            frame = r.choice(["content-sidebar-layout", "two-columns-wrap", "page-wrapper", "site-container has-sidebar", "layout-with-nav", "grid-row"])
+            pages.append(page(r.choice([
+                lambda: f"{nav}{core}{last}",
+                lambda: f"{nav}{core}{last}",
+                lambda: f"{nav}<div>{core}</div>{last}",
+                lambda: f'{nav}<div class="{frame}">{r.choice([named + side, side + named])}</div>{last}',
+                lambda: f'<div class="{frame}">{nav}{named}{last}</div>',
+                lambda: f'<table><tr><td data-label="0"><ul>{links(4)}</ul></td><td data-label="1">{core}</td></tr></table>{last}',
+                lambda: f'<table><tr><td data-label="0">{"<br>".join(f"<a href=/{i}>{words(1, 2)}</a>" for i in range(r.randint(2, 5)))}</td><td data-label="1">{core}</td></tr></table>{last}',
+            ])()))
+            continue
         tag, attr = r.choice([("article", "")] * 5 + [("article", ' class="post"'), ("main", ""), ("main", ' id="content"'), ("div", ' class="article-body"'), ("div", ' id="content"'), ("div", ' class="post-content"'), ("section", ' class="entry"')])
         inner = [f"<h1>{words(1, 9)}</h1>"] * (r.random() < 0.8) + [block() for _ in range(r.randint(1, 12))]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
@@ -326,7 +375,7 @@ def training_pages(n: int = 120, seed: int = 5) -> list[str]:
         nav = f'<nav data-label="0"><ul>{links(r.randint(3, 7))}</ul></nav>'
         core = r.choice([core, core, f"<div>{core}{outside(1)}</div>", f'<div class="wrap">{outside(1)}{core}</div>'])
         body = f"{r.choice(['', nav])}{outside(2)}{core}{outside(2)}{r.choice(['', '<footer data-label=\"0\">&copy; ' + prose(2, 14) + '</footer>'])}"
-        pages.append(f'<!DOCTYPE html><html data-label="0"><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{body}</body></html>')
+        pages.append(page(body))
     return pages
 
 

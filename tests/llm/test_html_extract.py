@@ -42,6 +42,75 @@ def test_text():
     assert m.text(None) == m.text("") == m.text("<<<") == ""
 
 
+PLAIN = "<body><p>Only a plain paragraph without any container at all.</p><p>And a second one.</p></body>"
+FRAMED = "<html><body><div class='content-sidebar-layout'><div class='main-text'><p>First paragraph of the real article with some words in it.</p><p class='side-note'>A note beside it all.</p></div><div class='sidebar'><ul><li><a href='/a'>Link</a></li><li><a href='/b'>Other</a></li></ul></div></div></body></html>"
+TABLE = "<table><tr><td><a href='/'>Home</a><br><a href='/x'>More</a></td><td><p>Article in a table layout, short.</p></td></tr></table>"
+
+
+def test_short_and_frameless_articles():
+    m = H.trained()
+    assert m.text(PLAIN) == "Only a plain paragraph without any container at all.\n\nAnd a second one."
+    assert m.text(FRAMED).startswith("First paragraph of the real article with some words in it.") and "Link" not in m.text(FRAMED)
+    assert m.text(TABLE) == "Article in a table layout, short."
+    assert m.text("<html><body><nav><a href='/'>Home</a></nav><h1>Title here</h1><p>Short one.</p><footer>Copyright</footer></body></html>") == "Title here\n\nShort one."
+
+
+def plain_text(source, labels):
+    """The text of labelled elements by Python's own parser, for pages whose elements are all closed."""
+    import re
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks, self.raw = [0], [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in H._BLOCK:
+                self.blocks.append("")
+            if tag == "br":
+                self.blocks[-1] += " "
+            if tag not in H._VOID:
+                self.stack.append(int(dict(attrs).get("data-label", self.stack[-1])))
+                self.raw += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag in H._BLOCK:
+                self.blocks.append("")
+            if tag not in H._VOID:
+                self.stack.pop()
+                self.raw -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.stack[-1] and not self.raw:
+                self.blocks[-1] += data
+
+    p = P()
+    p.feed(source)
+    return "\n\n".join(s for b in p.blocks if (s := " ".join(b.split())))
+
+
+def test_query_against_an_independent_extractor(spark, tmp_path):
+    import re
+
+    from pyspark.sql import functions as F
+
+    pages = [s for s in H.training_pages(260, 91) if s.count("<p>") == s.count("</p>") and not re.search(r"<p [^>]*>(?:(?!</p>).)*<(?:p|div|ul)", s) and s.count("<b>") == s.count("</b>") and "<p data" not in s]
+    rows = [(i, f"http://x/{i}", re.sub(r' data-label="\d"', "", s)) for i, s in enumerate(pages)] + [(900, "n", None), (901, "e", ""), (902, "p", PLAIN)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = H.op4_query(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [t for _, t in got.dtypes] == ["bigint", "string", "string", "bigint"]
+    found = {r.page_id: r for r in got.collect()}
+    assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found.values()) and found[900].text == found[901].text == ""
+    same = sum(found[i].text == plain_text(s, None) for i, s in enumerate(pages))
+    assert len(pages) > 30 and same / len(pages) > 0.85
+
+
+def test_ties_are_no_content():
+    m = H.TreeModel({}, {"block": __import__("numpy").zeros((2, 2)), "inline": __import__("numpy").zeros((2, 2))})
+    assert m.text("<p>as likely as not</p>") == ""
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "<article><p>Some text of a page, long enough.</p></article>", 9), (3, "<p", 9), (4, "<div>" * 20000 + "x", 9)], "page_id long, html string, n_chars int")
     got = H.main_text(df).collect()
