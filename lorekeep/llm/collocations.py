@@ -199,7 +199,7 @@ def fragments(docs: DataFrame, sums: np.ndarray, settings: Settings, text: str =
         parts = shares[pivots]
         salt = (np.arange(len(rows)) + turn) % np.maximum(parts, 1)
         routes = (pivots << 24 | salt << 1 | (parts > 1)).astype(np.int64)
-        sorted_ = np.lexsort((rows[:, reach], routes))
+        sorted_ = np.lexsort((rows[:, reach + 1], rows[:, reach], routes))
         rows, routes, heads = rows[sorted_], routes[sorted_], (n * 16 + left)[sorted_]
         vocabulary, prefix = _strings(list(number)), pa.scalar(_quoted(own) + "\t")
         for lo in range(0, len(rows), 50_000):
