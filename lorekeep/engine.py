@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from . import schemas
 from .config import Settings
 from .functions import segment
-from .functions.embed import embedded
+from .functions.embed import LearnedEmbedder, embedded
 from .functions.text import TOKEN, TOKEN_ANY, is_modern_id
-from .operators import bm25, catalog, context, hybrid, importer, knn, segmentation
+from .operators import bm25, catalog, context, embedding, hybrid, importer, knn, segmentation
 from .operators.chunking import with_metadata
 from .operators.index import Index
 from .session import work_path, written
@@ -26,8 +26,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder: Callable | None = None, completer: Callable = context.extractive, parser: Callable = pdf.pdf_pages, fetch: Callable[[str], bytes] | None = None):
         self.spark, self.settings = spark, settings or Settings.load()
-        self.embedder, self.completer, self.parser, self.fetch = embedder, completer, parser, fetch
-        self.index = Index(spark, self.settings.index_dir, embedder, self.settings.embedding_dim, self._tokenizer())
+        self.completer, self.parser, self.fetch = completer, parser, fetch
+        self.embedder = embedder or embedding.load(spark, f"{self.settings.index_dir}/embedder")
+        self.index = Index(spark, self.settings.index_dir, self.embedder, self.settings.embedding_dim, self._tokenizer())
         catalog.create_tables(spark, self.settings.database)
 
     def _tokenizer(self):
@@ -47,6 +48,16 @@ class Engine:
         self.index.pattern = self._tokenizer()
         return lexicon
 
+    def fit_embedder(self, texts: DataFrame, text: str = "text", learning: embedding.Learning | None = None) -> LearnedEmbedder:
+        """Learns vectors of words from a corpus, and keeps them beside the index, for every engine that opens it without an
+        embedder of its own. The index has to be empty: vectors of different embedders do not meet."""
+        if self.index.batches():
+            raise ValueError("the index holds vectors already")
+        learned = embedding.learn(texts, text, learning or embedding.Learning(dim=self.settings.embedding_dim))
+        embedding.save(self.spark, learned, f"{self.settings.index_dir}/embedder")
+        self.embedder = self.index.embedder = learned
+        return learned
+
     def _table(self, name: str) -> str:
         return f"{self.settings.database}.{name}"
 
@@ -166,12 +177,14 @@ class Engine:
         """qid, rank, text, score, arxiv_id of the best chunks for each question (qid, question)."""
         s = self.settings
         k = k or s.retrieval_k
-        chunks = self.index.read("chunks")
         asked = questions.select("qid", embedded(F.col("question"), self.embedder, s.embedding_dim).alias("q"))
         near = knn.nearest_batch(self.index.read("vectors"), asked, 2 * k, "id", "embedding")
         scores = bm25.scores(self.index.bm25(), bm25.query_terms(questions, "qid", "question", self.index.pattern))
         legs = hybrid.vector_leg(near, s.vector_weight if vector_weight is None else vector_weight, s.distance_cutoff), hybrid.bm25_leg(scores, k, s.bm25_weight if bm25_weight is None else bm25_weight)
-        best = hybrid.fuse(chunks, *legs, k, "chunk_id", "page_content")
+        # 4k hits a question at most; their chunks are read once, with what is shown of them
+        hits = written(legs[0].unionByName(legs[1]), work_path(self.spark, "hits"))
+        chunks = written(self.index.chunks_of(hits).select("chunk_id", "page_content", "arxiv_id", "source"), work_path(self.spark, "chunks"))
+        best = hybrid.fuse(chunks, hits, None, k, "chunk_id", "page_content")
         return best.join(chunks.select(F.col("chunk_id").alias("id"), "arxiv_id", "source"), "id")
 
     def answer(self, questions: DataFrame) -> DataFrame:

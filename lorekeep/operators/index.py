@@ -14,11 +14,10 @@ from ..functions.embed import embedded
 from ..functions.text import TOKEN
 from . import bm25
 
-PARTS = ("chunks", "vectors", "postings", "terms", "lengths")
+PARTS = ("chunks", "vectors", "postings", "terms")
 VECTORS = "id string, embedding array<float>"
 POSTINGS = "id string, dl int, term string, tf long"
 TERMS = "term string, df long"
-LENGTHS = "id string, dl long"
 #: Terms of a batch of questions up to which they are sent to the scan of postings as a filter.
 FILTER_TERMS = 1_000
 
@@ -74,10 +73,10 @@ class Index:
             return 0
         stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(self._part("vectors", name))
         # each file is in order of terms, so that a question's terms are found by its statistics; a term that all texts have
-        # stays spread over the files
-        bm25.postings(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
-        bm25.doc_frequencies(stored, "page_content", self.pattern).write.mode("overwrite").parquet(self._part("terms", name))
-        bm25.doc_lengths(stored, "chunk_id", "page_content", self.pattern).write.mode("overwrite").parquet(self._part("lengths", name))
+        # stays spread over the files. Every document has a row with an empty term, which tells its length
+        bm25.row_postings(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
+        postings = self.spark.read.schema(POSTINGS).parquet(self._part("postings", name))
+        postings.where("term != ''").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(self._part("terms", name))
         self._fs().mkdirs(self._path(f"batches/{name}"))
         return n
 
@@ -115,13 +114,13 @@ class Index:
 
     def read(self, part: str, batch: str | None = None) -> DataFrame:
         """A part over all whole batches, or of one; without any, an empty table. Damaged files fail loudly."""
-        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS}[part]
+        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "terms": TERMS}[part]
         paths = [self._part(part, b) for b in self.batches() if batch in (None, b)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def bm25(self) -> bm25.Bm25Index:
         """Frequencies and lengths are sums of what the batches have stored; neither texts nor postings are counted again."""
-        corpus = bm25.corpus_stats(self.read("lengths"))
+        corpus = bm25.corpus_stats(self.read("postings").where("term = ''").select("dl"))
         df = self.read("terms").groupBy("term").agg(F.sum("df").alias("df"))
 
         def postings(asked: DataFrame) -> DataFrame:
@@ -131,6 +130,15 @@ class Index:
 
         return bm25.Bm25Index(postings, bm25.term_stats(df, corpus), corpus)
 
+    def chunks_of(self, hits: DataFrame) -> DataFrame:
+        """The chunks with an id of a stored table of hits (id); the scan gets up to FILTER_TERMS ids as a filter, so that it reads
+        the files and row groups that may hold one."""
+        ids = [r.id for r in hits.select("id").distinct().limit(FILTER_TERMS + 1).collect()]
+        chunks = self.read("chunks")
+        if len(ids) <= FILTER_TERMS:
+            return chunks.where(F.col("chunk_id").isin(ids))
+        return chunks.join(hits.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+
     def clear(self, confirm: str) -> bool:
         """Removes the index if confirm is exactly YES."""
         if confirm != "YES":
