@@ -89,6 +89,15 @@ def split_documents(pages: DataFrame, document: str = "source", size: int = 800,
     return cut.withColumn("chunk_index", F.row_number().over(order) - 1).drop("pos_")
 
 
+def fixed_stride(docs: DataFrame, document: str = "doc_id", text: str = "text", size: int = 800, overlap: int = 150) -> DataFrame:
+    """document, chunk_index, chunk: windows of `size` characters, each `size - overlap` after the last; the last one ends the text.
+    JVM functions only; an empty text is one empty chunk, a null one none."""
+    step = size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
+    return docs.where(F.col(text).isNotNull()).select(document, F.posexplode(cut).alias("chunk_index", "chunk"))
+
+
 def with_metadata(pages: DataFrame, metadata: dict[str, str] | None, column: str = "metadata") -> DataFrame:
     """Merges caller-supplied keys over those of the loader; an empty or missing dict changes nothing."""
     if not metadata:

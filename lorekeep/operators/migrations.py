@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,33 @@ def status(found: DataFrame, applied: DataFrame) -> DataFrame:
     return done.unionByName(found.select("version", "name").join(applied, "version", "left_anti").withColumn("state", F.lit("pending"))).orderBy("state", "version")
 
 
-def migrate(spark: SparkSession, folder: str, table: str = "schema_migrations") -> list[str]:
-    """Runs what is pending and records it; the versions applied. The folder's files are few and run one after another."""
+#: What a semicolon does not end: comments, quoted text and names, bodies between dollar signs; those left open go on to the end.
+_TOKEN = re.compile(r"""(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<end>;)|'(?:[^'\\]|\\.|'')*(?:'|\Z)|"(?:[^"\\]|\\.|"")*(?:"|\Z)|`(?:[^`]|``)*(?:`|\Z)|(?P<dollar>\$\w*\$).*?(?:(?P=dollar)|\Z)|[^;'"`$/\-]+|.""", re.S)
+
+
+def split_statements(sql: str) -> list[str]:
+    """Statements between semicolons, stripped; what holds nothing but comments and white space is none."""
+    out, own, real = [], [], False
+    for m in [*_TOKEN.finditer(sql), None]:
+        if m is None or m["end"]:
+            if real:
+                out.append("".join(own).strip())
+            own, real = [], False
+            continue
+        own.append(m[0])
+        real = real or (not m["comment"] and not m[0].isspace())
+    return out
+
+
+def migrate(spark: SparkSession, folder: str, table: str = "schema_migrations", naive: bool = False) -> list[str]:
+    """Runs what is pending and records it; the versions applied. The folder's files are few and run one after another.
+
+    naive: cut at every semicolon, those within literals and comments too.
+    """
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (version string, applied_at timestamp) USING parquet")
-    todo = pending(listing(spark, folder), spark.table(table)).select("version", statements(F.col("sql")).alias("parts")).collect()
+    todo = pending(listing(spark, folder), spark.table(table)).select("version", "sql", statements(F.col("sql")).alias("parts")).collect()
     for row in sorted(todo, key=lambda r: r.version):
-        for part in row.parts:
+        for part in row.parts if naive else split_statements(row.sql):
             spark.sql(part)
         spark.createDataFrame([(row.version,)], "version string").withColumn("applied_at", F.current_timestamp()).write.insertInto(table)
     return sorted(r.version for r in todo)

@@ -252,20 +252,22 @@ def skipped_counts(spark, sf_dir):
     return importer.skipped(papers(spark, sf_dir))
 
 
-_FILES = ["V1__init.sql", "V10__more.sql", "V9__less.sql", "V2.sql", "v3__x.sql", "V20240101000000__a_b.sql", "notes.txt", "V4__a-b.sql"]
-_APPLIED = ["1__init", "9__less", "0__gone"]
-
-
-def _migrations(spark):
-    return migrations.files(spark.createDataFrame([(f,) for f in _FILES], "name string")), spark.createDataFrame([(v,) for v in _APPLIED], "version string")
+def _migrations(spark, sf_dir):
+    """A file for every document, of which every fifth has a name that is no migration's; every third version is applied, and for
+    every seventh document one whose file is gone."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    named = F.concat(F.when(i % 5 == 1, "v").otherwise("V"), i.cast("string"), F.when(i % 5 == 2, "_").otherwise("__"), F.coalesce("source", F.lit("none")), F.when(i % 5 == 3, ".txt").otherwise(".sql"))
+    version = F.concat(i.cast("string"), F.lit("__"), F.coalesce("source", F.lit("none")))
+    applied = d.where(i % 3 == 0).select(version.alias("version")).unionByName(d.where(i % 7 == 0).select(F.concat(version, F.lit("_gone")).alias("version")))
+    return migrations.files(d.select(named.alias("name"))), applied
 
 
 def pending_migrations(spark, sf_dir):
-    return migrations.pending(*_migrations(spark)).select("version", "name")
+    return migrations.pending(*_migrations(spark, sf_dir)).select("version", "name")
 
 
 def migration_status(spark, sf_dir):
-    return migrations.status(*_migrations(spark))
+    return migrations.status(*_migrations(spark, sf_dir))
 
 
 def statement_split(spark, sf_dir):
@@ -305,20 +307,32 @@ def chunks_recursive(spark, sf_dir):
 
 
 def chunks_fixed_stride(spark, sf_dir):
-    """Windows of 800 characters, each 650 after the last; the last one ends the text."""
-    n = F.greatest(F.lit(1), F.ceil((F.length("text") - 150) / 650)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 650 + 1, F.lit(800)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut).alias("chunk_index", "chunk"))
+    return chunking.fixed_stride(table(spark, sf_dir, "documents"))
 
 
 def dedup_by_content(spark, sf_dir):
     return index.distinct_contents(table(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "copies")
 
 
+def _as_chunks(spark, sf_dir):
+    """Every document as one chunk; its number is its source."""
+    from .. import schemas
+
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.lit(None).cast("string").alias("chunk_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("arxiv_id", "title", "category")], F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.col("text").alias("page_content"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    assert chunks.schema.simpleString() == spark.createDataFrame([], schemas.CHUNKS).schema.simpleString()
+    return chunks
+
+
 def append_documents(spark, sf_dir):
-    """All documents, and all of them again as a second batch, as one bag."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    return d.withColumn("batch", F.lit(1)).unionByName(d.withColumn("batch", F.lit(2)))
+    """All documents added to an index, all of them again as a second batch, and the first batch once more, which adds nothing: the
+    chunks that the index then holds."""
+    from ..session import work_path
+
+    own = index.Index(spark, work_path(spark, "index"), letters)
+    for batch in ("batch-1", "batch-2", "batch-1"):
+        own.add(_as_chunks(spark, sf_dir), batch=batch)
+    return own.read("chunks").select(F.col("source").cast("long").alias("doc_id"), F.md5(F.col("page_content").cast("binary")).alias("text_md5"), F.substring("chunk_id", 7, 1).cast("int").alias("batch"))
 
 
 def label_select(spark, sf_dir):
@@ -369,14 +383,11 @@ def letters(texts: list[str]):
 
 def index_search(spark, sf_dir):
     """All documents added to an index twice, in two batches; the best texts of every benchmark item by both legs."""
-    from .. import schemas
     from ..config import Settings
     from ..engine import Engine
     from ..session import work_path
 
-    d = table(spark, sf_dir, "documents")
-    chunks = d.select(F.lit(None).cast("string").alias("chunk_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("arxiv_id", "title", "category")], F.lit(0).alias("page"), F.lit(0).alias("chunk_index"), F.col("text").alias("page_content"), F.lit(None).cast("map<string,string>").alias("metadata"))
-    assert chunks.schema.simpleString() == spark.createDataFrame([], schemas.CHUNKS).schema.simpleString()
+    chunks = _as_chunks(spark, sf_dir)
     engine = Engine(spark, Settings(index_dir=work_path(spark, "index")), embedder=letters)
     for batch in ("batch-1", "batch-2"):
         engine.index.add(chunks, batch=batch)
@@ -431,7 +442,9 @@ SELECT CAST(qid AS BIGINT) AS qid, CAST(rank AS INT) AS rank, md5(text) AS text_
 
 _D2 = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) ** 2))"
 _RESULTS = _PAPERS + ", res AS (SELECT arxiv_id, category, doc_id % 9 <> 0 AS success, CAST(CASE WHEN doc_id % 9 <> 0 THEN doc_id % 30 ELSE 0 END AS INT) AS chunks, CASE WHEN doc_id % 18 = 0 THEN '下载失败' END AS error FROM papers)"
-_MIGRATIONS = "f AS (SELECT name, regexp_extract(name, '^V([0-9]+__[0-9A-Za-z_]+)[.]sql$', 1) AS version FROM (VALUES " + ", ".join(f"('{f}')" for f in _FILES) + ") v(name)), found AS (SELECT * FROM f WHERE version <> ''), applied AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}')" for a in _APPLIED) + ") v(version))"
+_MIGRATIONS = """f AS (SELECT CASE WHEN doc_id % 5 = 1 THEN 'v' ELSE 'V' END || doc_id || CASE WHEN doc_id % 5 = 2 THEN '_' ELSE '__' END || coalesce(source, 'none') || CASE WHEN doc_id % 5 = 3 THEN '.txt' ELSE '.sql' END AS name FROM documents),
+ found AS (SELECT name, regexp_extract(name, '^V([0-9]+__[0-9A-Za-z_]+)[.]sql$', 1) AS version FROM f WHERE version <> ''),
+ applied AS (SELECT doc_id || '__' || coalesce(source, 'none') AS version FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id || '__' || coalesce(source, 'none') || '_gone' FROM documents WHERE doc_id % 7 = 0)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,3 +49,58 @@ def test_settings(tmp_path):
 @pytest.mark.parametrize(("attempt", "limited", "delay"), [(0, True, 5), (1, True, 10), (0, False, 1), (2, False, 4)])
 def test_retry_delay(spark, attempt, limited, delay):
     assert spark.range(1).select(T.retry_delay(F.lit(attempt), F.lit(limited)).alias("d")).first().d == delay
+
+
+def test_statements_end_where_nothing_is_open():
+    import random
+
+    from lorekeep.operators.migrations import split_statements
+
+    def slow(sql):
+        """One character after the other."""
+        out, own, i, real = [], "", 0, False
+        while i < len(sql):
+            rest = sql[i:]
+            if rest.startswith("--"):
+                end = rest.find("\n")
+                n, solid = (end if end >= 0 else len(rest)), False
+            elif rest.startswith("/*"):
+                end = rest.find("*/", 2)
+                n, solid = (end + 2 if end >= 0 else len(rest)), False
+            elif rest[0] in "'\"`":
+                n, solid = 1, True
+                while n < len(rest):
+                    if rest[n] == "\\" and rest[0] != "`":
+                        n += 2
+                    elif rest[n] == rest[0] and rest[n + 1 : n + 2] == rest[0]:
+                        n += 2
+                    elif rest[n] == rest[0]:
+                        n += 1
+                        break
+                    else:
+                        n += 1
+            elif rest.startswith("$$"):
+                end = rest.find("$$", 2)
+                n, solid = (end + 2 if end >= 0 else len(rest)), True
+            elif rest[0] == ";":
+                if real:
+                    out.append(own.strip())
+                own, real, i = "", False, i + 1
+                continue
+            else:
+                n, solid = 1, not rest[0].isspace()
+            own, real, i = own + rest[:n], real or solid, i + n
+        return [*out, own.strip()] if real else out
+
+    r = random.Random(6)
+    for _ in range(4000):
+        sql = "".join(r.choice(["a", ";", ";", " ", "'", '"', "`", "--", "\n", "/*", "*/", "$$", "-", "/", "x = 1", "''"]) for _ in range(r.randint(0, 14)))
+        assert split_statements(sql) == slow(sql), sql
+    assert split_statements("INSERT INTO t VALUES ('a;b'); -- c; d\n/* ; */ SELECT $f$ x; $f$;;") == ["INSERT INTO t VALUES ('a;b')", "-- c; d\n/* ; */ SELECT $f$ x; $f$"]
+
+
+def test_fixed_stride(spark):
+    from lorekeep.operators.chunking import fixed_stride
+
+    docs = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None), (4, "abcd")], "doc_id long, text string")
+    assert sorted(map(tuple, fixed_stride(docs, size=4, overlap=1).collect())) == [(1, 0, "abcd"), (1, 1, "defg"), (1, 2, "ghij"), (2, 0, ""), (4, 0, "abcd")]
