@@ -179,7 +179,7 @@ class Engine:
         k = k or s.retrieval_k
         asked = questions.select("qid", embedded(F.col("question"), self.embedder, s.embedding_dim).alias("q"))
         near = knn.nearest_batch(self.index.read("vectors"), asked, 2 * k, "id", "embedding")
-        scores = bm25.scores(self.index.bm25(), bm25.query_terms(questions, "qid", "question", self.index.pattern))
+        scores = self.index.top(bm25.query_terms(questions, "qid", "question", self.index.pattern), 2 * k)
         legs = hybrid.vector_leg(near, s.vector_weight if vector_weight is None else vector_weight, s.distance_cutoff), hybrid.bm25_leg(scores, k, s.bm25_weight if bm25_weight is None else bm25_weight)
         # 4k hits a question at most; their chunks are read once, with what is shown of them
         hits = written(legs[0].unionByName(legs[1]), work_path(self.spark, "hits"))

@@ -1,4 +1,4 @@
-"""The persisted index: chunks, vectors and postings as Parquet, appended to batch by batch; statistics derive from them."""
+"""The persisted index: chunks, vectors and blocks of postings as Parquet, appended to batch by batch; statistics derive from them."""
 
 from __future__ import annotations
 
@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.embed import embedded
 from ..functions.text import TOKEN
-from . import bm25
+from . import blockmax, bm25
 
-PARTS = ("chunks", "vectors", "postings", "terms")
+PARTS = ("chunks", "vectors", "blocks", "terms")
 VECTORS = "id string, embedding array<float>"
-POSTINGS = "id string, dl int, term string, tf long"
 TERMS = "term string, df long"
 #: Terms of a batch of questions up to which they are sent to the scan of postings as a filter.
 FILTER_TERMS = 1_000
@@ -72,11 +71,11 @@ class Index:
         if not n:
             return 0
         stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(self._part("vectors", name))
-        # each file is in order of terms, so that a question's terms are found by its statistics; a term that all texts have
-        # stays spread over the files. Every document has a row with an empty term, which tells its length
-        bm25.row_postings(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term").write.mode("overwrite").parquet(self._part("postings", name))
-        postings = self.spark.read.schema(POSTINGS).parquet(self._part("postings", name))
-        postings.where("term != ''").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(self._part("terms", name))
+        # each file is in order of terms and ranges, so that both are found by its statistics; a term that all texts have stays
+        # spread over the files
+        blockmax.blocks(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term", "range").write.mode("overwrite").parquet(self._part("blocks", name))
+        blocks = self.spark.read.schema(blockmax.BLOCKS).parquet(self._part("blocks", name))
+        blocks.where("term != ''").groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.mode("overwrite").parquet(self._part("terms", name))
         self._fs().mkdirs(self._path(f"batches/{name}"))
         return n
 
@@ -92,7 +91,7 @@ class Index:
         name = f"{old[-1].removesuffix('-merged')}-{uuid.uuid4().hex[:6]}-merged"
         for part in PARTS:
             rows = self.read(part)
-            rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.sortWithinPartitions("term") if part == "postings" else rows
+            rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.sortWithinPartitions("term", "range") if part == "blocks" else rows
             rows.write.mode("overwrite").parquet(self._part(part, name))
         fs = self._fs()
         for b in old:
@@ -114,22 +113,28 @@ class Index:
 
     def read(self, part: str, batch: str | None = None) -> DataFrame:
         """A part over all whole batches, or of one; without any, an empty table. Damaged files fail loudly."""
-        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "terms": TERMS}[part]
+        schema = {"chunks": schemas.CHUNKS, "vectors": VECTORS, "blocks": blockmax.BLOCKS, "terms": TERMS}[part]
         paths = [self._part(part, b) for b in self.batches() if batch in (None, b)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def bm25(self) -> bm25.Bm25Index:
         """Frequencies and lengths are sums of what the batches have stored; neither texts nor postings are counted again."""
-        corpus = bm25.corpus_stats(self.read("postings").where("term = ''").select("dl"))
+        lengths = self.read("blocks").where("term = ''").select(F.explode("dls").alias("dl"))
+        corpus = bm25.corpus_stats(lengths)
         df = self.read("terms").groupBy("term").agg(F.sum("df").alias("df"))
 
         def postings(asked: DataFrame) -> DataFrame:
             terms = [r.term for r in asked.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
-            found = self.read("postings")
-            return found.where(F.col("term").isin(terms)) if len(terms) <= FILTER_TERMS else found
+            found = self.read("blocks")
+            return blockmax.postings(found.where(F.col("term").isin(["", *terms])) if len(terms) <= FILTER_TERMS else found)
 
         return bm25.Bm25Index(postings, bm25.term_stats(df, corpus), corpus)
 
+    def top(self, queries: DataFrame, k: int) -> DataFrame:
+        """qid, id, s of the k best chunks by BM25 for each question (qid, term for each token), and those that tie with the last."""
+        stats = self.bm25()
+        return blockmax.Search(self.read("blocks"), stats.terms, stats.corpus, queries).top(k)
+
     def chunks_of(self, hits: DataFrame) -> DataFrame:
         """The chunks with an id of a stored table of hits (id); the scan gets up to FILTER_TERMS ids as a filter, so that it reads
         the files and row groups that may hold one."""

@@ -131,7 +131,7 @@ def test_engine_searches_chinese_words(spark, tmp_path):
         (tmp_path / "in" / f"{i}.txt").write_text(t, encoding="utf-8")
     assert e.upload(f"file://{tmp_path}/in") == 3
     again = Engine(spark, e.settings)  # the lexicon lies beside the index
-    assert {r.term for r in again.index.read("postings").select("term").distinct().collect()} >= {"数据库", "图书馆", "BM25", "and"}
+    assert {r.term for r in again.index.read("blocks").select("term").distinct().collect()} >= {"数据库", "图书馆", "BM25", "and"}
     asked = spark.createDataFrame([(0, "数据库"), (1, "学习BM25")], "qid long, question string")
     best = {(r.qid, r.rank): r.text for r in again.hybrid_search(asked, vector_weight=0.0).collect()}
     assert best[0, 1] == "我们用数据库" and best[1, 1] == "机器学习 and BM25"
