@@ -15,7 +15,7 @@ from .functions.embed import LearnedEmbedder, embedded
 from .functions.text import TOKEN, TOKEN_ANY, is_modern_id
 from .operators import bm25, catalog, context, embedding, hybrid, importer, knn, segmentation
 from .operators.chunking import with_metadata
-from .operators.index import Index
+from .operators.index import FILTER_TERMS, Index
 from .session import work_path, written
 from .sources import files, papers, pdf
 from .streaming.ingest import chunk_rows
@@ -88,17 +88,25 @@ class Engine:
             return None
         return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder).withColumn("file_", F.col("_metadata.file_path"))
 
+    def _only(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Rows with an id that is wanted; up to FILTER_TERMS ids go to the scan as a filter, so that files and row groups without
+        them are not read."""
+        ids = [r.arxiv_id for r in wanted.select("arxiv_id").distinct().limit(FILTER_TERMS + 1).collect()]
+        return rows.where(F.col("arxiv_id").isin(ids)) if len(ids) <= FILTER_TERMS else rows.join(wanted.select("arxiv_id").distinct(), "arxiv_id", "left_semi")
+
     def _downloaded(self, wanted: DataFrame, batch: str) -> DataFrame:
-        """arxiv_id, content, pdf_path. A download that is there and large enough to be whole is not fetched again."""
-        s, schema = self.settings, "arxiv_id string, title string, file string, content binary"
+        """arxiv_id, content, pdf_path. A download that is there and large enough to be whole is not fetched again; lengths are
+        columns of their own, so contents are read of wanted papers alone."""
+        s, schema = self.settings, "arxiv_id string, title string, file string, content binary, length long"
         have = self._kept(s.pdf_dir, schema)
-        missing = wanted if have is None else wanted.join(have.where(F.octet_length("content") > files.LEAST_BYTES).select("arxiv_id"), "arxiv_id", "left_anti")
+        missing = wanted if have is None else wanted.join(self._only(have.where(F.col("length") > files.LEAST_BYTES).select("arxiv_id"), wanted), "arxiv_id", "left_anti")
         if self.fetch:
-            papers.download(missing, self.fetch).where("content is not null").write.parquet(f"{s.pdf_dir}/{batch}")
+            fetched = papers.download(missing, self.fetch).where("content is not null").withColumn("length", F.octet_length("content").cast("long"))
+            fetched.sortWithinPartitions("arxiv_id").write.parquet(f"{s.pdf_dir}/{batch}")
         got = self._kept(s.pdf_dir, schema)
         if got is None:
             return wanted.select("arxiv_id", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("pdf_path")).limit(0)
-        return got.join(wanted.select("arxiv_id"), "arxiv_id", "left_semi").select("arxiv_id", "content", F.col("file_").alias("pdf_path")).dropDuplicates(["arxiv_id"])
+        return self._only(got.select("arxiv_id", "content", F.col("file_").alias("pdf_path")), wanted).dropDuplicates(["arxiv_id"])
 
     def import_papers(self, wanted: DataFrame, category: str = "manual", downloaded: DataFrame | None = None) -> DataFrame:
         """schemas.IMPORT_RESULT for every paper (arxiv_id and any other columns of schemas.PAPER_INFO): download, parse, upsert,
@@ -117,15 +125,16 @@ class Engine:
         parsed = written(parsed.withColumnRenamed("path", "arxiv_id"), work_path(self.spark, "parsed"))
         schema = "arxiv_id string, text string"
         fresh, have = parsed.where("error is null").select("arxiv_id", "text"), self._kept(s.text_dir, schema)
-        (fresh if have is None else fresh.join(have.select("arxiv_id"), "arxiv_id", "left_anti")).write.parquet(f"{s.text_dir}/{batch}")
-        texts = self._kept(s.text_dir, schema).dropDuplicates(["arxiv_id"]).select("arxiv_id", "text", F.col("file_").alias("txt_path"))
+        (fresh if have is None else fresh.join(self._only(have.select("arxiv_id"), wanted), "arxiv_id", "left_anti")).sortWithinPartitions("arxiv_id").write.parquet(f"{s.text_dir}/{batch}")
+        texts = self._only(self._kept(s.text_dir, schema), wanted).dropDuplicates(["arxiv_id"]).select("arxiv_id", "text", F.col("file_").alias("txt_path"))
         ready = wanted.join(parsed.where("error is null").select("arxiv_id"), "arxiv_id", "left_semi").join(texts, "arxiv_id").join(got.select("arxiv_id", "pdf_path").dropDuplicates(["arxiv_id"]), "arxiv_id", "left")
         ready = written(ready, work_path(self.spark, "ready"))
-        catalog.replace_table(self.spark, self._table("papers"), catalog.upsert(self.spark.table(self._table("papers")), importer.payload(ready, category)))
+        payload = importer.payload(ready, category)
+        catalog.publish(self.spark, self._table("papers"), lambda known: catalog.upsert(known, payload), ready)
         source = F.concat("arxiv_id", F.lit(".txt"))
         pages = ready.select(source.alias("source"), F.lit(0).alias("page"), F.col("text").alias("page_content"), F.create_map(F.lit("arxiv_id"), "arxiv_id", F.lit("title"), "title", F.lit("category"), F.lit(category), F.lit("source"), source).alias("metadata"))
         self.index.add(chunk_rows(pages, s.chunk_size, s.chunk_overlap), batch=batch)
-        catalog.replace_table(self.spark, self._table("papers"), catalog.mark_vectorized(self.spark.table(self._table("papers")), ready.select("arxiv_id")))
+        catalog.publish(self.spark, self._table("papers"), lambda known: catalog.mark_vectorized(known, ready.select("arxiv_id")), ready)
         counts = self.index.read("chunks", batch).groupBy("arxiv_id").agg(F.count("*").cast("int").alias("n"))
         joined = wanted.select("arxiv_id", "title").join(parsed.select("arxiv_id", "error", F.lit(True).alias("came")), "arxiv_id", "left").join(counts, "arxiv_id", "left")
         ok = F.col("came").isNotNull() & F.col("error").isNull()

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import without_txt
+from ..session import work_path, written
+
+#: Parts of the catalog, by a hash of the id; what is changed is rewritten by whole buckets.
+BUCKETS = 64
 
 #: Columns that an upsert takes from the new row if the key is known; all others keep their values.
 UPDATED = ("title", "authors", "year")
@@ -16,7 +22,7 @@ def upsert(catalog: DataFrame, new: DataFrame, now=None) -> DataFrame:
     """The catalog after inserting `new` (arxiv_id, title, authors, year, category, pdf_path, txt_path).
 
     Known ids only take the new title, authors and year. Of several new rows with one id, the first inserts and the last
-    updates, as statements in their order (column `seq`, if there is one) would. Rows without an id are refused.
+    updates, as statements in their order (column `seq`, if there is one) would. Rows without an id are left out.
     """
     now = F.current_timestamp() if now is None else now
     seq = F.col("seq") if "seq" in new.columns else F.lit(0)
@@ -67,19 +73,34 @@ def first_with_label(papers: DataFrame, label: str = "label", key: str = "doc_id
 def create_tables(spark: SparkSession, database: str) -> None:
     """Database, catalog, import log and migrations, where they are not there yet."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, columns in (("papers", schemas.CATALOG), ("import_log", schemas.IMPORT_LOG), ("schema_migrations", schemas.MIGRATIONS)):
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.papers ({schemas.CATALOG}, bucket int) USING parquet PARTITIONED BY (bucket)")
+    for name, columns in (("import_log", schemas.IMPORT_LOG), ("schema_migrations", schemas.MIGRATIONS)):
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 
 
-def replace_table(spark: SparkSession, name: str, snapshot: DataFrame) -> None:
-    """Publishes a snapshot that may derive from the table itself: written beside it first, then moved over in one insert."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}_next")
-    snapshot.write.format("parquet").saveAsTable(f"{name}_next")
+def bucket_of(arxiv_id: str | Column) -> Column:
+    return F.pmod(F.xxhash64(arxiv_id), F.lit(BUCKETS)).cast("int")
+
+
+def publish(spark: SparkSession, name: str, changed: Callable[[DataFrame], DataFrame], ids: DataFrame) -> list[int]:
+    """Replaces the rows of the buckets that hold the ids (arxiv_id), and no others, by what changed() makes of them; the buckets.
+
+    The new rows are worked out and written aside first: a failure before they take the place of the old ones leaves the table as
+    it was, and afterwards a repeated call gives the same rows. Each bucket is moved over as a whole.
+    """
+    buckets = sorted(r.bucket for r in ids.where("arxiv_id is not null").select(bucket_of("arxiv_id").alias("bucket")).distinct().collect())
+    if not buckets:
+        return []
+    rows = written(changed(spark.table(name).where(F.col("bucket").isin(buckets)).drop("bucket")), work_path(spark, "catalog"))
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
     try:
-        spark.table(f"{name}_next").write.insertInto(name, overwrite=True)
+        rows.withColumn("bucket", bucket_of("arxiv_id")).repartition("bucket").write.insertInto(name, overwrite=True)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}_next")
+        spark.conf.set(mode, before)
         spark.catalog.refreshTable(name)
+    return buckets
 
 
 def clean(spark: SparkSession, database: str, confirm: str) -> bool:
