@@ -415,6 +415,20 @@ def _near(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
     return stored(_possible_pairs(pairs, maps, num, den), "near")
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """Adds rep, the number of a class: its smallest key, so that the members of a group are compared with the document that came
+    first, of which most copies are made. Where several sets share that key, all but one get numbers beyond all keys."""
+    several = stored(classes.groupBy("first").agg(F.min("number").alias("kept"), F.count("*").alias("sets")).where("sets > 1").select("first", "kept"), "several")
+    n = several.count()
+    if not n:
+        return classes.withColumn("rep", F.col("first")).drop("number")
+    least, most = classes.agg(F.min("first"), F.max("first")).first()
+    # the side of the keys on which there is room
+    beyond = F.lit(most + 1) + F.col("number") if most < 1 << 62 else F.lit(least - 1) - F.col("number")
+    joined = classes.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "first", "left")
+    return joined.withColumn("rep", F.when(F.col("kept").isNull() | (F.col("kept") == F.col("number")), F.col("first")).otherwise(beyond)).drop("number", "kept")
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: key, n_shingles, component_id (smallest key reachable by links, the own one included).
 
@@ -429,8 +443,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = stored(_signatures(own, width, num, den), "signatures")
     classes = signed.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.first("prefix").alias("prefix"))
-    # classes are the nodes, by a number of their own: one key may carry several sets
-    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = _numbered(stored(classes.withColumn("number", F.monotonically_increasing_id()), "classes"))
     release(spark)
     sets = _Sets(own.where("id is not null"), classes, width)
     entries = classes.select("rep", "n", F.explode("prefix").alias("token"))
