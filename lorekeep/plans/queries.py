@@ -151,7 +151,7 @@ def ordered_sources(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    return context.citations(context.by_source(_question_hits(spark, sf_dir)), papers(spark, sf_dir).select("arxiv_id", "title"))
+    return context.citations(context.by_source(_question_hits(spark, sf_dir)), papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title"))
 
 
 def history_last5(spark, sf_dir):

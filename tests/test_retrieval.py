@@ -101,3 +101,11 @@ def test_history_and_answers(spark):
     hits = spark.createDataFrame([(0, 1, "A dog. The cat is here", "p")], "qid long, rank int, text string, arxiv_id string")
     out = {r.qid: r.answer for r in context.answers(q, hits, spark.createDataFrame([("p", "T")], "arxiv_id string, title string")).collect()}
     assert out[0] == "The cat is here\n\n---\n📚 参考来源：\n1. [p] T" and out[1] == context.NO_CONTEXT
+
+
+def test_the_title_of_an_id_does_not_depend_on_the_order_of_rows(spark):
+    g = spark.createDataFrame([(0, "a.txt", 1)], "qid long, source string, first int")
+    rows = [(7, "a", "third"), (5, "a", "second"), (3, "a", "first"), (1, "a", None)]
+    for r in (rows, rows[::-1], rows[2:] + rows[:2]):
+        titles = spark.createDataFrame(r, "id long, arxiv_id string, title string")
+        assert [x.line for x in context.citations(g, titles).collect()] == ["1. [a.txt] first"]
