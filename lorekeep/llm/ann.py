@@ -17,9 +17,9 @@ class Settings:
     """train_rows: vectors that centroids and code books are fitted on (the index holds every vector); lists grow with the
     square root of the rows up to max_lists; aim: share of the true neighbours within the training rows whose lists a query
     must visit, from which the number of visited lists is measured; probed: lists to visit, 0 for the measured number;
-    parts: code bytes of a vector; refined: different vectors that get exact distances; members, queries: vectors of a bin
-    of lists and queries of a block, which one task compares. With probed = max_lists and refined = the number of
-    different vectors the search is exact."""
+    parts: code bytes of a vector; refined: different vectors of a bin that get exact distances first; whatever of the visited
+    lists their codes do not rule out then gets them too; members, queries: vectors of a bin of lists (fewer, if they are
+    long) and queries of a block, which one task compares. With probed = max_lists the search is exact."""
 
     train_rows: int = 20_000
     max_lists: int = 1024
@@ -27,11 +27,13 @@ class Settings:
     probed: int = 0
     parts: int = 16
     refined: int = 250
-    members: int = 65_536
-    queries: int = 256
+    members: int = 16_384
+    queries: int = 1_024
     rounds: int = 8
 
 
+#: Bytes of a bin's vectors in double precision, at most.
+BIN_BYTES = 32 << 20
 #: Tasks of the scan at most; each then takes several pairs of a bin and a block of queries.
 MOST_TASKS = 20_000
 
@@ -84,11 +86,15 @@ class Quantizer:
         place = np.argsort(self.probe(sample[at]), axis=1)
         return int(np.quantile(np.take_along_axis(place, near[best], axis=1), aim)) + 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and how far each vector lies from what these stand for: a product with a unit vector is off by that much
+        at most."""
         near, _ = nearest(x, self.lists)
         rest = x - self.lists[near]
         codes = [nearest(rest[:, a:b], book)[0] for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
-        return near, np.stack(codes, 1).astype(np.uint8)
+        for a, b, book, code in zip(self.cuts[:-1], self.cuts[1:], self.books, codes, strict=True):
+            rest[:, a:b] -= book[code]
+        return near, np.stack(codes, 1).astype(np.uint8), np.sqrt((rest * rest).sum(1))
 
     def probe(self, q: np.ndarray) -> np.ndarray:
         """The nearest lists of each query."""
@@ -168,12 +174,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         def run(column):
             q = shared.value
             at, x = unit_rows(column, q.dim)
-            lists, codes = np.full(len(column), -1), [None] * len(column)
+            lists, codes, off = np.full(len(column), -1), [None] * len(column), np.zeros(len(column))
             if len(at):
-                lists[at], c = q.encode(x)
+                lists[at], c, off[at] = q.encode(x)
                 for i, code in zip(at.tolist(), c, strict=True):
                     codes[i] = code.tobytes()
-            return lists, codes
+            return lists, codes, off
 
         return run
 
@@ -190,24 +196,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         return run
 
     list_field, code_field = T.StructField("list", T.IntegerType(), True), T.StructField("code", T.BinaryType(), True)
+    off_field = T.StructField("off", T.DoubleType(), True)
     # an id may stand for several vectors, so entries are told apart by a hash of theirs
     entries = all_rows.select("id", F.xxhash64("v").alias("h"), "v")
-    members = stored(add_by_batch(entries, ["v"], [list_field, code_field], index).where("list >= 0").select("id", "h", "list", "code"), "ivf")
+    members = stored(add_by_batch(entries, ["v"], [list_field, code_field, off_field], index).where("list >= 0").select("id", "h", "list", "code", "off", "v"), "ivf")
     # a row for each list, of which there are max_lists at most
-    bins = _bins({r.list: r.n for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}, quantizer, s.members)
+    bins = _bins({r.list: r.n for r in members.groupBy("list").agg(F.count("*").alias("n")).collect()}, quantizer, min(s.members, max(1, BIN_BYTES // (8 * quantizer.dim))))
     places = F.broadcast(spark.createDataFrame([(i, b, n) for i, (b, n) in bins.items()], "list int, first int, parts int"))
-    members = members.join(places, "list").select("id", "h", "list", "code", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bin"))
+    members = members.join(places, "list").select("id", "h", "list", "code", "off", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("bin"))
     shared_bins = spark.sparkContext.broadcast(bins)
     asked = usable(queries.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"))).where(F.size("v") == quantizer.dim)
     asked = stored(asked.dropDuplicates(["id"]), "queries")
-    probed = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.BinaryType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "probed", "bins", "unit"), "probes")
-    visits = probed.select("id", "probed", "unit", F.explode("bins").alias("bin"))
+    probed = stored(add_by_batch(asked, ["v"], [T.StructField("probed", T.BinaryType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType())], probes).where("unit is not null").select("id", "probed", "bins", "unit", "v"), "probes")
+    visits = probed.select("id", "probed", "unit", "v", F.explode("bins").alias("bin"))
     # a bin's members are copied once for each block of its own visitors
     blocks = stored(visits.groupBy("bin").agg(F.ceil(F.count("*") / s.queries).cast("int").alias("blocks")), "blocks")
     pairs = min(MOST_TASKS, max(1, blocks.agg(F.sum("blocks").alias("n")).first().n or 0))
     left = members.join(blocks, "bin").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     right = visits.join(blocks, "bin").withColumn("q", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    refined = s.refined + 1  # a query's own vector is one of them
 
     def scan(rows, questions):
         import pyarrow as pa
@@ -215,45 +221,40 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
         out_q, out_id, out_h, out_s = [], [], [], []
         if rows.num_rows and questions.num_rows:
             q = shared.value
-            ids, hashes, lists = (rows.column(c).to_numpy() for c in ("id", "h", "list"))
-            order = np.lexsort((hashes, ids))
-            ids, hashes, lists = ids[order], hashes[order], lists[order]
+            order = np.lexsort((rows.column("h").to_numpy(), rows.column("id").to_numpy()))
+            ids, hashes, lists, off = (rows.column(c).to_numpy()[order] for c in ("id", "h", "list", "off"))
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            for qid, probed, unit in zip(*(questions.column(c).to_pylist() for c in ("id", "probed", "unit")), strict=True):
+            x = _matrix(rows.column("v"), q.dim)[order]
+            units = _matrix(rows.column("v"), q.dim, unit=True)[order]
+            rough = units.astype(np.float32)
+            asked = _matrix(questions.column("v"), q.dim)
+            for n, (qid, probed, unit) in enumerate(zip(*(questions.column(c).to_pylist() for c in ("id", "probed", "unit")), strict=True)):
                 u, visited = np.frombuffer(unit, np.float64), np.zeros(len(q.lists), bool)
                 visited[np.frombuffer(probed, np.int32)] = True
                 at = np.flatnonzero(visited[lists])
                 t, score = q.tables(u), (q.lists @ u)[lists[at]]
                 for i in range(codes.shape[1]):
                     score += t[i][codes[at, i]]
-                # the best, smaller ids first among equals
-                best = _top(score, min(refined, len(at)))
+                first = at[_top(score, min(s.refined, len(at)))]
+                least = _least(ids[first], units[first] @ u, k + 1)
+                # those whose codes allow for more; first by single, then by double precision
+                left = at[score + off[at] >= least - 1e-6]
+                near = rough[left] @ u.astype(np.float32) if 2 * len(left) < len(ids) else (rough @ u.astype(np.float32))[left]
+                left = left[near >= least - 1e-6 * (q.dim + 10)]
+                near = units[left] @ u
+                left = left[near >= _least(ids[left], near, k + 1) - 1e-9]
+                near = cosines(x[left], asked[n])
+                best = np.lexsort((hashes[left], ids[left], -near))
+                _, new = np.unique(ids[left[best]], return_index=True)
+                best = best[: np.sort(new)[k] + 1 if len(new) > k else None]
                 out_q.append(np.full(len(best), qid))
-                out_id.append(ids[at[best]])
-                out_h.append(hashes[at[best]])
-                out_s.append(score[best])
+                out_id.append(ids[left[best]])
+                out_h.append(hashes[left[best]])
+                out_s.append(near[best])
         empty = [np.zeros(0, np.int64)]
-        return pa.table({"query_id": np.concatenate(out_q or empty), "id": np.concatenate(out_id or empty), "h": np.concatenate(out_h or empty), "near": np.concatenate(out_s or [np.zeros(0)])})
-
-    found = left.repartition(pairs, "bin", "q").groupBy("bin", "q").cogroup(right.repartition(pairs, "bin", "q").groupBy("bin", "q")).applyInArrow(scan, "query_id long, id long, h long, near double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id", "h"))).where(F.col("r") <= refined).select("query_id", "id", "h")
-    exact = best.join(entries, ["id", "h"]).join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-
-    def cosine():
-        def run(a, b):
-            out = []
-            for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-                x, y = np.array(x, np.float64), np.array(y, np.float64)
-                score = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
-                if not np.isfinite(score):
-                    x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                    score = float(x @ y) / (float(np.sqrt(x @ x)) * float(np.sqrt(y @ y)))
-                out.append(score)
-            return [out]
+        return pa.table({"query_id": np.concatenate(out_q or empty), "entry": np.concatenate(out_id or empty), "h": np.concatenate(out_h or empty), "score": np.concatenate(out_s or [np.zeros(0)])})
 
-        return run
-
-    scored = add_by_batch(exact, ["qv", "v"], [T.StructField("score", T.DoubleType(), True)], cosine).select("query_id", F.col("id").alias("entry"), "h", "score")
+    scored = left.repartition(pairs, "bin", "q").groupBy("bin", "q").cogroup(right.repartition(pairs, "bin", "q").groupBy("bin", "q")).applyInArrow(scan, "query_id long, entry long, h long, score double")
     keys = copies.select("entry", F.xxhash64("v").alias("h"), "id")
     scored = scored.join(keys, ["entry", "h"]).where("id != query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -276,6 +277,32 @@ def _bins(sizes: dict[int, int], q: Quantizer, most: int) -> dict[int, tuple[int
     return out
 
 
+def _matrix(column, dim: int, unit: bool = False) -> np.ndarray:
+    """Rows of a column of vectors that all take part, as they are or as unit vectors."""
+    import pyarrow as pa
+
+    column = column.combine_chunks().cast(pa.list_(pa.float64()))
+    return unit_rows(column, dim)[1] if unit else column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with y. Rows whose squares leave the range of doubles are scaled first."""
+    with np.errstate(all="ignore"):
+        score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum()))
+        odd = np.flatnonzero(~np.isfinite(score))
+        if len(odd):
+            a, b = x[odd] / np.abs(x[odd]).max(1, keepdims=True), y / np.abs(y).max()
+            score[odd] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum()))
+    return score
+
+
+def _least(ids: np.ndarray, score: np.ndarray, k: int) -> float:
+    """The score of the k-th best of different ids; minus infinity if there are fewer."""
+    order = np.argsort(-score, kind="stable")
+    _, new = np.unique(ids[order], return_index=True)
+    return float(score[order[np.sort(new)[k - 1]]]) if len(new) >= k else float("-inf")
+
+
 def _top(score: np.ndarray, k: int) -> np.ndarray:
     """The k largest scores, by falling score; the first ones among equals."""
     if not k:

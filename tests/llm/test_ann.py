@@ -65,3 +65,17 @@ def test_exact_setting(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = sorted((g.query_id, g["rank"], g.vec_id) for g in ann.search(df, df.where("vec_id % 20 = 0"), settings=ann.Settings(probed=1024, refined=500)).collect())
     assert got == [(q, n + 1, i) for q in range(0, 500, 20) for n, i in enumerate(brute(list(range(500)), x, q, 5))]
+
+
+def test_codes_that_tell_no_vectors_apart(spark):
+    """Close groups, a common offset and one long axis: more than `refined` vectors have codes as good as the nearest ones' (the
+    first had 14 % of the true neighbours, the second 55 %, the third 64 %)."""
+    r = np.random.default_rng(5)
+    close = r.normal(size=(3, 32))[r.integers(0, 3, 3000)] + 0.01 * r.normal(size=(3000, 32))
+    offset = 5 + r.normal(size=(3000, 32))
+    long = r.normal(size=(3000, 32)) * np.where(np.arange(32) == 0, 100, 1)
+    for x in (close, offset, long):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(df, df.where("vec_id % 50 = 0"), settings=ann.Settings(refined=20)).collect()
+        want = {q: brute(list(range(3000)), x, q, 5) for q in range(0, 3000, 50)}
+        assert len(got) == 300 and sum(g.vec_id in want[g.query_id] for g in got) >= 0.95 * 300
