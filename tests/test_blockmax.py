@@ -86,3 +86,18 @@ def test_few_ranges_are_read(spark, tmp_path):
     assert read <= 0.35 * total
     plan = index.chunks_of(spark.createDataFrame([("a/x",)], "id string"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(chunk_id" in plan or "PushedFilters: [IsNotNull(chunk_id), EqualTo(chunk_id" in plan
+
+
+def test_what_a_search_keeps_does_not_grow_with_questions_times_documents(spark, tmp_path, monkeypatch):
+    """Of each range, a question keeps its k best alone, and runs come in order of terms without a sort by Spark."""
+    monkeypatch.setattr(blockmax, "RANGE", 32)
+    index = Index(spark, f"{tmp_path}/i")
+    r = random.Random(7)
+    index.add(chunk_table(spark, [" ".join(r.choices(["a", "b", "c", "d"], k=30)) for _ in range(640)], 1), batch="a")
+    stats = index.bm25()
+    search = blockmax.Search(index.read("blocks"), stats.terms, stats.corpus, spark.createDataFrame([(q, t) for q in range(6) for t in "abcd"], "qid long, term string"))
+    kept = search.scores(search.bounds.withColumn("least", F.lit(None).cast("double")), 3).groupBy("qid", "range").count().collect()
+    assert len(kept) == 6 * 20 and all(x["count"] <= 5 for x in kept)
+    rows = index.read("blocks").select("term", "range").collect()
+    assert rows == sorted(rows)
+    assert "Sort" not in blockmax.blocks(index.read("chunks"))._jdf.queryExecution().executedPlan().toString()
