@@ -19,6 +19,8 @@ VECTORS = "id string, embedding array<float>"
 TERMS = "term string, df long"
 #: Terms of a batch of questions up to which they are sent to the scan of postings as a filter.
 FILTER_TERMS = 1_000
+#: Bytes of a row group of blocks.
+ROW_GROUP = 8 << 20
 
 
 def distinct_contents(rows: DataFrame, text: str = "page_content", key: str | None = None) -> DataFrame:
@@ -65,20 +67,24 @@ class Index:
                 chunks = chunks.join(self.read("chunks").select("page_content"), "page_content", "left_anti").select(*chunks.columns)
         # batch, source and place in it; a row number tells equal ones apart
         own = F.concat(F.lit(f"{name}/"), F.coalesce("source", F.lit("")), F.lit("#"), F.lpad(F.coalesce("chunk_index", F.lit(0)).cast("string"), 8, "0"), F.lit("#"), F.monotonically_increasing_id().cast("string"))
-        chunks.withColumn("chunk_id", own).write.mode("overwrite").parquet(self._part("chunks", name))
+        self._write(chunks.withColumn("chunk_id", own), "chunks", name)
         stored = self.spark.read.schema(schemas.CHUNKS).parquet(self._part("chunks", name))
         n = stored.count()
         if not n:
             return 0
-        stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")).write.mode("overwrite").parquet(self._part("vectors", name))
-        # each file is in order of terms and ranges, so that both are found by its statistics; a term that all texts have stays
-        # spread over the files
-        blockmax.blocks(stored, "chunk_id", "page_content", self.pattern).sortWithinPartitions("term", "range").write.mode("overwrite").parquet(self._part("blocks", name))
+        self._write(stored.select(F.col("chunk_id").alias("id"), embedded(F.col("page_content"), self.embedder, self.dim).alias("embedding")), "vectors", name)
+        # runs in order of terms and ranges, in row groups shorter than a run, so that both are found by their statistics; a term
+        # that all texts have stays spread over the files
+        self._write(blockmax.blocks(stored, "chunk_id", "page_content", self.pattern), "blocks", name)
         blocks = self.spark.read.schema(blockmax.BLOCKS).parquet(self._part("blocks", name))
-        blocks.where("term != ''").groupBy("term").agg(F.sum("n").cast("long").alias("df")).write.mode("overwrite").parquet(self._part("terms", name))
+        self._write(blocks.where("term != ''").groupBy("term").agg(F.sum("n").cast("long").alias("df")), "terms", name)
         self._fs().mkdirs(self._path(f"batches/{name}"))
         return n
 
+    def _write(self, rows: DataFrame, part: str, batch: str) -> None:
+        small = {"parquet.block.size": str(ROW_GROUP)} if part == "blocks" else {}
+        rows.write.mode("overwrite").options(compression="zstd", **small).parquet(self._part(part, batch))
+
     def _part(self, part: str, batch: str) -> str:
         return f"{self.path}/{part}/batch={batch}"
 
@@ -92,7 +98,7 @@ class Index:
         for part in PARTS:
             rows = self.read(part)
             rows = rows.groupBy("term").agg(F.sum("df").alias("df")) if part == "terms" else rows.sortWithinPartitions("term", "range") if part == "blocks" else rows
-            rows.write.mode("overwrite").parquet(self._part(part, name))
+            self._write(rows, part, name)
         fs = self._fs()
         for b in old:
             fs.mkdirs(self._path(f"merging/{name}/{b}"))
