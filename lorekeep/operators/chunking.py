@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 #: Separators from coarse to fine (fixed values); the empty one cuts between characters.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 
+#: Bytes of an Arrow batch of texts on its way to Python, and characters of chunks in a batch on its way back.
+BATCH_BYTES, CHARS = 4 << 20, 2 << 20
+
 
 class Splitter:
     """Cuts a text at the coarsest separator it holds, keeps pieces shorter than `size`, and cuts longer ones at finer
@@ -82,13 +86,44 @@ def split_documents(pages: DataFrame, document: str = "source", size: int = 800,
     are numbered where they are made.
     """
     rest = [c for c in pages.columns if c != "page_content"]
-    cut = pages.select(*rest, F.posexplode(chunk_lists(F.col("page_content"), size, overlap)).alias("pos_", "page_content"))
+    cut = _cut_rows(pages.select(*rest, "page_content"), size, overlap)
     if not paged:
         return cut.withColumnRenamed("pos_", "chunk_index")
     order = Window.partitionBy(document).orderBy("page", "pos_")
     return cut.withColumn("chunk_index", F.row_number().over(order) - 1).drop("pos_")
 
 
+def _cut_rows(pages: DataFrame, size: int, overlap: int) -> DataFrame:
+    """A row for each chunk of the last column, with its place pos_ in the row's text and the other columns. A task holds a batch of
+    texts and a batch of chunks, both bounded by their bytes, not the chunks of 10,000 texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        s = Splitter(size, overlap)
+        for b in batches:
+            held: list[tuple[int, int, str]] = []
+            chars = 0
+
+            def rows(held, b=b):
+                at, places, chunks = zip(*held, strict=True)
+                of = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*(b.column(i).take(of) for i in range(b.num_columns - 1)), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=[*b.schema.names[:-1], "pos_", "page_content"])
+
+            for i in range(b.num_rows):
+                for n, c in enumerate(s.split(b.column(b.num_columns - 1)[i].as_py())):
+                    held.append((i, n, c))
+                    chars += len(c)
+                    if chars >= CHARS:
+                        yield rows(held)
+                        held, chars = [], 0
+            if held:
+                yield rows(held)
+
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return pages.mapInArrow(run, T.StructType([*pages.schema.fields[:-1], T.StructField("pos_", T.IntegerType(), False), T.StructField("page_content", T.StringType(), True)]))
+
+
 def fixed_stride(docs: DataFrame, document: str = "doc_id", text: str = "text", size: int = 800, overlap: int = 150) -> DataFrame:
     """document, chunk_index, chunk: windows of `size` characters, each `size - overlap` after the last; the last one ends the text.
     JVM functions only; an empty text is one empty chunk, a null one none."""

@@ -110,3 +110,19 @@ def test_registered_query_against_the_slow_splitter(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((x.doc_id, x.chunk_index, x.page_content) for x in __spark_entry__.queries()["chunks_recursive"](spark, str(tmp_path)).collect())
     assert got == [(i, n, c) for i, t in rows for n, c in enumerate(slow_split(t, 800, 150))]
+
+
+def test_chunks_leave_a_task_by_bounded_batches(spark, monkeypatch):
+    """A text's chunks may take several batches; no batch goes to Python or back with the chunks of all texts."""
+    monkeypatch.setattr(chunking, "CHARS", 3000)
+    text = " ".join(f"word{i}" for i in range(2000))
+    pages = spark.createDataFrame([(i, 0, t, {"k": "v"}) for i, t in enumerate([text, None, "", text[:900], "x"])], "source int, page int, page_content string, metadata map<string,string>").coalesce(1)
+    got = {}
+    for r in chunking.split_documents(pages, paged=False).collect():
+        assert r.metadata == {"k": "v"} and r.page == 0
+        got.setdefault(r.source, []).append((r.chunk_index, r.page_content))
+    s = chunking.Splitter()
+    assert got == {i: list(enumerate(s.split(t))) for i, t in ((0, text), (3, text[:900]), (4, "x"))}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+    plan = chunking.split_documents(pages, paged=False)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
