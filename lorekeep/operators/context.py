@@ -35,7 +35,8 @@ def citations(groups: DataFrame, titles: DataFrame) -> DataFrame:
     """qid, number, source, line for each cited source; titles: arxiv_id, title and perhaps id. Sources without a title stand for
     it. Of several titles of one arxiv_id, that of the smallest id counts (without ids, the smallest), whatever order rows come in."""
     number = F.row_number().over(Window.partitionBy("qid").orderBy("first"))
-    first = F.min_by("title", "id") if "id" in titles.columns else F.min("title")
+    # rows without an id come last
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "title"))["title"] if "id" in titles.columns else F.min("title")
     known = titles.where("title is not null").groupBy(F.col("arxiv_id").alias("key_")).agg(first.alias("title"))
     named = groups.withColumn("key_", without_txt(F.col("source"))).join(known, "key_", "left")
     return named.select("qid", number.alias("number"), "source", citation(number, F.col("source"), F.coalesce("title", "source")).alias("line"))
