@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: int = ARROW_BATCH_BYTES) -> None:
     """Bounds Arrow batches by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -93,15 +93,15 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in added])
 
 
-def add_by_batch(df: DataFrame, inputs: list[str], fields: list[T.StructField], work: Callable[[], Callable]) -> DataFrame:
+def add_by_batch(df: DataFrame, inputs: list[str], fields: list[T.StructField], work: Callable[[], Callable], size: int = ARROW_BATCH_BYTES) -> DataFrame:
     """Adds columns that Python computes from whole Arrow batches.
 
     work() runs once in a task and returns f(*input arrays) -> one list or array per field. Columns of df with the
-    names of the new fields are replaced; all others pass through untouched.
+    names of the new fields are replaced; all others pass through untouched. size: bytes of a batch, about.
     """
     import pyarrow as pa
 
-    bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession, size)
     kept = without(df, [f.name for f in fields])
     carried = [c for c in kept.columns]
     schema = T.StructType([*kept.schema.fields, *fields])

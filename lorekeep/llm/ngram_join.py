@@ -34,6 +34,8 @@ BLOCK = 1024
 FEW = 16
 #: Texts from which frequent shingles are learned, for the order of prefixes.
 SAMPLE = 24_000
+#: Bytes of an Arrow batch. Two workers of Python stand beside each executor's heap, and each batch lies in both several times.
+BATCH_BYTES = 4 << 20
 #: Ids of documents to compare that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -189,7 +191,7 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(x).tobytes(), 1)], pa.binary()) for x in (seen, twice)], names=["seen", "twice"])
 
-    bound_batches(texts.sparkSession)
+    bound_batches(texts.sparkSession, BATCH_BYTES)
     parts = stored(rows.mapInArrow(flags, "seen binary, twice binary"), "flags")
     n = parts.count()
     while n > 16:
@@ -205,13 +207,14 @@ def asked(n):
 
 
 def prefix(s: np.ndarray, flags: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(num n / den) + asked(n) hashes, those not flagged first, then by hash.
+    """The first n - ceil(num n / den) + asked(n) hashes, those not flagged first, then by hash. flags: packed bits.
 
     Two sets with an overlap of at least o share k of their first n - o + k hashes each, for every k up to o.
     """
     if not len(s):
         return s
-    late = flags[(s >> np.uint64(40)).astype(np.int64)]
+    at = s >> np.uint64(40)
+    late = (flags[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
     return np.concatenate([s[~late], s[late]])[: len(s) + (-num * len(s)) // den + asked(len(s))]
 
 
@@ -222,12 +225,12 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def work():
         import pyarrow as pa
 
-        shingler, flags = Shingler(width), np.unpackbits(shared.value).astype(bool)
+        shingler, flags = Shingler(width), shared.value
 
         def run(texts):
             n, f1, f2, firsts = [], [], [], []
-            for t in texts.cast(pa.large_binary()).to_pylist():
-                s = shingler(t)
+            for t in texts:
+                s = shingler(t.as_buffer().to_pybytes() if t.is_valid else None)
                 x, y = digest(s)
                 n.append(len(s))
                 f1.append(x)
@@ -237,7 +240,7 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
         return run
 
-    return add_by_batch(docs, ["text"], fields, work).drop("text")
+    return add_by_batch(docs, ["text"], fields, work, BATCH_BYTES).drop("text")
 
 
 class _Sets:
@@ -270,7 +273,7 @@ class _Sets:
 
             return run
 
-        found = add_by_batch(rows, ["text", "f1", "f2"], [T.StructField(name, T.BinaryType(), True)], work).drop("text", "f1", "f2")
+        found = add_by_batch(rows, ["text", "f1", "f2"], [T.StructField(name, T.BinaryType(), True)], work, BATCH_BYTES).drop("text", "f1", "f2")
         # rows of one key with one text are copies
         return found.where(F.col(name).isNotNull()).dropDuplicates(["rep"])
 
@@ -291,7 +294,7 @@ def _compared(pairs: DataFrame, sets: _Sets, num: int, den: int) -> DataFrame:
     blocks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     other = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("rep")).join(found, "rep")
     own = blocks.select(F.col("a").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(found, "rep").select(F.col("rep").alias("a"), "block", F.lit(None).cast("long").alias("b"), "set")
-    bound_batches(pairs.sparkSession)
+    bound_batches(pairs.sparkSession, BATCH_BYTES)
 
     def compare(batches):
         x = np.zeros(0, np.uint64)
@@ -328,12 +331,12 @@ def _possible_pairs(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> Da
     def work():
         return lambda *columns: [[possible(ma, na, mb, nb, num, den) for ma, na, mb, nb in zip(*(c.to_pylist() for c in columns), strict=True)]]
 
-    return add_by_batch(both, ["ma", "na", "mb", "nb"], [T.StructField("ok", T.BooleanType(), False)], work).where("ok").select("a", "b")
+    return add_by_batch(both, ["ma", "na", "mb", "nb"], [T.StructField("ok", T.BooleanType(), False)], work, BATCH_BYTES).where("ok").select("a", "b")
 
 
 def _group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """members: token, band, i, j, which are a group's key, then rep, n, comp, map, side. Candidate pairs of all groups."""
-    bound_batches(members.sparkSession)
+    bound_batches(members.sparkSession, BATCH_BYTES)
 
     def close(rows: list[tuple]) -> list[tuple[int, int]]:
         maps = [np.frombuffer(r[3], np.uint64) for r in rows]

@@ -7,6 +7,8 @@ import xxhash
 
 from .token_store import Remembered
 
+#: Words whose hashes a task keeps (twice as many at most, about 0.2 KB each).
+_KEPT = 50_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -25,7 +27,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.known = Remembered(xxhash.xxh3_64_intdigest, 200_000)
+        self.known = Remembered(xxhash.xxh3_64_intdigest, _KEPT)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.translate(_LOWER).split() if text else []

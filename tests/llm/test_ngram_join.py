@@ -139,3 +139,22 @@ def test_bands_keep_all_pairs(spark):
         met = {(k[0], *sorted((a.rep, b.rep))) for k, g in groups.items() for a in g for b in g if a.rep != b.rep and (a.side, b.side) in ((1, 2), (3, 3))}
         assert {(t, a, b) for t, a, na, _ in rows for u, b, nb, _ in rows if t == u and a < b and den * min(na, nb) >= num * max(na, nb)} <= met
         assert max(map(len, groups.values())) < 70 and all({x.side for x in g} in ({3}, {1, 2}, {1}, {2}) for g in groups.values())
+
+
+def test_a_task_keeps_little_beside_its_batch():
+    one = Shingler(3)
+    for i in range(400):
+        one(" ".join(f"w{i}x{k}" for k in range(1000)).encode())
+        assert len(one.known) + len(one.known.old) <= 110_000
+    assert N.BATCH_BYTES <= 4 << 20
+
+
+def test_prefixes_read_packed_flags():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 300):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        flags = rng.random(1 << 24) < 0.5
+        late = flags[(s >> np.uint64(40)).astype(np.int64)]
+        want = np.concatenate([s[~late], s[late]])[: len(s) - (9 * len(s)) // 10 + N.asked(len(s))]
+        got = N.prefix(s, np.packbits(flags), 9, 10)
+        assert got[: len(want)].tolist() == want[: len(got)].tolist() and abs(len(got) - len(want)) <= 1
