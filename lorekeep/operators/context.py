@@ -37,8 +37,10 @@ def citations(groups: DataFrame, titles: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("qid").orderBy("first"))
     # rows without an id come last
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "title"))["title"] if "id" in titles.columns else F.min("title")
-    known = titles.where("title is not null").groupBy(F.col("arxiv_id").alias("key_")).agg(first.alias("title"))
-    named = groups.withColumn("key_", without_txt(F.col("source"))).join(known, "key_", "left")
+    named = groups.withColumn("key_", without_txt(F.col("source")))
+    # a few sources a question: other titles are not shuffled
+    cited = titles.where("title is not null").withColumn("key_", F.col("arxiv_id")).join(F.broadcast(named.select("key_").distinct()), "key_", "left_semi")
+    named = named.join(cited.groupBy("key_").agg(first.alias("title")), "key_", "left")
     return named.select("qid", number.alias("number"), "source", citation(number, F.col("source"), F.coalesce("title", "source")).alias("line"))
 
 

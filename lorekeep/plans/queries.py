@@ -95,10 +95,20 @@ def hybrid_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     near = knn.nearest(table(spark, sf_dir, "embeddings"), _one(spark, sf_dir), 2 * K)
     ranked = near.withColumn("qid", F.lit(0).cast("long")).withColumn("rk", F.row_number().over(_window("d2", "id")))
-    best = hybrid.fuse(docs, hybrid.vector_leg(ranked), hybrid.bm25_leg(bm25.scores(_index(spark, sf_dir), _query(spark)), K), K)
+    best = _fused(spark, docs, hybrid.vector_leg(ranked), hybrid.bm25_leg(bm25.best(_index(spark, sf_dir), _query(spark), 2 * K), K))
     return best.select("rank", "text", F.round("score", 6).alias("score"), "vec_rank", "bm25_rank")
 
 
+def _fused(spark, docs, vector, words):
+    """Both legs are written first, 4k rows a question at most, so that Spark sends them to the documents instead of shuffling
+    all texts."""
+    from ..session import work_path, written
+
+    hits = written(vector.unionByName(words), work_path(spark, "legs"))
+    texts = docs.join(F.broadcast(hits.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    return hybrid.fuse(texts, hits, None, K)
+
+
 def _window(*by):
     from pyspark.sql import Window
 
@@ -111,7 +121,7 @@ def hybrid_batch_questions(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     items = table(spark, sf_dir, "benchmark")
     near = knn.nearest_batch(e, e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 2 * K)
-    best = hybrid.fuse(docs, hybrid.vector_leg(near), hybrid.bm25_leg(bm25.scores(_index(spark, sf_dir), bm25.query_terms(items)), K), K)
+    best = _fused(spark, docs, hybrid.vector_leg(near), hybrid.bm25_leg(bm25.best(_index(spark, sf_dir), bm25.query_terms(items), 2 * K), K))
     return best.select("qid", "rank", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.round("score", 6).alias("score"), "vec_rank", "bm25_rank")
 
 
@@ -365,9 +375,10 @@ def answers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     e, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
     asked = e.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    legs = hybrid.vector_leg(knn.nearest_batch(e, asked, 2 * K)), hybrid.bm25_leg(bm25.scores(_index(spark, sf_dir), bm25.query_terms(items)), K)
+    legs = hybrid.vector_leg(knn.nearest_batch(e, asked, 2 * K)), hybrid.bm25_leg(bm25.best(_index(spark, sf_dir), bm25.query_terms(items), 2 * K), K)
     p = papers(spark, sf_dir).select(F.col("doc_id").alias("id"), "arxiv_id", "title")
-    hits = written(hybrid.fuse(docs, *legs, K).join(p.select("id", "arxiv_id"), "id"), work_path(spark, "hits"))
+    best = written(_fused(spark, docs, *legs), work_path(spark, "best"))
+    hits = written(p.select("id", "arxiv_id").join(F.broadcast(best), "id"), work_path(spark, "hits"))  # k rows a question
     questions = items.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.array().cast("array<struct<u:string,a:string>>").alias("history"))
     return context.answers(questions, hits, p)
 

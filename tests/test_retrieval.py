@@ -109,3 +109,28 @@ def test_the_title_of_an_id_does_not_depend_on_the_order_of_rows(spark):
     for r in (rows, rows[::-1], rows[2:] + rows[:2]):
         titles = spark.createDataFrame(r, "id long, arxiv_id string, title string")
         assert [x.line for x in context.citations(g, titles).collect()] == ["1. [a.txt] first"]
+
+
+def test_the_best_documents_are_those_of_all_scores(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["a", "b", "c", "dd", "e", "f1", "g"]) for _ in range(r.randint(0, 20))) if i % 50 else None) for i in range(1500)]
+    docs += [(2000 + i, docs[7][1]) for i in range(20)]  # copies: equal scores
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = [(q, t) for q in range(9) for t in r.choices(["a", "b", "c", "dd", "e", "f1", "zzz"], k=q + 1)]
+    queries, index = spark.createDataFrame(asked, "qid long, term string"), bm25.build(df)
+    want = {}
+    for x in bm25.scores(index, queries).where("s > 0").collect():
+        want.setdefault(x.qid, []).append((-round(x.s, 9), -x.id))
+    for block in (256, 2):
+        got = {}
+        for x in bm25.best(index, queries, 10, block=block).collect():
+            got.setdefault(x.qid, []).append((-round(x.s, 9), -x.id))
+        assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in sorted(v)[:10]] for q, v in want.items()}
+    assert bm25.best(index, queries.where("term = 'zzz'"), 10).count() == 0
+
+
+def test_titles_that_are_not_cited_are_not_shuffled(spark):
+    g = spark.createDataFrame([(0, "a.txt", 1)], "qid long, source string, first int")
+    titles = spark.range(1000).selectExpr("cast(id as string) as arxiv_id", "id", "'t' as title")
+    plan = context.citations(g, titles)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
