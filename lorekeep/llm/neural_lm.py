@@ -10,7 +10,6 @@ their weights, averaged by tokens in a tree, start the next round.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import add_by_batch, bound_batches, drop_stored, scratch, stored, table
 from .langid import held_out
-from .token_store import Remembered, _slices
+from .token_store import _slices
 
 
 @dataclass(frozen=True)
@@ -56,34 +55,62 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
+def _flat_words(texts):
+    """Words of an Arrow array of texts, one after the other, and where each text's begin, with the end of the last. Where a text
+    begins or ends with white space, or is empty or null, an empty word stands among them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # what separates words here is what bytes.split() takes for white space
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    offsets = found.offsets.to_numpy()
+    return found.flatten(), offsets - offsets[0]
+
+
+def _digests(distinct) -> list[bytes]:
+    """Of an Arrow array of words; that of the empty one is empty."""
+    import pyarrow as pa
+
+    return [xxhash.xxh3_128_digest(w) if w else END for w in distinct.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (128-bit digest; empty for the end), n of all tokens of whole texts. Null texts count as empty."""
     import pyarrow as pa
 
     bound_batches(docs.sparkSession)
 
-    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
-        items = list(counts.items())
-        for lo in range(0, len(items), 50_000):
-            part = items[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w) if w else END for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
+    def rows(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in held.to_batches(50_000):
+            keys, n = _digests(b.column(0)), b.column(1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), n], names=["word", "n"]).filter(pa.array([k != END for k in keys], pa.bool_()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, ends = [], 0
         for b in batches:
-            counts[END] += b.num_rows
+            ends += b.num_rows
             for part in _slices(b.column(0)):
-                for t in part:
-                    if t.is_valid:
-                        counts.update(words(t.as_buffer().to_pybytes()))
-                if len(counts) > _HELD:
-                    yield from rows(counts)
-                    counts = Counter()
-        yield from rows(counts)
+                held.append(pa.Table.from_arrays(_flat_words(part)[0].value_counts().flatten(), names=["word", "n"]))
+                if sum(map(len, held)) > 2 * _HELD:
+                    held = [_added(held)]
+                    if len(held[0]) > _HELD:
+                        yield from rows(held[0])
+                        held = []
+        if held:
+            yield from rows(_added(held))
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _added(held: list):
+    """Tables of words and their numbers as one, each word once."""
+    import pyarrow as pa
+
+    return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """counts: of the listed words by digest, most frequent first, the end before all; n, v: tokens and different tokens of all
@@ -127,38 +154,52 @@ def encoded(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame
     """docs less the text, with n_tokens, and of the listed words: n_known (in training), n_rare (those that are not the network's),
     log_all and log_rare (sums of log10(count + 1)); ids: the network's tokens as 16-bit numbers, the last one for all others;
     others: words that are not listed, with their numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    import pyarrow as pa
 
-    def work():
-        v = shared.value
-        counts = np.array([c for _, c in v.counts.values()])
-        logs = np.log10(counts + 1)
-        listed = len(counts)
-        place = Remembered(lambda w: v.counts.get(xxhash.xxh3_128_digest(w), (listed, 0))[0], 200_000)
-
-        def one(t: bytes):
-            found = words(t)
-            at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            unlisted = at == listed
-            own = np.append(at[~unlisted], 0)
-            rare = own >= v.known
-            others = Counter(found[i] for i in np.flatnonzero(unlisted).tolist())
-            ids = np.append(np.minimum(at, v.known), 0).astype(np.uint16)
-            return len(at) + 1, int((counts[own] > 0).sum()), int(rare.sum()) + int(unlisted.sum()), float(logs[own].sum()), float(logs[own[rare]].sum()), ids.tobytes(), [{"word": xxhash.xxh3_128_digest(w), "k": k} for w, k in others.items()]
+    # by place, and last what is not listed
+    counts = np.array([*(c for _, c in vocab.counts.values()), 0])
+    shared = docs.sparkSession.sparkContext.broadcast(({w: place for w, (place, _) in vocab.counts.items()}, counts, vocab.known))
 
+    def work():
         def run(column):
-            out: tuple[list, ...] = tuple([] for _ in _ENCODED)
-            for t in column:
-                for kept, x in zip(out, one(t.as_buffer().to_pybytes() if t.is_valid else b""), strict=True):
-                    kept.append(x)
-            place.trim()
-            return out
+            parts = [_encoded_texts(x, *shared.value) for x in _slices(column)]
+            return [pa.concat_arrays(x) for x in zip(*parts, strict=True)] if parts else [[] for _ in _ENCODED]
 
         return run
 
     return add_by_batch(docs, [text], _ENCODED, work)
 
 
+def _encoded_texts(texts, places: dict[bytes, int], counts: np.ndarray, known: int) -> list:
+    """Arrow arrays of the columns that encoded() adds. A word is hashed and looked up once for all texts."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in _ENCODED]
+    listed, logs = len(counts) - 1, np.log10(counts + 1)
+    found, starts = _flat_words(texts)
+    coded = found.dictionary_encode()
+    keys, words = _digests(coded.dictionary), coded.indices.to_numpy()
+    place = np.array([places.get(k, listed) for k in keys], np.int32)
+    if END in keys:  # no word: ends follow below
+        real = words != keys.index(END)
+        words, starts = words[real], np.append(0, np.cumsum(real))[starts]
+    at = np.insert(place[words], starts[1:], 0)
+    first = starts[:-1] + np.arange(len(texts))
+    log, rare = logs[at], at >= known
+    sums = [np.add.reduceat(x, first) for x in ((counts[at] > 0).astype(np.int64), rare.astype(np.int64), log, log * rare)]
+    ids = np.minimum(at, known).astype(np.uint16)
+    packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.append(2 * first, ids.nbytes).astype(np.int32)), pa.py_buffer(ids)])
+    # words that are not listed, each once a text
+    where = np.flatnonzero(place[words] == listed)
+    text = np.searchsorted(starts, where, "right") - 1
+    pairs, k = np.unique(text * np.int64(len(keys) + 1) + words[where], return_counts=True)
+    text, own = np.divmod(pairs, len(keys) + 1)
+    others = pa.StructArray.from_arrays([pa.array(keys, pa.binary()).take(pa.array(own)), pa.array(k, pa.int64())], fields=list(types[-1].value_type))
+    ends = np.append(0, np.cumsum(np.bincount(text, minlength=len(texts)))).astype(np.int32)
+    return [*(pa.array(x, t) for x, t in zip([np.diff(starts) + 1, *sums], types, strict=False)), packed, pa.ListArray.from_arrays(pa.array(ends), others, type=types[-1])]
+
+
 def classes_of(n: int, classes: int) -> np.ndarray:
     """First token of each class, and the end: known tokens by frequency in classes of about equal size; then the one for all
     others, in a class of its own."""
@@ -166,14 +207,6 @@ def classes_of(n: int, classes: int) -> np.ndarray:
     return np.append(edges, n + 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Network:
     """Weights as views of one vector: embeddings e, input and state weights w, u and bias b of the gates (update, reset,
     candidate), class weights c and their bias, word weights o and their bias."""
@@ -205,79 +238,117 @@ class Network:
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         return {k: flat[a:b].reshape(s) for (k, s), a, b in zip(self.shapes.items(), self.ends[:-1], self.ends[1:], strict=True)}
 
-    def states(self, before: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def states(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
         """States (hidden, steps, lanes) after each step, given the token before each step (steps, lanes) and the states
-        (hidden, lanes) before the first; an end resets. keep: gets what the way back needs."""
+        (hidden, lanes) before the first; an end resets."""
+        return self.run(before, h).transpose(1, 0, 2)
+
+    def run(self, before: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """states() with steps first, so that a step's numbers lie together. keep: gets what the way back needs."""
         p, n = self.p, self.h
         steps, lanes = before.shape
-        x = p["e"][before.ravel()]
-        a = (p["w"].T @ x.T + p["b"][:, None]).reshape(3 * n, steps, lanes)
+        # a gate is tanh(v / 2) / 2 + 1 / 2: one call in place of four
+        half = np.repeat([0.5, 1.0], [2 * n, n]).astype(h.dtype)
+        inputs = (p["e"] @ p["w"] + p["b"]) * half
+        a = inputs.take(before.ravel(), axis=0).reshape(steps, lanes, 3 * n).transpose(0, 2, 1).copy()
+        ut = (p["u"] * half).T.copy()
         goes_on = (before != 0).astype(h.dtype)
-        out, kept, ut = np.empty((n, steps, lanes), h.dtype), [], p["u"].T.copy()
+        resets = (before == 0).any(axis=1).tolist()
+        out = np.empty((steps, n, lanes), h.dtype)
+        # with keep, each step has its own
+        s, m, first = (np.empty((steps if keep is not None else 1, k * n, lanes), h.dtype) for k in (3, 1, 1))
         for t in range(steps):
-            h = h * goes_on[t]
-            s = ut @ h
-            gates = _sigmoid(a[: 2 * n, t] + s[: 2 * n])
-            z, r = gates[:n], gates[n:]
-            m = r * s[2 * n :]
-            m += a[2 * n :, t]
-            m *= 2
-            _sigmoid(m)
-            m *= 2
-            m -= 1  # tanh
-            new = h - m
-            new *= z
-            new += m
+            i = t if keep is not None else 0
+            if resets[t]:
+                h = h * goes_on[t]
             if keep is not None:
-                kept.append((h, gates, m, s[2 * n :]))
-            out[:, t] = h = new
+                first[t] = h
+            np.matmul(ut, h, out=s[i])
+            gates, c = a[t, : 2 * n], m[i]
+            gates += s[i, : 2 * n]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[n:], s[i, 2 * n :], out=c)
+            c += a[t, 2 * n :]
+            np.tanh(c, out=c)
+            h = np.subtract(h, c, out=out[t])
+            h *= gates[:n]
+            h += c
         if keep is not None:
-            keep += [x, goes_on, kept]
+            keep += [goes_on, resets, first, a, m, s]
         return out
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, back: tuple[np.ndarray, dict] | None = None) -> np.ndarray:
         """Natural log probability of each target by its state (a row). back: (weight of each target, gradients to add to): then
         also puts the gradient by states into back[1]["states"]."""
         p = self.p
-        # targets of one class stand together; logits have a column for each
-        order = np.argsort(self.class_of[targets], kind="stable")
-        own, target = states[order], targets[order]
-        cls, at = self.class_of[target], np.arange(len(targets))
-        logits = p["c"].T @ own.T
-        logits += p["cb"][:, None]
-        logits -= logits.max(axis=0)
-        found = logits[cls, at]
+        # equal targets stand together, so that classes do too, the one for all others at the end
+        order = np.argsort(targets.astype(np.uint16), kind="stable")
+        own, target = states.take(order, axis=0), targets.take(order)
+        cls, at = self.class_of.take(target), np.arange(len(target))
+        until = np.searchsorted(cls, np.arange(len(self.edges))).tolist()
+        known = until[-2]  # targets that a class of several words may have
+        # biases are factors of the exponentials, relative to the largest of their class
+        cb, ob = p["cb"] - p["cb"].max(), p["ob"] - np.maximum.reduceat(p["ob"], self.edges[:-1])[self.class_of]
+        ecb, eob = np.exp(cb), np.exp(ob)
+        reach = max(float(states.max(initial=0)), -float(states.min(initial=0))) * max(float(np.abs(p["c"]).sum(axis=0).max()), float(np.abs(p["o"]).sum(axis=1).max()))
+        if wide := not reach <= 40:  # exponentials could run over: biases are added, each row's largest logit is taken off
+            ecb[:] = eob[:] = 1
+        words = p["o"].take(target[:known], axis=0)
+        logits = own @ p["c"]
+        found = logits.reshape(-1).take(at * logits.shape[1] + cls)
+        found[:known] += np.einsum("ij,ij->i", own[:known], words)
+        if wide:
+            found -= self.level(logits, cb)
         np.exp(logits, out=logits)
-        total = logits.sum(axis=0)
-        found -= np.log(total)
+        total, sums = logits @ ecb, np.ones_like(found)
         if back is not None:
             weight, grads = back
-            weight = weight[order]
-            logits *= weight / total
-            logits[cls, at] -= weight
-            grads["c"] += (logits @ own).T
-            grads["cb"] += logits.sum(axis=1)
-            d = logits.T @ p["c"].T
-        until = np.searchsorted(cls, np.arange(len(self.edges))).tolist()
-        for k, (i, j) in enumerate(zip(until[:-1], until[1:], strict=True)):
-            lo, hi = int(self.edges[k]), int(self.edges[k + 1])
-            if i == j or hi - lo == 1:
+            weight = weight.take(order)[:, None]
+            scale = weight / total[:, None]
+            scaled, weighted = own * scale, own * weight
+            grads["c"] += (scaled.T @ logits) * ecb
+            grads["cb"] += (scale[:, 0] @ logits) * ecb
+            d = logits @ (p["c"] * ecb).T
+            d *= scale
+            d -= p["c"].T.take(cls, axis=0) * weight
+            factored, by_word, by_bias, d_word = p["o"] * eob[:, None], np.zeros_like(p["o"]), np.zeros_like(ob), np.empty_like(words)
+        for k, (i, j) in enumerate(zip(until[:-2], until[1:-1], strict=True)):
+            if i == j:
                 continue
-            part, rows = own[i:j], at[: j - i]
-            logits = p["o"][lo:hi] @ part.T
-            logits += p["ob"][lo:hi, None]
-            logits -= logits.max(axis=0)
-            chosen = target[i:j] - lo
-            found[i:j] += logits[chosen, rows]
+            lo, hi = int(self.edges[k]), int(self.edges[k + 1])
+            part = own[i:j]
+            logits = part @ p["o"][lo:hi].T
+            if wide:
+                found[i:j] -= self.level(logits, ob[lo:hi])
             np.exp(logits, out=logits)
-            total = logits.sum(axis=0)
-            found[i:j] -= np.log(total)
+            sums[i:j] = logits @ eob[lo:hi]
             if back is not None:
-                logits *= weight[i:j] / total
-                logits[chosen, rows] -= weight[i:j]
-                grads["o"][lo:hi] += logits @ part
-                grads["ob"][lo:hi] += logits.sum(axis=1)
-                d[i:j] += logits.T @ p["o"][lo:hi]
+                share = weight[i:j, 0] / sums[i:j]
+                by_bias[lo:hi] = share @ logits
+                d_word[i:j] = logits @ factored[lo:hi]
+                logits *= share[:, None]
+                by_word[lo:hi] = logits.T @ part
+        found += cb.take(cls) + ob.take(target)
+        found -= np.log(total)
+        found -= np.log(sums)
+        if back is not None and len(target):
+            d_word *= weight[:known] / sums[:known, None]
+            d_word -= words * weight[:known]
+            d[:known] += d_word
+            grads["o"] += by_word * eob[:, None]
+            grads["ob"] += by_bias * eob
+            # what the targets themselves take off: sums of equal ones, then of classes
+            starts = np.flatnonzero(np.diff(target, prepend=-1))
+            there, of = target[starts], cls[starts]
+            by_target, n = np.add.reduceat(weighted, starts), np.add.reduceat(weight[:, 0], starts)
+            firsts = np.flatnonzero(np.diff(of.astype(int), prepend=-1))
+            grads["c"][:, of[firsts]] -= np.add.reduceat(by_target, firsts).T
+            grads["cb"][of[firsts]] -= np.add.reduceat(n, firsts)
+            own_class = there < self.n
+            grads["o"][there[own_class]] -= by_target[own_class]
+            grads["ob"][there[own_class]] -= n[own_class]
         if back is not None:
             grads["states"] = np.empty_like(d)
             grads["states"][order] = d
@@ -285,6 +356,14 @@ class Network:
         out[order] = found
         return out
 
+    @staticmethod
+    def level(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Adds the bias and takes off each row's largest logit, in place; what was taken off."""
+        logits += bias
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+        return top
+
     def gradients(self, before: np.ndarray, targets: np.ndarray, weight: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Of the weighted sum of -log probabilities of a window (steps, lanes): a vector like flat; the last states; the sum."""
         p, n = self.p, self.h
@@ -292,37 +371,48 @@ class Network:
         flat = np.zeros_like(self.flat)
         g = self.views(flat)
         keep: list = []
-        states = self.states(before, h, keep)
-        x, goes_on, kept = keep
+        states = self.run(before, h, keep)
+        goes_on, resets, first, a, m, s = keep
         back = dict(g)
-        found = self.log_probs(states.reshape(n, -1).T.copy(), targets.ravel(), (weight.ravel(), back))
-        d_out = back["states"].T.reshape(n, steps, lanes)
-        da, ds = np.empty((3 * n, steps, lanes), h.dtype), np.empty((3 * n, steps, lanes), h.dtype)
+        found = self.log_probs(states.transpose(0, 2, 1).reshape(-1, n), targets.ravel(), (weight.ravel(), back))
+        d_out = back["states"].reshape(steps, lanes, n).transpose(0, 2, 1).copy()
+        # what a step's gradient by its state is multiplied with, for all steps: by the candidate's input and both gates'
+        gates, slope = a[:, : 2 * n], s[:, : 2 * n]
+        z, r, by_z, by_r = gates[:, :n], gates[:, n:], slope[:, :n], slope[:, n:]
+        np.subtract(1, gates, out=slope)
+        by_m = m * m
+        np.subtract(1, by_m, out=by_m)
+        by_m *= by_z
+        slope *= gates
+        by_z *= np.subtract(first, m, out=m)
+        by_r *= s[:, 2 * n :]
+        # candidate, update, reset: by inputs; update, reset, candidate's state: by what comes from the state
+        d = np.empty((steps, 4 * n, lanes), h.dtype)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            h0, gates, m, sm = kept[t]
-            z, r = gates[:n], gates[n:]
-            dh = dh + d_out[:, t]
-            dm = dh * (1 - z)
-            dm *= 1 - m * m
-            d = np.concatenate([dh * (h0 - m), dm * sm])
-            d *= gates
-            d *= 1 - gates
-            da[: 2 * n, t] = ds[: 2 * n, t] = d
-            da[2 * n :, t] = dm
-            ds[2 * n :, t] = dm * r
-            dh *= z
-            dh += p["u"] @ ds[:, t]
-            dh *= goes_on[t]
-        flat_a = da.reshape(3 * n, -1)
-        g["u"] += np.stack([k[0] for k in kept], axis=1).reshape(n, -1) @ ds.reshape(3 * n, -1).T
-        g["b"] += flat_a.sum(axis=1)
-        g["w"] += (flat_a @ x).T
+            dh += d_out[t]
+            own = d[t]
+            dm = np.multiply(dh, by_m[t], out=own[:n])
+            np.multiply(dh, by_z[t], out=own[n : 2 * n])
+            np.multiply(dm, by_r[t], out=own[2 * n : 3 * n])
+            np.multiply(dm, r[t], out=own[3 * n :])
+            dh *= z[t]
+            dh += p["u"] @ own[n:]
+            if resets[t]:
+                dh *= goes_on[t]
+        by_input, by_state = d[:, : 3 * n], d[:, n:]
+        turned = np.r_[n : 3 * n, :n]  # update, reset, candidate, as in the weights
+        g["u"] += np.matmul(first, by_state.transpose(0, 2, 1)).sum(axis=0)
+        g["b"] += by_input.sum(axis=2).sum(axis=0)[turned]
+        x = p["e"].take(before.ravel(), axis=0).reshape(steps, lanes, n)
+        g["w"] += np.matmul(by_input, x).sum(axis=0)[turned].T
         order = np.argsort(before.ravel().astype(np.uint16), kind="stable")
-        tokens = before.ravel()[order]
+        tokens = before.ravel().take(order)
         starts = np.flatnonzero(np.diff(tokens, prepend=-1))
-        g["e"][tokens[starts]] += np.add.reduceat((flat_a.T @ p["w"].T)[order], starts, axis=0)
-        return flat, states[:, -1], -float(found @ weight.ravel())
+        w = np.concatenate([p["w"][:, 2 * n :], p["w"][:, : 2 * n]], axis=1)
+        by_x = np.matmul(by_input.transpose(0, 2, 1), w.T).reshape(-1, n)
+        g["e"][tokens[starts]] += np.add.reduceat(by_x.take(order, axis=0), starts, axis=0)
+        return flat, states[-1], -float(found @ weight.ravel())
 
 
 @dataclass
@@ -358,7 +448,8 @@ def windows(lanes: Lanes, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         ahead = t + np.arange(steps_now)[:, None]
         valid = ahead < lanes.lengths[:n]
         at = lanes.starts[:n] + np.minimum(ahead, lanes.lengths[:n] - 1)
-        before = np.where(ahead > 0, lanes.tokens[np.maximum(at - 1, 0)], 0)
+        before = lanes.tokens.take(np.maximum(at - 1, 0))
+        before[ahead[:, 0] == 0] = 0
         yield at, before, valid
 
 
@@ -371,10 +462,10 @@ def log10_scores(net: Network, sequences: list[np.ndarray], lanes: int = 256) ->
     found = np.zeros(len(own.tokens))
     h = np.zeros((net.h, len(own.lengths)), net.flat.dtype)
     for at, before, valid in windows(own, net.settings.window):
-        states = net.states(before, h[:, : at.shape[1]])
-        h = states[:, -1]
+        states = net.run(before, h[:, : at.shape[1]])
+        h = states[-1]
         at = at[valid]
-        found[at] = net.log_probs(states[:, valid].T.copy(), own.tokens[at])
+        found[at] = net.log_probs(states.transpose(0, 2, 1).reshape(-1, net.h).take(np.flatnonzero(valid), axis=0), own.tokens.take(at))
     sizes = np.array([len(sequences[i]) for i in own.order])
     out = np.zeros(len(sequences))
     out[own.order] = np.add.reduceat(found, np.cumsum(sizes) - sizes) / np.log(10)
@@ -400,7 +491,7 @@ def learn(net: Network, adam: Adam, sequences: list[np.ndarray], rate: float) ->
     h = np.zeros((net.h, len(own.lengths)), net.flat.dtype)
     for at, before, valid in windows(own, s.window):
         weight = valid.astype(net.flat.dtype) / max(1, int(valid.sum()))
-        grad, h, _ = net.gradients(before, own.tokens[at], weight, h[:, : at.shape[1]])
+        grad, h, _ = net.gradients(before, own.tokens.take(at), weight, h[:, : at.shape[1]])
         size = float(np.sqrt(grad @ grad))
         adam(grad * min(1.0, 1.0 / (size + 1e-9)), rate)
 

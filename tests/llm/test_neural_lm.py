@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,50 @@ def test_lanes_hold_every_token_once():
         assert sorted(own.tokens.tolist()) == sorted(x for d in docs for x in d.tolist())
 
 
+ODD_TEXTS = ["", None, " ", "One two  one", "\x1c É\x0bé\x00 rare1\n", "\t\ntwo two THREE four\r", "x\x85y\u2003z", "w " * 70 + "two"]
+
+
+def test_flat_words_are_those_of_each_text():
+    for column in (pa.array(ODD_TEXTS), pa.array(ODD_TEXTS).slice(2, 4), pa.array([None], pa.string())):
+        found, starts = L._flat_words(column)
+        own = found.to_pylist()
+        got = [[w.encode() for w in own[i:j] if w] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+        assert got == [L.words((t or "").encode()) for t in column.to_pylist()]
+
+
+def test_encoding_hashes_each_word_once_for_all_texts(monkeypatch):
+    digest, hashed = L.xxhash.xxh3_128_digest, Counter()
+    monkeypatch.setattr(L, "xxhash", type("Counting", (), {"xxh3_128_digest": staticmethod(lambda w: hashed.update([w]) or digest(w))}))
+    texts = ODD_TEXTS * 40
+    listed = [b"", *(digest(w) for w in (b"two", b"w", b"one"))]
+    counts, known = np.array([9, 7, 5, 0, 0]), 2
+    got = L._encoded_texts(pa.array(texts), {w: i for i, w in enumerate(listed)}, counts, known)
+    assert set(hashed.values()) == {1} and set(hashed) == {w for t in texts for w in L.words((t or "").encode())}
+    for t, *row in zip(texts, *(x.to_pylist() for x in got), strict=True):
+        own = [*L.words((t or "").encode()), b""]
+        at = [listed.index(digest(w) if w else w) if (digest(w) if w else w) in listed else 4 for w in own]
+        assert row[:3] == [len(own), sum(counts[i] > 0 for i in at), sum(i >= known for i in at)]
+        assert row[3:5] == pytest.approx([np.log10(counts[at] + 1).sum(), np.log10(counts[[i for i in at if i >= known]] + 1).sum() if max(at) >= known else 0])
+        assert np.frombuffer(row[5], np.uint16).tolist() == [min(i, known) for i in at]
+        assert {o["word"]: o["k"] for o in row[6]} == Counter(digest(w) for w, i in zip(own, at, strict=True) if i == 4)
+
+
+def test_large_weights_neither_run_over_nor_vanish():
+    net, r = small_net(), np.random.default_rng(9)
+    h = r.normal(0, 1, (6, 5))
+    for scale in (3, 30, 60):  # the last two add biases and take off the largest logit
+        own = L.Network(net.n, net.settings, (net.flat * scale).astype(np.float32))
+        want = L.Network(net.n, net.settings, own.flat.astype(np.float64))
+        for x in h:
+            got = own.log_probs(np.tile(x, (12, 1)).astype(np.float32), np.arange(12))
+            assert np.isfinite(got).all() and np.allclose(got, distribution(want, x), rtol=1e-4, atol=1e-3)
+        grads = {k: np.zeros_like(v) for k, v in own.p.items()}
+        own.log_probs(h.astype(np.float32), np.arange(6), (np.ones(6, np.float32), grads))
+        exact = {k: np.zeros_like(v) for k, v in want.p.items()}
+        want.log_probs(h, np.arange(6), (np.ones(6), exact))
+        assert all(np.isfinite(grads[k]).all() and np.allclose(grads[k], exact[k], rtol=1e-3, atol=1e-3 * scale) for k in ("c", "cb", "o", "ob", "states"))
+
+
 def corpus(n=300, seed=8):
     """Sentences in which a word tells much of the next one; some words are rare."""
     r = random.Random(seed)
