@@ -61,8 +61,8 @@ def _flat_words(texts):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    # what separates words here is what bytes.split() takes for white space
-    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    # bytes as they are, UTF-8 or not; what separates words here is what bytes.split() takes for white space
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")))
     offsets = found.offsets.to_numpy()
     return found.flatten(), offsets - offsets[0]
 

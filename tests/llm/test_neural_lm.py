@@ -105,6 +105,11 @@ def test_flat_words_are_those_of_each_text():
         own = found.to_pylist()
         got = [[w.encode() for w in own[i:j] if w] for i, j in zip(starts[:-1], starts[1:], strict=True)]
         assert got == [L.words((t or "").encode()) for t in column.to_pylist()]
+    raw = [b"\xff A\xfe Bc", None, b"\xc3", b"a\x00B\x85 c"]  # not UTF-8
+    for column in (pa.array(raw), pa.array(raw).view(pa.string()), pa.array(raw).cast(pa.large_binary())):
+        found, starts = L._flat_words(column)
+        own = found.cast(pa.binary()).to_pylist()
+        assert [[w for w in own[i:j] if w] for i, j in zip(starts[:-1], starts[1:], strict=True)] == [L.words(t or b"") for t in raw]
 
 
 def test_encoding_hashes_each_word_once_for_all_texts(monkeypatch):
